@@ -5,13 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from windloom.llm import decontaminate
+from windloom.llm import decontaminate, substring_dedup, token_store
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substring_dedup.remove_repeats(table(spark, sf_dir, "documents"), keep=["doc_id"], out="d", with_text=False)
+    return found.select("doc_id", "d.n_words", "d.n_removed", "d.kept_sha256")
+
+
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
     found = decontaminate.contamination(docs, items, keep=["doc_id"], out="c")
@@ -25,7 +30,15 @@ def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return token_store.read(token_store.write(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json")))
+
+
 QUERIES = {
+    "op1_substring_dedup": op1_substring_dedup,
+    "op9_token_store": op9_token_store,
     "op6_decontaminate": op6_decontaminate,
 }
 
