@@ -32,6 +32,7 @@ SCALE = 16.0
 
 TOKEN = re.compile(rb"[A-Za-z\x80-\xff]+|[0-9]+|[^\sA-Za-z0-9\x80-\xff]+")
 _P = np.uint64(0x9E3779B97F4A7C15)
+_AGAIN = np.uint64(0xB7E151628AED2A6B)
 
 
 def shape(token: bytes) -> bytes:
@@ -66,7 +67,7 @@ def features(text: bytes | None, cache: Tokens) -> np.ndarray:
     both = np.array([cache[t] for t in tokens], np.uint64)
     word, form = both[:, 0], both[:, 1]
     pair = lambda x, salt: (x[:-1] * _P + x[1:] + np.uint64(salt)) * _P
-    again = word[1:][word[1:] == word[:-1]] * np.uint64(0) + np.uint64(0x5DEECE66D) * _P
+    again = np.full(int((word[1:] == word[:-1]).sum()), _AGAIN)
     every = np.concatenate([word * _P, form * _P, pair(form, 3), pair(word, 4), again])
     return (every >> np.uint64(64 - BITS)).astype(np.int64)
 

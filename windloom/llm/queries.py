@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from windloom.llm import decontaminate, fingerprint, near_dedup, substring_dedup, token_store
+from windloom.llm import decontaminate, fingerprint, labelled, near_dedup, quality, substring_dedup, token_store, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,6 +17,19 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "d.n_words", "d.n_removed", "d.kept_sha256")
 
 
+TOXIC_AT, GOOD_AT = 0.3, 0.7
+
+
+def _scored(found: DataFrame, at: float) -> DataFrame:
+    return found.select("doc_id", labelled.held_out(F.col("doc_id")).alias("held_out"), F.col("s.score").alias("score"), (F.col("s.score") >= at).cast("int").alias("predicted"))
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    lexicon = toxicity.learn(labelled.training_rows(docs, table(spark, sf_dir, "labels"), "toxic"))
+    return _scored(toxicity.matched(docs, lexicon, keep=["doc_id"], out="s"), TOXIC_AT)
+
+
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
     found = decontaminate.contamination(docs, items, keep=["doc_id"], out="c")
@@ -44,7 +57,15 @@ def op9_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.read(token_store.write(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json")))
 
 
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    weights = quality.train(labelled.training_rows(docs, table(spark, sf_dir, "labels"), "quality"))
+    return _scored(quality.score(docs, weights, keep=["doc_id"], out="s"), GOOD_AT)
+
+
 QUERIES = {
+    "op10_quality": op10_quality,
+    "op4_toxicity": op4_toxicity,
     "op1_substring_dedup": op1_substring_dedup,
     "op7_near_dedup": op7_near_dedup,
     "op8_fingerprint": op8_fingerprint,
