@@ -41,7 +41,7 @@ _WORD = re.compile(r"\w+")
 
 SHORTEST, LONGEST = 3, 10
 #: A term is taken when its log-likelihood gain exceeds log(number of terms) + MARGIN.
-MARGIN, CLEAN_SHARE = 4.0, 0.1
+MARGIN = 4.0
 #: Fewest clean documents for a learned exception phrase; most terms of a lexicon.
 EXCEPTION_DOCS, MAX_TERMS = 3, 5000
 
@@ -62,6 +62,7 @@ class Lexicon:
     weights: dict[str, float] = field(default_factory=dict)
     exceptions: list[str] = field(default_factory=list)
     scale: float = 1.0
+    power: float = 0.5
 
 
 class Matcher:
@@ -97,20 +98,24 @@ class Matcher:
         return sum(w for _, _, w in kept), [(s, s + n) for s, n, _ in kept]
 
 
-def score_of(total: float, n_words: int, scale: float) -> float:
-    """Sum of weights by a slowly growing norm of length, between 0 and 1."""
-    x = total / (1.0 + math.log2(1.0 + n_words / 200.0))
+def score_of(total: float, n_words: int, scale: float, power: float) -> float:
+    """Sum of weights by a norm that grows with length, between 0 and 1."""
+    x = total / (1.0 + n_words / 200.0) ** power
     return x / (x + scale) if x > 0 else 0.0
 
 
 def terms_of(text: str) -> set[str]:
-    """Words of a folded text and their beginnings ("stem*")."""
-    found = set()
-    for w in set(_WORD.findall(text)):
+    """Words of a folded text and their beginnings ("stem*"); a beginning of two or more of its words also as "stem*2"."""
+    found, twice = set(), set()
+    for w in _WORD.findall(text):
+        for k in range(SHORTEST, min(len(w), LONGEST + 1)):
+            stem = w[:k] + "*"
+            if stem in found:
+                twice.add(stem + "2")
+            else:
+                found.add(stem)
         found.add(w)
-        for k in range(SHORTEST, min(len(w) - 1, LONGEST) + 1):
-            found.add(w[:k] + "*")
-    return found
+    return found | twice
 
 
 def _document_counts(sample: DataFrame) -> DataFrame:
@@ -152,11 +157,10 @@ def _contexts(sample: DataFrame, terms: list[str]) -> DataFrame:
     return sample.select("text", "label").mapInArrow(run, "term string, word string, before string, after string, label long")
 
 
-def shorter(term: str) -> str | None:
-    """The next shorter beginning of a term."""
+def beginnings(term: str):
+    """The shorter beginnings of a term, as terms; a whole word also begins with itself."""
     stem = term.rstrip("*")
-    size = len(stem) - 1
-    return stem[:size] + "*" if size >= SHORTEST else None
+    return (stem[:k] + "*" for k in range(SHORTEST, len(stem) + (0 if term.endswith("*") else 1)))
 
 
 def learn(sample: DataFrame, max_terms: int = MAX_TERMS) -> Lexicon:
@@ -171,49 +175,50 @@ def learn(sample: DataFrame, max_terms: int = MAX_TERMS) -> Lexicon:
     counts = _document_counts(sample).persist()
     n_terms = counts.count()
     bar = math.log(max(2, n_terms)) + MARGIN
-    chosen = counts.where((F.col("toxic") > 0) & (F.col("clean") <= CLEAN_SHARE * F.col("toxic"))).withColumn("gain", gain).where(F.col("gain") > bar).orderBy(F.desc("gain"), "term").limit(max_terms)
-    found = {r["term"]: (r["toxic"], r["clean"]) for r in chosen.collect()}
+    chosen = counts.where((F.col("toxic") > 0) & (share > base)).withColumn("gain", gain).where(F.col("gain") > bar).orderBy(F.desc("gain"), "term").limit(max_terms)
+    rows = chosen.collect()
+    found, gains, hits = {}, {}, {}
+    for r in rows:  # by gain: of "stem*" and "stem*2" the one that gains more
+        term = r["term"].removesuffix("2") if r["term"].endswith("*2") else r["term"]
+        if term not in found:
+            found[term], gains[term], hits[term] = (r["toxic"], r["clean"]), round(r["gain"], 6), 2 if term != r["term"] else 1
     counts.unpersist()
     # Copies of a document repeat its contexts: a term needs as many different ones.
     needed = bar / math.log(1 / base)
     places = _contexts(sample, list(found)).persist()
     varied = {r["term"]: r["n"] for r in places.where("label = 1").groupBy("term").agg(F.count_distinct("before", "after").alias("n")).collect()}
     found = {t: c for t, c in found.items() if varied.get(t, 0) >= needed}
-    # Of a chain of beginnings, a longer one replaces a shorter one that hardly occurs without it.
-    keep = set(found)
-    for t in sorted(found, key=len, reverse=True):
-        s = shorter(t)
-        if s in found:
-            if found[t][0] >= 0.9 * found[s][0]:
-                keep.discard(s)
-            else:
-                keep.discard(t)
-    for t in sorted(keep, key=len):  # and what a kept shorter one covers goes
-        s = shorter(t)
-        while s:
-            if s in keep:
-                keep.discard(t)
-                break
-            s = shorter(s)
-    weights = {t: round(math.log((found[t][0] + 0.5) * (n - pos - found[t][1] + 0.5) / ((pos - found[t][0] + 0.5) * (found[t][1] + 0.5))), 6) for t in sorted(keep)}
+    # Of terms that are beginnings of each other only the one that gains most stays, the longest of equal ones.
+    keep: set[str] = set()
+    covered: set[str] = set()
+    for t in sorted(found, key=lambda t: (-gains[t], -len(t.rstrip("*")), t.endswith("*"), t)):
+        above = list(beginnings(t))
+        if t not in covered and not keep.intersection(above):
+            keep.add(t)
+            covered.update(above)
+    odds = lambda a, b: math.log((a + 0.5) * (n - pos - b + 0.5) / ((pos - a + 0.5) * (b + 0.5)))
+    weights = {t: round(odds(*found[t]) / hits[t], 6) for t in sorted(keep)}  # of a match; a term that counts from two on is worth half
     phrases = places.where(F.col("term").isin(list(keep)) if keep else F.lit(False)).select(F.explode(F.array(F.concat_ws(" ", "before", "word"), F.concat_ws(" ", "word", "after"))).alias("phrase"), "label")
     only_clean = phrases.groupBy("phrase").agg(F.sum("label").alias("toxic"), F.count(F.lit(1)).alias("n")).where(f"toxic = 0 and n >= {EXCEPTION_DOCS}").orderBy(F.desc("n"), "phrase").limit(max_terms)
     exceptions = sorted(r["phrase"].strip() for r in only_clean.collect())
     places.unpersist()
     lexicon = Lexicon(weights, [p for p in exceptions if " " in p])
-    return Lexicon(lexicon.weights, lexicon.exceptions, _fitted_scale(sample, lexicon))
-
-
-def _fitted_scale(sample: DataFrame, lexicon: Lexicon, threshold: float = 0.3) -> float:
-    """Of a few scales, the one that puts the threshold farthest inside the gap between the classes."""
-    sums = matched(sample, lexicon, out="m", keep=["label"]).groupBy("label", F.round("m.total", 2).alias("total"), F.round(F.log2(1 + F.col("m.n_words")), 1).alias("size")).count().where("total > 0").collect()
-    if not sums:
-        return 1.0
-    best, at = None, 1.0
-    for scale in np.geomspace(0.05, 20, 60).tolist():
-        loss = sum(r["count"] * -math.log(max(1e-9, 1 - abs((1 if r["label"] > 0 else 0) - _squash(score_of(r["total"], int(2 ** r["size"]), scale), threshold)))) for r in sums)
-        if best is None or loss < best - 1e-9:
-            best, at = loss, scale
+    return Lexicon(lexicon.weights, lexicon.exceptions, *_fitted(sample, lexicon))
+
+
+def _fitted(sample: DataFrame, lexicon: Lexicon, threshold: float = 0.3) -> tuple[float, float]:
+    """Scale and power of the score that separate the classes best at the threshold, from a few tried."""
+    binned = matched(sample, lexicon, out="m", keep=["label"]).groupBy("label", F.round("m.total", 1).alias("total"), F.round(F.log2(1 + F.col("m.n_words")), 1).alias("size")).count()
+    rows = binned.where("total > 0").collect()  # no more rows than the sample
+    best, at = None, (1.0, 0.5)
+    for power in (0.0, 0.25, 0.5, 0.75, 1.0):
+        for scale in np.geomspace(0.05, 40, 60).tolist():
+            loss = 0.0
+            for r in rows:
+                p = _squash(score_of(r["total"], int(2 ** r["size"]), scale, power), threshold)
+                loss -= r["count"] * math.log(max(1e-9, p if r["label"] > 0 else 1 - p))
+            if best is None or loss < best - 1e-9:
+                best, at = loss, (scale, power)
     return at
 
 
@@ -244,7 +249,7 @@ def matched(docs: DataFrame, lexicon: Lexicon, *, text_col: str = "text", out: s
                 text = fold((t or b"").decode("utf-8", "replace"))
                 total, at = matcher.sum_of(text)
                 n_words = text.count(" ") + 1 if text else 0
-                rows.append((score_of(total, n_words, matcher.lexicon.scale), total, n_words, len(at)))
+                rows.append((score_of(total, n_words, matcher.lexicon.scale, matcher.lexicon.power), total, n_words, len(at)))
             return rows
 
         return work
