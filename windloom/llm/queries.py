@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from windloom.llm import decontaminate, fingerprint, labelled, near_dedup, quality, substring_dedup, token_store, toxicity
+from windloom.llm import chat, decontaminate, fingerprint, labelled, line_dedup, near_dedup, packing, quality, substring_dedup, token_store, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,6 +17,66 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "d.n_words", "d.n_removed", "d.kept_sha256")
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    return line_dedup.remove_boilerplate(docs, n_removed="n_removed").select("doc_id", "n_removed", "text")
+
+
+LINE_DEDUP_SQL = f"""
+    WITH lines AS (
+        SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM {{documents}}
+    ), cut AS (SELECT *, trim(line, ' ' || chr(9) || chr(11) || chr(12) || chr(13)) AS t FROM lines),
+    spread AS (
+        SELECT t, min(doc_id) AS first_doc FROM cut WHERE length(t) >= {line_dedup.MIN_CHARS} GROUP BY t HAVING count(DISTINCT source) >= {line_dedup.MIN_SITES}
+    ), judged AS (
+        SELECT doc_id, i, line, spread.t IS NOT NULL AND doc_id <> first_doc AS gone FROM cut LEFT JOIN spread USING (t)
+    ), joined AS (
+        SELECT doc_id, count(*) FILTER (WHERE gone) AS n_removed, coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT gone), '') AS text FROM judged GROUP BY doc_id
+    )
+    SELECT d.doc_id, coalesce(j.n_removed, 0)::BIGINT AS n_removed, CASE WHEN j.n_removed > 0 THEN j.text ELSE d.text END AS text
+    FROM {{documents}} d LEFT JOIN joined j USING (doc_id)
+"""
+
+
+def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = F.lit("\\### Assistant: </turn> ok")
+    extra = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), said.alias("text"))
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
+    found = chat.format_paths(chat.linear(rows)).withColumn("turns", chat.read_turns(F.col("formatted"))).withColumn("loss", chat.masked_text(F.col("formatted"), F.col("loss_spans")))
+    return found.select(
+        "conv_id",
+        F.size("turns").cast("long").alias("n_turns"),
+        F.sha2(F.array_join(F.transform("turns", lambda x: F.concat(x["role"], F.lit("\n"), x["text"], F.lit("\n"))), ""), 256).alias("turns_sha256"),
+        F.char_length("loss").cast("long").alias("loss_chars"),
+        F.sha2("loss", 256).alias("loss_sha256"),
+        F.char_length("formatted").cast("long").alias("formatted_chars"),
+    )
+
+
+CHAT_SQL = r"""
+    WITH rows AS (
+        SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+        UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'
+    ), sized AS (
+        SELECT *, length(role) + length(text) + 21
+            + 2 * length(role || text) - length(replace(role || text, '\', '')) - length(role || text)
+            + (length(role) - length(replace(role, '<turn>', '12345'))) + (length(role) - length(replace(role, '</role>', '123456'))) + (length(role) - length(replace(role, '</turn>', '123456')))
+            + (length(text) - length(replace(text, '<turn>', '12345'))) + (length(text) - length(replace(text, '</role>', '123456'))) + (length(text) - length(replace(text, '</turn>', '123456'))) AS chars
+        FROM rows
+    )
+    SELECT conv_id, count(*)::BIGINT AS n_turns,
+        sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+        coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0)::BIGINT AS loss_chars,
+        sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+        sum(chars)::BIGINT AS formatted_chars
+    FROM sized GROUP BY conv_id
+"""
+
+
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.best_fit(table(spark, sf_dir, "documents"))
+
+
 TOXIC_AT, GOOD_AT = 0.3, 0.7
 
 
@@ -64,6 +124,9 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_line_dedup": op2_line_dedup,
+    "op3_chat": op3_chat,
+    "op5_packing": op5_packing,
     "op10_quality": op10_quality,
     "op4_toxicity": op4_toxicity,
     "op1_substring_dedup": op1_substring_dedup,
@@ -73,4 +136,7 @@ QUERIES = {
     "op6_decontaminate": op6_decontaminate,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op2_line_dedup": LINE_DEDUP_SQL.format(documents="documents"),
+    "op3_chat": CHAT_SQL,
+}

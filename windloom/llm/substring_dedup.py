@@ -25,87 +25,155 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from windloom.llm.common import WordHash, annotate, grams, hash_words, mixed, parts_for, pieces, raw, size_of, sliding_min, words
+from windloom.llm.common import annotate, grams, mixed, parts_for, pieces, raw, size_of, sliding_min, words
 
 WINDOW, MINIMISER = 20, 4
 #: Bytes of text for a bucket's share, buckets in a partition, windows in one packed string at most,
-#: bytes that a task holds before it hands its packed strings on.
-BUCKET_BYTES, BUCKETS_EACH, LONGEST, HELD_BYTES = 3 << 20, 4, 512, 48 << 20
+#: words that a task holds before it hands its packed strings on.
+BUCKET_BYTES, BUCKETS_EACH, LONGEST, HELD_WORDS = 6 << 20, 2, 512, 3_000_000
 
+_B = np.uint64(0x9E3779B97F4A7C15)
+_B_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
-def super_kmers(tokens: list[bytes], cache: WordHash, window: int = WINDOW, m: int = MINIMISER) -> tuple[list[int], list[int], np.ndarray]:
-    """Starts, numbers of windows and minimisers of a document's super-k-mers, in order."""
-    n = len(tokens) - window + 1
-    if n <= 0:
-        return [], [], np.empty(0, np.uint64)
-    least = sliding_min(grams(hash_words(cache, tokens), m), window - m + 1)
-    cut = np.flatnonzero(np.concatenate([[True], least[1:] != least[:-1]]))
-    if n > LONGEST:
-        ends = np.append(cut[1:], n)
-        cut = np.concatenate([np.arange(a, b, LONGEST) for a, b in zip(cut.tolist(), ends.tolist(), strict=True)])
-    return cut.tolist(), np.diff(np.append(cut, n)).tolist(), least[cut]
 
+class Codes(dict):
+    """word -> its number, in the order of first use."""
 
-def packed(docs: DataFrame, id_col: str, text_col: str, n_buckets: int, window: int) -> DataFrame:
-    """(bucket, blob): a task's super-k-mers of a bucket, words as codes into the blob's own word list."""
+    def __missing__(self, word: bytes) -> int:
+        self[word] = n = len(self)
+        return n
+
+
+def spread(first: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """first[i], first[i]+1, ... count[i] numbers for each i, in a row."""
+    total = int(count.sum())
+    begin = np.cumsum(count) - count
+    return np.arange(total) - np.repeat(begin - first, count)
 
-    def run(batches):
-        import pyarrow as pa
 
-        cache = WordHash()
-        held: dict[int, dict[bytes, list[int]]] = {}
-        size = 0
+def super_kmers(h: np.ndarray, begin: np.ndarray, size: np.ndarray, window: int = WINDOW, m: int = MINIMISER) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Starts, numbers of windows, minimisers and documents (by number) of the super-k-mers of many documents whose word hashes stand one after another."""
+    n_win = np.maximum(size - window + 1, 0)
+    starts = spread(begin, n_win)
+    if not len(starts):
+        return starts, starts, np.empty(0, np.uint64), starts
+    least = sliding_min(grams(h, m), window - m + 1)[starts]
+    first = np.zeros(len(starts), bool)
+    first[(np.cumsum(n_win) - n_win)[n_win > 0]] = True
+    first[1:] |= least[1:] != least[:-1]
+    lead = np.flatnonzero(first)
+    since = np.arange(len(starts)) - np.repeat(lead, np.diff(np.append(lead, len(starts))))
+    lead = np.flatnonzero(since % LONGEST == 0)
+    return starts[lead], np.diff(np.append(lead, len(starts))), least[lead], np.repeat(np.arange(len(size)), n_win)[lead]
+
+
+def equal_runs(codes: np.ndarray, start: np.ndarray, length: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """Whether codes[start:start+length] and codes[other:other+length] agree, for many at once; some runs at a time."""
+    agree = np.empty(len(start), bool)
+    ends = np.cumsum(length)
+    for a in range(0, len(start), 50_000):
+        part = slice(a, a + 50_000)
+        differ = codes[spread(start[part], length[part])] != codes[spread(other[part], length[part])]
+        agree[part] = np.add.reduceat(differ, ends[part] - length[part] - (ends[a] - length[a]), dtype=np.int32) == 0
+    return agree
+
+
+def grouped(codes: np.ndarray, h: np.ndarray, start: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order of the runs in which equal ones are neighbours, and where each group begins in it."""
+    power = np.full(len(h) + 1, _B)
+    power[0] = 1
+    inverse = np.full(len(h) + 1, _B_INVERSE)
+    inverse[0] = 1
+    np.multiply.accumulate(power, out=power)
+    np.multiply.accumulate(inverse, out=inverse)
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(h * power[:-1])])
+    key = (sums[start + length] - sums[start]) * inverse[start]
+    order = np.argsort(key, kind="stable")
+    a, b = order[:-1], order[1:]
+    same = (key[a] == key[b]) & (length[a] == length[b])
+    near = np.flatnonzero(same)
+    same[near] = equal_runs(codes, start[a[near]], length[a[near]], start[b[near]])
+    return order, np.flatnonzero(np.concatenate([[True], ~same])) if len(order) else order
+
 
-        def flush():
-            for bucket, found in held.items():
-                yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([pack(found)], pa.binary())], names=["bucket", "blob"])
-            held.clear()
+def packed(docs: DataFrame, id_col: str, text_col: str, n_buckets: int, window: int) -> DataFrame:
+    """(bucket, blob): a task's super-k-mers of a bucket, words as codes into the blob's own word list."""
 
+    def run(batches):
+        ids, texts, n = [], [], 0
+        codes = Codes()
         for whole in batches:
             for b in pieces(whole):
                 for doc, text in zip(b.column(0).to_pylist(), raw(b.column(1)), strict=True):
                     w = words(text)
-                    starts, lengths, least = super_kmers(w, cache, window)
-                    if not starts:
-                        continue
-                    line = b" ".join(w)
-                    at = [0, *accumulate(len(x) + 1 for x in w)]
-                    for s, c, bucket in zip(starts, lengths, (mixed(least) % np.uint64(n_buckets)).tolist(), strict=True):
-                        text_of = line[at[s] : at[s + c + window - 1] - 1]
-                        own = held.get(bucket)
-                        if own is None:
-                            own = held[bucket] = {}
-                        seen = own.get(text_of)
-                        if seen is None:
-                            own[text_of] = [doc, s]
-                            size += len(text_of) + 150
-                        else:
-                            seen += (doc, s)
-                            size += 16
-                if size > HELD_BYTES:
-                    yield from flush()
-                    size = 0
-        yield from flush()
+                    if len(w) >= window:
+                        ids.append(doc)
+                        texts.append(np.fromiter(map(codes.__getitem__, w), np.int32, len(w)))
+                        n += len(w)
+                    if n > HELD_WORDS:
+                        yield from packed_chunk(ids, texts, codes, n_buckets, window)
+                        ids, texts, n, codes = [], [], 0, Codes()
+        yield from packed_chunk(ids, texts, codes, n_buckets, window)
 
     kept = docs.select(F.col(id_col).cast("long").alias("d"), F.col(text_col).alias("t")).where("d is not null and t is not null")
     return kept.mapInArrow(run, "bucket int, blob binary")
 
 
-def pack(found: dict[bytes, list[int]]) -> bytes:
+def packed_chunk(ids: list[int], texts: list[np.ndarray], codes: Codes, n_buckets: int, window: int):
+    import pyarrow as pa
+    import xxhash
+
+    if not ids:
+        return
+    # Words in sorted order: so does each blob's own list hold them, and neighbours share beginnings.
+    vocabulary = sorted(codes)
+    rank = np.empty(len(codes), np.int32)
+    rank[np.fromiter(map(codes.__getitem__, vocabulary), np.int64, len(codes))] = np.arange(len(codes), dtype=np.int32)
+    flat, size = rank[np.concatenate(texts)], np.fromiter(map(len, texts), np.int64, len(texts))
+    texts.clear()
+    begin = np.cumsum(size) - size
+    h = np.fromiter(map(xxhash.xxh3_64_intdigest, vocabulary), np.uint64, len(vocabulary))[flat]
+    start, n_win, least, doc = super_kmers(h, begin, size, window)
+    length = n_win + window - 1
+    order, lead = grouped(flat, h, start, length)
+    del h
+    head = order[lead]
+    n_at = np.diff(np.append(lead, len(order)))
+    where_doc, where_start = np.array(ids, np.int64)[doc[order]], (start - begin[doc])[order]
+    # By bucket: the heads, and for each the positions of its group.
+    bucket = (mixed(least[head]) % np.uint64(n_buckets)).astype(np.int64)
+    by = np.argsort(bucket, kind="stable")
+    edges = np.flatnonzero(np.concatenate([[True], np.diff(bucket[by]) != 0]))
+    number = np.empty(len(vocabulary), np.int32)
+    for a, b in zip(edges.tolist(), [*edges[1:].tolist(), len(by)], strict=True):
+        own = by[a:b]
+        all_codes = flat[spread(start[head[own]], length[head[own]])]
+        used = np.flatnonzero(np.bincount(all_codes, minlength=len(vocabulary)))
+        number[used] = np.arange(len(used))
+        at = spread(lead[own], n_at[own])
+        blob = pack([vocabulary[i] for i in used.tolist()], number[all_codes], length[head[own]], n_at[own], where_doc[at], where_start[at])
+        yield pa.RecordBatch.from_arrays([pa.array([int(bucket[own[0]])], pa.int32()), pa.array([blob], pa.binary())], names=["bucket", "blob"])
+
+
+def planes(x: np.ndarray, width: int) -> bytes:
+    """Integers byte by byte: all lowest bytes, then the next ones; such planes deflate well."""
+    return np.ascontiguousarray(x.astype(f"<u{width}").view(np.uint8).reshape(-1, width).T).tobytes()
+
+
+def unplaned(data: bytes, width: int) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(width, -1).T).view(f"<u{width}").ravel().astype(np.int64)
+
+
+def pack(vocabulary: list[bytes], codes: np.ndarray, n_words: np.ndarray, n_at: np.ndarray, doc: np.ndarray, start: np.ndarray) -> bytes:
     """One binary for many super-k-mers: word list, codes, word counts, position counts and positions."""
     import zstandard
 
-    split = [t.split(b" ") for t in found]
-    codes: dict[bytes, int] = {}
-    flat = [codes.setdefault(w, len(codes)) for t in split for w in t]
-    where = list(found.values())
-    flat_at = np.array([x for p in where for x in p], np.int64)
-    parts = [b" ".join(codes), np.array(flat, np.uint32 if len(codes) > 65535 else np.uint16).tobytes(), np.fromiter(map(len, split), np.uint32, len(split)).tobytes(), np.fromiter((len(p) // 2 for p in where), np.uint32, len(where)).tobytes(), flat_at[0::2].tobytes(), flat_at[1::2].astype(np.uint32).tobytes()]
-    head = np.array([len(codes), *map(len, parts)], np.int64).tobytes()
-    return zstandard.ZstdCompressor(level=1).compress(head + b"".join(parts))
+    parts = [b" ".join(vocabulary), planes(codes, 4), planes(n_words, 4), planes(n_at, 4), planes(doc.view(np.uint64), 8), planes(start, 4)]
+    head = np.array([len(vocabulary), *map(len, parts)], np.int64).tobytes()
+    return zstandard.ZstdCompressor(level=3).compress(head + b"".join(parts))
 
 
-def unpack(blob: bytes, codes: dict[bytes, int]):
+def unpack(blob: bytes, codes: Codes):
     """Codes in the reader's own numbering, word counts, position counts, documents, starts."""
     import zstandard
 
@@ -113,21 +181,28 @@ def unpack(blob: bytes, codes: dict[bytes, int]):
     n_words, *sizes = np.frombuffer(data, np.int64, 7).tolist()
     cut = list(accumulate(sizes, initial=56))
     part = [data[a:b] for a, b in zip(cut, cut[1:], strict=False)]
-    own = np.fromiter((codes.setdefault(w, len(codes)) for w in part[0].split(b" ")), np.int64, n_words)
-    flat = np.frombuffer(part[1], np.uint32 if n_words > 65535 else np.uint16)
-    return own[flat], np.frombuffer(part[2], np.uint32).astype(np.int64), np.frombuffer(part[3], np.uint32).astype(np.int64), np.frombuffer(part[4], np.int64), np.frombuffer(part[5], np.uint32).astype(np.int64)
+    own = np.fromiter(map(codes.__getitem__, part[0].split(b" ")), np.int64, n_words)
+    return own[unplaned(part[1], 4)], unplaned(part[2], 4), unplaned(part[3], 4), unplaned(part[4], 8), unplaned(part[5], 4)
 
 
-def spread(first: np.ndarray, count: np.ndarray) -> np.ndarray:
-    """first[i], first[i]+1, ... count[i] numbers for each i, in a row."""
-    total = int(count.sum())
-    begin = np.cumsum(count) - count
-    return np.arange(total) - np.repeat(begin - first, count)
+def window_hashes(h: np.ndarray, window: int) -> np.ndarray:
+    """A hash of each run of `window` values, from those of runs of powers of two."""
+    n = len(h) - window + 1
+    acc, at, size, run, base = np.zeros(n, np.uint64), 0, 1, h, _B
+    while at < window:
+        if window & size:
+            acc = acc * base + run[at : at + n]
+            at += size
+        if size * 2 <= window:
+            run = run[:-size] * base + run[size:]
+        size *= 2
+        base = base * base
+    return mixed(acc)
 
 
 def repeats(blobs: list[bytes], window: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of one bucket: (doc, start, windows) of every run of windows that also start earlier."""
-    codes: dict[bytes, int] = {}
+    codes = Codes()
     read = [unpack(b, codes) for b in blobs]
     flat, n_words, n_at, doc, start = (np.concatenate([r[i] for r in read]) for i in range(5))
     n_win = n_words - window + 1
@@ -142,21 +217,26 @@ def repeats(blobs: list[bytes], window: int = WINDOW) -> tuple[np.ndarray, np.nd
     # One fingerprint for each window of each super-k-mer, sorted; equal neighbours are compared.
     h = mixed(np.arange(len(codes), dtype=np.uint64) + np.uint64(1))[flat]
     at = spread(np.cumsum(n_words) - n_words, n_win)
-    print_ = np.zeros(len(at), np.uint64)
-    for j in range(window):
-        print_ *= np.uint64(0x9E3779B97F4A7C15)
-        print_ += h[at + j]
+    key = window_hashes(h, window)[at]
     del h
-    order = np.argsort(print_, kind="stable")
-    same = print_[order[1:]] == print_[order[:-1]]
-    del print_
+    order = np.argsort(key)
+    same = key[order[1:]] == key[order[:-1]]
+    del key
     near = np.flatnonzero(same)
     if len(near):
-        chosen = order[np.unique(np.concatenate([near, near + 1]))]
-        del same, order
-        rows = flat[at[chosen][:, None] + np.arange(window)].astype(np.uint32)
-        key = np.ascontiguousarray(rows).view(np.dtype((np.void, 4 * window))).ravel()
-        _, group = np.unique(key, return_inverse=True)  # sorted by the words themselves
+        taken = np.zeros(len(order), bool)
+        taken[near] = taken[near + 1] = True
+        chosen = order[taken]
+        follows = np.concatenate([[False], same])[taken]  # its key is that of the one before
+        group = np.cumsum(~follows)
+        clash = np.zeros(len(chosen), bool)
+        for j in range(window):
+            word = flat[at[chosen] + j]
+            clash[1:] |= word[1:] != word[:-1]
+        if (clash & follows).any():  # keys that agree by chance: group by the words themselves
+            rows = np.ascontiguousarray(flat[at[chosen][:, None] + np.arange(window)].astype(np.uint32))
+            group = np.unique(rows.view(np.dtype((np.void, 4 * window))).ravel(), return_inverse=True)[1]
+        del order, same
         kmer = np.repeat(np.arange(len(n_win)), n_win)[chosen]
         offset = at[chosen] - (np.cumsum(n_words) - n_words)[kmer]
         d, s = first_doc[kmer], first_start[kmer] + offset

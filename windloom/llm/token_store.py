@@ -27,14 +27,24 @@ from windloom.session import landed
 #: Bytes of text for one shard; grows only where a million shards would not do.
 SHARD_BYTES, MAX_SHARDS = 16 << 20, 1_000_000
 BLOCK_IDS = 1 << 19
-CACHE_WORDS = 500_000
+CACHE_WORDS = 600_000
 MAGIC = b"WLTS0001"
 HEAD = struct.Struct("<8sIQQII")
 NULL_ID = -(1 << 63)
 
 
+#: ASCII signs that may follow a word without joining its token.
+SIGNS = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+
+
 class Encoder:
-    """Whole texts to packed little-endian ids. White space never joins words, so each run between white space is encoded once and kept in a bounded cache."""
+    """Whole texts to packed little-endian ids, as the library encodes them.
+
+    Where a tokenizer drops white space, each run between white space is encoded by itself and kept
+    in a bounded cache. New runs that are letters and then signs are looked up in two parts, and new
+    words of letters go to the library many at a time, with a separator whose id is known between
+    them. Any other tokenizer gets the whole texts.
+    """
 
     def __init__(self, path: str, dtype: str):
         import os
@@ -42,20 +52,71 @@ class Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tok, self.dtype, self.cache = Tokenizer.from_file(path), dtype, {}
+        self.tok, self.dtype, self.width = Tokenizer.from_file(path), dtype, np.dtype(dtype).itemsize
+        self.runs: dict[bytes, bytes] = {}
+        self.words: dict[str, bytes] = {}
+        one = lambda t: self.tok.encode(t, add_special_tokens=False).ids
+        self.by_run = one("a b") == one("a") + one("b") == one("\ta \n b ")
+        self.separator = one("|")[0] if self.by_run and len(one("|")) == 1 and one("a | b.") == one("a") + one("|") + one("b") + one(".") else None
+
+    def encoded(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, self.dtype).tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def learn_words(self, new: list[str]) -> None:
+        """Put words of letters into the cache, 64 a call."""
+        lines = [new[i : i + 64] for i in range(0, len(new), 64)]
+        for line, e in zip(lines, self.tok.encode_batch_fast([" | ".join(x) for x in lines], add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, self.dtype)
+            cut = (np.flatnonzero(ids == self.separator) * self.width).tolist()
+            data = ids.tobytes()
+            if len(cut) == len(line) - 1:
+                self.words.update(zip(line, [data[a:b] for a, b in zip([0, *(c + self.width for c in cut)], [*cut, len(data)], strict=True)], strict=True))
+            else:
+                self.words.update(zip(line, self.encoded(line), strict=True))
+
+    def learn(self, new: list[bytes]) -> None:
+        parts, whole, words, tails = [], [], {}, set()
+        for run in new:
+            core = run.rstrip(SIGNS)
+            word = "".join(map(str.lower, core.decode("utf-8", "replace"))) if self.separator is not None else ""
+            if word.isalpha():
+                tail = run[len(core) :]
+                parts.append((run, word, tail))
+                if word not in self.words:
+                    words[word] = None
+                if tail and tail not in self.runs:
+                    tails.add(tail)
+            else:
+                whole.append(run)
+        whole += tails
+        self.runs.update(zip(whole, self.encoded([w.decode("utf-8", "replace") for w in whole]), strict=True))
+        self.learn_words(list(words))
+        for run, word, tail in parts:
+            self.runs[run] = self.words[word] + self.runs[tail] if tail else self.words[word]
 
     def __call__(self, texts: list[bytes | None]) -> list[bytes]:
+        if not self.by_run:
+            return self.encoded([(t or b"").decode("utf-8", "replace") for t in texts])
         split = [t.split() if t else [] for t in texts]
-        cache = self.cache
-        if len(cache) > CACHE_WORDS:
-            cache.clear()
-        new = list({w for chunk in split for w in chunk if w not in cache})
-        for w, e in zip(new, self.tok.encode_batch([w.decode("utf-8", "replace") for w in new], add_special_tokens=False), strict=True):
-            cache[w] = np.array(e.ids, self.dtype).tobytes()
-        get = cache.__getitem__
+        if len(self.runs) > CACHE_WORDS or len(self.words) > CACHE_WORDS:
+            self.runs.clear()
+            self.words.clear()
+        runs = self.runs
+        self.learn(list({w for chunk in split for w in chunk if w not in runs}))
+        get = runs.__getitem__
         return [b"".join(map(get, chunk)) for chunk in split]
 
 
+_ENCODERS: dict[tuple[str, str], Encoder] = {}
+
+
+def encoder(path: str, dtype: str) -> Encoder:
+    """One encoder for each Python worker, so its caches outlive a task."""
+    if (path, dtype) not in _ENCODERS:
+        _ENCODERS[path, dtype] = Encoder(path, dtype)
+    return _ENCODERS[path, dtype]
+
+
 def vocabulary(path: str) -> int:
     from tokenizers import Tokenizer
 
@@ -68,7 +129,7 @@ def tokenised(docs: DataFrame, id_col: str, text_col: str, path: str, end_id: in
     def run(batches):
         import zstandard
 
-        encode, width = Encoder(path, dtype), np.dtype(dtype).itemsize
+        encode, width = encoder(path, dtype), np.dtype(dtype).itemsize
         end, pack = np.array([end_id], dtype).tobytes(), zstandard.ZstdCompressor(level=3)
         held: dict[int, list] = {}
         size = 0
