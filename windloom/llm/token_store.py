@@ -13,6 +13,7 @@ ordered by their ids; empty tables give no shards and no rows; extra columns are
 
 from __future__ import annotations
 
+import json
 import struct
 import zlib
 
@@ -37,13 +38,20 @@ NULL_ID = -(1 << 63)
 SIGNS = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
+def _letters(core: bytes) -> str | None:
+    """A word of letters in lower case, else None; a capital sigma's lower case depends on its place."""
+    word = core.decode("utf-8", "replace")
+    word = word.lower() if "\u03a3" not in word else ""
+    return word if word.isalpha() else None
+
+
 class Encoder:
     """Whole texts to packed little-endian ids, as the library encodes them.
 
     Where a tokenizer drops white space, each run between white space is encoded by itself and kept
-    in a bounded cache. New runs that are letters and then signs are looked up in two parts, and new
-    words of letters go to the library many at a time, with a separator whose id is known between
-    them. Any other tokenizer gets the whole texts.
+    in a bounded cache. Where its tokens also tell the end of a word, new runs that are letters and
+    then signs are looked up in two parts, and new words of letters go to the library many at a
+    time, to be told apart by those ends. Any other tokenizer gets the whole texts.
     """
 
     def __init__(self, path: str, dtype: str):
@@ -57,42 +65,38 @@ class Encoder:
         self.words: dict[str, bytes] = {}
         one = lambda t: self.tok.encode(t, add_special_tokens=False).ids
         self.by_run = one("a b") == one("a") + one("b") == one("\ta \n b ")
-        self.separator = one("|")[0] if self.by_run and len(one("|")) == 1 and one("a | b.") == one("a") + one("|") + one("b") + one(".") else None
+        suffix = json.loads(self.tok.to_str())["model"].get("end_of_word_suffix") if self.by_run else None
+        self.ends = np.array([(self.tok.id_to_token(i) or "").endswith(suffix) for i in range(self.tok.get_vocab_size())]) if suffix else None
 
     def encoded(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.dtype).tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
     def learn_words(self, new: list[str]) -> None:
-        """Put words of letters into the cache, 64 a call."""
-        lines = [new[i : i + 64] for i in range(0, len(new), 64)]
-        for line, e in zip(lines, self.tok.encode_batch_fast([" | ".join(x) for x in lines], add_special_tokens=False), strict=True):
+        """Put words of letters into the cache, many a call."""
+        lines = [new[i : i + 128] for i in range(0, len(new), 128)]
+        for line, e in zip(lines, self.tok.encode_batch_fast([" ".join(x) for x in lines], add_special_tokens=False), strict=True):
             ids = np.array(e.ids, self.dtype)
-            cut = (np.flatnonzero(ids == self.separator) * self.width).tolist()
+            cut = ((np.flatnonzero(self.ends[ids]) + 1) * self.width).tolist()
             data = ids.tobytes()
-            if len(cut) == len(line) - 1:
-                self.words.update(zip(line, [data[a:b] for a, b in zip([0, *(c + self.width for c in cut)], [*cut, len(data)], strict=True)], strict=True))
+            if len(cut) == len(line) and cut[-1] == len(data):
+                self.words.update(zip(line, [data[a:b] for a, b in zip([0, *cut], cut, strict=False)], strict=True))
             else:
                 self.words.update(zip(line, self.encoded(line), strict=True))
 
     def learn(self, new: list[bytes]) -> None:
-        parts, whole, words, tails = [], [], {}, set()
-        for run in new:
-            core = run.rstrip(SIGNS)
-            word = "".join(map(str.lower, core.decode("utf-8", "replace"))) if self.separator is not None else ""
-            if word.isalpha():
-                tail = run[len(core) :]
-                parts.append((run, word, tail))
-                if word not in self.words:
-                    words[word] = None
-                if tail and tail not in self.runs:
-                    tails.add(tail)
-            else:
-                whole.append(run)
-        whole += tails
+        cores = [run.rstrip(SIGNS) for run in new]
+        names = [core.lower().decode() if core.isalpha() else _letters(core) for core in cores] if self.ends is not None else [None] * len(new)
+        words = self.words
+        self.learn_words(list({w for w in names if w is not None and w not in words}))
+        tails = [run[len(core) :] for run, core in zip(new, cores, strict=True)]
+        whole = {run for run, w in zip(new, names, strict=True) if w is None}
+        whole.update(t for t in set(tails) if t and t not in self.runs)
+        whole = list(whole)
         self.runs.update(zip(whole, self.encoded([w.decode("utf-8", "replace") for w in whole]), strict=True))
-        self.learn_words(list(words))
-        for run, word, tail in parts:
-            self.runs[run] = self.words[word] + self.runs[tail] if tail else self.words[word]
+        runs = self.runs
+        for run, word, tail in zip(new, names, tails, strict=True):
+            if word is not None:
+                runs[run] = words[word] + runs[tail] if tail else words[word]
 
     def __call__(self, texts: list[bytes | None]) -> list[bytes]:
         if not self.by_run:
@@ -101,10 +105,16 @@ class Encoder:
         if len(self.runs) > CACHE_WORDS or len(self.words) > CACHE_WORDS:
             self.runs.clear()
             self.words.clear()
-        runs = self.runs
-        self.learn(list({w for chunk in split for w in chunk if w not in runs}))
-        get = runs.__getitem__
-        return [b"".join(map(get, chunk)) for chunk in split]
+        runs, found, new = self.runs, [], set()
+        for chunk in split:
+            ids = [*map(runs.get, chunk)]
+            found.append(ids)
+            if None in ids:
+                new.update([w for w, x in zip(chunk, ids, strict=True) if x is None])
+        if new:
+            self.learn(list(new))
+            found = [[runs[w] if x is None else x for w, x in zip(chunk, ids, strict=True)] if None in ids else ids for chunk, ids in zip(split, found, strict=True)]
+        return [*map(b"".join, found)]
 
 
 _ENCODERS: dict[tuple[str, str], Encoder] = {}
