@@ -1,4 +1,6 @@
 """All registered queries of the library itself, with the SQL that gives the same rows."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from windloom.plans import scoring, windows
+
+QUERIES: dict = windows.QUERIES | scoring.QUERIES
+ORACLES: dict = windows.ORACLES | scoring.ORACLES
