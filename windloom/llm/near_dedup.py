@@ -7,12 +7,16 @@ the smallest doc_id takes part. One hash function orders the shingles; a class k
 Two sets with a Jaccard likeness of 0.85 share at least T=16 of K=32 retained values but for a
 chance of about 5e-7 (a binomial tail), and sets of up to K are kept whole, where the bound is
 exact. Hence they share one of the K-T+1 values of each sketch that fewest classes retain: only
-these enter the inverted lists, which keeps common passages and boilerplate out of them.
+these enter the first inverted lists, which keeps common passages and boilerplate out of them.
 
-Within a list no pairs are expanded that a component already joins: rounds of stars (every member
-against one hub) merge what can be merged, then the pairs between different components that are
-left are tried, so that no link is lost. Each pair passes the union-sketch estimate, then the exact
-test on full sets. Lists are split by Spark's skew join where one is very long.
+Classes that meet in a list get their full sets, and the same rule with the exact bounds gives the
+final lists: of a set of n the n-ceil(0.85n)+1 rarest shingles, each with its position in that order.
+Two members of a list can be alike only if what follows that position is enough for both sizes.
+
+Within a list every member is first paired with one hub, that with the fewest rarer shingles. Then
+the pairs that are left between different components are tried, so that no link is lost and no
+pairs are expanded that a component already joins. Each pair passes the union-sketch estimate, then
+the exact test on full sets. Lists are split by Spark's skew join where one is very long.
 
 Null or empty texts have an empty set and are linked with nothing. Null doc_ids take no part and get
 a null component. Rows that share a doc_id are one document: a link of any of them counts for it.
@@ -68,18 +72,27 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> Dat
     return docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(run, "doc_id long, key binary, n long, sketch array<long>")
 
 
-def inverted_lists(classes: DataFrame) -> DataFrame:
-    """(v, node): each class under its rarest retained values, lists of one left out."""
-    posted = classes.select("node", F.size("sketch").alias("s"), F.explode("sketch").alias("v"))
+def rarest(sets: DataFrame, least, members: str) -> DataFrame:
+    """(v, node, n, pos): each set under its rarest values, `least` of which must be shared; values of one set are left out but counted in pos."""
+    posted = sets.select("node", "n", F.size(members).alias("s"), F.explode(members).alias("v"))
     often = posted.groupBy("v").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
-    shared = posted.join(often.hint("merge"), "v").groupBy("node", "s").agg(F.array_sort(F.collect_list(F.struct("df", "v"))).alias("found"))
+    shared = posted.join(often.hint("merge"), "v").groupBy("node", "n", "s").agg(F.array_sort(F.collect_list(F.struct("df", "v"))).alias("found"))
+    alone = F.col("s") - F.size("found")
+    room = F.greatest(F.lit(0), F.col("s") - least + 1 - alone)
+    each = shared.select("node", "n", alone.alias("alone"), F.posexplode(F.slice("found", F.lit(1), room)).alias("i", "x"))
+    return each.select("x.v", "node", "n", (F.col("alone") + F.col("i") + 1).alias("pos"))
+
+
+def candidates(classes: DataFrame) -> DataFrame:
+    """Nodes that meet another one in a list of the sketches."""
     least = F.least(F.lit(T), F.ceil(F.col("s") * F.lit(PERCENT) / 100)).cast("int")
-    room = F.greatest(F.lit(0), F.col("s") - least + 1 - (F.col("s") - F.size("found")))
-    return shared.select("node", F.explode(F.slice("found", F.lit(1), room)).alias("x")).select("x.v", "node")
+    lists = landed(rarest(classes, least, "sketch"), "sketch-lists")
+    met = lists.groupBy("v").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
+    return lists.join(met.hint("merge"), "v", "left_semi").select("node").distinct()
 
 
 def shingle_sets(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
-    """(node, members): the full sets of the given documents, packed."""
+    """(node, n, members): the full sets of the given documents, in ascending order."""
     texts = docs.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).alias("t")).join(nodes.hint("merge"), "node", "left_semi")
 
     def run(batches):
@@ -88,10 +101,35 @@ def shingle_sets(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str,
         cache = WordHash()
         for whole in batches:
             for b in pieces(whole):
-                sets = [shingle_set(t.translate(LOWER).split() if t else [], cache, shingle).tobytes() for t in raw(b.column(1))]
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.binary())], names=["node", "members"])
+                sets = [shingle_set(t.translate(LOWER).split() if t else [], cache, shingle) for t in raw(b.column(1))]
+                sizes = np.fromiter(map(len, sets), np.int64, len(sets))
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(np.concatenate(sets) if sets else np.empty(0, np.int64)))
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes), lists], names=["node", "n", "members"])
+
+    return texts.mapInArrow(run, "node long, n long, members array<long>")
+
+
+def may_be_alike(x: str, y: str):
+    """Whether sizes and positions of two members of a list leave room for enough shared shingles."""
+    nx, ny = F.col(f"{x}.n"), F.col(f"{y}.n")
+    needed = F.ceil(F.lit(PERCENT) * (nx + ny) / (100 + PERCENT))
+    return (F.least(nx - F.col(f"{x}.pos"), ny - F.col(f"{y}.pos")) + 1 >= needed) & (100 * F.least(nx, ny) >= PERCENT * F.greatest(nx, ny))
 
-    return texts.mapInArrow(run, "node long, members binary")
+
+def hub_pairs(lists: DataFrame) -> DataFrame:
+    """(a, b): every member of a list with its hub."""
+    hubs = lists.groupBy("v").agg(F.min(F.struct("pos", "node", "n")).alias("h"), F.count(F.lit(1)).alias("m")).where("m > 1").select("v", F.col("h.node").alias("node"), F.col("h.pos").alias("pos"), F.col("h.n").alias("n"))
+    met = lists.alias("x").join(hubs.alias("y").hint("merge"), F.col("x.v") == F.col("y.v")).where((F.col("x.node") != F.col("y.node")) & may_be_alike("x", "y"))
+    return met.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
+
+
+def cross_pairs(lists: DataFrame, labels: DataFrame, tried: DataFrame) -> DataFrame:
+    """(a, b): members of a list in different components that may be alike and were not tried."""
+    now = lists.join(labels.hint("merge"), lists["node"] == labels["id"], "left").select("v", "node", "n", "pos", F.coalesce("component", "node").alias("label"))
+    split = now.groupBy("v").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("v")
+    now = landed(now.join(split.hint("merge"), "v", "left_semi"), "lists")
+    met = now.alias("x").join(now.alias("y").hint("merge"), (F.col("x.v") == F.col("y.v")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.label") != F.col("y.label")) & may_be_alike("x", "y"))
+    return met.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct().join(tried.hint("merge"), ["a", "b"], "left_anti")
 
 
 def estimate(a: np.ndarray, b: np.ndarray) -> float:
@@ -113,7 +151,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             for batch in pieces(whole):
                 keep = []
                 for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                    x, y = np.frombuffer(x.as_buffer(), np.int64), np.frombuffer(y.as_buffer(), np.int64)
+                    x, y = x.values.to_numpy(), y.values.to_numpy()
                     small, large = sorted((len(x), len(y)))
                     ok = small and 100 * small >= PERCENT * large and estimate(x, y) >= ESTIMATE
                     if ok:
@@ -126,51 +164,20 @@ def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.mapInArrow(run, "a long, b long")
 
 
-def cross_pairs(lists: DataFrame) -> int:
-    """How many pairs of list members lie in different components."""
-    each = lists.groupBy("v", "label").agg(F.count(F.lit(1)).cast("double").alias("n"))
-    per = each.groupBy("v").agg(((F.sum("n") ** 2 - F.sum(F.col("n") ** 2)) / 2).alias("n"))
-    return int(per.agg(F.coalesce(F.sum("n"), F.lit(0.0))).first()[0])
-
-
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row."""
     sig = landed(signatures(docs, id_col, text_col, shingle), "signatures")
     usable = sig.where("n > 0 and doc_id is not null")
     firsts = usable.groupBy("key").agg(F.min("doc_id").alias("node"))
-    classes = usable.join(firsts.hint("merge"), "key").where("doc_id = node").select("node", "key", "sketch").dropDuplicates(["node", "key"])
-    lists = landed(inverted_lists(classes), "lists")
-    sets = landed(shingle_sets(docs, lists.select("node").distinct(), id_col, text_col, shingle), "sets")
-
-    links, labels, found, tried, left = None, None, [], None, None
-    turn = 0
-    while True:
-        now = lists.withColumn("label", F.col("node")) if labels is None else lists.join(labels.hint("merge"), lists["node"] == labels["id"], "left").select("v", "node", F.coalesce("component", "node").alias("label"))
-        before, left = left, cross_pairs(now)
-        if not left:
-            break
-        # Stars while they merge much; what is left between components is then tried whole.
-        last = turn > 0 and (left <= 4 * turn * max(1, lists.count()) or left > 0.9 * before)
-        if last:
-            x, y = now.alias("x"), now.alias("y")
-            pairs = x.join(y.hint("merge"), (F.col("x.v") == F.col("y.v")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.label") != F.col("y.label"))).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
-        else:
-            hubs = now.groupBy("v").agg(F.min_by(F.struct("node", "label"), F.struct(F.xxhash64("node", F.lit(turn)), "node")).alias("hub"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi")
-            pairs = now.join(hubs.hint("merge"), "v").where("label <> hub.label").select(F.least("node", "hub.node").alias("a"), F.greatest("node", "hub.node").alias("b")).distinct()
-        if tried is not None:
-            pairs = pairs.join(tried.hint("merge"), ["a", "b"], "left_anti")
-        pairs = landed(pairs, "pairs")
-        tried = pairs if tried is None else tried.unionByName(pairs)
-        found.append(landed(confirmed(pairs, sets), "links"))
-        links = found[0]
-        for more in found[1:]:
-            links = links.unionByName(more)
-        labels = connected_components(links)
-        turn += 1
-        if last:
-            break
+    classes = usable.join(firsts.hint("merge"), "key").where("doc_id = node").select("node", "key", "n", "sketch").dropDuplicates(["node", "key"])
+    sets = landed(shingle_sets(docs, candidates(classes), id_col, text_col, shingle), "sets")
+    lists = landed(rarest(sets, F.ceil(F.col("n") * F.lit(PERCENT) / 100), "members"), "lists")
+
+    tried = landed(hub_pairs(lists), "pairs")
+    links = landed(confirmed(tried, sets), "links")
+    rest = landed(cross_pairs(lists, connected_components(links), tried), "pairs")
+    labels = connected_components(links.unionByName(landed(confirmed(rest, sets), "links")))
     out = sig.select("doc_id", "key", "n").join(firsts.hint("merge"), "key", "left")
-    if labels is not None:
-        out = out.join(labels.hint("merge"), out["node"] == labels["id"], "left")
-    component = F.when(F.col("doc_id").isNull(), None).when(F.col("n") == 0, F.col("doc_id")).otherwise(F.coalesce(F.col("component") if labels is not None else F.lit(None), "node"))
+    out = out.join(labels.hint("merge"), out["node"] == labels["id"], "left")
+    component = F.when(F.col("doc_id").isNull(), None).when(F.col("n") == 0, F.col("doc_id")).otherwise(F.coalesce("component", "node"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id")).withColumn("kept", F.col("doc_id") == F.col("component_id"))
