@@ -97,6 +97,6 @@ class Coder:
                 x[low] = (x[low] << np.uint64(32)) | stream[pos : pos + len(low)].astype(np.uint64)
                 pos += len(low)
             state[: b - a] = x
-        if checkpoint is None and zlib.crc32(out.astype("<u4").tobytes()) != crc:
-            raise ValueError("a block's checksum differs")
+        if (state != LOW).any() or checkpoint is None and zlib.crc32(out.astype("<u4").tobytes()) != crc:
+            raise ValueError("a block is damaged")
         return out
