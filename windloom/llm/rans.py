@@ -43,7 +43,7 @@ class Coder:
         self.bits = np.uint64(max(1, size).bit_length() - 1)
         self.start = np.concatenate([[0], np.cumsum(self.freq)[:-1]]).astype(np.uint64)
         self.symbol = np.repeat(np.arange(len(freq), dtype=np.uint32), freq)
-        self.mask = np.uint64(size - 1)
+        self.mask = np.uint64(max(1, size) - 1)
 
     def encode(self, ids: np.ndarray) -> bytes:
         n = len(ids)
