@@ -1,6 +1,6 @@
 """All registered queries of the library itself, with the SQL that gives the same rows."""
 
-from windloom.plans import scoring, windows
+from windloom.plans import models, scoring, windows
 
-QUERIES: dict = windows.QUERIES | scoring.QUERIES
-ORACLES: dict = windows.ORACLES | scoring.ORACLES
+QUERIES: dict = windows.QUERIES | scoring.QUERIES | models.QUERIES
+ORACLES: dict = windows.ORACLES | scoring.ORACLES | models.ORACLES

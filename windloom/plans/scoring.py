@@ -144,10 +144,10 @@ def residue_heat(spark: SparkSession, d: str) -> DataFrame:
     return t.select("parent", "pos", r6("max_value").alias("max_value"), r6("mean_value").alias("mean_value"), "n")
 
 
-@query(f"SELECT parent, round(1 - product(1 - least(greatest(risk, 0), 1 - 1e-9)), 6) AS any_risk, round(CASE WHEN sum(risk) > 1e-12 THEN sum(confidence * risk) / sum(risk) ELSE avg(confidence) END, 4) AS confidence FROM {SCORED_WINDOWS} GROUP BY parent")
+@query(f"SELECT parent, round(1 - product(1 - least(greatest(risk, 0), 1 - 1e-9)), 6) AS any_risk, round(CASE WHEN sum(risk) > 1e-12 THEN sum(confidence * risk) / sum(risk) ELSE avg(confidence) END + 1e-9, 4) AS confidence FROM {SCORED_WINDOWS} GROUP BY parent")
 def noisy_or(spark: SparkSession, d: str) -> DataFrame:
     """A-30, A-31."""
-    return scored_windows(spark, d).groupBy("parent").agg(r6(rollup.noisy_or(F.col("risk"))).alias("any_risk"), F.round(rollup.weighted_mean(F.col("confidence"), F.col("risk")), 4).alias("confidence"))
+    return scored_windows(spark, d).groupBy("parent").agg(r6(rollup.noisy_or(F.col("risk"))).alias("any_risk"), F.round(rollup.weighted_mean(F.col("confidence"), F.col("risk")) + 1e-9, 4).alias("confidence"))
 
 
 @query(f"""WITH RECURSIVE w AS (SELECT *, row_number() OVER (PARTITION BY parent ORDER BY risk DESC, start) AS rn FROM {SCORED_WINDOWS}),
