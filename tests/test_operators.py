@@ -175,3 +175,22 @@ def test_artefacts(spark, tmp_path):
     r = fasta.read_pdb_atoms(spark, str(tmp_path / "m.pdb")).first()
     assert (r["name"], r["residue"], r["chain"], r["number"], r["x"], r["z"], r["element"]) == ("CA", "MET", "A", 1, 11.0, -3.25, "C")
     assert fasta.file_hashes(spark, str(tmp_path / "m.pdb")).first()["length"] == len(atom)
+
+
+def test_more_splits(spark):
+    df = spark.createDataFrame([(i, f"g{i % 20}", "a" if i % 2 else "b", 1.0) for i in range(400)], "id int, grp string, cat string, y double")
+    hidden = split.hide_labels(df, "grp", "y", 0.25)
+    assert hidden.where("y is not null").select("grp").distinct().count() == 5 and hidden.count() == 400
+    held = split.category_holdout(df, "cat", "grp", least_rows=100)
+    assert held.count() == 800 and held.where("part <> 'source' and cat <> held_out").count() == 0
+    assert quality.leaks(held.where("part <> 'source'"), "grp", "part").count() == 0
+    assert split.panel_sample(df, "cat", "grp", 3).select("cat", "grp").distinct().count() == 6
+    assert df.select(split.sample_weight(F.lit(1.0), F.lit(5.0))).first()[0] == 3.0
+
+
+def test_provider_status_and_warnings(spark):
+    asked = spark.createDataFrame([("a",), ("b",), ("c",), ("d",)], "k string")
+    got = spark.createDataFrame([("a", 0.5, None), ("b", 0.7, "boom"), ("d", 0.1, None)], "k string, score double, error string")
+    r = {x["k"]: (x["status"], x["score"]) for x in quality.provider_status(asked, got, ["k"], F.col("k") != "d").collect()}
+    assert r == {"a": ("ok", 0.5), "b": ("error", None), "c": ("unavailable", None), "d": ("unsupported", None)}
+    assert spark.range(1).select(quality.warnings(late=F.lit(True), early=F.lit(False), odd=F.lit(True))).first()[0] == ["late", "odd"]

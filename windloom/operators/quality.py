@@ -62,3 +62,15 @@ def json_metric(doc: Column, *paths: str) -> Column:
         mean = F.aggregate(listed, F.lit(0.0), lambda s, x: s + x) / F.size(listed)
         found.append(F.when(is_list, mean).when(raw.rlike(r"^-?[0-9.]+([eE][-+]?[0-9]+)?$"), raw.try_cast("double")))
     return F.coalesce(*found)
+
+
+def provider_status(requested: DataFrame, answered: DataFrame, key: list[str], supported: Column) -> DataFrame:
+    """X-07: ok, unsupported, unavailable or error for each request; values of missing answers stay null. answered has `key`, `score` and `error`."""
+    met = requested.join(answered.withColumn("__there", F.lit(True)), key, "left")
+    status = F.when(~supported, "unsupported").when(F.col("__there").isNull(), "unavailable").when(F.col("error").isNotNull(), "error").otherwise("ok")
+    return met.withColumn("status", status).withColumn("score", F.when(status == "ok", F.col("score"))).drop("__there")
+
+
+def warnings(**conditions: Column) -> Column:
+    """X-08: the names of the conditions that hold, in order."""
+    return F.array_compact(F.array(*[F.when(c, name) for name, c in conditions.items()]))

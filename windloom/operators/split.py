@@ -125,3 +125,32 @@ def novelty_split(members: DataFrame, component: str = "component", novelty: str
     priority = F.coalesce(F.try_element_at(F.create_map(*[x for i, n in enumerate(NOVELTY) for x in (F.lit(n), F.lit(i))]), F.col(novelty)), F.lit(0))
     out = members.groupBy(component).agg(F.max(priority).alias("priority"))
     return out.withColumn("split", F.element_at(F.array(*[F.lit(s) for s in NOVELTY_SPLIT]), F.col("priority") + 1))
+
+
+def hide_labels(df: DataFrame, group: str, label: str, share: float, seed: int = 0) -> DataFrame:
+    """G-13: keep the labels of a share of the groups (one at least), null in the others."""
+    groups = df.select(group).distinct().withColumn("__h", order_hash(seed, F.col(group)))
+    keep = max(1, int(groups.count() * share))
+    ranked = global_row_number(groups, ["__h", group], "__rn").select(group, (F.col("__rn") <= keep).alias("__keep"))
+    return df.join(ranked, group).withColumn(label, F.when(F.col("__keep"), F.col(label))).drop("__keep")
+
+
+def category_holdout(df: DataFrame, category: str, group: str, most: int = 4, least_rows: int = 3000, seed: int = 0) -> DataFrame:
+    """G-14: for each of the largest categories (not "unknown"), half of its groups adapt and half test; all else is source."""
+    top = df.where(F.col(category) != "unknown").groupBy(category).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least_rows).orderBy(F.desc("n"), category).limit(most)
+    held = df.join(F.broadcast(top.select(category)), category).select(F.col(category).alias("held_out"), group).distinct()  # `most` rows
+    half = held.withColumn("part", F.when(F.pmod(F.xxhash64(group, F.lit(seed)), F.lit(2)) == 0, "adapt").otherwise("test"))
+    rows = df.crossJoin(F.broadcast(top.select(F.col(category).alias("held_out"))))
+    return rows.join(half.hint("merge"), ["held_out", group], "left").withColumn("part", F.when(F.col(category) == F.col("held_out"), F.col("part")).otherwise("source"))
+
+
+def panel_sample(df: DataFrame, panel: str, key: str, most: int = 120, seed: int = 0) -> DataFrame:
+    """G-15: up to `most` keys of each panel by hash order, whole."""
+    w = Window.partitionBy(panel).orderBy(order_hash(seed, F.col(key)), key)
+    chosen = df.select(panel, key).distinct().withColumn("__rn", F.row_number().over(w)).where(F.col("__rn") <= most).select(panel, key)
+    return df.join(chosen, [panel, key], "left_semi")
+
+
+def sample_weight(*ranks: Column) -> Column:
+    """G-16: 1 + 4 * the share of channels with a rank of at most 2."""
+    return 1 + 4 * sum(F.when(r <= 2, 1.0).otherwise(0.0) for r in ranks) / len(ranks)
