@@ -215,8 +215,8 @@ _RULES = [("acid", "DE", ""), ("basic", "KR", "P"), ("aromatic", "FWY", "P"), ("
 _RULE_SQL = ", ".join(f"('{n}', '{a}', '{b}')" for n, a, b in _RULES)
 
 
-@query(f"""SELECT parent, site, count(*) AS n_cuts, min(i)::INT AS first_cut FROM {SEQUENCES}, unnest(range(0, length(sequence) - 1)) t(i), (VALUES {_RULE_SQL}) r(site, p1, blocked)
-    WHERE contains(p1, substr(sequence, i + 1, 1)) AND NOT contains(blocked || '#', substr(sequence, i + 2, 1)) GROUP BY parent, site""")
+@query(f"""WITH r AS (SELECT site, unnest(string_split(p1, '')) AS p1, blocked FROM (VALUES {_RULE_SQL}) r(site, p1, blocked)), c AS (SELECT parent, unnest(string_split(sequence, '')) AS a, unnest(string_split(substr(sequence, 2) || '.', '')) AS b, generate_subscripts(string_split(sequence, ''), 1) - 1 AS i FROM {SEQUENCES} WHERE length(sequence) > 1)
+    SELECT parent, site, count(*) AS n_cuts, min(i)::INT AS first_cut FROM c JOIN r ON p1 = a WHERE b <> '.' AND NOT contains(blocked || '#', b) GROUP BY parent, site""")
 def motif_scan(spark: SparkSession, d: str) -> DataFrame:
     """J-18: a catalogue of cutting rules (residue before the cut, residues that block it after) at all positions."""
     s = sequences(spark, d).where("char_length(sequence) > 1")
