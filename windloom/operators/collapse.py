@@ -13,6 +13,17 @@ def keep_first(df: DataFrame, keys: list[str], order: Column) -> DataFrame:
     return best.select(*keys, *[F.col(f"__row.`{c}`").alias(c) for c in rest]).select(*df.columns)
 
 
+def first_places(df: DataFrame, key: str, parent: str = "parent", start: str = "start") -> DataFrame:
+    """A-01 for numbered parents: (key, parent, start) of the first occurrence of each key.
+
+    Both numbers travel as one long, so the aggregation is a hash aggregation with partial minima;
+    columns of the parent are joined afterwards. Parents must be between 0 and 2^32.
+    """
+    place = F.shiftleft(F.col(parent).cast("long"), 31) + F.col(start)
+    best = df.groupBy(key).agg(F.min(place).alias("__place"))
+    return best.select(key, F.shiftright("__place", 31).alias(parent), F.col("__place").bitwiseAND((1 << 31) - 1).cast("int").alias(start))
+
+
 def first_known(c: str, order: Column) -> Column:
     """A-02, A-04: the first value that is not null; the first row's value may be null."""
     return F.min_by(F.col(c), F.when(F.col(c).isNotNull(), order)).alias(c)

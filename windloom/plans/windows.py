@@ -29,9 +29,9 @@ NINE = f"SELECT parent, domain, i::INT AS start, substr(sequence, i + 1, 9) AS p
 @query(f"SELECT domain, count(*) AS n_peptides FROM (SELECT peptide, arg_min(domain, (parent, start)) AS domain FROM ({NINE}) GROUP BY peptide) GROUP BY domain")
 def tile_basic(spark: SparkSession, d: str) -> DataFrame:
     """T-01, T-07, A-01, A-08: unique 9-mers by the domain of their first occurrence."""
-    tiles = tile.with_flanks(sequences(spark, d), first=1, only_canonical=True)
-    first = tiles.groupBy("peptide").agg(F.min_by("domain", F.struct("parent", "start")).alias("domain"))
-    return first.groupBy("domain").agg(F.count(F.lit(1)).alias("n_peptides"))
+    s = sequences(spark, d)
+    first = collapse.first_places(tile.with_flanks(s, first=1, only_canonical=True), "peptide").groupBy("parent").agg(F.count(F.lit(1)).alias("n"))
+    return first.join(s.select("parent", "domain"), "parent").groupBy("domain").agg(F.sum("n").alias("n_peptides"))
 
 
 @query(f"SELECT parent, count(*) AS n, sum(least(i, 4))::BIGINT AS n_flank_len, sum(least(length(sequence) - i - 9, 4))::BIGINT AS c_flank_len, min(substr(sequence, i + 1, 9)) AS first_peptide FROM {SEQUENCES}, unnest(range(0, length(sequence) - 8)) t(i) GROUP BY parent")
