@@ -52,12 +52,3 @@ def landed(df: DataFrame, label: str, compression: str = "zstd") -> DataFrame:
     df.write.option("compression", compression).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
-
-def released(df: DataFrame) -> None:
-    """Delete the files of a landed table that nothing reads any more."""
-    spark = df.sparkSession
-    home = workspace(spark)
-    for name in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        if name.replace("file:///", "file:/").startswith(home.replace("file:///", "file:/")):
-            path = spark._jvm.org.apache.hadoop.fs.Path(name)
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
