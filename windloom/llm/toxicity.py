@@ -29,7 +29,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from windloom.llm.common import annotate, pieces, raw
-from windloom.session import landed
 
 #: Look-alike letters (Cyrillic, Greek) and the Latin letters they pass for.
 HOMOGLYPHS = {"а": "a", "в": "b", "с": "c", "ԁ": "d", "е": "e", "һ": "h", "і": "i", "ј": "j", "к": "k", "ӏ": "l", "м": "m", "н": "h", "о": "o", "р": "p", "ѕ": "s", "т": "t", "у": "y", "х": "x", "α": "a", "β": "b", "ε": "e", "η": "n", "ι": "i", "κ": "k", "ν": "v", "ο": "o", "ρ": "p", "τ": "t", "υ": "u", "χ": "x", "ı": "i"}
@@ -166,7 +165,6 @@ def beginnings(term: str):
 
 def learn(sample: DataFrame, max_terms: int = MAX_TERMS) -> Lexicon:
     """A lexicon from (doc, text, label). What comes to the driver is bounded by the sample and by max_terms."""
-    sample = landed(sample, "sample")  # read four times
     row = sample.agg(F.count(F.lit(1)), F.coalesce(F.sum("label"), F.lit(0))).first()
     n, pos = int(row[0]), int(row[1])
     if not 0 < pos < n:
@@ -174,7 +172,7 @@ def learn(sample: DataFrame, max_terms: int = MAX_TERMS) -> Lexicon:
     base = pos / n
     share = F.col("toxic") / (F.col("toxic") + F.col("clean"))
     gain = F.col("toxic") * F.log(share / base) + F.when(F.col("clean") > 0, F.col("clean") * F.log((1 - share) / (1 - base))).otherwise(0.0)
-    counts = landed(_document_counts(sample), "terms")
+    counts = _document_counts(sample).persist()
     n_terms = counts.count()
     bar = math.log(max(2, n_terms)) + MARGIN
     chosen = counts.where((F.col("toxic") > 0) & (share > base)).withColumn("gain", gain).where(F.col("gain") > bar).orderBy(F.desc("gain"), "term").limit(max_terms)
@@ -184,9 +182,10 @@ def learn(sample: DataFrame, max_terms: int = MAX_TERMS) -> Lexicon:
         term = r["term"].removesuffix("2") if r["term"].endswith("*2") else r["term"]
         if term not in found:
             found[term], gains[term], hits[term] = (r["toxic"], r["clean"]), round(r["gain"], 6), 2 if term != r["term"] else 1
+    counts.unpersist()
     # Copies of a document repeat its contexts: a term needs as many different ones.
     needed = bar / math.log(1 / base)
-    places = landed(_contexts(sample, list(found)), "places")
+    places = _contexts(sample, list(found)).persist()
     varied = {r["term"]: r["n"] for r in places.where("label = 1").groupBy("term").agg(F.count_distinct("before", "after").alias("n")).collect()}
     found = {t: c for t, c in found.items() if varied.get(t, 0) >= needed}
     # Of terms that are beginnings of each other only the one that gains most stays, the longest of equal ones.
@@ -202,6 +201,7 @@ def learn(sample: DataFrame, max_terms: int = MAX_TERMS) -> Lexicon:
     phrases = places.where(F.col("term").isin(list(keep)) if keep else F.lit(False)).select(F.explode(F.array(F.concat_ws(" ", "before", "word"), F.concat_ws(" ", "word", "after"))).alias("phrase"), "label")
     only_clean = phrases.groupBy("phrase").agg(F.sum("label").alias("toxic"), F.count(F.lit(1)).alias("n")).where(f"toxic = 0 and n >= {EXCEPTION_DOCS}").orderBy(F.desc("n"), "phrase").limit(max_terms)
     exceptions = sorted(r["phrase"].strip() for r in only_clean.collect())
+    places.unpersist()
     lexicon = Lexicon(weights, [p for p in exceptions if " " in p])
     return Lexicon(lexicon.weights, lexicon.exceptions, *_fitted(sample, lexicon))
 
