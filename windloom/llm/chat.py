@@ -68,8 +68,9 @@ def paths(nodes: DataFrame, best: int = 1) -> DataFrame:
             break
         jumps.append(now.select("key", "node", "up").where("up is not null"))
         far = now.select(F.col("key").alias("k"), F.col("node").alias("n"), F.col("up").alias("far"), F.col("depth").alias("more"), F.col("total").alias("rest"))
-        both = now.join(far.hint("merge"), (F.col("key") == F.col("k")) & (F.col("up") == F.col("n")), "left")
-        grown = landed(both.select("key", "node", F.col("far").alias("up"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"), (F.col("total") + F.coalesce("rest", F.lit(0.0))).alias("total")), "pointers")
+        active = now.where("up is not null")  # the others have reached a root
+        both = active.join(far.hint("merge"), (F.col("key") == F.col("k")) & (F.col("up") == F.col("n")), "left")
+        grown = landed(both.select("key", "node", F.col("far").alias("up"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"), (F.col("total") + F.coalesce("rest", F.lit(0.0))).alias("total")).unionByName(now.where("up is null")), "pointers")
         if len(jumps) > 1 and not grown.join(now.where("up is null").select("key", "node").hint("merge"), ["key", "node"], "left_anti").where("up is null").take(1):
             now = grown  # nothing more reaches a root: the rest is on cycles
             break
