@@ -20,8 +20,8 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without the boilerplate lines that an earlier document keeps; n_chars follows the text."""
-    left = line_dedup.remove_boilerplate(docs)
+    """All documents, without the boilerplate lines, short ones too, that an earlier document keeps; n_chars follows the text."""
+    left = line_dedup.remove_boilerplate(docs, min_chars=line_dedup.EVERY_LINE)
     return with_length(left, docs)
 
 

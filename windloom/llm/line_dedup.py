@@ -1,6 +1,7 @@
 """Line dedup by distinct-site spread: lines that many sites share are boilerplate.
 
-Each line (trimmed of ASCII white space, MIN_CHARS code points or more) is known by a 64-bit hash.
+Each line (trimmed of ASCII white space, of min_chars code points or more) is known by a 64-bit hash.
+The default floor MIN_CHARS is that of the op2 query's SQL; EVERY_LINE judges all lines but blank ones.
 HyperLogLog sketches of the sites that show it merge by aggregation, partially before the shuffle,
 so a line on a third of all rows costs one sketch a task. A line whose estimate is far above or
 below the threshold is decided by it; lines near it get exact distinct counts. A boilerplate line
@@ -20,7 +21,7 @@ from pyspark.sql import functions as F
 
 from windloom.session import landed
 
-MIN_SITES, MIN_CHARS = 5, 30
+MIN_SITES, MIN_CHARS, EVERY_LINE = 5, 30, 1
 #: log2 of the sketch's registers; estimates within these factors of the threshold are counted exactly.
 LG_K, NEAR_BELOW, NEAR_ABOVE = 10, 0.6, 1.8
 

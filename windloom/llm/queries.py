@@ -38,6 +38,15 @@ LINE_DEDUP_SQL = f"""
 """
 
 
+def op2_line_dedup_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every line that is not blank is judged by its sites, however short."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    return line_dedup.remove_boilerplate(docs, min_chars=line_dedup.EVERY_LINE, n_removed="n_removed").select("doc_id", "n_removed", "text")
+
+
+LINE_DEDUP_ALL_SQL = LINE_DEDUP_SQL.replace(f"length(t) >= {line_dedup.MIN_CHARS}", f"length(t) >= {line_dedup.EVERY_LINE}")
+
+
 def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = F.lit("\\### Assistant: </turn> ok")
     extra = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), said.alias("text"))
@@ -125,6 +134,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_line_dedup": op2_line_dedup,
+    "op2_line_dedup_all": op2_line_dedup_all,
     "op3_chat": op3_chat,
     "op5_packing": op5_packing,
     "op10_quality": op10_quality,
@@ -138,5 +148,6 @@ QUERIES = {
 
 ORACLES: dict[str, str] = {
     "op2_line_dedup": LINE_DEDUP_SQL.format(documents="documents"),
+    "op2_line_dedup_all": LINE_DEDUP_ALL_SQL.format(documents="documents"),
     "op3_chat": CHAT_SQL,
 }
