@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from windloom.llm import decontaminate, labelled, line_dedup, near_dedup, packing, toxicity
+from windloom.operators.graph import connected_components
 from windloom.session import landed
 
 TOXIC_AT = 0.3
+#: Words of a shingle, and the least Jaccard likeness in a hundred.
+NEAR_RULES = [(near_dedup.SHINGLE, near_dedup.PERCENT), (5, 80)]
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,8 +38,13 @@ def with_length(found: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates, that with the smallest doc_id; rows without a doc_id stay."""
-    gone = near_dedup.near_duplicates(docs).where(~F.col("kept")).select(F.col("doc_id").alias("__gone")).distinct()
+    """One document of each group of near duplicates, that with the smallest doc_id; rows without a doc_id stay.
+
+    Two documents are alike by either of NEAR_RULES: short copies with changed words by the first, copies with an added or cut block of up to a fifth by the second.
+    """
+    found = [near_dedup.near_duplicates(docs, shingle=n, percent=p).where("doc_id <> component_id").select(F.col("component_id").alias("a"), F.col("doc_id").alias("b")).distinct() for n, p in NEAR_RULES]
+    groups = connected_components(landed(reduce(DataFrame.unionByName, found), "near-links"))
+    gone = groups.where("id <> component").select(F.col("id").alias("__gone"))
     return docs.join(gone.hint("merge"), F.col("doc_id") == F.col("__gone"), "left_anti")
 
 

@@ -1,16 +1,18 @@
 """MinHash near-dedup by bottom-k sketches, with exact confirmation and connected components.
 
-A document's set holds its distinct 3-word shingles (A-Z lower-cased, words without ASCII white
-space; fewer than 3 words: the whole sequence as one). Equal word sequences are one class, of which
+A document's set holds its distinct shingles of `shingle` words, 3 by default (A-Z lower-cased, words
+without ASCII white space; fewer words: the whole sequence as one). Two sets are alike from a Jaccard
+likeness of `percent` in a hundred, 85 by default. Equal word sequences are one class, of which
 the smallest doc_id takes part. One hash function orders the shingles; a class keeps the K least.
 
-Two sets with a Jaccard likeness of 0.85 share at least T=16 of K=32 retained values but for a
-chance of about 5e-7 (a binomial tail), and sets of up to K are kept whole, where the bound is
-exact. Hence they share one of the K-T+1 values of each sketch that fewest classes retain: only
-these enter the first inverted lists, which keeps common passages and boilerplate out of them.
+Two sets of just that likeness share at least T of K=32 retained values but for a chance of MISS at
+most (a binomial tail; T=16 and about 6e-7 at 85, T=13 and about 2e-7 at 80), and sets of up to K are
+kept whole, where the bound is exact. Hence they share one of the K-T+1 values of each sketch that
+fewest classes retain: only these enter the first inverted lists, which keeps common passages and
+boilerplate out of them.
 
 Classes that meet in a list get their full sets, and the same rule with the exact bounds gives the
-final lists: of a set of n the n-ceil(0.85n)+1 rarest shingles, each with its position in that order.
+final lists: of a set of n the n-ceil(percent*n/100)+1 rarest shingles, each with its position in that order.
 Two members of a list can be alike only if what follows that position is enough for both sizes.
 
 Within a list every member is first paired with one hub, that with the fewest rarer shingles. Then
@@ -25,6 +27,8 @@ Empty tables give no rows. Extra columns are not read.
 
 from __future__ import annotations
 
+from math import comb
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -33,10 +37,21 @@ from windloom.llm.common import LOWER, WordHash, grams, hash_words, pieces, raw
 from windloom.operators.graph import connected_components
 from windloom.session import landed
 
-K, T, SHINGLE = 32, 16, 3
+K, SHINGLE = 32, 3
 PERCENT = 85
-#: A pair whose estimate on K values of the union's sketch is below this is not tested exactly.
-ESTIMATE = 0.5
+#: The chance at most that two sets just alike share fewer than T values, which T is derived from.
+MISS = 1e-6
+
+
+def least_shared(percent: int) -> int:
+    """T: the most values that two sets of this likeness share but for a chance of MISS.
+
+    A pair whose estimate on K values of the union's sketch is below T/K is not tested exactly.
+    """
+    p, tail, t = percent / 100, 0.0, 0
+    while t < K and (tail := tail + comb(K, t) * p**t * (1 - p) ** (K - t)) <= MISS:
+        t += 1
+    return t
 
 
 def shingle_set(tokens: list[bytes], cache: WordHash, shingle: int = SHINGLE) -> np.ndarray:
@@ -83,9 +98,9 @@ def rarest(sets: DataFrame, least, members: str) -> DataFrame:
     return each.select("x.v", "node", "n", (F.col("alone") + F.col("i") + 1).alias("pos"))
 
 
-def candidates(classes: DataFrame) -> DataFrame:
+def candidates(classes: DataFrame, percent: int) -> DataFrame:
     """Nodes that meet another one in a list of the sketches."""
-    least = F.least(F.lit(T), F.ceil(F.col("s") * F.lit(PERCENT) / 100)).cast("int")
+    least = F.least(F.lit(least_shared(percent)), F.ceil(F.col("s") * F.lit(percent) / 100)).cast("int")
     lists = landed(rarest(classes, least, "sketch"), "sketch-lists")
     met = lists.groupBy("v").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
     return lists.join(met.hint("merge"), "v", "left_semi").select("node").distinct()
@@ -109,26 +124,26 @@ def shingle_sets(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str,
     return texts.mapInArrow(run, "node long, n long, members array<long>")
 
 
-def may_be_alike(x: str, y: str):
+def may_be_alike(x: str, y: str, percent: int):
     """Whether sizes and positions of two members of a list leave room for enough shared shingles."""
     nx, ny = F.col(f"{x}.n"), F.col(f"{y}.n")
-    needed = F.ceil(F.lit(PERCENT) * (nx + ny) / (100 + PERCENT))
-    return (F.least(nx - F.col(f"{x}.pos"), ny - F.col(f"{y}.pos")) + 1 >= needed) & (100 * F.least(nx, ny) >= PERCENT * F.greatest(nx, ny))
+    needed = F.ceil(F.lit(percent) * (nx + ny) / (100 + percent))
+    return (F.least(nx - F.col(f"{x}.pos"), ny - F.col(f"{y}.pos")) + 1 >= needed) & (100 * F.least(nx, ny) >= percent * F.greatest(nx, ny))
 
 
-def hub_pairs(lists: DataFrame) -> DataFrame:
+def hub_pairs(lists: DataFrame, percent: int) -> DataFrame:
     """(a, b): every member of a list with its hub."""
     hubs = lists.groupBy("v").agg(F.min(F.struct("pos", "node", "n")).alias("h"), F.count(F.lit(1)).alias("m")).where("m > 1").select("v", F.col("h.node").alias("node"), F.col("h.pos").alias("pos"), F.col("h.n").alias("n"))
-    met = lists.alias("x").join(hubs.alias("y").hint("merge"), F.col("x.v") == F.col("y.v")).where((F.col("x.node") != F.col("y.node")) & may_be_alike("x", "y"))
+    met = lists.alias("x").join(hubs.alias("y").hint("merge"), F.col("x.v") == F.col("y.v")).where((F.col("x.node") != F.col("y.node")) & may_be_alike("x", "y", percent))
     return met.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
 
 
-def cross_pairs(lists: DataFrame, labels: DataFrame, tried: DataFrame) -> DataFrame:
+def cross_pairs(lists: DataFrame, labels: DataFrame, tried: DataFrame, percent: int) -> DataFrame:
     """(a, b): members of a list in different components that may be alike and were not tried."""
     now = lists.join(labels.hint("merge"), lists["node"] == labels["id"], "left").select("v", "node", "n", "pos", F.coalesce("component", "node").alias("label"))
     split = now.groupBy("v").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("v")
     now = landed(now.join(split.hint("merge"), "v", "left_semi"), "lists")
-    met = now.alias("x").join(now.alias("y").hint("merge"), (F.col("x.v") == F.col("y.v")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.label") != F.col("y.label")) & may_be_alike("x", "y"))
+    met = now.alias("x").join(now.alias("y").hint("merge"), (F.col("x.v") == F.col("y.v")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.label") != F.col("y.label")) & may_be_alike("x", "y", percent))
     return met.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct().join(tried.hint("merge"), ["a", "b"], "left_anti")
 
 
@@ -139,9 +154,10 @@ def estimate(a: np.ndarray, b: np.ndarray) -> float:
     return len(np.intersect1d(np.intersect1d(union, x, True), y, True)) / max(1, len(union))
 
 
-def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """(a, b): the pairs that pass the estimate and then the exact test on full sets."""
     left, right = (sets.select(F.col("node").alias(c), F.col("members").alias(f"set_{c}")) for c in "ab")
+    likely = least_shared(percent) / K
     both = pairs.join(left.hint("merge"), "a").join(right.hint("merge"), "b").select("a", "b", "set_a", "set_b")
 
     def run(batches):
@@ -153,10 +169,10 @@ def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                 for x, y in zip(batch.column(2), batch.column(3), strict=True):
                     x, y = x.values.to_numpy(), y.values.to_numpy()
                     small, large = sorted((len(x), len(y)))
-                    ok = small and 100 * small >= PERCENT * large and estimate(x, y) >= ESTIMATE
+                    ok = small and 100 * small >= percent * large and estimate(x, y) >= likely
                     if ok:
                         common = small + large - len(np.union1d(x, y))
-                        ok = 100 * common >= PERCENT * (small + large - common)
+                        ok = 100 * common >= percent * (small + large - common)
                     keep.append(bool(ok))
                 kept = pa.array(keep)
                 yield pa.RecordBatch.from_arrays([batch.column(0).filter(kept), batch.column(1).filter(kept)], names=["a", "b"])
@@ -164,19 +180,19 @@ def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.mapInArrow(run, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
+def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row."""
     sig = landed(signatures(docs, id_col, text_col, shingle), "signatures")
     usable = sig.where("n > 0 and doc_id is not null")
     firsts = usable.groupBy("key").agg(F.min("doc_id").alias("node"))
     classes = usable.join(firsts.hint("merge"), "key").where("doc_id = node").select("node", "key", "n", "sketch").dropDuplicates(["node", "key"])
-    sets = landed(shingle_sets(docs, candidates(classes), id_col, text_col, shingle), "sets")
-    lists = landed(rarest(sets, F.ceil(F.col("n") * F.lit(PERCENT) / 100), "members"), "lists")
+    sets = landed(shingle_sets(docs, candidates(classes, percent), id_col, text_col, shingle), "sets")
+    lists = landed(rarest(sets, F.ceil(F.col("n") * F.lit(percent) / 100), "members"), "lists")
 
-    tried = landed(hub_pairs(lists), "pairs")
-    links = landed(confirmed(tried, sets), "links")
-    rest = landed(cross_pairs(lists, connected_components(links), tried), "pairs")
-    labels = connected_components(links.unionByName(landed(confirmed(rest, sets), "links")))
+    tried = landed(hub_pairs(lists, percent), "pairs")
+    links = landed(confirmed(tried, sets, percent), "links")
+    rest = landed(cross_pairs(lists, connected_components(links), tried, percent), "pairs")
+    labels = connected_components(links.unionByName(landed(confirmed(rest, sets, percent), "links")))
     out = sig.select("doc_id", "key", "n").join(firsts.hint("merge"), "key", "left")
     out = out.join(labels.hint("merge"), out["node"] == labels["id"], "left")
     component = F.when(F.col("doc_id").isNull(), None).when(F.col("n") == 0, F.col("doc_id")).otherwise(F.coalesce("component", "node"))
