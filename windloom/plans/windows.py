@@ -23,7 +23,9 @@ def query(sql: str | None = None):
     return add
 
 
+#: From the second window on, as T-01 has it; ALL_NINE has the first window too.
 NINE = f"SELECT parent, domain, i::INT AS start, substr(sequence, i + 1, 9) AS peptide FROM {SEQUENCES}, unnest(range(1, length(sequence) - 8)) t(i)"
+ALL_NINE = NINE.replace("range(1,", "range(0,")
 
 
 @query(f"SELECT domain, count(*) AS n_peptides FROM (SELECT peptide, arg_min(domain, (parent, start)) AS domain FROM ({NINE}) GROUP BY peptide) GROUP BY domain")
@@ -129,9 +131,9 @@ def mutate(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"SELECT parent_count, count(*) AS n_peptides, sum(occurrence_count)::BIGINT AS occurrences FROM (SELECT peptide, count(*) AS occurrence_count, count(DISTINCT parent) AS parent_count FROM ({NINE}) GROUP BY peptide) GROUP BY parent_count")
-def corpus_collapse(spark: SparkSession, d: str) -> DataFrame:
-    """A-02, A-03: how many peptides so many parents share."""
-    tiles = tile.with_flanks(sequences(spark, d), first=1)
+def corpus_collapse(spark: SparkSession, d: str, first: int = 1) -> DataFrame:
+    """A-02, A-03: how many peptides so many parents share, from the second window of each on."""
+    tiles = tile.with_flanks(sequences(spark, d), first=first)
     counts = collapse.occurrence_counts(tiles)
     return counts.groupBy("parent_count").agg(F.count(F.lit(1)).alias("n_peptides"), F.sum("occurrence_count").alias("occurrences"))
 
@@ -177,17 +179,17 @@ _ITEM_NINE = f"SELECT DISTINCT substr(sequence, i + 1, 9) AS peptide, parent AS
 
 
 @query(f"SELECT item, count(*) AS n_new FROM ({_ITEM_NINE}) WHERE peptide NOT IN (SELECT peptide FROM ({NINE})) GROUP BY item")
-def anti_new(spark: SparkSession, d: str) -> DataFrame:
-    """J-07: reference peptides that no document has."""
+def anti_new(spark: SparkSession, d: str, first: int = 1) -> DataFrame:
+    """J-07: reference peptides that no document has from its second window on."""
     mine = tile.with_flanks(items(spark, d), flank=0).select("peptide", F.col("parent").alias("item")).distinct()
-    used = tile.with_flanks(sequences(spark, d), first=1, flank=0).select("peptide")
+    used = tile.with_flanks(sequences(spark, d), first=first, flank=0).select("peptide")
     return mine.join(used, "peptide", "left_anti").groupBy("item").agg(F.count(F.lit(1)).alias("n_new"))
 
 
 @query(f"SELECT parent, count(*) FILTER (WHERE peptide IN (SELECT peptide FROM ({_ITEM_NINE})))::BIGINT AS n_exact, count(*) AS n FROM ({NINE}) GROUP BY parent")
-def exact_membership(spark: SparkSession, d: str) -> DataFrame:
-    """J-08, J-14, J-21: windows of each document that the reference set has."""
-    t = tile.with_flanks(sequences(spark, d), first=1, flank=0).select("parent", "peptide")
+def exact_membership(spark: SparkSession, d: str, first: int = 1) -> DataFrame:
+    """J-08, J-14, J-21: windows of each document, from the second on, that the reference set has."""
+    t = tile.with_flanks(sequences(spark, d), first=first, flank=0).select("parent", "peptide")
     known = tile.with_flanks(items(spark, d), flank=0).select("peptide").distinct().withColumn("hit", F.lit(1))
     return t.join(known.hint("merge"), "peptide", "left").groupBy("parent").agg(F.count("hit").alias("n_exact"), F.count(F.lit(1)).alias("n"))
 
@@ -202,15 +204,40 @@ _MASK = "substr(peptide, 2, 2) || substr(peptide, 5, 1) || substr(peptide, 7, 2)
 @query(f"""WITH c AS (SELECT {_MASK} AS k, count(*) AS n FROM ({NINE}) GROUP BY k), t AS (SELECT count(*)::DOUBLE AS total FROM ({NINE}))
     SELECT item, count(*) AS n_windows, sum(coalesce(n, 0))::BIGINT AS matches, max(coalesce(n, 0))::BIGINT AS max_matches, count(n)::BIGINT AS frames, round(log2((sum(coalesce(n, 0)) + 1) / (count(*) * total / 3200000.0 + 1)), 6) AS enrichment
     FROM (SELECT item, {_MASK} AS k FROM ({_ITEM_NINE})) LEFT JOIN c USING (k), t GROUP BY item, total""")
-def masked_key_counts(spark: SparkSession, d: str) -> DataFrame:
-    """J-12, J-13, A-21, F-14: windows of the reference set matched on five positions against all documents, with enrichment over chance."""
-    corpus = tile.with_flanks(sequences(spark, d), first=1, flank=0).groupBy(_masked("peptide").alias("k")).agg(F.count(F.lit(1)).alias("c"))
+def masked_key_counts(spark: SparkSession, d: str, first: int = 1) -> DataFrame:
+    """J-12, J-13, A-21, F-14: windows of the reference set matched on five positions against all documents from their second window on, with enrichment over chance."""
+    corpus = tile.with_flanks(sequences(spark, d), first=first, flank=0).groupBy(_masked("peptide").alias("k")).agg(F.count(F.lit(1)).alias("c"))
     mine = tile.with_flanks(items(spark, d), flank=0).select(F.col("parent").alias("item"), "peptide").distinct().withColumn("k", _masked("peptide"))
     total = corpus.agg(F.sum("c").cast("double").alias("total"))
     each = mine.join(corpus.hint("merge"), "k", "left").groupBy("item").agg(F.count(F.lit(1)).alias("n_windows"), F.sum(F.coalesce("c", F.lit(0))).alias("matches"), F.max(F.coalesce("c", F.lit(0))).alias("max_matches"), F.count("c").alias("frames"))
     return each.crossJoin(total).select("item", "n_windows", "matches", "max_matches", "frames", F.round(F.log2((F.col("matches") + 1) / (F.col("n_windows") * F.col("total") / 3200000.0 + 1)), 6).alias("enrichment"))
 
 
+# The same four over every window: the first of a document counts too.
+@query(ORACLES["corpus_collapse"].replace(NINE, ALL_NINE))
+def corpus_collapse_all(spark: SparkSession, d: str) -> DataFrame:
+    """A-02, A-03: how many peptides so many parents share."""
+    return corpus_collapse(spark, d, first=0)
+
+
+@query(ORACLES["anti_new"].replace(NINE, ALL_NINE))
+def anti_new_all(spark: SparkSession, d: str) -> DataFrame:
+    """J-07: reference peptides that no document has."""
+    return anti_new(spark, d, first=0)
+
+
+@query(ORACLES["exact_membership"].replace(NINE, ALL_NINE))
+def exact_membership_all(spark: SparkSession, d: str) -> DataFrame:
+    """J-08, J-14, J-21: windows of each document that the reference set has."""
+    return exact_membership(spark, d, first=0)
+
+
+@query(ORACLES["masked_key_counts"].replace(NINE, ALL_NINE))
+def masked_key_counts_all(spark: SparkSession, d: str) -> DataFrame:
+    """J-12, J-13, A-21, F-14: windows of the reference set matched on five positions against all documents, with enrichment over chance."""
+    return masked_key_counts(spark, d, first=0)
+
+
 _RULES = [("acid", "DE", ""), ("basic", "KR", "P"), ("aromatic", "FWY", "P"), ("leucine", "L", "DE")]
 _RULE_SQL = ", ".join(f"('{n}', '{a}', '{b}')" for n, a, b in _RULES)
 
