@@ -308,11 +308,18 @@ _NOVEL = "(SELECT o_custkey AS component, CASE o_orderkey % 5 WHEN 0 THEN 'unsco
 
 @query(f"SELECT component, max(p)::INT AS priority, ['exclude', 'train', 'train', 'val', 'test'][max(p) + 1] AS split FROM (SELECT component, list_position(['unscored', 'natural_like', 'similar', 'distant', 'novel'], novelty) - 1 AS p FROM {_NOVEL}) GROUP BY component")
 def novelty_split(spark: SparkSession, d: str) -> DataFrame:
-    """G-12, J-22."""
+    """G-12, J-22: of the orders that its SQL takes; novelty_split_all takes all."""
     n = F.element_at(F.array(*[F.lit(x) for x in split.NOVELTY]), (F.col("o_orderkey") % 5 + 1).cast("int"))
     return split.novelty_split(table(spark, d, "orders").where("o_orderkey % 7 < 3").select(F.col("o_custkey").alias("component"), n.alias("novelty")))
 
 
+@query("SELECT component, max(p)::INT AS priority, ['exclude', 'train', 'train', 'val', 'test'][max(p) + 1] AS split FROM (SELECT o_custkey AS component, left(o_orderpriority, 1)::INT - 1 AS p FROM orders) GROUP BY component")
+def novelty_split_all(spark: SparkSession, d: str) -> DataFrame:
+    """G-12, J-22: over all orders, the novelty by the order's priority."""
+    n = F.element_at(F.array(*[F.lit(x) for x in split.NOVELTY]), F.left("o_orderpriority", F.lit(1)).cast("int"))
+    return split.novelty_split(table(spark, d, "orders").select(F.col("o_custkey").alias("component"), n.alias("novelty")))
+
+
 @query("SELECT s.o_custkey, min(coalesce(x.split, s.split)) AS split FROM " + _SPLIT.format(g="o_custkey", t="(SELECT o_custkey FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_nationkey < 5))") + " s FULL JOIN (SELECT c_custkey, 'train' AS split FROM customer WHERE FALSE) x ON x.c_custkey = s.o_custkey GROUP BY s.o_custkey UNION ALL SELECT DISTINCT o_custkey, 'val' FROM orders JOIN customer ON c_custkey = o_custkey WHERE c_nationkey < 5")
 def inherit_split(spark: SparkSession, d: str) -> DataFrame:
     """J-09: customers of some nations keep their split, others get one."""
