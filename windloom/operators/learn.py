@@ -1,4 +1,4 @@
-"""Distributed model operators: ridge, PCA, isotonic, neighbours, cached scoring (L-*, F-19)."""
+"""Distributed model operators: ridge, PCA, isotonic, neighbours, rows not landed yet (L-01, L-03, L-05, L-06, L-08, L-09, F-19)."""
 
 from __future__ import annotations
 
