@@ -91,6 +91,12 @@ def clean_delete(spark: SparkSession, d: str) -> DataFrame:
     return docs.select("doc_id", F.sha2(S.clean_delete(F.regexp_replace("text", r"[^\x00-\x7F]", "")), 256).alias("digest"))
 
 
+@query()
+def clean_delete_all(spark: SparkSession, d: str) -> DataFrame:
+    """P-03: all documents as they are, headers and odd characters too; no SQL, as case folds differently between engines."""
+    return table(spark, d, "documents").select("doc_id", F.sha2(S.clean_delete(F.col("text")), 256).alias("digest"))
+
+
 _TAGGED = f"(SELECT parent, CASE WHEN parent % 3 = 0 THEN 'MGHHHHHH' || sequence WHEN parent % 3 = 1 THEN sequence || 'HHHHHAA' ELSE sequence END AS sequence FROM {SEQUENCES})"
 _FRONT = "(SELECT parent, CASE WHEN regexp_matches(left(sequence, 25), 'H{4,}') THEN substr(sequence, instr(left(sequence, 25), 'HHHH') + length(regexp_extract(left(sequence, 25), 'H{4,}'))) ELSE sequence END AS s FROM " + _TAGGED + ")"
 
