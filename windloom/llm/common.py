@@ -30,9 +30,9 @@ def raw(column: pa.Array) -> list[bytes | None]:
     return column.to_pylist()
 
 
-def pieces(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+def pieces(batch: pa.RecordBatch, rows: int = PIECE_ROWS) -> Iterator[pa.RecordBatch]:
     """Slices of bounded rows and bytes; one row may be larger than the bound by itself."""
-    step = max(1, min(PIECE_ROWS, int(batch.num_rows * PIECE_BYTES / max(1, batch.nbytes))))
+    step = max(1, min(rows, int(batch.num_rows * PIECE_BYTES / max(1, batch.nbytes))))
     for at in range(0, batch.num_rows, step):
         yield batch.slice(at, step)
 

@@ -71,21 +71,31 @@ class Coder:
         body += [struct.pack("<II", step, n_words - at) + x.astype("<u8").tobytes() for step, at, x in reversed(checks)]
         return b"".join([*body, stream.tobytes()])
 
-    def decode(self, block: bytes, checkpoint: int | None = None) -> np.ndarray:
-        """The ids of a block, or those from a checkpoint on. The checksum is verified for whole blocks."""
+    def decode(self, block: bytes, first_id: int = 0, end_id: int | None = None) -> np.ndarray:
+        """The ids from first_id to end_id of a block: decoding starts at the last checkpoint before them and stops behind them.
+
+        The states and word positions of the checkpoints passed on the way are verified; so is the
+        checksum, where the whole block is decoded.
+        """
         n, lanes, n_checks, n_words, crc = HEAD.unpack_from(block)
+        end_id = n if end_id is None else min(end_id, n)
         at = HEAD.size
-        state = np.frombuffer(block, "<u8", lanes, at).copy()
+        state, pos, first = np.frombuffer(block, "<u8", lanes, at).copy(), 0, 0
         at += 8 * lanes
-        first, pos = 0, 0
-        if checkpoint is not None:
-            here = at + checkpoint * (8 + 8 * lanes)
-            first, pos = struct.unpack_from("<II", block, here)
-            state = np.frombuffer(block, "<u8", lanes, here + 8).copy()
-        at += n_checks * (8 + 8 * lanes)
-        stream = np.frombuffer(block, "<u4", n_words, at)
-        out = np.empty(n - first * lanes, np.uint32)
-        for step in range(first, -(-n // lanes)):
+        checks = {}
+        for j in range(n_checks):
+            here = at + j * (8 + 8 * lanes)
+            step, word = struct.unpack_from("<II", block, here)
+            checks[step] = (word, np.frombuffer(block, "<u8", lanes, here + 8))
+        if passed := [step for step in checks if step * lanes <= first_id]:
+            first = max(passed)
+            pos, state = checks[first][0], checks[first][1].copy()
+        stream = np.frombuffer(block, "<u4", n_words, at + n_checks * (8 + 8 * lanes))
+        last = -(-end_id // lanes) if end_id > first_id else first
+        out = np.empty(max(0, min(n, last * lanes) - first * lanes), np.uint32)
+        for step in range(first, last):
+            if step in checks and (pos != checks[step][0] or (state != checks[step][1]).any()):
+                raise ValueError("a block is damaged")
             a, b = step * lanes, min(n, (step + 1) * lanes)
             x = state[: b - a]
             slot = x & self.mask
@@ -97,6 +107,6 @@ class Coder:
                 x[low] = (x[low] << np.uint64(32)) | stream[pos : pos + len(low)].astype(np.uint64)
                 pos += len(low)
             state[: b - a] = x
-        if (state != LOW).any() or checkpoint is None and zlib.crc32(out.astype("<u4").tobytes()) != crc:
+        if last * lanes >= n and (state != LOW).any() or first == 0 and end_id == n and zlib.crc32(out.astype("<u4").tobytes()) != crc:
             raise ValueError("a block is damaged")
-        return out
+        return out[first_id - first * lanes : end_id - first * lanes]

@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import json
 import struct
+import unicodedata
 import zlib
 
 import numpy as np
@@ -25,103 +26,138 @@ from windloom.llm.common import parts_for, pieces, range_cuts, raw, size_of
 from windloom.llm.rans import Coder, table
 from windloom.session import landed
 
-#: Bytes of text for one shard; grows only where a million shards would not do.
-SHARD_BYTES, MAX_SHARDS = 16 << 20, 1_000_000
+#: Bytes of text for one shard.
+SHARD_BYTES = 16 << 20
 BLOCK_IDS = 1 << 19
-CACHE_WORDS = 600_000
+#: Words in a worker's cache, and words joined to one text for the library.
+CACHE_WORDS, LINE_WORDS = 600_000, 128
+#: Runs whose ids are gathered at once.
+GATHER_RUNS = 2_000_000
+#: Texts encoded together at most; the more, the fewer runs are looked up again.
+PIECE_TEXTS = 20_000
 MAGIC = b"WLTS0001"
 HEAD = struct.Struct("<8sIQQII")
 NULL_ID = -(1 << 63)
 
 
 #: ASCII signs that may follow a word without joining its token.
-SIGNS = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+SIGNS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
+#: A normaliser and a pre-tokenizer, as a tokenizer file states them, that drop white
+#: space, put letters into lower case one by one and cut behind each run of letters. What stands
+#: between white space is then encoded by itself, and so are letters and the signs that follow them.
+BY_RUN = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {"type": "Sequence", "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ]},
+}
 
-def _letters(core: bytes) -> str | None:
-    """A word of letters in lower case, else None; a capital sigma's lower case depends on its place."""
+
+def values(column) -> list:
+    """An Arrow column as a list, made in one go and not value by value."""
+    return column.to_numpy(zero_copy_only=False).tolist()
+
+
+def letters(core: bytes) -> bytes | None:
+    """A Latin, Greek or Cyrillic word in composed lower-case letters, else None; a capital sigma's lower case depends on its place."""
     word = core.decode("utf-8", "replace")
-    word = word.lower() if "\u03a3" not in word else ""
-    return word if word.isalpha() else None
+    if not word or max(word) >= "\u0530" or "\u03a3" in word:
+        return None
+    word = word.lower()
+    return word.encode() if word.isalpha() and unicodedata.is_normalized("NFC", word) else None
 
 
 class Encoder:
-    """Whole texts to packed little-endian ids, as the library encodes them.
-
-    Where a tokenizer drops white space, each run between white space is encoded by itself and kept
-    in a bounded cache. Where its tokens also tell the end of a word, new runs that are letters and
-    then signs are looked up in two parts, and new words of letters go to the library many at a
-    time, to be told apart by those ends. Any other tokenizer gets the whole texts.
+    """Columns of whole texts to ids, as the library encodes them.
+
+    Where the tokenizer's file declares BY_RUN, a column is cut at white space and each distinct run
+    is encoded once. A run of letters, with or without ASCII signs behind it, takes the ids of its
+    lower-case word from a bounded cache; new words go to the library many at a time, to be told
+    apart by its mark for the end of a word. They need no normalising and no cutting but at white
+    space, so the library's model gets them directly. Other runs go to the library as they are, and
+    so do whole texts where the file declares anything else.
     """
 
     def __init__(self, path: str, dtype: str):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.tok, self.dtype, self.width = Tokenizer.from_file(path), dtype, np.dtype(dtype).itemsize
-        self.runs: dict[bytes, bytes] = {}
-        self.words: dict[str, bytes] = {}
-        one = lambda t: self.tok.encode(t, add_special_tokens=False).ids
-        self.by_run = one("a b") == one("a") + one("b") == one("\ta \n b ")
-        suffix = json.loads(self.tok.to_str())["model"].get("end_of_word_suffix") if self.by_run else None
-        self.ends = np.array([(self.tok.id_to_token(i) or "").endswith(suffix) for i in range(self.tok.get_vocab_size())]) if suffix else None
-
-    def encoded(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.dtype).tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def learn_words(self, new: list[str]) -> None:
-        """Put words of letters into the cache, many a call."""
-        lines = [new[i : i + 128] for i in range(0, len(new), 128)]
-        for line, e in zip(lines, self.tok.encode_batch_fast([" ".join(x) for x in lines], add_special_tokens=False), strict=True):
+        self.words: dict[bytes, bytes] = {}
+        declared = json.loads(self.tok.to_str())
+        suffix = declared["model"].get("end_of_word_suffix")
+        self.by_run = bool(suffix) and all(declared[k] == v for k, v in BY_RUN.items())
+        if self.by_run:
+            self.ends = np.array([(self.tok.id_to_token(i) or "").endswith(suffix) for i in range(self.tok.get_vocab_size())])
+            self.model = Tokenizer.from_file(path)
+            self.model.normalizer, self.model.pre_tokenizer = normalizers.Sequence([]), pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+
+    def encoded(self, texts: list[bytes]) -> list[bytes]:
+        return [np.array(e.ids, self.dtype).tobytes() for e in self.tok.encode_batch_fast([t.decode("utf-8", "replace") for t in texts], add_special_tokens=False)]
+
+    def learn(self, new: list[bytes]) -> None:
+        """Put lower-case words of letters into the cache."""
+        lines = [new[i : i + LINE_WORDS] for i in range(0, len(new), LINE_WORDS)]
+        for line, e in zip(lines, self.model.encode_batch_fast([b" ".join(x).decode() for x in lines], add_special_tokens=False), strict=True):
             ids = np.array(e.ids, self.dtype)
             cut = ((np.flatnonzero(self.ends[ids]) + 1) * self.width).tolist()
             data = ids.tobytes()
-            if len(cut) == len(line) and cut[-1] == len(data):
-                self.words.update(zip(line, [data[a:b] for a, b in zip([0, *cut], cut, strict=False)], strict=True))
-            else:
-                self.words.update(zip(line, self.encoded(line), strict=True))
+            if len(cut) != len(line) or cut[-1] != len(data):
+                raise ValueError("a word has more or less than one end")
+            self.words.update(zip(line, [data[a:b] for a, b in zip([0, *cut], cut, strict=False)], strict=True))
 
-    def learn(self, new: list[bytes]) -> None:
-        cores = [run.rstrip(SIGNS) for run in new]
-        names = [core.lower().decode() if core.isalpha() else _letters(core) for core in cores] if self.ends is not None else [None] * len(new)
+    def runs(self, distinct) -> list[bytes]:
+        """The packed ids of distinct runs."""
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        core = pc.ascii_rtrim(distinct, characters=SIGNS)
+        texts = values(distinct.cast(pa.binary()))
+        cut = values(pc.binary_length(core))
+        names = values(pc.if_else(pc.ascii_is_alpha(core), pc.ascii_lower(core), None).cast(pa.binary()))
+        names = [name or letters(t[:n]) for name, t, n in zip(names, texts, cut, strict=True)]
+        if len(self.words) > CACHE_WORDS:
+            self.words.clear()
         words = self.words
-        self.learn_words(list({w for w in names if w is not None and w not in words}))
-        tails = [run[len(core) :] for run, core in zip(new, cores, strict=True)]
-        whole = {run for run, w in zip(new, names, strict=True) if w is None}
-        whole.update(t for t in set(tails) if t and t not in self.runs)
-        whole = list(whole)
-        self.runs.update(zip(whole, self.encoded([w.decode("utf-8", "replace") for w in whole]), strict=True))
-        runs = self.runs
-        for run, word, tail in zip(new, names, tails, strict=True):
-            if word is not None:
-                runs[run] = words[word] + runs[tail] if tail else words[word]
-
-    def __call__(self, texts: list[bytes | None]) -> list[bytes]:
+        self.learn(list({w for w in names if w is not None and w not in words}))
+        rest = list({t if w is None else t[n:] for t, w, n in zip(texts, names, cut, strict=True)})
+        other = dict(zip(rest, self.encoded(rest), strict=True))
+        return [other[t] if w is None else words[w] + other[t[n:]] for t, w, n in zip(texts, names, cut, strict=True)]
+
+    def __call__(self, column) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of a column of texts in a row, and the number of each text's; null is empty."""
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
         if not self.by_run:
-            return self.encoded([(t or b"").decode("utf-8", "replace") for t in texts])
-        split = [t.split() if t else [] for t in texts]
-        if len(self.runs) > CACHE_WORDS or len(self.words) > CACHE_WORDS:
-            self.runs.clear()
-            self.words.clear()
-        runs, found, new = self.runs, [], set()
-        for chunk in split:
-            ids = [*map(runs.get, chunk)]
-            found.append(ids)
-            if None in ids:
-                new.update([w for w, x in zip(chunk, ids, strict=True) if x is None])
-        if new:
-            self.learn(list(new))
-            found = [[runs[w] if x is None else x for w, x in zip(chunk, ids, strict=True)] if None in ids else ids for chunk, ids in zip(split, found, strict=True)]
-        return [*map(b"".join, found)]
+            found = self.encoded([t or b"" for t in raw(column)])
+            return np.frombuffer(b"".join(found), self.dtype), np.fromiter(map(len, found), np.int64, len(found)) // self.width
+        split = pc.ascii_split_whitespace(pc.fill_null(column, ""))
+        count = pc.list_value_length(split).to_numpy(zero_copy_only=False).astype(np.int64)
+        runs = split.flatten().dictionary_encode()
+        packed = self.runs(runs.dictionary.cast(pa.large_string() if pa.types.is_large_string(column.type) else pa.string()))
+        size = np.fromiter(map(len, packed), np.int64, len(packed)) // self.width
+        flat = np.frombuffer(b"".join(packed), self.dtype)
+        first = np.cumsum(size) - size
+        code = runs.indices.to_numpy()
+        found, sizes = [], size[code]
+        for a in range(0, len(code), GATHER_RUNS):
+            n, at = sizes[a : a + GATHER_RUNS], first[code[a : a + GATHER_RUNS]]
+            found.append(flat[np.repeat(at - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))])
+        total = np.concatenate([[0], np.cumsum(sizes)])
+        ends = np.cumsum(count)
+        return np.concatenate(found) if found else flat[:0], total[ends] - total[ends - count]
 
 
 _ENCODERS: dict[tuple[str, str], Encoder] = {}
 
 
 def encoder(path: str, dtype: str) -> Encoder:
-    """One encoder for each Python worker, so its caches outlive a task."""
+    """One encoder for each Python worker, so its cache outlives a task."""
     if (path, dtype) not in _ENCODERS:
         _ENCODERS[path, dtype] = Encoder(path, dtype)
     return _ENCODERS[path, dtype]
@@ -139,29 +175,32 @@ def tokenised(docs: DataFrame, id_col: str, text_col: str, path: str, end_id: in
     def run(batches):
         import zstandard
 
-        encode, width = encoder(path, dtype), np.dtype(dtype).itemsize
-        end, pack = np.array([end_id], dtype).tobytes(), zstandard.ZstdCompressor(level=3)
+        encode, pack = encoder(path, dtype), zstandard.ZstdCompressor(level=3)
         held: dict[int, list] = {}
         size = 0
 
         def flush():
             import pyarrow as pa
 
-            if held:
-                blobs = []
-                for rows in held.values():
-                    ids, lens = np.array([r[0] for r in rows], "<i8"), np.array([len(r[1]) // width for r in rows], "<u4")
-                    blobs.append(struct.pack("<I", len(rows)) + pack.compress(ids.tobytes() + lens.tobytes() + b"".join(r[1] for r in rows)))
-                yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), pa.array(blobs, pa.binary())], names=["shard", "blob"])
-                held.clear()
+            for part, rows in held.items():
+                ids, lens = np.array([r[0] for r in rows], "<i8"), np.array([len(r[1]) for r in rows], "<u4")
+                blob = struct.pack("<I", len(rows)) + pack.compress(ids.tobytes() + lens.tobytes() + np.concatenate([r[1] for r in rows]).tobytes())
+                yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([blob], pa.binary())], names=["shard", "blob"])
+            held.clear()
 
         for whole in batches:
-            for b in pieces(whole):
-                doc = [NULL_ID if x is None else x for x in raw(b.column(0))]
-                part = np.searchsorted(cuts, np.array(doc, np.int64), side="left").tolist()
-                for d, p, ids in zip(doc, part, encode(raw(b.column(1))), strict=True):
-                    held.setdefault(p, []).append((d, ids + end))
-                    size += len(ids)
+            for b in pieces(whole, rows=PIECE_TEXTS):
+                doc = np.array([NULL_ID if x is None else x for x in b.column(0).to_pylist()], np.int64)
+                part = np.searchsorted(cuts, doc, side="left")
+                flat, lens = encode(b.column(1))
+                ends = np.cumsum(lens + 1)
+                ids = np.empty(len(flat) + len(lens), dtype)
+                is_end = np.zeros(len(ids), bool)
+                is_end[ends - 1] = True
+                ids[is_end], ids[~is_end] = end_id, flat
+                for d, p, a, z in zip(doc.tolist(), part.tolist(), (ends - lens - 1).tolist(), ends.tolist(), strict=True):
+                    held.setdefault(p, []).append((d, ids[a:z]))
+                size += ids.nbytes
                 if size > 64 << 20:
                     yield from flush()
                     size = 0
@@ -215,38 +254,47 @@ def shard_file(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]], coder: Co
     return b"".join([HEAD.pack(MAGIC, table_crc, len(doc), len(ids), len(index), len(blocks)), index, directory, *blocks]), len(ids)
 
 
-def read_shard(data: bytes, coder: Coder, table_crc: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """doc_ids, lengths and ids of a shard file."""
-    magic, crc, n_docs, n_ids, n_index, n_blocks = HEAD.unpack_from(data)
-    if magic != MAGIC or crc != table_crc:
-        raise ValueError("not a shard of this store")
-    at = HEAD.size
-    index = zlib.decompress(data[at : at + n_index])
-    at += n_index
-    sizes = np.frombuffer(data, "<u4", n_blocks, at).tolist()
-    at += 4 * n_blocks
-    ids = []
-    for s in sizes:
-        ids.append(coder.decode(data[at : at + s]))
-        at += s
-    ids = np.concatenate(ids) if ids else np.empty(0, np.uint32)
-    if len(ids) != n_ids:
-        raise ValueError("a shard is not whole")
-    return np.frombuffer(index, "<i8", n_docs), np.frombuffer(index, "<u4", n_docs, 8 * n_docs).astype(np.int64), ids
+class Shard:
+    """A shard file: its document index, and its blocks to be decoded as they are asked for."""
+
+    def __init__(self, data: bytes, coder: Coder, table_crc: int):
+        magic, crc, n_docs, self.n_ids, n_index, n_blocks = HEAD.unpack_from(data)
+        if magic != MAGIC or crc != table_crc:
+            raise ValueError("not a shard of this store")
+        at = HEAD.size
+        index = zlib.decompress(data[at : at + n_index])
+        at += n_index
+        sizes = np.frombuffer(data, "<u4", n_blocks, at).astype(np.int64)
+        self.data, self.coder = data, coder
+        self.begin = at + 4 * n_blocks + np.cumsum(sizes) - sizes
+        self.size = sizes
+        self.doc, self.lens = np.frombuffer(index, "<i8", n_docs), np.frombuffer(index, "<u4", n_docs, 8 * n_docs).astype(np.int64)
+        self.ends = np.cumsum(self.lens)
+        if (int(self.ends[-1]) if n_docs else 0) != self.n_ids:
+            raise ValueError("a shard is not whole")
+
+    def ids(self, a: int = 0, b: int | None = None) -> np.ndarray:
+        """The ids from a to b: only their blocks, and of these only what stands behind the checkpoint before a."""
+        b = self.n_ids if b is None else b
+        found = [np.empty(0, np.uint32)]
+        for i in range(a // BLOCK_IDS, -(-b // BLOCK_IDS) if b > a else 0):
+            block = self.data[self.begin[i] : self.begin[i] + self.size[i]]
+            found.append(self.coder.decode(block, max(0, a - i * BLOCK_IDS), min(BLOCK_IDS, b - i * BLOCK_IDS)))
+        return np.concatenate(found)
 
 
 class Store:
-    """What a written store consists of: the shard table, its frequency table and the ids before each shard."""
+    """What a written store consists of: the shard table, its frequency table, the ids before each shard and the doc_ids that part the shards."""
 
-    def __init__(self, shards: DataFrame, freq: np.ndarray, before: dict[int, int]):
-        self.shards, self.freq, self.before = shards, freq, before
+    def __init__(self, shards: DataFrame, freq: np.ndarray, before: dict[int, int], cuts: np.ndarray):
+        self.shards, self.freq, self.before, self.cuts = shards, freq, before, cuts
 
 
 def write(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", text_col: str = "text", end_id: int = 1) -> Store:
     n_vocab = vocabulary(tokenizer)
     dtype = "<u2" if n_vocab <= 65536 else "<u4"
     _, n_bytes = size_of(docs, text_col)
-    n = min(parts_for(docs, n_bytes, SHARD_BYTES), MAX_SHARDS)
+    n = parts_for(docs, n_bytes, SHARD_BYTES)
     cuts = range_cuts(docs.select(F.col(id_col).cast("long").alias("i")), "i", n)
     tokens = landed(tokenised(docs, id_col, text_col, tokenizer, end_id, cuts, dtype), "token-ids", "none")
     freq = table(counted(tokens, n_vocab, dtype))
@@ -266,9 +314,9 @@ def write(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", text_col:
 
     shards = landed(tokens.repartitionById(len(cuts) + 1, F.col("shard")).mapInArrow(run, "shard int, n_ids long, data binary"), "token-shards", "none")
     before, at = {}, 0
-    for r in sorted(shards.select("shard", "n_ids").collect()):  # a row for each shard: MAX_SHARDS at most
+    for r in sorted(shards.select("shard", "n_ids").collect()):  # a row for each shard, so one for each 16 MB of text
         before[r["shard"]], at = at, at + r["n_ids"]
-    return Store(shards, freq, before)
+    return Store(shards, freq, before, cuts)
 
 
 def read(store: Store) -> DataFrame:
@@ -282,10 +330,45 @@ def read(store: Store) -> DataFrame:
         coder = Coder(freq)
         for b in batches:
             for p, data in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                doc, lens, ids = read_shard(data.as_py(), coder, crc)
-                ends = np.cumsum(lens)
-                packed = memoryview(ids.astype("<u4").tobytes())
+                shard = Shard(data.as_py(), coder, crc)
+                doc, lens, ends = shard.doc, shard.lens, shard.ends
+                packed = memoryview(shard.ids().astype("<u4").tobytes())
                 sums = [zlib.crc32(packed[4 * (e - n) : 4 * e]) for e, n in zip(ends.tolist(), lens.tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64(), mask=doc == NULL_ID), pa.array(ends - lens + before[p]), pa.array(lens), pa.array(sums, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
     return store.shards.select("shard", "data").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+
+
+def documents(store: Store, wanted: DataFrame, *, id_col: str = "doc_id") -> DataFrame:
+    """(doc_id, ids) of the wanted documents: each shard decodes from the checkpoints before them, not as a whole.
+
+    A wanted doc_id that the store lacks gives no row, one that it has several times gives as many;
+    asking twice is asking once. A null doc_id asks for the documents without one.
+    """
+    spark = wanted.sparkSession
+    shared, crc = spark.sparkContext.broadcast((store.freq, store.cuts)), zlib.crc32(store.freq.tobytes())
+
+    def place(batches):
+        import pyarrow as pa
+
+        cuts = shared.value[1]
+        for b in batches:
+            doc = np.array([NULL_ID if x is None else x for x in b.column(0).to_pylist()], np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.searchsorted(cuts, doc, side="left").astype(np.int32)), pa.array(doc)], names=["shard", "doc"])
+
+    asked = wanted.select(F.col(id_col).cast("long")).distinct().mapInArrow(place, "shard int, doc long").groupBy("shard").agg(F.collect_list("doc").alias("docs"))
+    both = store.shards.select("shard", "data").join(asked.hint("merge"), "shard")
+
+    def run(batches):
+        import pyarrow as pa
+
+        coder = Coder(shared.value[0])
+        for b in batches:
+            for data, docs in zip(b.column(1), b.column(2).to_pylist(), strict=True):
+                shard = Shard(data.as_py(), coder, crc)
+                for i in np.flatnonzero(np.isin(shard.doc, np.array(docs, np.int64))).tolist():
+                    ids = shard.ids(int(shard.ends[i] - shard.lens[i]), int(shard.ends[i]))
+                    doc = None if shard.doc[i] == NULL_ID else int(shard.doc[i])
+                    yield pa.RecordBatch.from_arrays([pa.array([doc], pa.int64()), pa.array([ids.tolist()], pa.list_(pa.int64()))], names=["doc_id", "ids"])
+
+    return both.select("shard", "data", "docs").mapInArrow(run, "doc_id long, ids array<long>")
