@@ -13,6 +13,9 @@ from pyspark.sql import types as T
 #: Rows and bytes of text that a Python task handles before it emits.
 PIECE_ROWS, PIECE_BYTES = 2000, 16 << 20
 
+#: Shuffle partitions for each core at most, and sampled rows for each range.
+PARTS_A_CORE, SAMPLED = 64, 20
+
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 
 
@@ -73,17 +76,36 @@ def size_of(df: DataFrame, text_col: str) -> tuple[int, int]:
 
 
 def parts_for(df: DataFrame, n_bytes: int, part_bytes: int) -> int:
-    """Partitions so that each holds about `part_bytes`, but no fewer than the session's shuffles."""
-    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n_bytes // part_bytes), 1)
+    """Partitions so that each holds about `part_bytes`, but no fewer than the session's shuffles and no more than PARTS_A_CORE for each core.
+
+    Where the second bound holds, partitions are larger than `part_bytes`: what reads them must
+    stream through them.
+    """
+    spark = df.sparkSession
+    least = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
+    return max(least, min(-(-n_bytes // part_bytes), PARTS_A_CORE * spark.sparkContext.defaultParallelism))
 
 
-def range_cuts(df: DataFrame, col: str, n: int) -> np.ndarray:
-    """At most n-1 ascending cut points of an integer column; part i holds cut[i-1] < value <= cut[i]."""
-    if n <= 1:
+def range_cuts(df: DataFrame, col: str, n: int, n_rows: int) -> np.ndarray:
+    """At most n-1 ascending cut points of an integer column; part i holds cut[i-1] < value <= cut[i].
+
+    Cut from a sample of about SAMPLED rows for each part, of all rows where there are no more: what
+    comes to the driver grows with the parts, not with the rows.
+    """
+    if n <= 1 or not n_rows:
         return np.array([], dtype=np.int64)
-    share = [i / n for i in range(1, n)]
-    found = df.agg(F.percentile_approx(F.col(col), share, 20 * n)).first()[0] or []
-    return np.unique(np.array(found, dtype=np.int64))
+    rows = df.select(F.col(col).cast("long").alias("v")).where("v is not null")
+    share = SAMPLED * n / n_rows
+    found = np.sort((rows.sample(share, 7) if share < 1 else rows).toPandas()["v"].to_numpy(np.int64))
+    return np.unique(found[(np.arange(1, n) * len(found)) // n]) if len(found) else found
+
+
+def unused(name: str, df: DataFrame) -> str:
+    """A column name that the table does not have yet, whatever the case of its letters."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def hash_words(cache: dict, tokens: list[bytes]) -> np.ndarray:

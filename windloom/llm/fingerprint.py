@@ -17,11 +17,12 @@ import hashlib
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from windloom.llm.common import annotate, parts_for, pieces, range_cuts, raw, size_of, sliding_min
+from windloom.session import landed
 
 GRAM, WINDOW = 16, 32
 #: Bytes of text in one range of documents.
@@ -100,30 +101,27 @@ def compare_neighbours(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
 
     Documents are dealt to ranges of doc_id by one shuffle and sorted inside; the first document of
     a range also goes to the range before it (that of the first one to the last), so each task
-    streams through its range and holds two texts at a time. Null doc_ids sort first, equal ones by
-    text. An empty table gives no rows; a single document follows itself.
+    streams through its range and holds two texts at a time, whatever the range's size. Null doc_ids
+    sort first, equal ones by text. An empty table gives no rows; a single document follows itself.
+    `positions` are those of `fingerprint`, in code points.
     """
     order = F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID))
     base = docs.select(order.alias("ord"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    _, n_bytes = size_of(docs, text_col)
-    cuts = range_cuts(base, "ord", parts_for(docs, n_bytes, PART_BYTES))
+    n_rows, n_bytes = size_of(docs, text_col)
+    cuts = range_cuts(base, "ord", parts_for(docs, n_bytes, PART_BYTES), n_rows)
 
     @F.pandas_udf("int")
     def part_of(ids: pd.Series) -> pd.Series:
         return pd.Series(np.searchsorted(cuts, ids.to_numpy(), side="left").astype(np.int32))
 
-    # The first document of each range and the range before it: a row for each range.
-    firsts = np.array(sorted((r["ord"], r["part"]) for r in base.select("ord", part_of("ord").alias("part")).groupBy("part").agg(F.min("ord").alias("ord")).collect()), np.int64).reshape(-1, 2)
-    lead, previous = firsts[:, 0], np.roll(firsts[:, 1], 1)
-
-    @F.pandas_udf("int")
-    def part_before(ids: pd.Series) -> pd.Series:
-        return pd.Series(previous[np.searchsorted(lead, ids.to_numpy(), side="right") - 1].astype(np.int32))
-
-    own = F.struct(F.col("part"), F.lit(0).alias("peek"))
-    ahead = F.struct(F.col("before").alias("part"), F.when(F.col("ord") == F.lit(int(lead[0]) if len(lead) else 0), 2).otherwise(1).alias("peek"))
-    placed = base.select("ord", "text", part_of("ord").alias("part"), part_before("ord").alias("before"))
-    placed = placed.select("ord", "text", F.explode(F.when(F.col("ord").isin(lead.tolist()), F.array(own, ahead)).otherwise(F.array(own))).alias("to"))
+    # The first doc_id of each range, with the range before it: a row for each range, so no more than the shuffle has partitions.
+    firsts = base.groupBy(part_of("ord").alias("own")).agg(F.min("ord").alias("first"))
+    whole = Window.partitionBy(F.lit(0)).orderBy("own")
+    before = F.lag("own").over(whole)
+    firsts = landed(firsts.select("first", F.coalesce(before, F.last("own").over(whole.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).alias("before"), F.when(before.isNull(), 2).otherwise(1).alias("peek")), "range-firsts")
+    placed = base.select("ord", "text", part_of("ord").alias("part")).join(F.broadcast(firsts), F.col("ord") == F.col("first"), "left")
+    own, ahead = F.struct(F.col("part"), F.lit(0).alias("peek")), F.struct(F.col("before").alias("part"), F.col("peek"))
+    placed = placed.select("ord", "text", F.explode(F.when(F.col("before").isNotNull(), F.array(own, ahead)).otherwise(F.array(own))).alias("to"))
     placed = placed.select("ord", "text", F.col("to.part").alias("part"), F.col("to.peek").alias("peek"))
     # peek 2 is the first document of all, which follows the last one.
     stream = placed.repartitionById(len(cuts) + 1, F.col("part")).sortWithinPartitions(F.col("peek") == 2, "ord", "text", "peek")
@@ -131,25 +129,27 @@ def compare_neighbours(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     def run(batches):
         yield from _compared(batches, k, w)
 
-    return stream.select("ord", "text", "peek").mapInArrow(run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    return stream.select("ord", "text", "peek").mapInArrow(run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, positions array<long>")
 
 
 def _compared(batches, k: int, w: int):
     """Rows of a range in order, each with the one after it; looked-ahead rows give no row of their own."""
     import pyarrow as pa
 
-    names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
+    names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "positions"]
     last, rows = None, []
 
     def row(now, following):
-        (doc, text, cp, h), (_, other, _, h_next) = now[:4], following[:4]
+        (doc, text, cp, (h, places)), (_, other, _, (h_next, _)) = now[:4], following[:4]
         changed = edited(text, other)
         h_edit = winnow(points(changed), k, w)[0]
-        return doc, len(cp), hashlib.sha256(changed.encode("utf-8", "surrogatepass")).hexdigest(), as_text(h), as_text(h_edit), likeness(h, h_edit), likeness(h, h_next)
+        return doc, len(cp), hashlib.sha256(changed.encode("utf-8", "surrogatepass")).hexdigest(), as_text(h), as_text(h_edit), likeness(h, h_edit), likeness(h, h_next), places
 
     def batch():
         cols = [pa.array([r[0] for r in rows], pa.int64(), mask=np.array([r[0] == NULL_ID for r in rows], bool)), pa.array([r[1] for r in rows], pa.int64())]
         cols += [pa.array([r[i] for r in rows], pa.string()) for i in range(2, 5)] + [pa.array([r[i] for r in rows], pa.float64()) for i in (5, 6)]
+        ends = np.cumsum([0, *(len(r[7]) for r in rows)])
+        cols.append(pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(np.concatenate([r[7] for r in rows]))))
         return pa.RecordBatch.from_arrays(cols, names=names)
 
     for whole in batches:
@@ -157,7 +157,7 @@ def _compared(batches, k: int, w: int):
             for doc, raw_text, peek in zip(b.column(0).to_pylist(), raw(b.column(1)), b.column(2).to_pylist(), strict=True):
                 text = raw_text.decode("utf-8", "replace")
                 cp = points(text)
-                now = (doc, text, cp, winnow(cp, k, w)[0], peek)
+                now = (doc, text, cp, winnow(cp, k, w), peek)
                 if last and not last[4]:
                     rows.append(row(last, now))
                 if not (last and peek and last[4]):  # of several looked-ahead rows the first one counts

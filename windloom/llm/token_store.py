@@ -293,9 +293,9 @@ class Store:
 def write(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", text_col: str = "text", end_id: int = 1) -> Store:
     n_vocab = vocabulary(tokenizer)
     dtype = "<u2" if n_vocab <= 65536 else "<u4"
-    _, n_bytes = size_of(docs, text_col)
-    n = parts_for(docs, n_bytes, SHARD_BYTES)
-    cuts = range_cuts(docs.select(F.col(id_col).cast("long").alias("i")), "i", n)
+    n_rows, n_bytes = size_of(docs, text_col)
+    n = -(-n_bytes // SHARD_BYTES)
+    cuts = range_cuts(docs, id_col, max(n, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))), n_rows)
     tokens = landed(tokenised(docs, id_col, text_col, tokenizer, end_id, cuts, dtype), "token-ids", "none")
     freq = table(counted(tokens, n_vocab, dtype))
     shared, crc = docs.sparkSession.sparkContext.broadcast(freq), zlib.crc32(freq.tobytes())
@@ -303,16 +303,26 @@ def write(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", text_col:
     def run(batches):
         import pyarrow as pa
 
-        parts: dict[int, list] = {}
+        coder, now, held = Coder(shared.value), None, []
+
+        def close():
+            data, n_ids = shard_file([unpacked(x, dtype) for x in held], coder, crc)
+            return pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([n_ids], pa.int64()), pa.array([data], pa.binary())], names=["shard", "n_ids", "data"])
+
         for b in batches:
             for p, blob in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                parts.setdefault(p, []).append(blob)
-        coder = Coder(shared.value)
-        for p, blobs in parts.items():
-            data, n_ids = shard_file([unpacked(x, dtype) for x in blobs], coder, crc)
-            yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), pa.array([n_ids], pa.int64()), pa.array([data], pa.binary())], names=["shard", "n_ids", "data"])
-
-    shards = landed(tokens.repartitionById(len(cuts) + 1, F.col("shard")).mapInArrow(run, "shard int, n_ids long, data binary"), "token-shards", "none")
+                if p != now and held:
+                    yield close()
+                    held = []
+                now = p
+                held.append(blob)
+        if held:
+            yield close()
+
+    # A partition works through its shards one after another.
+    n_parts = min(len(cuts) + 1, parts_for(docs, n_bytes, SHARD_BYTES))
+    dealt = tokens.repartitionById(n_parts, (F.col("shard") * F.lit(n_parts) / F.lit(len(cuts) + 1)).cast("int")).sortWithinPartitions("shard")
+    shards = landed(dealt.mapInArrow(run, "shard int, n_ids long, data binary"), "token-shards", "none")
     before, at = {}, 0
     for r in sorted(shards.select("shard", "n_ids").collect()):  # a row for each shard, so one for each 16 MB of text
         before[r["shard"]], at = at, at + r["n_ids"]
