@@ -274,6 +274,40 @@ def test_packing_keeps_its_constraints(spark):
     assert packing.best_fit(docs.where("false")).count() == 0
 
 
+def test_packing_of_repeated_and_null_ids(spark):
+    full, part = " ".join(["x"] * 100), " ".join(["y"] * 40)
+    rows = [(1, full, "a", 1)] * 2 + [(None, full, None, 2)] * 3 + [(1, part, "a", 3)] * 5 + [(None, part, None, 4)] * 5 + [(None, None, None, None)] * 2
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, row long")
+    placed = packing.best_fit(docs, capacity=100, group_words=200).collect()
+    assert len(placed) == len(rows) and len({r["row"] for r in placed}) == len(rows)
+    bins = {}
+    for r in placed:
+        bins.setdefault(r["bin_id"], []).append(r)
+    assert len(bins.pop(None)) == 2
+    for inside in bins.values():  # equal texts never share a bin
+        assert len(inside) == 1 and inside[0]["bin_offset"] == 0
+
+
+def naive_best_fit(pieces, capacity, limit):
+    """Of all bins without conflict that have room, the fullest one, the oldest of equally full ones."""
+    bins, out = [], []
+    for size, cluster, source in pieces:
+        fits = [(capacity - sum(s for s, _, _ in b) - size, i) for i, b in enumerate(bins) if sum(s for s, _, _ in b) + size <= capacity and cluster not in [c for _, c, _ in b] and [s for _, _, s in b].count(source) < limit]
+        at = min(fits)[1] if fits else len(bins)
+        if at == len(bins):
+            bins.append([])
+        out.append((at, sum(s for s, _, _ in bins[at])))
+        bins[at].append((size, cluster, source))
+    return out
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_packing_is_best_fit(seed):
+    rng = random.Random(seed)
+    pieces = sorted(((rng.randint(1, 60), b"%d" % rng.randrange(150), f"s{rng.randrange(9)}") for _ in range(300)), key=lambda p: -p[0])
+    assert packing.pack_group(pieces, 100, 2) == naive_best_fit(pieces, 100, 2)
+
+
 def test_best_fit_takes_the_tightest_compatible_bin():
     bins = packing.Bins(10, 9)
     assert bins.place(7, 1, 1)[0] == 0 and bins.place(8, 2, 1)[0] == 1
@@ -410,6 +444,16 @@ def test_neighbours(spark):
     for (d, a), (_, b) in zip(order, [*order[1:], order[0]], strict=True):
         want[None if d < 0 else d, len(a), hashlib.sha256(fingerprint.edited(a, b).encode()).hexdigest()] += 1
     assert Counter((r["doc_id"], r["n_chars"], r["edited_sha256"]) for r in got) == want
+    texts_of = {}
+    for (d, a), (_, b) in zip(order, [*order[1:], order[0]], strict=True):
+        texts_of.setdefault((None if d < 0 else d, hashlib.sha256(fingerprint.edited(a, b).encode()).hexdigest()), (a, b))
+    for r in got:  # likeness and fingerprints from chosen hashes, counted by hand
+        a, b = texts_of[r["doc_id"], r["edited_sha256"]]
+        x, y, z = (Counter(fingerprint.winnow(fingerprint.points(t))[0].tolist()) for t in (a, fingerprint.edited(a, b), b))
+        alike = lambda p, q: sum((p & q).values()) / sum((p | q).values()) if p or q else 1.0
+        assert (r["near_edited"], r["near_next"]) == (alike(x, y), alike(x, z))
+        hashes, places = fingerprint.winnow(fingerprint.points(a))
+        assert r["fingerprint"] == "".join(f"{h:08x}" for h in hashes.tolist()) and r["positions"] == places.tolist()
     same = {r["fingerprint"] for r in got if r["doc_id"] in (0, 50)}
     assert len(same) == 1 and all(0 <= r[c] <= 1 for r in got for c in ("near_edited", "near_next"))
     assert fingerprint.compare_neighbours(docs.where("false")).count() == 0

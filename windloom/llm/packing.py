@@ -7,12 +7,15 @@ tightest bin that has room and goes on to the next larger residual until a bin w
 found; else a new bin is opened. No bin holds two pieces of a duplicate cluster, nor more than
 SOURCE_LIMIT pieces of a source.
 
-Pieces are dealt to packing groups by a hash of their cluster's document, each group of a bounded
-number of words; groups are packed independently, and a bin's id names its group. Only piece sizes
-travel, never text. A duplicate cluster is an equal word sequence (A-Z lower-cased).
+Every input row gets a number, `row`, when its size is written out. Pieces are dealt to packing
+groups by a hash of document, cluster and row, each group of a bounded number of words; groups are
+packed independently, and a bin's id names its group. Only piece sizes travel, never text. A
+duplicate cluster is an equal word sequence (A-Z lower-cased).
 
 Null or empty texts give one row without a bin. A null source is a source of its own. Rows that
-share a doc_id are separate documents told apart by `row_key`. Empty tables give no rows.
+share a doc_id, or have none, are separate documents told apart by `row`: copies of one row spread
+over the groups, and no two share a bin. Row numbers, and so groups and bins, follow the way the
+input is split into tasks. Empty tables give no rows. Extra columns are not read.
 """
 
 from __future__ import annotations
@@ -23,15 +26,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from windloom.llm.common import LOWER, annotate
+from windloom.llm.common import LOWER, annotate, parts_for
 from windloom.session import landed
 
 CAPACITY, SOURCE_LIMIT = 2048, 2
-#: Words of one packing group, so about GROUP_WORDS / CAPACITY bins.
-GROUP_WORDS = 1 << 20
+#: Words of one packing group, so about GROUP_WORDS / CAPACITY bins; bytes that a piece takes on its
+#: way to its group, and of them in a partition, which works through its groups one after another.
+GROUP_WORDS, PIECE_BYTES, PART_BYTES = 1 << 20, 64, 1 << 20
 
 FIELDS = T.StructType([T.StructField("n_words", T.LongType()), T.StructField("cluster", T.BinaryType())])
-PLACED = "doc_id long, piece long, word_start long, n_words long, bin_id string, bin_offset long"
+PLACED = "doc_id long, row long, piece long, word_start long, n_words long, bin_id string, bin_offset long"
 
 
 class Bins:
@@ -75,7 +79,7 @@ def pack_group(pieces: list[tuple], capacity: int, source_limit: int = SOURCE_LI
 
 
 def sized(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
-    """(doc_id, source, n_words, cluster) of each document; text stays behind."""
+    """(doc_id, source, n_words, cluster, row) of each document; text stays behind."""
 
     def make():
         import xxhash
@@ -90,44 +94,42 @@ def sized(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataF
         return work
 
     found = annotate(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), F.col(text_col).alias("text")), ["text"], "m", FIELDS, make, keep=["doc_id", "source"])
-    return found.select("doc_id", "source", "m.n_words", "m.cluster")
+    return found.select("doc_id", "source", "m.n_words", "m.cluster", F.monotonically_increasing_id().alias("row"))
 
 
 def best_fit(docs: DataFrame, *, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", source_limit: int = SOURCE_LIMIT, group_words: int = GROUP_WORDS) -> DataFrame:
-    """(doc_id, piece, word_start, n_words, bin_id, bin_offset) for every piece of every document."""
+    """(doc_id, row, piece, word_start, n_words, bin_id, bin_offset) for every piece of every document."""
     sizes = landed(sized(docs, id_col, text_col, source_col), "sizes")
-    total = sizes.agg(F.coalesce(F.sum("n_words"), F.lit(0))).first()[0]
-    groups = max(1, -(-total // group_words))
     n_pieces = F.greatest(F.lit(1), F.ceil(F.col("n_words") / capacity)).cast("long")
+    total = sizes.agg(F.coalesce(F.sum("n_words"), F.lit(0)), F.coalesce(F.sum(n_pieces), F.lit(0))).first()
+    groups = max(1, -(-total[0] // group_words))
     pieces = sizes.withColumn("piece", F.explode(F.sequence(F.lit(0).cast("long"), n_pieces - 1)))
-    pieces = pieces.select("doc_id", "source", "cluster", "piece", (F.col("piece") * capacity).alias("word_start"), F.least(F.lit(capacity), F.col("n_words") - F.col("piece") * capacity).cast("long").alias("n_words"))
+    pieces = pieces.select("doc_id", "row", "source", "cluster", "piece", (F.col("piece") * capacity).alias("word_start"), F.least(F.lit(capacity), F.col("n_words") - F.col("piece") * capacity).cast("long").alias("n_words"))
     alone = F.col("n_words").isin(0, capacity)
-    doc = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
-    full = pieces.where(alone).select("doc_id", "piece", "word_start", "n_words", F.when(F.col("n_words") > 0, F.concat_ws("-", F.lit("full"), doc, F.col("piece").cast("string"))).alias("bin_id"), F.lit(0).cast("long").alias("bin_offset"))
-    # The group comes from the document, so copies spread over the groups.
-    rest = pieces.where(~alone).withColumn("grp", F.pmod(F.xxhash64("doc_id", "cluster"), F.lit(groups)).cast("int"))
-    n_parts = min(groups, 4096)
-    dealt = rest.repartitionById(n_parts, F.col("grp") % n_parts).sortWithinPartitions("grp", F.desc("n_words"), F.col("doc_id").asc_nulls_first(), "cluster", F.col("source").asc_nulls_first())
+    full = pieces.where(alone).select("doc_id", "row", "piece", "word_start", "n_words", F.when(F.col("n_words") > 0, F.concat_ws("-", F.lit("full"), F.col("row").cast("string"), F.col("piece").cast("string"))).alias("bin_id"), F.lit(0).cast("long").alias("bin_offset"))
+    rest = pieces.where(~alone).withColumn("grp", F.pmod(F.xxhash64("doc_id", "cluster", "row"), F.lit(groups)))
+    n_parts = min(groups, parts_for(docs, total[1] * PIECE_BYTES, PART_BYTES))
+    dealt = rest.repartitionById(n_parts, (F.col("grp") % n_parts).cast("int")).sortWithinPartitions("grp", F.desc("n_words"), F.col("doc_id").asc_nulls_first(), "cluster", F.col("source").asc_nulls_first(), "row")
 
     def run(batches):
         held: list = []
         for b in batches:
-            for row in zip(*(b.column(i).to_pylist() for i in range(7)), strict=True):
-                if held and held[0][6] != row[6]:
+            for row in zip(*(b.column(i).to_pylist() for i in range(8)), strict=True):
+                if held and held[0][7] != row[7]:
                     yield _placed(held, capacity, source_limit)
                     held = []
                 held.append(row)
         if held:
             yield _placed(held, capacity, source_limit)
 
-    packed = dealt.select("doc_id", "piece", "word_start", "n_words", "cluster", "source", "grp").mapInArrow(run, PLACED)
+    packed = dealt.select("doc_id", "row", "piece", "word_start", "n_words", "cluster", "source", "grp").mapInArrow(run, PLACED)
     return full.unionByName(packed)
 
 
 def _placed(rows: list[tuple], capacity: int, source_limit: int):
     import pyarrow as pa
 
-    at = pack_group([(r[3], r[4], r[5]) for r in rows], capacity, source_limit)
-    columns = [pa.array([r[i] for r in rows], pa.int64()) for i in range(4)]
-    columns += [pa.array([f"{rows[0][6]}-{b}" for b, _ in at]), pa.array([o for _, o in at], pa.int64())]
-    return pa.RecordBatch.from_arrays(columns, names=["doc_id", "piece", "word_start", "n_words", "bin_id", "bin_offset"])
+    at = pack_group([(r[4], r[5], r[6]) for r in rows], capacity, source_limit)
+    columns = [pa.array([r[i] for r in rows], pa.int64()) for i in range(5)]
+    columns += [pa.array([f"{rows[0][7]}-{b}" for b, _ in at]), pa.array([o for _, o in at], pa.int64())]
+    return pa.RecordBatch.from_arrays(columns, names=["doc_id", "row", "piece", "word_start", "n_words", "bin_id", "bin_offset"])
