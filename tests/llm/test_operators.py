@@ -332,13 +332,13 @@ def brute_contamination(text, items, window=13):
     return len(w), sum(hit), sorted(ids)
 
 
-@pytest.mark.parametrize("block", [64 << 10, 150])
-def test_decontamination(spark, docs, mixed, monkeypatch, block):
-    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", block)
+@pytest.mark.parametrize(("item_bytes", "sent_bytes"), [(1 << 20, 64 << 20), (100, 64 << 20), (100, 150)])
+def test_decontamination(spark, docs, mixed, item_bytes, sent_bytes):
     pool = [r[1] for r in mixed if r[1] and len(r[1].split()) > 25]
     items = [(1, " ".join(pool[0].split()[3:20])), (2, "ONE, two!"), (3, pool[5].upper() + " tail"), (4, None), (5, "..."), (1, " ".join(pool[2].split()[:14]))]
     bench = spark.createDataFrame([*items, (None, "one")], "item_id long, text string")
-    found = decontaminate.contamination(docs, bench)
+    docs = docs.withColumn("handed", F.lit(1)).withColumn("contamination__handed", F.lit(2))
+    found = decontaminate.contamination(docs, bench, item_bytes=item_bytes, sent_bytes=sent_bytes)
     got = found.select("doc_id", "text", "contamination").collect()
     assert found.columns[-1] == "contamination" and len(got) == len(mixed)
     for r in got:
@@ -347,6 +347,22 @@ def test_decontamination(spark, docs, mixed, monkeypatch, block):
         spans = [r["text"][s["start"] : s["end"]] for s in c["spans"]]
         assert sum(len(decontaminate.normal_words(s.encode())) for s in spans) == c["n_hit"]
     assert decontaminate.contamination(docs.where("false"), bench).count() == 0
+
+
+def test_codes_of_many_words_are_aligned():
+    words = [b"w%d" % i for i in range(40_000)]
+    items = [(i, b" ".join(words[i * 20 : i * 20 + 20])) for i in range(2000)]
+    scanner = decontaminate.Scanner(items, 13)
+    assert scanner.width == 3 and len(set(scanner.codes.values())) == 40_000
+    rng = random.Random(4)
+    for _ in range(200):
+        i = rng.randrange(2000)
+        line = [rng.choice([b"x", rng.choice(words)]) for _ in range(30)] + words[i * 20 + 3 : i * 20 + 18] + [b"y"]
+        assert scanner.scan(line)[1] == {i} and decontaminate.merged(scanner.scan(line)[0]) == [(30, 45)]
+
+
+def test_decontamination_without_items(docs, spark):
+    bench = spark.createDataFrame([(1, "one two")], "item_id long, text string")
     assert decontaminate.contamination(docs, bench.where("false")).where("contamination.n_hit > 0").count() == 0
 
 

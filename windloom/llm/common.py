@@ -33,14 +33,14 @@ def raw(column: pa.Array) -> list[bytes | None]:
     return column.to_pylist()
 
 
-def pieces(batch: pa.RecordBatch, rows: int = PIECE_ROWS) -> Iterator[pa.RecordBatch]:
+def pieces(batch: pa.RecordBatch, rows: int = PIECE_ROWS, n_bytes: int = PIECE_BYTES) -> Iterator[pa.RecordBatch]:
     """Slices of bounded rows and bytes; one row may be larger than the bound by itself."""
-    step = max(1, min(rows, int(batch.num_rows * PIECE_BYTES / max(1, batch.nbytes))))
+    step = max(1, min(rows, int(batch.num_rows * n_bytes / max(1, batch.nbytes))))
     for at in range(0, batch.num_rows, step):
         yield batch.slice(at, step)
 
 
-def annotate(df: DataFrame, inputs: list[str], out: str, fields: T.StructType, make: Callable, keep: list[str] | None = None) -> DataFrame:
+def annotate(df: DataFrame, inputs: list[str], out: str, fields: T.StructType, make: Callable, keep: list[str] | None = None, piece: tuple[int, int] = (PIECE_ROWS, PIECE_BYTES)) -> DataFrame:
     """Append struct column `out`, made row by row from `inputs` in one Arrow pass without a shuffle.
 
     `make()` is called once a task and gives a function from lists of input values (strings as
@@ -60,7 +60,7 @@ def annotate(df: DataFrame, inputs: list[str], out: str, fields: T.StructType, m
         kind = to_arrow_type(fields)
         work = make()
         for whole in batches:
-            for b in pieces(whole):
+            for b in pieces(whole, *piece):
                 rows = work(*[raw(b.column(i)) for i in at])
                 parts = [pa.array([r[i] for r in rows], type=kind.field(i).type) for i in range(kind.num_fields)]
                 made = pa.StructArray.from_arrays(parts, fields=[kind.field(i) for i in range(kind.num_fields)])
