@@ -1,4 +1,10 @@
-"""The training-data pipeline: five stages over documents, each written as Parquet and read again."""
+"""The training-data pipeline: five stages over documents, each written as Parquet and read again.
+
+Null and empty texts pass every stage and end in no bin. Rows without a doc_id are judged for
+toxicity, lines and contamination and always pass near dedup; rows that share one go or stay
+together there. An empty table passes as an empty one. Extra columns are carried to the last stage,
+whatever their names.
+"""
 
 from __future__ import annotations
 
@@ -8,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from windloom.llm import decontaminate, labelled, line_dedup, near_dedup, packing, toxicity
+from windloom.llm.common import unused
 from windloom.operators.graph import connected_components
 from windloom.session import landed
 
@@ -20,8 +27,9 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     """Documents whose toxicity is below the threshold. The lexicon is learned from the stage's own documents and their labels."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     lexicon = toxicity.learn(labelled.training_rows(docs, labels, "toxic"))
-    scored = toxicity.matched(docs, lexicon, out="__toxicity")
-    return scored.where(F.col("__toxicity.score") < TOXIC_AT).select(*[F.col(f"`{c}`") for c in docs.columns])
+    judged = unused("toxicity", docs)
+    scored = toxicity.matched(docs, lexicon, out=judged)
+    return scored.where(F.col(f"{judged}.score") < TOXIC_AT).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,18 +52,19 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     found = [near_dedup.near_duplicates(docs, shingle=n, percent=p).where("doc_id <> component_id").select(F.col("component_id").alias("a"), F.col("doc_id").alias("b")).distinct() for n, p in NEAR_RULES]
     groups = connected_components(landed(reduce(DataFrame.unionByName, found), "near-links"))
-    gone = groups.where("id <> component").select(F.col("id").alias("__gone"))
-    return docs.join(gone.hint("merge"), F.col("doc_id") == F.col("__gone"), "left_anti")
+    gone = groups.where("id <> component").select(F.col("id").alias("doc_id"))
+    return docs.join(gone.hint("merge"), "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def contamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the contamination rule leaves."""
-    found = decontaminate.contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), out="__contamination")
-    return found.where(~decontaminate.is_contaminated(F.col("__contamination"))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    judged = unused("contamination", docs)
+    found = decontaminate.contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), out=judged)
+    return found.where(~decontaminate.is_contaminated(F.col(judged))).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Where each piece of each document goes: doc_id, piece, word_start, n_words, bin_id, bin_offset."""
+    """Where each piece of each document goes: doc_id, row, piece, word_start, n_words, bin_id, bin_offset."""
     return packing.best_fit(docs)
 
 
