@@ -27,10 +27,10 @@ def test_pipeline_stage_judges_short_lines(spark):
     assert sum("Les." in t for t in got.values()) == 1 and sum("rare" in t for t in got.values()) == 4
 
 
-def test_op2_of_all_lines_equals_sql_and_brute_force(spark, data):
-    got = {r["doc_id"]: (r["n_removed"], r["text"]) for r in queries.op2_line_dedup_all(spark, data).collect()}
+def test_op2_equals_sql_and_brute_force(spark, data):
+    got = {r["doc_id"]: (r["n_removed"], r["text"]) for r in queries.op2_line_dedup(spark, data).collect()}
     con = duckdb.connect()
     con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{data}/documents.parquet')")
-    assert got == {d: (n, t) for d, n, t in con.execute(queries.ORACLES["op2_line_dedup_all"]).fetchall()}
+    assert got == {d: (n, t) for d, n, t in con.execute(queries.ORACLES["op2_line_dedup"]).fetchall()}
     rows = con.execute("SELECT doc_id, text, source FROM documents").fetchall()
     assert {d: t for d, (_, t) in got.items()} == brute_lines(rows)

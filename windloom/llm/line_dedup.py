@@ -1,17 +1,18 @@
 """Line dedup by distinct-site spread: lines that many sites share are boilerplate.
 
-Each line (trimmed of ASCII white space, of min_chars code points or more) is known by a 64-bit hash.
-The default floor MIN_CHARS is that of the op2 query's SQL; EVERY_LINE judges all lines but blank ones.
-HyperLogLog sketches of the sites that show it merge by aggregation, partially before the shuffle,
-so a line on a third of all rows costs one sketch a task. A line whose estimate is far above or
-below the threshold is decided by it; lines near it get exact distinct counts. A boilerplate line
-stays in the document with the smallest doc_id that has it and goes from all others.
+Each line (trimmed of ASCII white space, of min_chars code points or more; EVERY_LINE takes all but
+blank ones) is known by 128 bits of hash. Lines of fewer
+documents than sites are needed, or of one site alone, go at the first count. The rest get
+HyperLogLog sketches of the sites that show them, merged by aggregation, partially before the
+shuffle, so a line on a third of all rows costs one sketch a task. A line whose estimate is far
+above or below the threshold is decided by it; lines near it get exact distinct counts. A boilerplate
+line stays in the document with the smallest doc_id that has it and goes from all others.
 
 Everything is DataFrame functions. A null or empty text has no lines and stays as it is. Null sites
-are not counted. Rows with a null doc_id lose boilerplate but never count as the first. Rows that
-share a doc_id are treated alike: in the first document's rows the line stays, as often as it is
-there. A text from which nothing goes is returned unchanged. Empty tables give no rows; other
-columns are carried along, whatever their names.
+are not counted. Rows with a null doc_id lose boilerplate but never count as the first; they are told
+apart by their texts. Rows that share a doc_id are treated alike: in the first document's rows the
+line stays, as often as it is there. A text from which nothing goes is returned unchanged. Empty
+tables give no rows; other columns are carried along, whatever their names.
 """
 
 from __future__ import annotations
@@ -19,6 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from windloom.llm.common import unused
 from windloom.session import landed
 
 MIN_SITES, MIN_CHARS, EVERY_LINE = 5, 30, 1
@@ -37,21 +39,33 @@ def trimmed(line: Column) -> Column:
     return F.btrim(line, F.lit(BLANKS))
 
 
-def line_hash(line: Column) -> Column:
-    return F.xxhash64(trimmed(line))
+def line_key(line: Column) -> Column:
+    """128 bits of a trimmed line."""
+    return F.struct(F.xxhash64(line).alias("h"), F.xxhash64(F.lit("line"), line).alias("g"))
 
 
-def boilerplate(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source", min_sites: int = MIN_SITES, min_chars: int = MIN_CHARS) -> DataFrame:
-    """(h, first_doc): lines shown by min_sites or more distinct sites, and the first document with them."""
-    shown = docs.select(F.col(id_col).alias("doc"), F.col(site_col).cast("string").alias("site"), F.explode(F.array_distinct(F.filter(F.transform(lines_of(F.col(text_col)), trimmed), lambda x: F.char_length(x) >= min_chars))).alias("line"))
-    shown = shown.select("doc", "site", F.xxhash64("line").alias("h"))
-    # Lines seen in fewer documents than sites are needed cannot be spread; the rest get sketches.
-    spread = shown.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min("doc").alias("first_doc"), F.hll_sketch_estimate(F.hll_sketch_agg("site", F.lit(LG_K))).alias("sites")).where((F.col("n") >= min_sites) & (F.col("sites") >= NEAR_BELOW * min_sites))
-    spread = landed(spread, "line-spread")
-    near = spread.where(F.col("sites") < NEAR_ABOVE * min_sites).select("h", "first_doc")
-    pairs = shown.select("h", "site").where("site is not null").join(near.select("h").hint("merge"), "h", "left_semi").distinct()
-    exact = pairs.groupBy("h").agg(F.count(F.lit(1)).alias("exact")).where(F.col("exact") >= min_sites)
-    return spread.where(F.col("sites") >= NEAR_ABOVE * min_sites).select("h", "first_doc").unionByName(near.join(exact.hint("merge"), "h").select("h", "first_doc"))
+def document_key(doc: Column, text: Column) -> Column:
+    """doc_id, and for rows without one a hash of their text, so that they are not all one group."""
+    return F.struct(doc.alias("doc"), F.when(doc.isNull(), F.xxhash64(text)).alias("text"))
+
+
+def boilerplate_places(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source", min_sites: int = MIN_SITES, min_chars: int = MIN_CHARS) -> DataFrame:
+    """(doc, h, g, first_doc): each document with each of its lines that min_sites or more distinct sites show, and the first document with it."""
+    doc, text = F.col(f"`{id_col}`"), F.col(f"`{text_col}`")
+    lines = F.array_distinct(F.filter(F.transform(lines_of(text), trimmed), lambda x: F.char_length(x) >= min_chars))
+    shown = docs.select(document_key(doc, text).alias("doc"), F.col(f"`{site_col}`").cast("string").alias("site"), F.explode(lines).alias("line"))
+    shown = shown.select("doc", "site", line_key(F.col("line")).alias("k")).select("doc", "site", "k.h", "k.g")
+    # Only what more than one site and enough rows show can be spread; a row shows a line once here.
+    often = shown.groupBy("h", "g").agg(F.count(F.lit(1)).alias("n"), F.min("doc.doc").alias("first_doc"), F.min("site").alias("lo"), F.max("site").alias("hi"))
+    often = often.where((F.col("n") >= min_sites) & ((F.col("lo") < F.col("hi")) | F.lit(min_sites < 2))).select("h", "g", "first_doc")
+    places = landed(shown.join(often.hint("merge"), ["h", "g"]), "line-places")
+    # One row of each site for a task, then a sketch for each line.
+    sketches = places.groupBy("h", "g").agg(F.hll_sketch_estimate(F.hll_sketch_agg("site", F.lit(LG_K))).alias("sites")).where(F.col("sites") >= NEAR_BELOW * min_sites)
+    sketches = landed(sketches, "line-spread")
+    near = sketches.where(F.col("sites") < NEAR_ABOVE * min_sites).select("h", "g")
+    exact = places.where("site is not null").join(near.hint("merge"), ["h", "g"], "left_semi").select("h", "g", "site").distinct().groupBy("h", "g").agg(F.count(F.lit(1)).alias("exact"))
+    spread = sketches.where(F.col("sites") >= NEAR_ABOVE * min_sites).select("h", "g").unionByName(exact.where(F.col("exact") >= min_sites).select("h", "g"))
+    return places.join(spread.hint("merge"), ["h", "g"], "left_semi").select("doc", "h", "g", "first_doc")
 
 
 def remove_boilerplate(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source", min_sites: int = MIN_SITES, min_chars: int = MIN_CHARS, out_text: str | None = None, n_removed: str | None = None) -> DataFrame:
@@ -60,19 +74,19 @@ def remove_boilerplate(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     The text is replaced, or goes to `out_text`; `n_removed` names a column for the lines that went.
     The lines to remove come back to their documents as hashes, not as text.
     """
-    found = boilerplate(docs, id_col=id_col, text_col=text_col, site_col=site_col, min_sites=min_sites, min_chars=min_chars)
-    here = docs.select(F.col(id_col).alias("__doc"), F.explode(F.array_distinct(F.transform(F.filter(lines_of(F.col(text_col)), lambda x: F.char_length(trimmed(x)) >= min_chars), line_hash))).alias("h"))
-    later = here.join(found.hint("merge"), "h").where(~F.col("__doc").eqNullSafe(F.col("first_doc")))
-    gone = later.groupBy("__doc").agg(F.collect_set("h").alias("__gone"))
-    both = docs.join(gone.hint("merge"), F.col(f"`{id_col}`").eqNullSafe(F.col("__doc")), "left")
+    found = boilerplate_places(docs, id_col=id_col, text_col=text_col, site_col=site_col, min_sites=min_sites, min_chars=min_chars)
+    key, gone = unused("line_doc", docs), unused("line_gone", docs)
+    later = found.where(~F.col("doc.doc").eqNullSafe(F.col("first_doc"))).groupBy(F.col("doc").alias(key)).agg(F.collect_set(F.struct("h", "g")).alias(gone))
     text = F.col(f"`{text_col}`")
-    stays = lambda x: ~((F.char_length(trimmed(x)) >= min_chars) & F.array_contains(F.col("__gone"), line_hash(x)))
-    left = F.when(F.col("__gone").isNull() | text.isNull(), text).otherwise(F.array_join(F.filter(lines_of(text), stays), "\n"))
+    mine = document_key(F.col(f"`{id_col}`"), text)
+    both = docs.join(later.hint("merge"), F.col(f"{key}.doc").eqNullSafe(mine["doc"]) & F.col(f"{key}.text").eqNullSafe(mine["text"]), "left")
+    stays = lambda x: ~((F.char_length(trimmed(x)) >= min_chars) & F.array_contains(F.col(gone), line_key(trimmed(x))))
+    left = F.when(F.col(gone).isNull() | text.isNull(), text).otherwise(F.array_join(F.filter(lines_of(text), stays), "\n"))
     target = out_text or text_col
     columns = [left.alias(target) if c == target else F.col(f"`{c}`") for c in docs.columns]
     if target not in docs.columns:
         columns.append(left.alias(target))
     if n_removed:
         columns = [c for c, name in zip(columns, [*docs.columns, target], strict=False) if name != n_removed]
-        columns.append(F.when(F.col("__gone").isNull() | text.isNull(), F.lit(0)).otherwise(F.size(F.filter(lines_of(text), lambda x: ~stays(x)))).cast("long").alias(n_removed))
+        columns.append(F.when(F.col(gone).isNull() | text.isNull(), F.lit(0)).otherwise(F.size(F.filter(lines_of(text), lambda x: ~stays(x)))).cast("long").alias(n_removed))
     return both.select(*columns)

@@ -18,8 +18,9 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every line that is not blank is judged by its sites, however short."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    return line_dedup.remove_boilerplate(docs, n_removed="n_removed").select("doc_id", "n_removed", "text")
+    return line_dedup.remove_boilerplate(docs, min_chars=line_dedup.EVERY_LINE, n_removed="n_removed").select("doc_id", "n_removed", "text")
 
 
 LINE_DEDUP_SQL = f"""
@@ -27,7 +28,7 @@ LINE_DEDUP_SQL = f"""
         SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM {{documents}}
     ), cut AS (SELECT *, trim(line, ' ' || chr(9) || chr(11) || chr(12) || chr(13)) AS t FROM lines),
     spread AS (
-        SELECT t, min(doc_id) AS first_doc FROM cut WHERE length(t) >= {line_dedup.MIN_CHARS} GROUP BY t HAVING count(DISTINCT source) >= {line_dedup.MIN_SITES}
+        SELECT t, min(doc_id) AS first_doc FROM cut WHERE length(t) >= {line_dedup.EVERY_LINE} GROUP BY t HAVING count(DISTINCT source) >= {line_dedup.MIN_SITES}
     ), judged AS (
         SELECT doc_id, i, line, spread.t IS NOT NULL AND doc_id <> first_doc AS gone FROM cut LEFT JOIN spread USING (t)
     ), joined AS (
@@ -38,15 +39,6 @@ LINE_DEDUP_SQL = f"""
 """
 
 
-def op2_line_dedup_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every line that is not blank is judged by its sites, however short."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    return line_dedup.remove_boilerplate(docs, min_chars=line_dedup.EVERY_LINE, n_removed="n_removed").select("doc_id", "n_removed", "text")
-
-
-LINE_DEDUP_ALL_SQL = LINE_DEDUP_SQL.replace(f"length(t) >= {line_dedup.MIN_CHARS}", f"length(t) >= {line_dedup.EVERY_LINE}")
-
-
 def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = F.lit("\\### Assistant: </turn> ok")
     extra = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), said.alias("text"))
@@ -134,7 +126,6 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_line_dedup": op2_line_dedup,
-    "op2_line_dedup_all": op2_line_dedup_all,
     "op3_chat": op3_chat,
     "op5_packing": op5_packing,
     "op10_quality": op10_quality,
@@ -148,6 +139,5 @@ QUERIES = {
 
 ORACLES: dict[str, str] = {
     "op2_line_dedup": LINE_DEDUP_SQL.format(documents="documents"),
-    "op2_line_dedup_all": LINE_DEDUP_ALL_SQL.format(documents="documents"),
     "op3_chat": CHAT_SQL,
 }

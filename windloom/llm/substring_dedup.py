@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from windloom.llm.common import annotate, grams, mixed, parts_for, pieces, raw, size_of, sliding_min, words
+from windloom.llm.common import annotate, grams, mixed, parts_for, pieces, raw, size_of, sliding_min, unused, words
 
 WINDOW, MINIMISER = 20, 4
 #: Bytes of text for a bucket's share, buckets in a partition, windows in one packed string at most,
@@ -294,9 +294,10 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     """Append struct `out`: n_words, n_removed, kept_sha256 and (with_text) the kept words joined by spaces."""
     kept = [c for c in (docs.columns if keep is None else keep) if c != out]
     found = repeated_ranges(docs, id_col=id_col, text_col=text_col, window=window)
-    found = found.groupBy("doc_id").agg(F.collect_list(F.struct("lo", "hi")).alias("__ranges")).withColumnRenamed("doc_id", "__doc")
+    doc, ranges = unused("range_doc", docs), unused("ranges", docs)
+    found = found.groupBy(F.col("doc_id").alias(doc)).agg(F.collect_list(F.struct("lo", "hi")).alias(ranges))
     carried = docs.select(*[F.col(f"`{c}`") for c in dict.fromkeys([*kept, id_col, text_col])])
-    both = carried.join(found.hint("merge"), F.col(f"`{id_col}`").cast("long") == F.col("__doc"), "left")
+    both = carried.join(found.hint("merge"), F.col(f"`{id_col}`").cast("long") == F.col(doc), "left")
 
     def make():
         def work(texts, ranges):
@@ -315,4 +316,4 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
 
         return work
 
-    return annotate(both, [text_col, "__ranges"], out, FIELDS, make, keep=kept)
+    return annotate(both, [text_col, ranges], out, FIELDS, make, keep=kept)
