@@ -184,6 +184,94 @@ def test_matches_respect_words_stems_and_exceptions():
     assert m.sum_of("") == (0.0, [])
 
 
+def naive_matches(text, lexicon):
+    """The matches that count, by trying every word start with every term."""
+    is_word = lambda i: 0 <= i < len(text) and (text[i].isalnum() or text[i] == "_")
+    at = {}
+    for i in range(len(text)):
+        if is_word(i - 1):
+            continue
+        for term, weight in lexicon.weights.items():
+            plain = term.rstrip("*")
+            if text.startswith(plain, i) and (term.endswith("*") or not is_word(i + len(plain))) and len(plain) >= at.get(i, (0, 0))[0]:
+                at[i] = (len(plain), max(weight, at[i][1] if i in at and at[i][0] == len(plain) else 0))
+    spared = [(i, i + len(p)) for p in lexicon.exceptions for i in range(len(text)) if text.startswith(p, i) and not is_word(i - 1) and not is_word(i + len(p))]
+    kept = [(i, i + n, w) for i, (n, w) in at.items() if not any(a <= i and i + n <= b for a, b in spared)]
+    return round(sum(w for _, _, w in kept), 9), sorted((a, b) for a, b, _ in kept)
+
+
+def test_matches_equal_naive_matching():
+    rng = random.Random(9)
+    lexicon = toxicity.Lexicon({"ab": 1.5, "abc*": 2.0, "ba": 0.5, "cab*": 1.0, "b*": 0.25, "abca": 3.0}, ["ab ba", "c ab ba", "cab c", "b a"])
+    matcher = toxicity.Matcher(lexicon)
+    for _ in range(400):
+        text = "".join(rng.choice("abc  _.") for _ in range(rng.randint(0, 80)))
+        total, at = matcher.sum_of(text)
+        assert (round(total, 9), sorted(at)) == naive_matches(text, lexicon), text
+    long = "ab ba " * 30_000
+    assert matcher.sum_of(long)[0] == 0.5 * 0  # every match stands in a phrase
+
+
+def test_term_counts_equal_a_count_by_hand(spark):
+    texts = [("idiots are idle", 1), ("An idiot idles; idler idiot", 1), ("nice day", 0), ("", 0), ("idle nice", 0)]
+    sample = spark.createDataFrame([(i, t, y) for i, (t, y) in enumerate(texts)], "doc long, text string, label int")
+    got = {r["term"]: (r["toxic"], r["clean"]) for r in toxicity._document_counts(sample).collect()}
+    want = {}
+    for t, y in texts:
+        words = "".join(c if c.isalnum() else " " for c in t.lower()).split()
+        seen = Counter(p for w in set(words) for p in {w[:k] + "*" for k in range(3, min(len(w), 11))})
+        for term in {*words, *seen, *(p + "2" for p in seen if sum(w.startswith(p[:-1]) and len(w) > len(p) - 1 for w in words) > 1)}:
+            a, b = want.get(term, (0, 0))
+            want[term] = (a + (y > 0), b + (y == 0))
+    assert got == want
+
+
+def test_ftrl_equals_a_scalar_version():
+    rng = random.Random(6)
+    rows = [(np.array([rng.randrange(40) for _ in range(rng.randint(0, 12))], np.int64), rng.randrange(2)) for _ in range(60)]
+    z, n = {}, {}
+
+    def weight(i):
+        if abs(z.get(i, 0.0)) <= quality.L1:
+            return 0.0
+        sign = 1 if z[i] > 0 else -1
+        return -(z[i] - sign * quality.L1) / ((quality.BETA + n[i] ** 0.5) / quality.ALPHA + quality.L2)
+
+    for _ in range(3):
+        for f, y in rows:
+            x = {i: c * quality.SCALE / max(1, len(f)) for i, c in Counter(f.tolist()).items()} | {quality.D: 1.0}
+            p = 1 / (1 + np.exp(-sum(weight(i) * v for i, v in x.items())))
+            for i, v in x.items():
+                g, w = (p - y) * v, weight(i)
+                sigma = ((n.get(i, 0.0) + g * g) ** 0.5 - n.get(i, 0.0) ** 0.5) / quality.ALPHA
+                z[i], n[i] = z.get(i, 0.0) + g - sigma * w, n.get(i, 0.0) + g * g
+    got = quality.ftrl(rows, 3)
+    want = np.zeros(quality.D + 1)
+    for i in z:
+        want[i] = weight(i)
+    assert np.abs(got - want).max() < 1e-9 and np.abs(want).max() > 0.01
+
+
+def test_quality_score_is_a_dot_product(spark):
+    rng = np.random.default_rng(2)
+    weights = rng.normal(size=quality.D + 1).astype(np.float32)
+    texts = ["A few Words, 12 words words!", None, "", "x " * 5000]
+    docs = spark.createDataFrame([(i, t, 1) for i, t in enumerate(texts)], "doc_id long, text string, quality int")
+    for r in quality.score(docs, weights, out="s").collect():
+        f = quality.features((r["text"] or "").encode(), quality.Tokens())
+        dot = sum(float(weights[i]) * c * quality.SCALE / len(f) for i, c in Counter(f.tolist()).items()) + float(weights[quality.D])
+        assert abs(r["s"]["score"] - 1 / (1 + np.exp(-dot))) < 1e-6 and r["quality"] == 1
+    assert quality.score(docs.where("false"), weights).count() == 0
+
+
+def test_conflicting_and_repeated_labels(spark):
+    docs = spark.createDataFrame([(i, f"t{i}") for i in range(12)] + [(3, "another"), (None, "x")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1) for i in range(12)] + [(4, 0), (3, 1), (None, 1), (5, None)], "doc_id long, toxic int")
+    got = {r["doc"]: (r["text"], r["label"]) for r in labelled.training_rows(docs, labels, "toxic").collect()}
+    usable = {d for d in range(12) if zlib.crc32(str(d).encode()) % 4 != 2 and d != 4}
+    assert set(got) == usable and (3 not in usable or got[3] == ("another", 1))
+
+
 @pytest.fixture(scope="module")
 def judged(spark):
     rng = random.Random(5)

@@ -9,8 +9,10 @@ The training sample is dealt to a fixed number of shards; each runs the FTRL upd
 in a fixed order for some epochs, and the shards' weights are averaged (parameter mixing). Scoring
 is a sparse dot product in one pass over all rows.
 
-Null and empty texts have no features: their score is that of the bias. Null labels are not used;
-repeated labels of a doc_id count once. With no labelled rows every score is 0.5.
+Null and empty texts have no features: their score is that of the bias. Null and conflicting labels
+are not used, repeated ones count once. With no labelled rows every score is 0.5. Rows are scored one
+by one, null and repeated doc_ids too; an empty table gives no rows; extra columns are carried along,
+whatever their names, but for one with the name of the result, which is replaced.
 """
 
 from __future__ import annotations

@@ -196,7 +196,8 @@ def window_hashes(h: np.ndarray, window: int) -> np.ndarray:
         if size * 2 <= window:
             run = run[:-size] * base + run[size:]
         size *= 2
-        base = base * base
+        with np.errstate(over="ignore"):
+            base = base * base
     return mixed(acc)
 
 

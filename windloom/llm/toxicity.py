@@ -11,8 +11,10 @@ significantly more frequent in toxic documents, counted by distinct contexts so
 document do not make terms; weights are log odds. Phrases of a term with a neighbour that only clean
 documents hold become exceptions. The scale of the score is fitted on the same rows.
 
-Null and empty texts score 0. Null labels are not used, repeated labels of a doc_id count once; with
-no labelled rows the lexicon is empty and every score is 0. Rows are judged one by one.
+Null and empty texts score 0. Null and conflicting labels are not used, repeated ones count once;
+with no labelled rows the lexicon is empty and every score is 0. Rows are judged one by one, null and
+repeated doc_ids too; an empty table gives no rows; extra columns are carried along, whatever their
+names, but for one with the name of the result, which is replaced.
 """
 
 from __future__ import annotations
@@ -20,6 +22,7 @@ from __future__ import annotations
 import math
 import re
 import unicodedata
+from bisect import bisect_right
 from collections import Counter
 from dataclasses import dataclass, field
 
@@ -42,8 +45,8 @@ _WORD = re.compile(r"\w+")
 SHORTEST, LONGEST = 3, 10
 #: A term is taken when its log-likelihood gain exceeds log(number of terms) + MARGIN.
 MARGIN = 4.0
-#: Fewest clean documents for a learned exception phrase; most terms of a lexicon.
-EXCEPTION_DOCS, MAX_TERMS = 3, 5000
+#: Fewest clean documents for a learned exception phrase.
+EXCEPTION_DOCS = 3
 
 
 def fold(text: str) -> str:
@@ -94,7 +97,12 @@ class Matcher:
                 spared.append((start, end + 1))
             elif start not in hits or size > hits[start][0]:
                 hits[start] = (size, weight)
-        kept = [(s, n, w) for s, (n, w) in hits.items() if not any(a <= s and s + n <= b for a, b in spared)]
+        # Of the phrases that begin no later than a match, the one that reaches farthest decides.
+        begins, reach = sorted(spared), []
+        for _, end in begins:
+            reach.append(max(end, reach[-1]) if reach else end)
+        far = lambda s: reach[i - 1] if (i := bisect_right(begins, (s, len(text) + 1))) else 0
+        kept = [(s, n, w) for s, (n, w) in hits.items() if s + n > far(s)]
         return sum(w for _, _, w in kept), [(s, s + n) for s, n, _ in kept]
 
 
@@ -163,8 +171,8 @@ def beginnings(term: str):
     return (stem[:k] + "*" for k in range(SHORTEST, len(stem) + (0 if term.endswith("*") else 1)))
 
 
-def learn(sample: DataFrame, max_terms: int = MAX_TERMS) -> Lexicon:
-    """A lexicon from (doc, text, label). What comes to the driver is bounded by the sample and by max_terms."""
+def learn(sample: DataFrame) -> Lexicon:
+    """A lexicon from (doc, text, label). What comes to the driver is bounded by the sample: each term has a share of its toxic words."""
     row = sample.agg(F.count(F.lit(1)), F.coalesce(F.sum("label"), F.lit(0))).first()
     n, pos = int(row[0]), int(row[1])
     if not 0 < pos < n:
@@ -175,7 +183,7 @@ def learn(sample: DataFrame, max_terms: int = MAX_TERMS) -> Lexicon:
     counts = _document_counts(sample).persist()
     n_terms = counts.count()
     bar = math.log(max(2, n_terms)) + MARGIN
-    chosen = counts.where((F.col("toxic") > 0) & (share > base)).withColumn("gain", gain).where(F.col("gain") > bar).orderBy(F.desc("gain"), "term").limit(max_terms)
+    chosen = counts.where((F.col("toxic") > 0) & (share > base)).withColumn("gain", gain).where(F.col("gain") > bar).orderBy(F.desc("gain"), "term")
     rows = chosen.collect()
     found, gains, hits = {}, {}, {}
     for r in rows:  # by gain: of "stem*" and "stem*2" the one that gains more
@@ -199,7 +207,7 @@ def learn(sample: DataFrame, max_terms: int = MAX_TERMS) -> Lexicon:
     odds = lambda a, b: math.log((a + 0.5) * (n - pos - b + 0.5) / ((pos - a + 0.5) * (b + 0.5)))
     weights = {t: round(odds(*found[t]) / hits[t], 6) for t in sorted(keep)}  # of a match; a term that counts from two on is worth half
     phrases = places.where(F.col("term").isin(list(keep)) if keep else F.lit(False)).select(F.explode(F.array(F.concat_ws(" ", "before", "word"), F.concat_ws(" ", "word", "after"))).alias("phrase"), "label")
-    only_clean = phrases.groupBy("phrase").agg(F.sum("label").alias("toxic"), F.count(F.lit(1)).alias("n")).where(f"toxic = 0 and n >= {EXCEPTION_DOCS}").orderBy(F.desc("n"), "phrase").limit(max_terms)
+    only_clean = phrases.groupBy("phrase").agg(F.sum("label").alias("toxic"), F.count(F.lit(1)).alias("n")).where(f"toxic = 0 and n >= {EXCEPTION_DOCS}")
     exceptions = sorted(r["phrase"].strip() for r in only_clean.collect())
     places.unpersist()
     lexicon = Lexicon(weights, [p for p in exceptions if " " in p])
