@@ -83,6 +83,33 @@ def test_substring_dedup_is_exact(docs, mixed):
     assert any(r["n_removed"] for r in got)
 
 
+def test_a_passage_in_every_document_spreads(spark, monkeypatch):
+    rng = random.Random(12)
+    passage = [f"p{i}" for i in range(45)]
+    rows = [(d, " ".join([*(f"a{rng.randrange(900)}" for _ in range(30)), *passage, *(f"b{rng.randrange(900)}" for _ in range(30))])) for d in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    common = substring_dedup.common_grams(docs, 300, "text")
+    assert len(common) >= 42
+    h = np.array([hash(("w", i)) % (1 << 64) for i in range(20)], np.uint64)
+    g = grams(h, 4)
+    top = substring_dedup.ordered(g, np.sort(g[:3] >> np.uint64(1)))
+    assert (top[:3] >= 1 << 63).all() and (top[3:] < 1 << 63).all()
+    want = brute_repeats(rows)
+    for r in substring_dedup.remove_repeats(docs, keep=["doc_id"], out="d").select("doc_id", "d.*").collect():
+        assert (r["n_words"], r["n_removed"], r["kept_sha256"]) == want[r["doc_id"]]
+    # However many documents have it, a task sends each string of the passage once.
+    buckets = Counter()
+    for r in substring_dedup.packed(docs.coalesce(1), "doc_id", "text", 64, 20, common).where("not later").collect():
+        buckets[r["bucket"]] += len(substring_dedup.unpack(r["blob"], substring_dedup.Codes())[1])
+    assert max(buckets.values()) < 0.1 * sum(buckets.values())
+
+
+def test_substring_dedup_with_clashing_names(docs, mixed):
+    more = docs.withColumn("range_doc", F.lit(1)).withColumn("ranges", F.lit(2)).withColumn("lo", F.lit(3))
+    got = substring_dedup.remove_repeats(more)
+    assert got.columns == [*[c for c in more.columns if c != "dedup"], "dedup"] and got.where("range_doc = 1 and ranges = 2 and lo = 3").count() == len(mixed)
+
+
 def test_substring_dedup_of_nothing(empty):
     assert substring_dedup.remove_repeats(empty).count() == 0
 
@@ -136,6 +163,20 @@ def test_line_dedup_keeps_the_first_document(pages):
     assert by_id[102] == [("", 2)]  # the blank line between them stays
 
 
+def test_line_dedup_with_clashing_names(pages):
+    more = pages.withColumn("line_doc", F.lit(1)).withColumn("line_gone", F.lit(2)).withColumn("h", F.lit(3)).withColumn("first_doc", F.lit(4))
+    got = line_dedup.remove_boilerplate(more, n_removed="n")
+    assert got.columns == [*more.columns, "n"]
+    plain = line_dedup.remove_boilerplate(pages, n_removed="n").collect()
+    assert Counter((r["doc_id"], r["text"], r["n"]) for r in got.collect()) == Counter((r["doc_id"], r["text"], r["n"]) for r in plain)
+
+
+def test_a_long_text_of_many_lines(spark):
+    rows = [(i, "\n".join(f"shared line {j % 500}" for j in range(20_000)), f"s{i}") for i in range(6)]
+    got = {r["doc_id"]: r["n"] for r in line_dedup.remove_boilerplate(spark.createDataFrame(rows, "doc_id long, text string, source string"), min_chars=1, n_removed="n").collect()}
+    assert got == {0: 0} | {i: 20_000 for i in range(1, 6)}
+
+
 def test_line_dedup_of_nothing(pages):
     assert line_dedup.remove_boilerplate(pages.where("false")).count() == 0
 

@@ -2,11 +2,16 @@
 
 A window's minimiser is the least hash of the m-grams of words inside it. It depends on the window's
 words alone, so equal windows always meet in the bucket of their minimiser, and consecutive windows
-that share it travel as one packed string of word codes. Each task packs a super-k-mer once with all
-positions at which it saw it (a group of copies or a common passage is pre-aggregated before the
-shuffle), so no bucket grows with the size of a group. Inside a bucket, windows are sorted by
+that share it travel as one packed string of word codes. Inside a bucket, windows are sorted by
 fingerprint and compared word by word: counts are exact whatever the hash does.
 
+Hot passages: each task packs a super-k-mer once with its first position there; at the others all
+windows are repeats, which is known without its bucket. m-grams that many documents of a sample hold
+come last in the order of hashes. So where a passage runs on into the text of each document, the
+windows on its edges get their minimiser from that text and spread over all buckets; windows wholly
+inside it are the same strings everywhere. A bucket gets one of them from a task, not one from a
+document. The sample only balances: which m-grams are taken for common changes no result.
+
 Words are runs without ASCII white space of the whole text. A window is judged on the input: it is
 repeated if the same words start earlier (smaller doc_id, or same document and earlier start).
 
@@ -25,13 +30,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from windloom.llm.common import annotate, grams, mixed, parts_for, pieces, raw, size_of, sliding_min, unused, words
+from windloom.llm.common import WordHash, annotate, grams, hash_words, mixed, parts_for, pieces, raw, size_of, sliding_min, unused, words
 
 WINDOW, MINIMISER = 20, 4
 #: Bytes of text for a bucket's share, buckets in a partition, windows in one packed string at most,
 #: words that a task holds before it hands its packed strings on.
 BUCKET_BYTES, BUCKETS_EACH, LONGEST, HELD_WORDS = 6 << 20, 2, 512, 3_000_000
 
+#: Documents of the sample for common m-grams, and the share of them that makes one common.
+SAMPLE_DOCS, COMMON = 5_000, 0.01
+
 _B = np.uint64(0x9E3779B97F4A7C15)
 _B_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
@@ -51,13 +59,45 @@ def spread(first: np.ndarray, count: np.ndarray) -> np.ndarray:
     return np.arange(total) - np.repeat(begin - first, count)
 
 
-def super_kmers(h: np.ndarray, begin: np.ndarray, size: np.ndarray, window: int = WINDOW, m: int = MINIMISER) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def ordered(g: np.ndarray, common: np.ndarray | None) -> np.ndarray:
+    """Hashes of m-grams by which the least is chosen: common ones (given in ascending order) are larger than all others."""
+    g = g >> np.uint64(1)
+    if common is not None and len(common) and len(g):
+        at = np.minimum(np.searchsorted(common, g), len(common) - 1)
+        g = g | ((common[at] == g).astype(np.uint64) << np.uint64(63))
+    return g
+
+
+def common_grams(docs: DataFrame, n_rows: int, text_col: str, m: int = MINIMISER) -> np.ndarray:
+    """Halved hashes of the m-grams in COMMON of the documents of a sample or more, ascending; no more than 1 / COMMON times those of a document."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        cache, found = WordHash(), []
+        for whole in batches:
+            for b in pieces(whole):
+                for text in raw(b.column(0)):
+                    w = words(text)
+                    found.append(np.unique(grams(hash_words(cache, w), m)) >> np.uint64(1) if w else np.empty(0, np.uint64))
+        g, n = np.unique(np.concatenate(found), return_counts=True) if found else (np.empty(0, np.uint64), np.empty(0, np.int64))
+        yield pa.RecordBatch.from_arrays([pa.array(g.view(np.int64)), pa.array(n.astype(np.int64))], names=["g", "n"])
+
+    texts = docs.select(F.col(f"`{text_col}`").alias("t")).where("t is not null")
+    share = SAMPLE_DOCS / max(1, n_rows)
+    sample = texts.sample(share, 11) if share < 1 else texts
+    least = max(2, int(COMMON * min(n_rows, SAMPLE_DOCS)))
+    rows = sample.mapInArrow(run, "g long, n long").groupBy("g").agg(F.sum("n").alias("n")).where(F.col("n") >= least).select("g").toPandas()
+    return np.sort(rows["g"].to_numpy(np.int64).view(np.uint64))
+
+
+def super_kmers(h: np.ndarray, begin: np.ndarray, size: np.ndarray, window: int = WINDOW, m: int = MINIMISER, common: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Starts, numbers of windows, minimisers and documents (by number) of the super-k-mers of many documents whose word hashes stand one after another."""
     n_win = np.maximum(size - window + 1, 0)
     starts = spread(begin, n_win)
     if not len(starts):
         return starts, starts, np.empty(0, np.uint64), starts
-    least = sliding_min(grams(h, m), window - m + 1)[starts]
+    least = sliding_min(ordered(grams(h, m), common), window - m + 1)[starts]
     first = np.zeros(len(starts), bool)
     first[(np.cumsum(n_win) - n_win)[n_win > 0]] = True
     first[1:] |= least[1:] != least[:-1]
@@ -96,8 +136,9 @@ def grouped(codes: np.ndarray, h: np.ndarray, start: np.ndarray, length: np.ndar
     return order, np.flatnonzero(np.concatenate([[True], ~same])) if len(order) else order
 
 
-def packed(docs: DataFrame, id_col: str, text_col: str, n_buckets: int, window: int) -> DataFrame:
-    """(bucket, blob): a task's super-k-mers of a bucket, words as codes into the blob's own word list."""
+def packed(docs: DataFrame, id_col: str, text_col: str, n_buckets: int, window: int, common: np.ndarray) -> DataFrame:
+    """(bucket, later, blob): a task's super-k-mers of a bucket, words as codes into the blob's own word list; or, as `later`, runs that it knows to be repeats."""
+    shared = docs.sparkSession.sparkContext.broadcast(common)
 
     def run(batches):
         ids, texts, n = [], [], 0
@@ -111,15 +152,15 @@ def packed(docs: DataFrame, id_col: str, text_col: str, n_buckets: int, window:
                         texts.append(np.fromiter(map(codes.__getitem__, w), np.int32, len(w)))
                         n += len(w)
                     if n > HELD_WORDS:
-                        yield from packed_chunk(ids, texts, codes, n_buckets, window)
+                        yield from packed_chunk(ids, texts, codes, n_buckets, window, shared.value)
                         ids, texts, n, codes = [], [], 0, Codes()
-        yield from packed_chunk(ids, texts, codes, n_buckets, window)
+        yield from packed_chunk(ids, texts, codes, n_buckets, window, shared.value)
 
-    kept = docs.select(F.col(id_col).cast("long").alias("d"), F.col(text_col).alias("t")).where("d is not null and t is not null")
-    return kept.mapInArrow(run, "bucket int, blob binary")
+    kept = docs.select(F.col(f"`{id_col}`").cast("long").alias("d"), F.col(f"`{text_col}`").alias("t")).where("d is not null and t is not null")
+    return kept.mapInArrow(run, "bucket int, later boolean, blob binary")
 
 
-def packed_chunk(ids: list[int], texts: list[np.ndarray], codes: Codes, n_buckets: int, window: int):
+def packed_chunk(ids: list[int], texts: list[np.ndarray], codes: Codes, n_buckets: int, window: int, common: np.ndarray):
     import pyarrow as pa
     import xxhash
 
@@ -133,14 +174,21 @@ def packed_chunk(ids: list[int], texts: list[np.ndarray], codes: Codes, n_bucket
     texts.clear()
     begin = np.cumsum(size) - size
     h = np.fromiter(map(xxhash.xxh3_64_intdigest, vocabulary), np.uint64, len(vocabulary))[flat]
-    start, n_win, least, doc = super_kmers(h, begin, size, window)
+    start, n_win, least, doc = super_kmers(h, begin, size, window, common=common)
     length = n_win + window - 1
     order, lead = grouped(flat, h, start, length)
     del h
-    head = order[lead]
-    n_at = np.diff(np.append(lead, len(order)))
+    # By group, then position: the first of each group travels, the others are repeats of it.
+    group = np.repeat(np.arange(len(lead)), np.diff(np.append(lead, len(order))))
     where_doc, where_start = np.array(ids, np.int64)[doc[order]], (start - begin[doc])[order]
-    # By bucket: the heads, and for each the positions of its group.
+    by = np.lexsort((where_start, where_doc, group))
+    order, where_doc, where_start = order[by], where_doc[by], where_start[by]
+    head, first_doc, first_start = order[lead], where_doc[lead], where_start[lead]
+    later = (where_doc != first_doc[group]) | (where_start != first_start[group])
+    if later.any():
+        data = np.stack([where_doc[later], where_start[later], n_win[order[later]]]).astype(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array([hash((ids[0], len(ids))) % n_buckets], pa.int32()), pa.array([True]), pa.array([pack_runs(data)], pa.binary())], names=["bucket", "later", "blob"])
+    # By bucket: the heads and their first positions.
     bucket = (mixed(least[head]) % np.uint64(n_buckets)).astype(np.int64)
     by = np.argsort(bucket, kind="stable")
     edges = np.flatnonzero(np.concatenate([[True], np.diff(bucket[by]) != 0]))
@@ -150,9 +198,8 @@ def packed_chunk(ids: list[int], texts: list[np.ndarray], codes: Codes, n_bucket
         all_codes = flat[spread(start[head[own]], length[head[own]])]
         used = np.flatnonzero(np.bincount(all_codes, minlength=len(vocabulary)))
         number[used] = np.arange(len(used))
-        at = spread(lead[own], n_at[own])
-        blob = pack([vocabulary[i] for i in used.tolist()], number[all_codes], length[head[own]], n_at[own], where_doc[at], where_start[at])
-        yield pa.RecordBatch.from_arrays([pa.array([int(bucket[own[0]])], pa.int32()), pa.array([blob], pa.binary())], names=["bucket", "blob"])
+        blob = pack([vocabulary[i] for i in used.tolist()], number[all_codes], length[head[own]], np.ones(len(own), np.int64), first_doc[own], first_start[own])
+        yield pa.RecordBatch.from_arrays([pa.array([int(bucket[own[0]])], pa.int32()), pa.array([False]), pa.array([blob], pa.binary())], names=["bucket", "later", "blob"])
 
 
 def planes(x: np.ndarray, width: int) -> bytes:
@@ -173,6 +220,21 @@ def pack(vocabulary: list[bytes], codes: np.ndarray, n_words: np.ndarray, n_at:
     return zstandard.ZstdCompressor(level=3).compress(head + b"".join(parts))
 
 
+def pack_runs(data: np.ndarray) -> bytes:
+    """Documents, starts and windows of runs, compressed."""
+    import zstandard
+
+    return zstandard.ZstdCompressor(level=3).compress(b"".join(planes(x.view(np.uint64), 8) for x in data))
+
+
+def unpack_runs(blob: bytes) -> np.ndarray:
+    import zstandard
+
+    data = zstandard.ZstdDecompressor().decompress(blob)
+    n = len(data) // 3
+    return np.stack([unplaned(data[i * n : (i + 1) * n], 8) for i in range(3)])
+
+
 def unpack(blob: bytes, codes: Codes):
     """Codes in the reader's own numbering, word counts, position counts, documents, starts."""
     import zstandard
@@ -256,29 +318,32 @@ def repeats(blobs: list[bytes], window: int = WINDOW) -> tuple[np.ndarray, np.nd
 
 def repeated_ranges(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
     """(doc_id, lo, hi): word ranges covered by repeated windows."""
-    _, n_bytes = size_of(docs, text_col)
+    n_rows, n_bytes = size_of(docs, text_col)
     n_parts = parts_for(docs, n_bytes, BUCKET_BYTES * BUCKETS_EACH)
-    sent = packed(docs, id_col, text_col, n_parts * BUCKETS_EACH, window)
-    dealt = sent.repartitionById(n_parts, (F.col("bucket") / BUCKETS_EACH).cast("int")).sortWithinPartitions("bucket")
+    n_buckets = max(n_parts * BUCKETS_EACH, -(-n_bytes // BUCKET_BYTES))
+    sent = packed(docs, id_col, text_col, n_buckets, window, common_grams(docs, n_rows, text_col))
+    dealt = sent.repartitionById(n_parts, (F.col("bucket").cast("long") * n_parts / n_buckets).cast("int")).sortWithinPartitions("bucket", "later")
 
     def run(batches):
         import pyarrow as pa
 
         held, now = [], None
 
-        def close():
-            doc, start, n = repeats(held, window)
-            yield pa.RecordBatch.from_arrays([pa.array(doc), pa.array(start.astype(np.int32)), pa.array((start + n + window - 1).astype(np.int32))], names=["doc_id", "lo", "hi"])
+        def rows(doc, start, n):
+            return pa.RecordBatch.from_arrays([pa.array(doc), pa.array(start.astype(np.int32)), pa.array((start + n + window - 1).astype(np.int32))], names=["doc_id", "lo", "hi"])
 
         for b in batches:
-            for bucket, blob in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+            for bucket, later, blob in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
+                if later:
+                    yield rows(*unpack_runs(blob.as_py()))
+                    continue
                 if bucket != now and held:
-                    yield from close()
+                    yield rows(*repeats(held, window))
                     held.clear()
                 now = bucket
                 held.append(blob.as_py())
         if held:
-            yield from close()
+            yield rows(*repeats(held, window))
 
     return dealt.mapInArrow(run, "doc_id long, lo int, hi int")
 
