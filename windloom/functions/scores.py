@@ -175,3 +175,13 @@ def risk_band(risk: Column) -> Column:
 def objective(risk: Column, latent: Column, cleavage: Column, transport: Column) -> Column:
     """F-28."""
     return risk + 0.25 * latent + 1.0 * cleavage + 0.5 * transport
+
+
+def accepted(objective: Column, current: Column, likelihood: Column, before: Column, length: Column, most: float = 0.5) -> Column:
+    """F-28: an improved objective whose log likelihood falls by no more than `most` a residue."""
+    return (objective < current) & ((before - likelihood) / F.greatest(F.lit(1), length) <= most)
+
+
+def linear(vector: Column, weights: list[float], bias: float) -> Column:
+    """L-07: a stored linear head."""
+    return F.aggregate(F.zip_with(vector.cast("array<double>"), F.array(*[F.lit(float(w)) for w in weights]), lambda x, w: x * w), F.lit(float(bias)), lambda acc, x: acc + x)

@@ -78,3 +78,15 @@ def identity(a: Column, b: Column) -> Column:
     """J-17: equal positions over the longer length."""
     same = F.aggregate(F.zip_with(F.split(a, ""), F.split(b, ""), lambda x, y: F.when(x == y, 1).otherwise(0)), F.lit(0), lambda s, x: s + x)
     return same / F.greatest(F.char_length(a), F.char_length(b))
+
+
+def length_between(s: Column, least: int, most: int) -> Column:
+    """P-05."""
+    return F.char_length(s).between(least, most)
+
+
+def differences(a: Column, b: Column) -> Column:
+    """P-14: array of (pos, before, after) where two sequences of one length differ; null for different lengths."""
+    pairs = F.zip_with(F.split(a, ""), F.split(b, ""), lambda x, y: F.struct(x.alias("before"), y.alias("after")))
+    placed = F.transform(pairs, lambda p, i: F.struct(i.alias("pos"), p["before"].alias("before"), p["after"].alias("after")))
+    return F.when(F.char_length(a) == F.char_length(b), F.filter(placed, lambda p: p["before"] != p["after"]))

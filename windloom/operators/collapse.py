@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from windloom.functions.sequence import RESIDUES
+
 
 def keep_first(df: DataFrame, keys: list[str], order: Column) -> DataFrame:
     """A-01: the whole first row of each key by a total order. One aggregation with partial minima, no window."""
@@ -56,3 +58,41 @@ def sample_ids(df: DataFrame, group: str, key: str, n: int = 3) -> DataFrame:
     top = each.withColumn("__n", F.row_number().over(Window.partitionBy(group).orderBy(key))).where(F.col("__n") <= n)
     few = top.groupBy(group).agg(F.array_join(F.array_sort(F.collect_list(F.col(key).cast("string"))), ",").alias("sample"))
     return counts.join(few, group)
+
+
+def collapse_windows(df: DataFrame, key: str, label: Column, order: Column, carried: list[str]) -> DataFrame:
+    """A-05: one row of each window: the highest label, all other columns from its first row."""
+    return df.groupBy(key).agg(F.max(label).alias("label"), F.min_by(F.struct(*carried), order).alias("__first")).select(key, "label", *[F.col(f"__first.`{c}`").alias(c) for c in carried])
+
+
+def component_weights(members: DataFrame, component: str = "component", key: str = "peptide") -> DataFrame:
+    """A-07: how many distinct keys each component has; duplicates go per (component, key) first."""
+    return members.select(component, key).where(F.col(key).isNotNull()).distinct().groupBy(component).agg(F.count(F.lit(1)).alias("weight"))
+
+
+def cohort_summary(df: DataFrame, cohort: str, value: str, enrichment: str) -> DataFrame:
+    """A-23: rows, median, mean and share over zero of a count, and median enrichment, by cohort. Medians are taken from counts by distinct value."""
+    each = df.groupBy(cohort, value).agg(F.count(F.lit(1)).alias("n"))
+    first = each.groupBy(cohort).agg(F.sum("n").alias("n_rows"), F.percentile(value, 0.5, F.col("n")).alias("median"), (F.sum(F.col(value) * F.col("n")) / F.sum("n")).alias("mean"), (F.sum(F.when(F.col(value) > 0, F.col("n")).otherwise(0)) / F.sum("n")).alias("fraction"))
+    rich = df.groupBy(cohort, enrichment).agg(F.count(F.lit(1)).alias("n")).groupBy(cohort).agg(F.percentile(enrichment, 0.5, F.col("n")).alias("median_enrichment"))
+    return first.join(rich.hint("merge"), cohort)
+
+
+def core_residues(df: DataFrame, seq: str = "sequence", k: int = 9) -> DataFrame:
+    """A-22: (residue, n, share) over the residues of all k-windows, where an inner residue counts k times.
+
+    The inner part of a sequence is counted by residue inside the row; only the k-1 residues on each
+    end, whose weights grow from 1 to k-1, and sequences under 2k-1 become rows.
+    """
+    s, n = F.col(seq), F.char_length(seq)
+    long = df.where(n >= 2 * k - 1)
+    inner = F.substr(s, F.lit(k), n - 2 * (k - 1))
+    whole = long.select(F.explode(F.array(*[F.struct(F.lit(r).alias("residue"), (k * (F.char_length(inner) - F.char_length(F.translate(inner, r, "")))).cast("long").alias("n")) for r in RESIDUES])).alias("x")).select("x.*")
+    head = F.transform(F.slice(F.split(F.left(s, F.lit(k - 1)), ""), 1, k - 1), lambda c, i: F.struct(c.alias("residue"), (i + 1).cast("long").alias("n")))
+    tail = F.transform(F.slice(F.split(F.right(s, F.lit(k - 1)), ""), 1, k - 1), lambda c, i: F.struct(c.alias("residue"), (F.lit(k - 1) - i).cast("long").alias("n")))
+    edges = long.select(F.explode(F.concat(head, tail)).alias("x")).select("x.*")
+    weight = lambda i: F.least(i + 1, n - i, n - k + 1).cast("long")
+    short = df.where((n >= k) & (n < 2 * k - 1)).select(F.explode(F.transform(F.slice(F.split(s, ""), F.lit(1), n), lambda c, i: F.struct(c.alias("residue"), weight(i).alias("n")))).alias("x")).select("x.*")
+    counts = whole.unionByName(edges).unionByName(short).groupBy("residue").agg(F.sum("n").alias("n")).where("n > 0")
+    total = counts.agg(F.sum("n").alias("total"))
+    return counts.crossJoin(F.broadcast(total)).select("residue", "n", (F.col("n") / F.col("total")).alias("share"))

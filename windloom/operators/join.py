@@ -17,6 +17,16 @@ def _unique(df: DataFrame, keys: list[str], side: str) -> None:
         raise CardinalityError(f"keys {keys} are not unique on the {side}")
 
 
+#: Rows of a side that is broadcast at most; beyond them both sides are sorted.
+BROADCAST_ROWS = 500_000
+
+
+def bounded(df: DataFrame) -> DataFrame:
+    """A side of narrow rows with the hint that its counted size allows: broadcast, or else merge."""
+    n = df.limit(BROADCAST_ROWS + 1).count()
+    return df.hint("broadcast" if n <= BROADCAST_ROWS else "merge")
+
+
 def validated_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "left", validate: str = "m:1") -> DataFrame:
     """J-02: a join whose cardinality is checked: 1:1, 1:m or m:1."""
     many, one = validate.split(":")
@@ -24,7 +34,7 @@ def validated_join(left: DataFrame, right: DataFrame, on: list[str], how: str =
         _unique(left, on, "left")
     if one == "1":
         _unique(right, on, "right")
-    return left.join(right, on, how)
+    return left.join(right.hint("merge"), on, how)
 
 
 def require_matched(df: DataFrame, column: str) -> DataFrame:
@@ -37,7 +47,7 @@ def require_matched(df: DataFrame, column: str) -> DataFrame:
 
 def score_distinct(df: DataFrame, keys: list[str], score: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """J-05, J-06: score each distinct key once and join the result back."""
-    return df.join(score(df.select(*keys).distinct()), keys, "left")
+    return df.join(score(df.select(*keys).distinct()).hint("merge"), keys, "left")
 
 
 def overlaps(windows: DataFrame, hits: DataFrame, on: str, cell: int = 64, how: str = "left") -> DataFrame:

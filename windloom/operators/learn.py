@@ -9,6 +9,7 @@ from pyspark.ml.regression import IsotonicRegression, LinearRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from windloom.functions.scores import cosine
 from windloom.functions.sequence import RESIDUES, add_tag
 
 
@@ -89,3 +90,88 @@ def pooled(vectors: Column, first: Column, last: Column) -> Column:
 def only_new(df: DataFrame, cached: DataFrame, key: str) -> DataFrame:
     """L-09, G-17: rows whose content key is not in the landed results yet, one for each key."""
     return df.dropDuplicates([key]).join(cached.select(key), key, "left_anti")
+
+
+def ridge_ensemble(df: DataFrame, key: str, vector: Column, value: str, replicates: int = 20, alpha: float = 10.0, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """L-02: (coefficients, intercepts) of a ridge fit on all rows, then of one for each bootstrap replicate.
+
+    Each task adds up the moments of its rows under the Poisson(1) weights of every replicate, drawn
+    from a hash of row and replicate; only sums of a fixed size meet, so no row leaves its task.
+    """
+    rows = df.where(F.col(value).isNotNull()).select(F.col(key).cast("long").alias("k"), vector.cast("array<double>").alias("x"), F.col(value).cast("double").alias("y"))
+
+    def run(batches):
+        import pandas as pd
+
+        sums = None
+        for b in batches:
+            if not len(b):
+                continue
+            x = np.column_stack([np.stack(b["x"].to_numpy()), np.ones(len(b)), b["y"].to_numpy()])
+            ids = b["k"].to_numpy(np.int64).view(np.uint64)
+            got = []
+            for r in range(replicates + 1):
+                w = poisson(ids, r, seed) if r else np.ones(len(b))
+                got.append((x * w[:, None]).T @ x)
+            sums = np.stack(got) if sums is None else sums + np.stack(got)
+        if sums is not None:
+            yield pd.DataFrame({"replicate": np.arange(replicates + 1), "moments": [m.ravel() for m in sums]})
+
+    parts = rows.mapInPandas(run, "replicate int, moments array<double>").select("replicate", F.posexplode("moments").alias("i", "m")).groupBy("replicate", "i").agg(F.sum("m").alias("m"))
+    found = parts.toPandas()  # (replicates + 1) * (width + 2)^2 sums
+    coefficients, intercepts = [], []
+    for r in range(replicates + 1):
+        m = found[found["replicate"] == r].sort_values("i")["m"].to_numpy()
+        m = m.reshape(int(len(m) ** 0.5), -1)
+        n, sx, sy = m[-2, -2], m[-2, :-2], m[-2, -1]
+        gram, xy = m[:-2, :-2] - np.outer(sx, sx) / n, m[:-2, -1] - sx * sy / n
+        w = np.linalg.solve(gram + alpha * np.eye(len(gram)), xy)
+        coefficients.append(w)
+        intercepts.append((sy - sx @ w) / n)
+    return np.array(coefficients), np.array(intercepts)
+
+
+def poisson(ids: np.ndarray, replicate: int, seed: int) -> np.ndarray:
+    """Poisson(1) draws by a hash of row and replicate."""
+    with np.errstate(over="ignore"):
+        h = (ids + np.uint64(replicate) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(seed)) * np.uint64(0xFF51AFD7ED558CCD)
+        h = (h ^ (h >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
+        u = ((h ^ (h >> np.uint64(33))) >> np.uint64(11)) / float(1 << 53)
+    p = np.exp(-1.0) / np.array([1, 1, 2, 6, 24, 120, 720, 5040])
+    return np.searchsorted(np.cumsum(p), u).astype(float)
+
+
+def ensemble_scores(df: DataFrame, key: str, vector: Column, coefficients: np.ndarray, intercepts: np.ndarray) -> DataFrame:
+    """L-02, L-07: (key, mean, spread): the first head's score, and the deviation of the others' scores; stored weights are broadcast."""
+    shared = df.sparkSession.sparkContext.broadcast((coefficients, intercepts))
+
+    def run(batches):
+        for b in batches:
+            w, c = shared.value
+            x = np.stack(b["x"].to_numpy()) if len(b) else np.empty((0, w.shape[1]))
+            scores = x @ w.T + c
+            yield b[[key]].assign(mean=scores[:, 0], spread=scores[:, 1:].std(axis=1) if w.shape[0] > 1 else 0.0)
+
+    return df.select(F.col(key).cast("long").alias(key), vector.cast("array<double>").alias("x")).mapInPandas(run, f"{key} long, mean double, spread double")
+
+
+def allele_head(df: DataFrame, allele: str, vector: str, percentile: str, most: float = 2.0) -> DataFrame:
+    """L-04: (df.., cosine, propensity): cosine to the allele's centroid of strong binders (of all its rows where it has none), calibrated by an isotonic fit for each allele.
+
+    Centroids are sums by allele, one row each; the isotonic fits run allele by allele.
+    """
+    from pyspark.ml.stat import Summarizer
+
+    v = df.withColumn("__v", array_to_vector(F.col(vector).cast("array<double>")))
+    strong = F.col(percentile) <= most
+    sums = v.groupBy(allele).agg(Summarizer.mean(F.col("__v")).alias("__all"), F.max(strong).alias("__any"))
+    few = v.where(strong).groupBy(allele).agg(Summarizer.mean(F.col("__v")).alias("__few"))
+    centroids = sums.join(few.hint("merge"), allele, "left").select(allele, F.when(F.col("__any"), vector_to_array("__few")).otherwise(vector_to_array("__all")).alias("__centroid"))
+    met = v.drop("__v").join(centroids.hint("merge"), allele).withColumn("cosine", cosine(F.col(vector).cast("array<double>"), F.col("__centroid"))).drop("__centroid")
+    met = met.withColumn("__target", F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - F.col(percentile) / 100)))
+    names = [r[0] for r in met.select(allele).distinct().orderBy(allele).collect()]  # one a fit
+    out = None
+    for name in names:
+        one = isotonic(met.where(F.col(allele) == name), "cosine", "__target", out="propensity")
+        out = one if out is None else out.unionByName(one)
+    return (met.withColumn("propensity", F.lit(None).cast("double")) if out is None else out).drop("__target")

@@ -6,21 +6,17 @@ over ranges of values with prefix sums between them, so no task sees all rows.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from windloom.operators.rank import running_sum
+from windloom.operators.rank import exact_quantile, running_sum
 
 
 def mid_ranks(df: DataFrame, value: str, group: list[str] = (), out: str = "mid_rank") -> DataFrame:
     """O-13: (group.., value, n, mid_rank): average ranks of tied values."""
     group = list(group)
     counts = df.where(F.col(value).isNotNull()).groupBy(*group, value).agg(F.count(F.lit(1)).alias("n"))
-    if group:
-        w = Window.partitionBy(*group).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-        summed = counts.withColumn("__upto", F.sum("n").over(w))
-    else:
-        summed = running_sum(counts, [value], "n", "__upto")
+    summed = running_sum(counts, [value], "n", "__upto", group=group)
     return summed.withColumn(out, F.col("__upto") - (F.col("n") - 1) / 2).drop("__upto")
 
 
@@ -37,27 +33,115 @@ def roc_auc(df: DataFrame, score: str, label: str, group: list[str] = ()) -> Dat
     """M-02, M-11: by the rank sum of the positives; null unless both classes are there."""
     group = list(group)
     by = df.where(F.col(score).isNotNull() & F.col(label).isNotNull()).groupBy(*group, score).agg(F.sum(F.col(label).cast("long")).alias("pos"), F.count(F.lit(1)).alias("n"))
-    if group:
-        w = Window.partitionBy(*group).orderBy(score).rowsBetween(Window.unboundedPreceding, 0)
-        by = by.withColumn("__upto", F.sum("n").over(w))
-    else:
-        by = running_sum(by, [score], "n", "__upto")
+    by = running_sum(by, [score], "n", "__upto", group=group)
     ranked = by.withColumn("__rank", F.col("__upto") - (F.col("n") - 1) / 2)
     out = ranked.groupBy(*group).agg(F.sum("pos").alias("n_pos"), F.sum(F.col("n") - F.col("pos")).alias("n_neg"), F.sum(F.col("pos") * F.col("__rank")).alias("__sum"))
     auc = (F.col("__sum") - F.col("n_pos") * (F.col("n_pos") + 1) / 2.0) / (F.col("n_pos") * F.col("n_neg")).cast("double")
     return out.withColumn("roc_auc", F.when((F.col("n_pos") > 0) & (F.col("n_neg") > 0), auc)).drop("__sum")
 
 
-def by_threshold(df: DataFrame, score: str, label: str) -> DataFrame:
-    """O-05: (score, pos, n, tp, flagged) for each distinct score, highest first; ties together."""
-    by = df.where(F.col(score).isNotNull() & F.col(label).isNotNull()).groupBy(score).agg(F.sum(F.col(label).cast("long")).alias("pos"), F.count(F.lit(1)).alias("n"))
-    return running_sum(running_sum(by, [score], "pos", "tp", descending=True), [score], "n", "flagged", descending=True)
+def by_threshold(df: DataFrame, score: str, label: str, group: list[str] = ()) -> DataFrame:
+    """O-05: (group.., score, pos, n, tp, flagged) for each distinct score, highest first; ties together."""
+    by = df.where(F.col(score).isNotNull() & F.col(label).isNotNull()).groupBy(*group, score).agg(F.sum(F.col(label).cast("long")).alias("pos"), F.count(F.lit(1)).alias("n"))
+    return running_sum(by, [score], ["pos", "n"], ["tp", "flagged"], descending=True, group=list(group))
 
 
-def average_precision(df: DataFrame, score: str, label: str) -> DataFrame:
+def average_precision(df: DataFrame, score: str, label: str, group: list[str] = ()) -> DataFrame:
     """M-03: sum over thresholds of the recall gained times the precision there."""
-    steps = by_threshold(df, score, label)
-    return steps.agg(F.sum("pos").alias("n_pos"), (F.sum(F.col("pos") * F.col("tp") / F.col("flagged")) / F.sum("pos")).alias("average_precision"))
+    steps = by_threshold(df, score, label, group)
+    return steps.groupBy(*group).agg(F.sum("pos").alias("n_pos"), (F.sum(F.col("pos") * F.col("tp") / F.col("flagged")) / F.sum("pos")).alias("average_precision"))
+
+
+def grouped_spearman(df: DataFrame, a: str, b: str, group: list[str]) -> DataFrame:
+    """M-01 by group: (group.., spearman)."""
+    both = df.where(F.col(a).isNotNull() & F.col(b).isNotNull())
+    ra = mid_ranks(both, a, group, out="__ra").drop("n").withColumnRenamed(a, "__a")
+    rb = mid_ranks(both, b, group, out="__rb").drop("n").withColumnRenamed(b, "__b")
+    met = both.withColumn("__a", F.col(a)).withColumn("__b", F.col(b)).join(ra.hint("merge"), [*group, "__a"]).join(rb.hint("merge"), [*group, "__b"])
+    return met.groupBy(*group).agg(F.corr("__ra", "__rb").alias("spearman"))
+
+
+def teacher_agreement(df: DataFrame, scores: list[str], rank: str, strong: float = 0.5, weak: float = 2.0) -> DataFrame:
+    """M-07: for each score column its rank correlation with the teacher's propensity, AUC and average precision of strong and of weak ranks.
+
+    The scores are stacked first, so every score goes through the same aggregations at once. The
+    inputs are checked as X-05 says.
+    """
+    require_inputs(df, scores, F.col(rank) <= strong)
+    long = df.select(F.expr(f"stack({len(scores)}, " + ", ".join(f"'{c}', cast(`{c}` as double)" for c in scores) + ") as (name, value)"), (-F.col(rank)).alias("propensity"), (F.col(rank) <= strong).alias("strong"), (F.col(rank) <= weak).alias("weak"))
+    out = grouped_spearman(long, "value", "propensity", ["name"])
+    for label in ("strong", "weak"):
+        auc = roc_auc(long, "value", label, ["name"]).select("name", F.col("roc_auc").alias(f"{label}_auc"))
+        ap = average_precision(long, "value", label, ["name"]).select("name", F.col("average_precision").alias(f"{label}_ap"))
+        out = out.join(auc.hint("merge"), "name").join(ap.hint("merge"), "name")
+    return out
+
+
+def channel_block(df: DataFrame, predicted: str, target: str, rank: str, group: list[str], cutoff: float = 2.0) -> DataFrame:
+    """M-10: by split and channel rows, rank correlation, errors, binder prevalence and average precision (null with one class alone)."""
+    marked = df.withColumn("__binder", F.col(rank) <= cutoff).withColumn("__support", -F.col(rank))
+    d = F.col(predicted) - F.col(target)
+    base = marked.groupBy(*group).agg(F.count(F.lit(1)).alias("n_rows"), F.avg(F.abs(d)).alias("mae"), F.sqrt(F.avg(d * d)).alias("rmse"), F.avg(F.col("__binder").cast("double")).alias("prevalence"))
+    rho = grouped_spearman(marked, predicted, "__support", group)
+    ap = average_precision(marked, predicted, "__binder", group).drop("n_pos")
+    met = base.join(rho.hint("merge"), group, "left").join(ap.hint("merge"), group, "left")
+    return met.withColumn("auprc", F.when((F.col("prevalence") > 0) & (F.col("prevalence") < 1), F.col("average_precision"))).drop("average_precision")
+
+
+def group_wins(df: DataFrame, base: str, other: str, label: str, group: str, least: int = 25) -> DataFrame:
+    """M-11: over groups with `least` rows and both classes: their number, mean AUC of two scores and how often the other wins."""
+    counts = df.groupBy(group).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
+    a = roc_auc(df, base, label, [group]).select(group, F.col("roc_auc").alias("base"))
+    b = roc_auc(df, other, label, [group]).select(group, F.col("roc_auc").alias("other"))
+    met = counts.join(a.hint("merge"), group).join(b.hint("merge"), group).where("base is not null and other is not null")
+    return met.agg(F.count(F.lit(1)).alias("n_groups"), F.avg("base").alias("base_auc"), F.avg("other").alias("other_auc"), F.count_if(F.col("other") > F.col("base")).alias("wins"))
+
+
+def paired_deltas(arms: DataFrame, arm: str, key: list[str], value: str, base: str, other: str) -> DataFrame:
+    """M-12: (key.., base, other, delta) of keys that both arms have."""
+    pick = lambda name: F.max(F.when(F.col(arm) == name, F.col(value)))
+    return arms.groupBy(*key).agg(pick(base).alias("base"), pick(other).alias("other")).where("base is not null and other is not null").withColumn("delta", F.col("other") - F.col("base"))
+
+
+def top_percent_agreement(df: DataFrame, true_rank: str, predicted: str, percent: float = 5.0) -> DataFrame:
+    """O-12: of the rows in the lowest `percent` of true ranks, the share in the highest of predictions."""
+    low, high = exact_quantile(df, true_rank, percent / 100), exact_quantile(df, predicted, 1 - percent / 100)
+    top, found = F.col(true_rank) <= F.lit(low), F.col(predicted) >= F.lit(high)
+    return df.agg(F.count_if(top).alias("n_top"), (F.count_if(top & found) / F.greatest(F.lit(1), F.count_if(top))).alias("agreement"))
+
+
+def counts_at(df: DataFrame, value: str, cutoffs: list[float]) -> DataFrame:
+    """M-15: (cutoff, n_at, n_above): rows at or under each of several cutoffs, in one pass."""
+    made = df.agg(*[F.count_if(F.col(value) <= c).alias(f"c{i}") for i, c in enumerate(cutoffs)], F.count(value).alias("n"))
+    return made.select(F.explode(F.array(*[F.struct(F.lit(float(c)).alias("cutoff"), F.col(f"c{i}").alias("n_at"), (F.col("n") - F.col(f"c{i}")).alias("n_above")) for i, c in enumerate(cutoffs)])).alias("r")).select("r.*")
+
+
+def selective(df: DataFrame, confidence: str, correct: str) -> DataFrame:
+    """M-16: (threshold, coverage, accuracy, enrichment) of the rows whose confidence is at or over each distinct value."""
+    steps = by_threshold(df, confidence, correct)
+    n, pos = df.where(F.col(confidence).isNotNull() & F.col(correct).isNotNull()).agg(F.count(F.lit(1)), F.sum(F.col(correct).cast("long"))).first()
+    share = F.col("tp") / F.col("flagged")
+    return steps.select(F.col(confidence).alias("threshold"), (F.col("flagged") / F.lit(max(1, n))).alias("coverage"), share.alias("accuracy"), (share / F.lit((pos or 0) / max(1, n) or None)).alias("enrichment"))
+
+
+class InputError(ValueError):
+    pass
+
+
+def inputs(df: DataFrame, scores: list[str], label: Column) -> DataFrame:
+    """X-05: (n_rows, n_not_finite, n_pos, n_neg) of metric inputs, in one pass."""
+    bad = F.lit(False)
+    for c in scores:
+        x = F.col(c).cast("double")
+        bad = bad | x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))
+    return df.agg(F.count(F.lit(1)).alias("n_rows"), F.count_if(bad).alias("n_not_finite"), F.count_if(label).alias("n_pos"), F.count_if(~label).alias("n_neg"))
+
+
+def require_inputs(df: DataFrame, scores: list[str], label: Column) -> None:
+    """X-05: raise unless all scores are finite and both classes are there."""
+    n, bad, pos, neg = inputs(df, scores, label).first()
+    if bad or not pos or not neg:
+        raise InputError(f"{n} rows: {bad} scores that are not finite, {pos} positive, {neg} negative")
 
 
 def error_metrics(df: DataFrame, predicted: str, actual: str) -> DataFrame:

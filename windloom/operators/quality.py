@@ -74,3 +74,24 @@ def provider_status(requested: DataFrame, answered: DataFrame, key: list[str], s
 def warnings(**conditions: Column) -> Column:
     """X-08: the names of the conditions that hold, in order."""
     return F.array_compact(F.array(*[F.when(c, name) for name, c in conditions.items()]))
+
+
+def provenance(df: DataFrame, value: str, tags: str, tag: str) -> DataFrame:
+    """A-11: how many values were measured, filled in (they carry the tag) or are missing."""
+    filled = F.contains(F.coalesce(tags, F.lit("")), F.lit(tag))
+    there = F.col(value).isNotNull()
+    return df.agg(F.count_if(there & ~filled).alias("measured"), F.count_if(there & filled).alias("imputed"), F.count_if(~there).alias("missing"))
+
+
+def distinct_counts(df: DataFrame, columns: list[str]) -> DataFrame:
+    """A-12: (name, n_distinct); each column's values go to one row each before they are counted."""
+    long = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).cast("string").alias("v")) for c in columns])).alias("x")).select("x.*").where("v is not null")
+    return long.distinct().groupBy("name").agg(F.count(F.lit(1)).alias("n_distinct"))
+
+
+def valid_folds(df: DataFrame, fold: str, outside: Column, n: int = 5) -> DataFrame:
+    """G-08: (n_rows, n_not_integer, n_null, n_missing): fold numbers that are no integer of 0..n-1, nulls outside the challenge, folds without a row."""
+    number = F.col(fold).try_cast("int")
+    ok = number.isNotNull() & (number.cast("string") == F.col(fold).cast("string")) & number.between(0, n - 1)
+    found = df.agg(F.count(F.lit(1)).alias("n_rows"), F.count_if(F.col(fold).isNotNull() & ~F.coalesce(ok, F.lit(False))).alias("n_not_integer"), F.count_if(F.col(fold).isNull() & ~outside).alias("n_null"), *[F.count_if(ok & (number == i)).alias(f"__f{i}") for i in range(n)])
+    return found.select("n_rows", "n_not_integer", "n_null", sum(F.when(F.col(f"__f{i}") == 0, 1).otherwise(0) for i in range(n)).alias("n_missing"))

@@ -71,14 +71,39 @@ def percentile_against(queries: DataFrame, reference: DataFrame, value: str) ->
     return queries.join(below.hint("merge"), queries[value] == F.col("__v"), "left").drop("__v")
 
 
-def running_sum(df: DataFrame, order: list[str], value: str, out: str, descending: bool = False) -> DataFrame:
-    """Sum of `value` up to each row in a global order of numbers, by ranges and prefix sums between them."""
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+def running_sum(df: DataFrame, order: list[str], value: str | list[str], out: str | list[str], descending: bool = False, group: list[str] = ()) -> DataFrame:
+    """Sum of `value` (or of several) up to each row in an order of numbers, global or by group, by ranges and prefix sums between them.
+
+    All groups share the ranges, so a large group is cut into many and a task sees one range of one
+    group; of each only one row goes on to the sums between ranges.
+    """
+    values, outs = ([value], [out]) if isinstance(value, str) else (value, out)
+    n, by = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), [*group, "__b"]
     cuts = sorted(set(df.agg(F.percentile_approx(F.col(order[0]).cast("double"), [i / n for i in range(1, n)], 10 * n)).first()[0] or [])) if n > 1 else []
     bucket = F.size(F.filter(F.array(*[F.lit(float(c)) for c in cuts]), lambda c: c < F.col(order[0]))) if cuts else F.lit(0)
     placed = df.withColumn("__b", (-bucket if descending else bucket).cast("int"))
-    sizes = placed.groupBy("__b").agg(F.sum(value).alias("__s"))
-    before = sizes.select("__b", F.coalesce(F.sum("__s").over(Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
+    sizes = placed.groupBy(*by).agg(*[F.sum(v).alias(f"__s{i}") for i, v in enumerate(values)])
+    upto = Window.partitionBy(*group).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    before = sizes.select(*by, *[F.coalesce(F.sum(f"__s{i}").over(upto), F.lit(0)).alias(f"__before{i}") for i in range(len(values))])
     keys = [F.col(c).desc() if descending else F.col(c).asc() for c in order]
-    w = Window.partitionBy("__b").orderBy(*keys).rowsBetween(Window.unboundedPreceding, 0)
-    return placed.withColumn("__own", F.sum(value).over(w)).join(before.hint("shuffle_hash"), "__b").withColumn(out, F.col("__own") + F.col("__before")).drop("__b", "__own", "__before")
+    w = Window.partitionBy(*by).orderBy(*keys).rowsBetween(Window.unboundedPreceding, 0)
+    own = placed.withColumns({f"__own{i}": F.sum(v).over(w) for i, v in enumerate(values)}).join(before.hint("shuffle_hash"), by)
+    made = own.withColumns({o: F.col(f"__own{i}") + F.col(f"__before{i}") for i, o in enumerate(outs)})
+    return made.drop("__b", *[f"__{k}{i}" for k in ("own", "before") for i in range(len(values))])
+
+
+def preferred(df: DataFrame, group: list[str], is_preferred: Column, order: list[Column], k: int = 3) -> DataFrame:
+    """O-08: the first k rows of each group, preferred ones before all others, then by `order`."""
+    return top_k(df.withColumn("__second", ~F.coalesce(is_preferred, F.lit(False))), group, [F.col("__second"), *order], k).drop("__second")
+
+
+def exact_quantile(df: DataFrame, value: str, q: float) -> float | None:
+    """The interpolated quantile of all rows: counts by distinct value, summed over ranges; two values come to the driver."""
+    counts = df.where(F.col(value).isNotNull()).groupBy(F.col(value).cast("double").alias("__v")).agg(F.count(F.lit(1)).alias("__n"))
+    total = counts.agg(F.sum("__n")).first()[0]
+    if not total:
+        return None
+    at = q * (total - 1)
+    upto = running_sum(counts, ["__v"], "__n", "__upto")
+    lo, hi = (upto.where(F.col("__upto") > int(i)).agg(F.min("__v")).first()[0] for i in (at, min(total - 1, int(at) + 1)))
+    return lo + (hi - lo) * (at - int(at))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from windloom.functions.scores import rank_support
+
 
 def protein_risk(windows: DataFrame, parent: str = "parent", risk: str = "risk", confidence: str = "confidence", start: str = "start", k: int = 5, threshold: float = 0.5) -> DataFrame:
     """A-24: per parent the number of windows, mean of the k highest risks, maximum with its start and confidence, and how many reach the threshold."""
@@ -49,3 +51,24 @@ def noisy_or(p: Column) -> Column:
 def weighted_mean(x: Column, w: Column) -> Column:
     """A-31: aggregate; the plain mean where the weights sum to about 0."""
     return F.when(F.sum(w) > 1e-12, F.sum(x * w) / F.sum(w)).otherwise(F.avg(x))
+
+
+def component_summary(hits: DataFrame, key: str) -> DataFrame:
+    """F-23: per candidate the largest support of each channel from providers that are ok, of cleavage and accessibility together, the response if it is calibrated, and 1 less the largest shared tolerance.
+
+    hits: (key, status, el_rank, ba_rank, scale, response, cleavage, accessibility, gate, tolerance).
+    """
+    c, ok = F.col, F.col("status") == "ok"
+    return hits.groupBy(key).agg(
+        F.max(F.when(c("scale") == "calibrated_probability", c("response"))).alias("response"),
+        F.max(F.when(ok, rank_support(c("el_rank")))).alias("el"),
+        F.max(F.when(ok, rank_support(c("ba_rank")))).alias("ba"),
+        F.max(F.greatest("cleavage", "accessibility")).alias("cleavage_accessibility"),
+        (1 - F.max(F.when(c("gate") == "shared", c("tolerance")))).alias("inverse_tolerance"),
+    )
+
+
+def confidence_parts(df: DataFrame, key: str, risk: str, parts: list[str], distance: str) -> DataFrame:
+    """A-31: risk-weighted mean of each part (plain where the risks sum to about 0), their mean, and the mean distance."""
+    each = df.groupBy(key).agg(*[weighted_mean(F.col(p), F.col(risk)).alias(p) for p in parts], F.avg(distance).alias(distance))
+    return each.withColumn("confidence", sum(F.col(p) for p in parts) / len(parts))

@@ -72,7 +72,7 @@ def interface_pae(matrices: DataFrame, split: str = "n_first") -> DataFrame:
 
 
 def gates(candidates: DataFrame) -> DataFrame:
-    """F-25: checks of (plddt, interface_pae, rmsd, clashes, sequence), failing where a metric is missing; eligible only if all pass."""
+    """F-25: checks of (plddt, interface_pae, rmsd, clashes, sequence, and that a perplexity is recorded where there is such a column), failing where a metric is missing; eligible only if all pass."""
     copies = F.count(F.lit(1)).over(Window.partitionBy("sequence"))
     check = lambda name, value, ok: F.struct(F.lit(name).alias("name"), value.cast("double").alias("value"), F.coalesce(ok, F.lit(False)).alias("passed"))
     c = F.col
@@ -83,6 +83,7 @@ def gates(candidates: DataFrame) -> DataFrame:
         check("binder_rmsd", c("rmsd"), c("rmsd") <= RMSD_MAX),
         check("clashes", c("clashes"), c("clashes") == 0),
         check("unique_sequence", c("__copies"), c("sequence").isNotNull() & (c("__copies") == 1)),
+        *([check("perplexity_recorded", c("perplexity"), c("perplexity").isNotNull())] if "perplexity" in candidates.columns else []),
     )).drop("__copies")
     passed = F.forall("checks", lambda x: x["passed"])
     return df.withColumn("status", F.when(passed, "pass").otherwise("fail")).withColumn("selection", F.when(passed, "eligible").otherwise("blocked"))

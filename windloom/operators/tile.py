@@ -10,22 +10,26 @@ from windloom.functions.sequence import canonical
 
 #: Starts in one slice of a sequence. Finding a position in a string takes time in proportion to it,
 #: so long sequences are sliced first and windows are cut from their slice.
-SLICE = 256
+SLICE = 64
 
 
-def _sliced(df: DataFrame, seq: str, first: Column, last: Column, before: int, after: Column) -> DataFrame:
-    """Rows (.., __at, __slice, start): start runs from first to last; __slice holds the sequence from __at on, with `before` and `after` residues around its starts."""
+def _sliced(df: DataFrame, seq: str, first: Column, last: Column, before: int, after: Column, slice_ok: Column | None = None) -> DataFrame:
+    """Rows (.., __at, __slice, start): start runs from first to last; __slice holds the sequence from __at on, with `before` and `after` residues around its starts. `slice_ok` is tested once a slice, as __ok."""
     from_ = F.explode(F.sequence(first, last, F.lit(SLICE)))
     df = df.where(last >= first).withColumn("__first", from_)
     df = df.withColumn("__at", F.greatest(F.lit(0), F.col("__first") - before))
     df = df.withColumn("__slice", F.substr(F.col(seq), F.col("__at") + 1, F.col("__first") - F.col("__at") + SLICE + after))
+    if slice_ok is not None:
+        df = df.withColumn("__ok", slice_ok)
     return df.withColumn("start", F.explode(F.sequence(F.col("__first"), F.least(last, F.col("__first") + SLICE - 1)))).drop("__first")
 
 
 def with_flanks(df: DataFrame, seq: str = "sequence", k: int = 9, flank: int = 4, first: int = 0, only_canonical: bool = False) -> DataFrame:
     """T-01 (first=1, only_canonical) and T-02 (first=0): windows of k with up to `flank` residues on each side."""
     kept = list(df.columns)
-    df = _sliced(df, seq, F.lit(first), F.char_length(seq) - k, flank, F.lit(k + flank))
+    # Most slices hold residues alone, and so do all their windows: only those of other slices are looked at.
+    slice_ok = canonical(F.col("__slice")) if only_canonical else None
+    df = _sliced(df, seq, F.lit(first), F.char_length(seq) - k, flank, F.lit(k + flank), slice_ok)
     s, at = F.col("__slice"), F.col("start") - F.col("__at")
     out = df.select(
         *kept,
@@ -34,8 +38,9 @@ def with_flanks(df: DataFrame, seq: str = "sequence", k: int = 9, flank: int = 4
         F.substr(s, at + 1, F.lit(k)).alias("peptide"),
         F.substr(s, F.greatest(at - flank, F.lit(0)) + 1, F.least(at, F.lit(flank))).alias("n_flank"),
         F.substr(s, at + k + 1, F.lit(flank)).alias("c_flank"),
+        *([F.col("__ok")] if only_canonical else []),
     )
-    return out.where(canonical(F.concat("n_flank", "peptide", "c_flank"))) if only_canonical else out
+    return out.where(F.col("__ok") | canonical(F.concat("n_flank", "peptide", "c_flank"))).drop("__ok") if only_canonical else out
 
 
 def sized(df: DataFrame, seq: str = "sequence", size: int = 15, stride: int = 1) -> DataFrame:
@@ -66,3 +71,21 @@ def fragments(df: DataFrame, cuts: Column, seq: str = "sequence") -> DataFrame:
 def expected_windows(df: DataFrame, seq: str = "sequence", k: int = 9, first: int = 0) -> DataFrame:
     """T-09: how many windows there must be."""
     return df.agg(F.coalesce(F.sum(F.greatest(F.lit(0), F.char_length(seq) - k + 1 - first)), F.lit(0)).cast("long").alias("expected"))
+
+
+def cut_behind(seq: str, letters: str) -> tuple[Column, str]:
+    """Cut positions behind each of some letters, as an array, and the column that they cut."""
+    return F.filter(F.transform(F.split(seq, ""), lambda c, i: F.when(c.isin(*letters), i + 1)), lambda x: x.isNotNull()), seq
+
+
+def pool(df: DataFrame, cuts: Column, seq: str = "sequence", lengths: tuple[int, int] = (8, 18), pieces: tuple[int, int] = (8, 25)) -> DataFrame:
+    """T-05: (length, peptide): distinct windows of the given lengths of whole sequences and of their fragments, and fragments of the given lengths, to be ordered by length and text.
+
+    A fragment lies in its sequence, so its windows are among the sequence's; only whole fragments
+    that are longer than a window come from the cuts.
+    """
+    sizes = tuple(range(lengths[0], lengths[1] + 1))
+    windows = many_lengths(df.select(seq), seq, sizes).select("length", "peptide")
+    n = F.char_length("piece")
+    whole = fragments(df.where(F.col(seq) != "").select(seq), cuts, seq).where(n.between(*pieces)).select(n.alias("length"), F.col("piece").alias("peptide"))
+    return windows.unionByName(whole).distinct()

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from windloom.functions import scores as C
 from windloom.operators import learn, quality, structure, tile
-from windloom.plans.views import ITEMS, items, table
+from windloom.plans.views import TURNS, table, turns
 from windloom.streaming import growing
 
 QUERIES: dict = {}
@@ -64,12 +64,12 @@ def structural_gates(spark: SparkSession, d: str) -> DataFrame:
 _SURFACE = ", ".join(f"('{k}', {v})" for k, v in C.MAX_SURFACE.items())
 
 
-@query(f"""WITH m(r, area) AS (VALUES {_SURFACE}), res AS (SELECT parent, i AS pos, least(1.5, greatest(0, ((i * 37) % 211)::DOUBLE / area)) AS rsa FROM (SELECT parent, i, substr(sequence, i + 1, 1) AS r FROM {ITEMS}, unnest(range(0, length(sequence))) t(i)) JOIN m USING (r) WHERE i % 3 > 0),
-    w AS (SELECT parent, i AS start FROM {ITEMS}, unnest(range(0, length(sequence) - 8)) t(i))
+@query(f"""WITH m(r, area) AS (VALUES {_SURFACE}), res AS (SELECT parent, i AS pos, least(1.5, greatest(0, ((i * 37) % 211)::DOUBLE / area)) AS rsa FROM (SELECT parent, i, substr(sequence, i + 1, 1) AS r FROM {TURNS}, unnest(range(0, length(sequence))) t(i)) JOIN m USING (r) WHERE i % 3 > 0),
+    w AS (SELECT parent, i AS start FROM {TURNS}, unnest(range(0, length(sequence) - 8)) t(i))
     SELECT w.parent, w.start::INT AS start, count(rsa) AS observed, round(CASE WHEN count(rsa) >= 5 THEN avg(rsa) END, 6) AS mean_rsa, round(CASE WHEN count(rsa) >= 5 THEN count(*) FILTER (WHERE rsa < 0.25)::DOUBLE / count(rsa) END, 6) AS buried FROM w LEFT JOIN res ON res.parent = w.parent AND pos >= w.start AND pos < w.start + 9 GROUP BY w.parent, w.start""")
 def accessibility(spark: SparkSession, d: str) -> DataFrame:
     """J-15, F-15, O-06: windows of the reference set with the residues observed on them."""
-    it = items(spark, d)
+    it = turns(spark, d)
     res = it.where("sequence <> ''").select("parent", F.posexplode(F.split("sequence", "")).alias("pos", "r")).where("pos % 3 > 0")
     res = res.select("parent", "pos", C.relative_accessibility(F.col("r"), (F.col("pos") * 37 % 211).cast("double")).alias("rsa"))
     w = tile.with_flanks(it, flank=0).select("parent", "start", "end")
@@ -80,11 +80,11 @@ def accessibility(spark: SparkSession, d: str) -> DataFrame:
 _CHAIN = "CASE parent % 4 WHEN 0 THEN sequence WHEN 1 THEN substr(sequence, 4, length(sequence) - 5) WHEN 2 THEN 'GS' || sequence ELSE reverse(sequence) END"
 
 
-@query(f"SELECT parent, coalesce(CASE WHEN instr(sequence, c) > 0 THEN instr(sequence, c) - 1 WHEN instr(c, sequence) > 0 THEN 1 - instr(c, sequence) END, 9999)::INT AS \"offset\", CASE WHEN sequence = c THEN 'exact' WHEN instr(sequence, c) > 0 AND length(c) >= 15 AND length(c) >= 0.9 * length(sequence) AND instr(sequence, c) - 1 <= 5 AND length(sequence) - instr(sequence, c) + 1 - length(c) <= 5 THEN 'trimmed' ELSE 'rejected' END AS status FROM (SELECT *, {_CHAIN} AS c FROM {ITEMS} WHERE length(sequence) > 5)")
+@query(f"SELECT parent, coalesce(CASE WHEN instr(sequence, c) > 0 THEN instr(sequence, c) - 1 WHEN instr(c, sequence) > 0 THEN 1 - instr(c, sequence) END, 9999)::INT AS \"offset\", CASE WHEN sequence = c THEN 'exact' WHEN instr(sequence, c) > 0 AND length(c) >= 15 AND length(c) >= 0.9 * length(sequence) AND instr(sequence, c) - 1 <= 5 AND length(sequence) - instr(sequence, c) + 1 - length(c) <= 5 THEN 'trimmed' ELSE 'rejected' END AS status FROM (SELECT *, {_CHAIN} AS c FROM {TURNS} WHERE length(sequence) > 5)")
 def chain_alignment(spark: SparkSession, d: str) -> DataFrame:
     """J-16, J-26: sequences against chains derived from them."""
     s, n = F.col("sequence"), F.char_length("sequence")
-    it = items(spark, d).where(n > 5)
+    it = turns(spark, d).where(n > 5)
     chain = F.when(F.col("parent") % 4 == 0, s).when(F.col("parent") % 4 == 1, F.substr(s, F.lit(4), n - 5)).when(F.col("parent") % 4 == 2, F.concat(F.lit("GS"), s)).otherwise(F.reverse(s))
     it = it.withColumn("c", chain)
     return it.select("parent", F.coalesce(structure.chain_offset(F.col("c"), s), F.lit(9999)).alias("offset"), structure.map_sequence(s, F.col("c"))["status"].alias("status"))

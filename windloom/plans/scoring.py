@@ -87,7 +87,7 @@ _PART = "CASE WHEN l_linenumber = 2 THEN NULL ELSE l_discount END AS response, l
 @query(f"""SELECT l_orderkey, l_linenumber, round(CASE WHEN response IS NOT NULL THEN (0.45 * response + 0.25 * el + 0.15 * ba + coalesce(0.1 * cleavage, 0) + coalesce(0.05 * tolerance, 0)) / (0.85 + CASE WHEN cleavage IS NULL THEN 0 ELSE 0.1 END + CASE WHEN tolerance IS NULL THEN 0 ELSE 0.05 END) END, 6) AS fused,
     round((0.25 * el + 0.15 * ba + coalesce(0.1 * cleavage, 0) + coalesce(0.05 * tolerance, 0)) / (0.4 + CASE WHEN cleavage IS NULL THEN 0 ELSE 0.1 END + CASE WHEN tolerance IS NULL THEN 0 ELSE 0.05 END), 6) AS without_response FROM (SELECT l_orderkey, l_linenumber, {_PART} FROM lineitem)""")
 def fusion(spark: SparkSession, d: str) -> DataFrame:
-    """F-22, F-23."""
+    """F-22."""
     li = table(spark, d, "lineitem")
     p = {
         "response": F.when(F.col("l_linenumber") != 2, F.col("l_discount")),

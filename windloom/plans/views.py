@@ -24,6 +24,12 @@ def items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return b.select(F.col("item_id").alias("parent"), from_text(F.coalesce("text", F.lit(""))).alias("sequence"))
 
 
+def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(parent, sequence) of all turns of the conversations, whole texts."""
+    t = table(spark, sf_dir, "conversations")
+    return t.select((F.col("conv_id") * 1000 + F.col("turn")).alias("parent"), from_text(F.coalesce("text", F.lit(""))).alias("sequence"))
+
+
 def scored_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(parent, start, end, risk, confidence): line items as windows of their order, the highest values of equal windows."""
     li = table(spark, sf_dir, "lineitem")
@@ -39,5 +45,6 @@ def outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 SEQUENCES = "(SELECT doc_id AS parent, lang AS domain, source AS study, translate(upper(regexp_replace(coalesce(text, ''), '[^A-Za-z]', '', 'g')), 'BJOUXZ', '') AS sequence FROM documents)"
 ITEMS = "(SELECT item_id AS parent, translate(upper(regexp_replace(coalesce(text, ''), '[^A-Za-z]', '', 'g')), 'BJOUXZ', '') AS sequence FROM benchmark)"
+TURNS = "(SELECT conv_id * 1000 + turn AS parent, translate(upper(regexp_replace(coalesce(text, ''), '[^A-Za-z]', '', 'g')), 'BJOUXZ', '') AS sequence FROM conversations)"
 SCORED_WINDOWS = "(SELECT l_orderkey AS parent, (l_linenumber * 3)::INT AS start, (l_linenumber * 3 + 9)::INT AS \"end\", max(l_discount) * 10 AS risk, max(l_tax) * 12.5::DOUBLE AS confidence FROM lineitem GROUP BY ALL)"
 OUTCOMES = "(SELECT (l_orderkey * 10 + l_linenumber)::BIGINT AS id, l_linenumber AS grp, l_returnflag = 'R' AS label, round(l_extendedprice / 110000, 3) AS score, l_quantity::DOUBLE AS activity FROM lineitem)"

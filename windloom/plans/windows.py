@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from windloom.functions import sequence as S
 from windloom.operators import collapse, graph, join, rank, tile
-from windloom.plans.views import ITEMS, SEQUENCES, items, sequences, table
+from windloom.plans.views import ITEMS, SEQUENCES, TURNS, items, sequences, table, turns
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -33,7 +33,7 @@ def tile_basic(spark: SparkSession, d: str) -> DataFrame:
     """T-01, T-07, A-01, A-08: unique 9-mers by the domain of their first occurrence."""
     s = sequences(spark, d)
     first = collapse.first_places(tile.with_flanks(s, first=1, only_canonical=True), "peptide").groupBy("parent").agg(F.count(F.lit(1)).alias("n"))
-    return first.join(s.select("parent", "domain"), "parent").groupBy("domain").agg(F.sum("n").alias("n_peptides"))
+    return s.select("parent", "domain").join(first.hint("merge"), "parent").groupBy("domain").agg(F.sum("n").alias("n_peptides"))
 
 
 @query(f"SELECT parent, count(*) AS n, sum(least(i, 4))::BIGINT AS n_flank_len, sum(least(length(sequence) - i - 9, 4))::BIGINT AS c_flank_len, min(substr(sequence, i + 1, 9)) AS first_peptide FROM {SEQUENCES}, unnest(range(0, length(sequence) - 8)) t(i) GROUP BY parent")
@@ -50,10 +50,10 @@ def tile_stride(spark: SparkSession, d: str) -> DataFrame:
     return t.groupBy("parent").agg(F.count(F.lit(1)).alias("n"), F.max("end").alias("last_end"), F.count_distinct("peptide").alias("n_distinct"))
 
 
-@query(f"SELECT k::INT AS length, count(*) AS n, count(DISTINCT substr(sequence, i + 1, k)) AS n_distinct FROM {ITEMS}, unnest(range(8, 19)) a(k), unnest(range(0, length(sequence) - k + 1)) b(i) GROUP BY k")
+@query(f"SELECT k::INT AS length, count(*) AS n, count(DISTINCT substr(sequence, i + 1, k)) AS n_distinct FROM {TURNS}, unnest(range(8, 19)) a(k), unnest(range(0, length(sequence) - k + 1)) b(i) GROUP BY k")
 def tile_multi_len(spark: SparkSession, d: str) -> DataFrame:
-    """T-05: of the reference set."""
-    t = tile.many_lengths(items(spark, d))
+    """T-05: windows of many lengths."""
+    t = tile.many_lengths(turns(spark, d))
     return t.groupBy("length").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("peptide").alias("n_distinct"))
 
 
@@ -70,7 +70,7 @@ def fragments(spark: SparkSession, d: str) -> DataFrame:
 def window_arithmetic(spark: SparkSession, d: str) -> DataFrame:
     """T-09."""
     s = sequences(spark, d)
-    return tile.expected_windows(s).crossJoin(tile.with_flanks(s).agg(F.count(F.lit(1)).alias("found")))
+    return tile.expected_windows(s).crossJoin(F.broadcast(tile.with_flanks(s).agg(F.count(F.lit(1)).alias("found"))))
 
 
 _LETTERS = "regexp_replace(text, '[^A-Za-z]', '', 'g')"
@@ -188,8 +188,9 @@ _ITEM_NINE = f"SELECT DISTINCT substr(sequence, i + 1, 9) AS peptide, parent AS
 def anti_new(spark: SparkSession, d: str, first: int = 1) -> DataFrame:
     """J-07: reference peptides that no document has from its second window on."""
     mine = tile.with_flanks(items(spark, d), flank=0).select("peptide", F.col("parent").alias("item")).distinct()
-    used = tile.with_flanks(sequences(spark, d), first=first, flank=0).select("peptide")
-    return mine.join(used, "peptide", "left_anti").groupBy("item").agg(F.count(F.lit(1)).alias("n_new"))
+    # The reference peptides that documents have: found beside the windows, where the reference is small.
+    used = tile.with_flanks(sequences(spark, d), first=first, flank=0).select("peptide").join(join.bounded(mine.select("peptide").distinct()), "peptide", "left_semi").distinct()
+    return mine.join(used.hint("merge"), "peptide", "left_anti").groupBy("item").agg(F.count(F.lit(1)).alias("n_new"))
 
 
 @query(f"SELECT parent, count(*) FILTER (WHERE peptide IN (SELECT peptide FROM ({_ITEM_NINE})))::BIGINT AS n_exact, count(*) AS n FROM ({NINE}) GROUP BY parent")
@@ -197,7 +198,7 @@ def exact_membership(spark: SparkSession, d: str, first: int = 1) -> DataFrame:
     """J-08, J-14, J-21: windows of each document, from the second on, that the reference set has."""
     t = tile.with_flanks(sequences(spark, d), first=first, flank=0).select("parent", "peptide")
     known = tile.with_flanks(items(spark, d), flank=0).select("peptide").distinct().withColumn("hit", F.lit(1))
-    return t.join(known.hint("merge"), "peptide", "left").groupBy("parent").agg(F.count("hit").alias("n_exact"), F.count(F.lit(1)).alias("n"))
+    return t.join(join.bounded(known), "peptide", "left").groupBy("parent").agg(F.count("hit").alias("n_exact"), F.count(F.lit(1)).alias("n"))
 
 
 def _masked(p: str) -> F.Column:
@@ -212,11 +213,14 @@ _MASK = "substr(peptide, 2, 2) || substr(peptide, 5, 1) || substr(peptide, 7, 2)
     FROM (SELECT item, {_MASK} AS k FROM ({_ITEM_NINE})) LEFT JOIN c USING (k), t GROUP BY item, total""")
 def masked_key_counts(spark: SparkSession, d: str, first: int = 1) -> DataFrame:
     """J-12, J-13, A-21, F-14: windows of the reference set matched on five positions against all documents from their second window on, with enrichment over chance."""
-    corpus = tile.with_flanks(sequences(spark, d), first=first, flank=0).groupBy(_masked("peptide").alias("k")).agg(F.count(F.lit(1)).alias("c"))
     mine = tile.with_flanks(items(spark, d), flank=0).select(F.col("parent").alias("item"), "peptide").distinct().withColumn("k", _masked("peptide"))
-    total = corpus.agg(F.sum("c").cast("double").alias("total"))
+    # Only the keys that the reference set asks for are counted; how many windows there are is arithmetic.
+    s = sequences(spark, d)
+    asked = tile.with_flanks(s, first=first, flank=0).select(_masked("peptide").alias("k")).join(join.bounded(mine.select("k").distinct()), "k", "left_semi")
+    corpus = asked.groupBy("k").agg(F.count(F.lit(1)).alias("c"))
+    total = tile.expected_windows(s, first=first).select(F.col("expected").cast("double").alias("total"))
     each = mine.join(corpus.hint("merge"), "k", "left").groupBy("item").agg(F.count(F.lit(1)).alias("n_windows"), F.sum(F.coalesce("c", F.lit(0))).alias("matches"), F.max(F.coalesce("c", F.lit(0))).alias("max_matches"), F.count("c").alias("frames"))
-    return each.crossJoin(total).select("item", "n_windows", "matches", "max_matches", "frames", F.round(F.log2((F.col("matches") + 1) / (F.col("n_windows") * F.col("total") / 3200000.0 + 1)), 6).alias("enrichment"))
+    return each.crossJoin(F.broadcast(total)).select("item", "n_windows", "matches", "max_matches", "frames", F.round(F.log2((F.col("matches") + 1) / (F.col("n_windows") * F.col("total") / 3200000.0 + 1)), 6).alias("enrichment"))
 
 
 # The same four over every window: the first of a document counts too.
@@ -260,29 +264,29 @@ def motif_scan(spark: SparkSession, d: str) -> DataFrame:
     return found.where("n_cuts > 0")
 
 
-@query(f"SELECT parent, residue, count(*) AS n, round(count(*)::DOUBLE / sum(count(*)) OVER (PARTITION BY parent), 6) AS share FROM (SELECT parent, unnest(string_split(sequence, '')) AS residue FROM {ITEMS} WHERE sequence <> '') GROUP BY parent, residue")
+@query(f"SELECT parent, residue, count(*) AS n, round(count(*)::DOUBLE / sum(count(*)) OVER (PARTITION BY parent), 6) AS share FROM (SELECT parent, unnest(string_split(sequence, '')) AS residue FROM {TURNS} WHERE sequence <> '') GROUP BY parent, residue")
 def residue_frequency(spark: SparkSession, d: str) -> DataFrame:
-    """A-22."""
+    """Residues of each sequence with their shares (A-22 over whole sets: core_residues)."""
     from pyspark.sql import Window
 
-    r = items(spark, d).where("sequence <> ''").select("parent", F.explode(F.split("sequence", "")).alias("residue")).where("residue <> ''")
+    r = turns(spark, d).where("sequence <> ''").select("parent", F.explode(F.split("sequence", "")).alias("residue")).where("residue <> ''")
     n = r.groupBy("parent", "residue").agg(F.count(F.lit(1)).alias("n"))
     return n.withColumn("share", F.round(F.col("n").cast("double") / F.sum("n").over(Window.partitionBy("parent")), 6))
 
 
-@query(f"SELECT parent, lo, hi, hi - lo + 1 AS length FROM (SELECT parent, min(i)::INT AS lo, max(i)::INT AS hi FROM (SELECT parent, i, i - row_number() OVER (PARTITION BY parent ORDER BY i) AS g FROM {ITEMS}, unnest(range(0, length(sequence))) t(i) WHERE contains('AILMFVWY', substr(sequence, i + 1, 1))) GROUP BY parent, g)")
+@query(f"SELECT parent, lo, hi, hi - lo + 1 AS length FROM (SELECT parent, min(i)::INT AS lo, max(i)::INT AS hi FROM (SELECT parent, i, i - row_number() OVER (PARTITION BY parent ORDER BY i) AS g FROM {TURNS}, unnest(range(0, length(sequence))) t(i) WHERE contains('AILMFVWY', substr(sequence, i + 1, 1))) GROUP BY parent, g)")
 def islands(spark: SparkSession, d: str) -> DataFrame:
     """O-07: hydrophobic runs."""
-    p = items(spark, d).where("sequence <> ''").select("parent", F.posexplode(F.split("sequence", "")).alias("pos", "r")).where(F.col("r").isin(*S.HYDROPHOBIC))
+    p = turns(spark, d).where("sequence <> ''").select("parent", F.posexplode(F.split("sequence", "")).alias("pos", "r")).where(F.col("r").isin(*S.HYDROPHOBIC))
     return rank.islands(p.select("parent", "pos"), ["parent"], "pos").withColumn("length", F.col("length").cast("int"))
 
 
-_WIN15 = f"SELECT parent, i::INT AS start, least(i + 15, length(sequence))::INT AS \"end\", substr(sequence, i + 1, 15) AS peptide FROM (SELECT * FROM {ITEMS} WHERE length(sequence) > 0), unnest(range(0, greatest(length(sequence) - 14, 1))) t(i)"
-_HITS = f"SELECT parent, i::INT AS hs, (i + 9)::INT AS he, chr(65 + (ascii(substr(sequence, i + 2, 1)) % 6)) AS allele, ((ascii(substr(sequence, i + 3, 1)) * 7 + i) % 100) / 10.0 AS el_rank FROM {ITEMS}, unnest(range(0, length(sequence) - 8, 3)) t(i)"
+_WIN15 = f"SELECT parent, i::INT AS start, least(i + 15, length(sequence))::INT AS \"end\", substr(sequence, i + 1, 15) AS peptide FROM (SELECT * FROM {TURNS} WHERE length(sequence) > 0), unnest(range(0, greatest(length(sequence) - 14, 1))) t(i)"
+_HITS = f"SELECT parent, i::INT AS hs, (i + 9)::INT AS he, chr(65 + (ascii(substr(sequence, i + 2, 1)) % 6)) AS allele, ((ascii(substr(sequence, i + 3, 1)) * 7 + i) % 100) / 10.0 AS el_rank FROM {TURNS}, unnest(range(0, length(sequence) - 8, 3)) t(i)"
 
 
 def _windows_and_hits(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    it = items(spark, d)
+    it = turns(spark, d)
     h = it.where("char_length(sequence) >= 9").select("parent", "sequence", F.explode(F.sequence(F.lit(0), F.char_length("sequence") - 9, F.lit(3))).alias("hit_start"))
     allele = F.char(65 + F.ascii(F.substr("sequence", F.col("hit_start") + 2, F.lit(1))) % 6)
     el = ((F.ascii(F.substr("sequence", F.col("hit_start") + 3, F.lit(1))) * 7 + F.col("hit_start")) % 100) / 10.0
@@ -306,12 +310,12 @@ def window_alleles(spark: SparkSession, d: str) -> DataFrame:
     return join.overlaps(w, h, "parent", how="inner").groupBy("parent", "peptide").agg(F.array_join(F.array_sort(F.collect_set("allele")), ",").alias("alleles"))
 
 
-@query(f"""WITH c AS (SELECT parent, i + 1 AS position, ((ascii(substr(sequence, i + 1, 1)) * 13 + i) % 100) / 100.0 AS prob FROM {ITEMS}, unnest(range(0, length(sequence))) t(i))
-    SELECT w.parent, count(*) AS n, round(sum(a.prob), 6) AS n_term, round(sum(b.prob), 6) AS c_term FROM (SELECT parent, i AS start, i + 9 AS "end" FROM {ITEMS}, unnest(range(1, length(sequence) - 8)) t(i)) w
+@query(f"""WITH c AS (SELECT parent, i + 1 AS position, ((ascii(substr(sequence, i + 1, 1)) * 13 + i) % 100) / 100.0 AS prob FROM {TURNS}, unnest(range(0, length(sequence))) t(i))
+    SELECT w.parent, count(*) AS n, round(sum(a.prob), 6) AS n_term, round(sum(b.prob), 6) AS c_term FROM (SELECT parent, i AS start, i + 9 AS "end" FROM {TURNS}, unnest(range(1, length(sequence) - 8)) t(i)) w
     LEFT JOIN c a ON a.parent = w.parent AND a.position = w.start LEFT JOIN c b ON b.parent = w.parent AND b.position = w."end" GROUP BY w.parent""")
 def position_labels(spark: SparkSession, d: str) -> DataFrame:
     """J-01: a label of the position on both ends of each window."""
-    it = items(spark, d)
+    it = turns(spark, d)
     c = it.where("sequence <> ''").select("parent", F.posexplode(F.split("sequence", "")).alias("i", "r")).select("parent", (F.col("i") + 1).alias("position"), (((F.ascii("r") * 13 + F.col("i")) % 100) / 100.0).alias("prob"))
     w = tile.with_flanks(it, first=1).select("parent", "start", "end")
     n_end = c.select("parent", F.col("position").alias("start"), F.col("prob").alias("n_prob"))

@@ -37,9 +37,11 @@ def importable(spark: SparkSession) -> None:
 
 
 def workspace(spark: SparkSession) -> str:
-    """The shared folder named by spark.checkpoint.dir; an own one only where that is unset."""
+    """The shared folder named by spark.checkpoint.dir; an own one only where that is unset and all runs on this machine."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")

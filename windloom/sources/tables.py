@@ -72,3 +72,18 @@ def report(found: DataFrame) -> str:
     lines = ["| section | name | value |", "| --- | --- | --- |"]
     lines += [f"| {r['section']} | {r['name']} | {r['value']:.6g} |" if r["value"] is not None else f"| {r['section']} | {r['name']} | |" for r in found.orderBy("section", "name").collect()]
     return "\n".join(lines)
+
+
+def sequence_map(rows: DataFrame, column: str = "value") -> DataFrame:
+    """S-11: (accession, sequence) from JSON objects {accession: sequence}, one in each row; a landed table takes the place of a cache file."""
+    return rows.select(F.explode(F.from_json(F.col(column), "map<string,string>")).alias("accession", "sequence"))
+
+
+def read_sequence_map(spark: SparkSession, path: str) -> DataFrame:
+    """S-11: the same from files that hold one object each."""
+    return sequence_map(spark.read.text(path, wholetext=True))
+
+
+def contract_order(df: DataFrame, columns: dict[str, str]) -> DataFrame:
+    """P-13: the contract's columns in its order, from the columns named for them; missing ones are an error."""
+    return require(df, list(columns.values())).select(*[F.col(f"`{source}`").alias(name) for name, source in columns.items()])
