@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from windloom.functions.scores import rank_support
+from windloom.operators.rank import top_k
 
 
 def protein_risk(windows: DataFrame, parent: str = "parent", risk: str = "risk", confidence: str = "confidence", start: str = "start", k: int = 5, threshold: float = 0.5) -> DataFrame:
@@ -72,3 +73,14 @@ def confidence_parts(df: DataFrame, key: str, risk: str, parts: list[str], dista
     """A-31: risk-weighted mean of each part (plain where the risks sum to about 0), their mean, and the mean distance."""
     each = df.groupBy(key).agg(*[weighted_mean(F.col(p), F.col(risk)).alias(p) for p in parts], F.avg(distance).alias(distance))
     return each.withColumn("confidence", sum(F.col(p) for p in parts) / len(parts))
+
+
+def surrogate(windows: DataFrame, key: str, risk: str, confidence: str, kind: str, start: str = "start", k: int = 5) -> DataFrame:
+    """A-29: (key, top5, max_start, confidence, channel_max, class): mean of the k highest risks, the start of the first highest, mean confidence, maximum over both channels, highest class present."""
+    level = F.when(F.col(kind) == "strong", 2).when(F.col(kind) == "weak", 1).otherwise(0)
+    base = windows.groupBy(key).agg(
+        F.min_by(start, F.struct(-F.col(risk), F.col(start))).alias("max_start"), F.avg(confidence).alias("confidence"), F.max(F.greatest(risk, confidence)).alias("channel_max"),
+        F.element_at(F.array(F.lit("nonbinder"), F.lit("weak"), F.lit("strong")), F.max(level) + 1).alias("class"),
+    )
+    top = top_k(windows.select(key, start, risk), [key], [F.desc(risk), F.col(start)], k).groupBy(key).agg(F.avg(risk).alias("top5"))
+    return base.join(top.hint("merge"), key)

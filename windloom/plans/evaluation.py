@@ -305,3 +305,68 @@ def reference_metadata(spark: SparkSession, d: str) -> DataFrame:
     li = table(spark, d, "lineitem").groupBy("l_orderkey").agg(join.upper_median(F.collect_list("l_extendedprice")).alias("kd"))
     met = table(spark, d, "orders").join(table(spark, d, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_acctbal").hint("merge"), "o_custkey")
     return met.join(li.select(F.col("l_orderkey").alias("o_orderkey"), "kd").hint("merge"), "o_orderkey", "left").select("o_orderkey", F.round("c_acctbal", 2).alias("balance"), "kd")
+
+
+# ---- joins with their errors, reviews, surrogates --------------------------------------------
+
+
+@query("SELECT coalesce(a.l_orderkey, b.l_orderkey) AS l_orderkey, coalesce(a.l_linenumber, b.l_linenumber) AS l_linenumber, el, ba, left(o_orderpriority, 1) AS n_flank FROM (SELECT l_orderkey, l_linenumber, max(l_discount) AS el FROM lineitem WHERE l_returnflag <> 'A' GROUP BY ALL) a FULL JOIN (SELECT l_orderkey, l_linenumber, max(l_tax) AS ba FROM lineitem WHERE l_linestatus = 'F' GROUP BY ALL) b ON a.l_orderkey = b.l_orderkey AND a.l_linenumber = b.l_linenumber LEFT JOIN orders ON o_orderkey = coalesce(a.l_orderkey, b.l_orderkey)")
+def whole_parent_labels(spark: SparkSession, d: str) -> DataFrame:
+    """J-03: two label tables joined outer and one to one on their window, then many to one to the parent, a flank cut from it."""
+    li = table(spark, d, "lineitem")
+    el = li.where("l_returnflag <> 'A'").groupBy("l_orderkey", "l_linenumber").agg(F.max("l_discount").alias("el"))
+    ba = li.where("l_linestatus = 'F'").groupBy("l_orderkey", "l_linenumber").agg(F.max("l_tax").alias("ba"))
+    both = join.validated_join(el, ba, ["l_orderkey", "l_linenumber"], "full", "1:1")
+    parents = table(spark, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.left("o_orderpriority", F.lit(1)).alias("n_flank"))
+    return join.validated_join(both, parents, ["l_orderkey"])
+
+
+@query("SELECT o_custkey AS component, max(CASE o_orderpriority WHEN '1-URGENT' THEN 4 WHEN '2-HIGH' THEN 3 WHEN '3-MEDIUM' THEN 2 WHEN '4-NOT SPECIFIED' THEN 1 ELSE 0 END)::INT AS priority FROM orders GROUP BY o_custkey")
+def component_novelty(spark: SparkSession, d: str) -> DataFrame:
+    """J-22: components to parents to their novelty; a parent without metadata is an error."""
+    members = table(spark, d, "orders").select(F.col("o_custkey").alias("component"), F.col("o_orderkey").alias("parent"))
+    level = F.when(F.left("o_orderpriority", F.lit(1)).between("1", "4"), 5 - F.left("o_orderpriority", F.lit(1)).cast("int")).otherwise(0)
+    known = table(spark, d, "orders").select(F.col("o_orderkey").alias("parent"), level.alias("priority"))
+    met = join.require_matched(join.validated_join(members, known, ["parent"]), "priority")
+    return met.groupBy("component").agg(F.max("priority").alias("priority"))
+
+
+@query("""SELECT rule, n_bad FROM (SELECT count(*) FILTER (WHERE l_returnflag = 'R' AND l_discount > 0.05) AS a, count(*) FILTER (WHERE l_linestatus = 'F' AND l_tax > 0) AS b, count(*) FILTER (WHERE l_linenumber > 7) AS c FROM lineitem),
+    LATERAL (VALUES ('provider_ok', a), ('unavailable_has_no_rank', b), ('alleles', c)) t(rule, n_bad)""")
+def review_gates(spark: SparkSession, d: str) -> DataFrame:
+    """X-06: review rules of assessments: screened without an ok provider, a rank where the response is unavailable, more alleles than there are."""
+    c = F.col
+    checks = {
+        "provider_ok": ("error", (c("l_returnflag") == "R") & (c("l_discount") > 0.05)),
+        "unavailable_has_no_rank": ("error", (c("l_linestatus") == "F") & (c("l_tax") > 0)),
+        "alleles": ("error", c("l_linenumber") > 7),
+    }
+    return quality.rules(table(spark, d, "lineitem"), checks).select("rule", "n_bad")
+
+
+@query("""SELECT parent, round(avg(r) FILTER (WHERE k <= 5), 6) AS top5, arg_max(s, (r, -s)) AS max_start, round(avg(c), 6) AS confidence, round(max(greatest(r, c)), 6) AS channel_max, ['nonbinder', 'weak', 'strong'][max(level) + 1] AS class
+    FROM (SELECT l_orderkey AS parent, l_linenumber AS s, l_discount AS r, sqrt(l_quantity) AS c, CASE WHEN l_tax * 100 <= 0.5 THEN 2 WHEN l_tax * 100 <= 2 THEN 1 ELSE 0 END AS level, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_discount DESC, l_linenumber) AS k FROM lineitem) GROUP BY parent""")
+def surrogate_summary(spark: SparkSession, d: str) -> DataFrame:
+    """A-29: mean of the five highest windows, where the highest is, mean confidence, the channels' maximum and the highest class."""
+    c = F.col
+    w = table(spark, d, "lineitem").select(c("l_orderkey").alias("parent"), c("l_linenumber").alias("start"), c("l_discount").alias("risk"), F.sqrt("l_quantity").alias("other"), C.binder_class(c("l_tax") * 100).alias("class"))
+    got = rollup.surrogate(w, "parent", "risk", "other", "class")
+    return got.select("parent", r6("top5").alias("top5"), "max_start", r6("confidence").alias("confidence"), r6("channel_max").alias("channel_max"), "class")
+
+
+@query("SELECT l_orderkey AS parent, l_linenumber AS start, l_orderkey::VARCHAR || '_nbhd' || (l_linenumber // 5)::VARCHAR AS cluster FROM lineitem")
+def neighbourhoods(spark: SparkSession, d: str) -> DataFrame:
+    """G-02: clusters of windows that begin near each other."""
+    return table(spark, d, "lineitem").select(F.col("l_orderkey").alias("parent"), F.col("l_linenumber").alias("start"), split.neighbourhood(F.col("l_orderkey"), F.col("l_linenumber")).alias("cluster"))
+
+
+@query("SELECT o_orderkey, round(1 + 4 * ((o_orderkey % 9 <= 2)::INT + (o_orderkey % 7 <= 2)::INT) / 2.0, 6) AS weight FROM orders")
+def sample_weights(spark: SparkSession, d: str) -> DataFrame:
+    """G-16: weights by the channels with a strong or weak rank."""
+    return table(spark, d, "orders").select("o_orderkey", r6(split.sample_weight(F.col("o_orderkey") % 9, F.col("o_orderkey") % 7)).alias("weight"))
+
+
+@query("SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey")
+def sorted_rows(spark: SparkSession, d: str) -> DataFrame:
+    """O-01: a sort with a full tie key, by ranges."""
+    return table(spark, d, "orders").select("o_orderkey", "o_totalprice").orderBy(F.desc("o_totalprice"), "o_orderkey")

@@ -54,7 +54,7 @@ _CANDIDATES = "(SELECT p_partkey AS id, p_name AS sequence, CASE WHEN p_size % 7
 @query(f"""SELECT id, coalesce(plddt >= 80, FALSE)::INT + (interface_pae <= 10)::INT + (rmsd <= 1)::INT + (clashes = 0)::INT + (n = 1)::INT AS n_passed, CASE WHEN coalesce(plddt >= 80, FALSE) AND interface_pae <= 10 AND rmsd <= 1 AND clashes = 0 AND n = 1 THEN 'eligible' ELSE 'blocked' END AS selection
     FROM (SELECT *, count(*) OVER (PARTITION BY sequence) AS n FROM {_CANDIDATES})""")
 def structural_gates(spark: SparkSession, d: str) -> DataFrame:
-    """F-25, A-34."""
+    """F-25: the gates of candidates without a perplexity."""
     p = table(spark, d, "part")
     c = p.select(F.col("p_partkey").alias("id"), F.col("p_name").alias("sequence"), F.when(F.col("p_size") % 7 > 0, 70.0 + F.col("p_size")).alias("plddt"), (F.col("p_partkey") % 13).cast("double").alias("interface_pae"), (F.col("p_partkey") % 5 / 4.0).alias("rmsd"), (F.col("p_partkey") % 3).cast("int").alias("clashes"))
     g = structure.gates(c)

@@ -250,7 +250,7 @@ def ece(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"SELECT grp, count(*) AS n, count(*) FILTER (WHERE score >= 0.5)::BIGINT AS flagged, count(*) FILTER (WHERE (score >= 0.5) = label)::BIGINT AS agree, round(avg(((score >= 0.5) = label)::INT), 6) AS agreement FROM {OUTCOMES} GROUP BY grp")
 def agreement_at_cutoff(spark: SparkSession, d: str) -> DataFrame:
-    """M-06, M-15, A-17."""
+    """M-06."""
     o = outcomes(spark, d)
     same = (F.col("score") >= 0.5) == F.col("label")
     return o.groupBy("grp").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("score") >= 0.5).alias("flagged"), F.count_if(same).alias("agree"), r6(F.avg(same.cast("int"))).alias("agreement"))
@@ -269,7 +269,7 @@ _SPLIT = "(SELECT {g}, CASE WHEN rn <= floor(n * 0.8::DOUBLE) THEN 'train' WHEN
 
 @query("SELECT * FROM " + _SPLIT.format(g="o_custkey", t="orders"))
 def group_split(spark: SparkSession, d: str) -> DataFrame:
-    """G-01 to G-04."""
+    """G-01, G-03."""
     return split.group_split(table(spark, d, "orders"), "o_custkey")
 
 
@@ -282,7 +282,7 @@ def leak_check(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT rotation::INT AS rotation, split, count(*) AS n FROM (SELECT rotation, CASE WHEN fold IS NULL THEN 'challenge' WHEN fold = rotation THEN 'test' WHEN fold = (rotation + 1) % 5 THEN 'val' ELSE 'train' END AS split FROM (SELECT CASE WHEN o_orderkey % 6 = 5 THEN NULL ELSE o_orderkey % 6 END AS fold FROM orders), unnest(range(0, 5)) t(rotation)) GROUP BY ALL")
 def fold_rotation(spark: SparkSession, d: str) -> DataFrame:
-    """G-06 to G-08."""
+    """G-06, G-07."""
     f = table(spark, d, "orders").select(F.when(F.col("o_orderkey") % 6 != 5, F.col("o_orderkey") % 6).alias("fold"))
     return split.rotations(f).groupBy("rotation", "split").agg(F.count(F.lit(1)).alias("n"))
 
@@ -303,19 +303,19 @@ def subsample(spark: SparkSession, d: str) -> DataFrame:
     return split.subsample(table(spark, d, "orders").select("o_orderkey"), "o_orderkey", 500)
 
 
-_NOVEL = "(SELECT o_custkey AS component, CASE o_orderkey % 5 WHEN 0 THEN 'unscored' WHEN 1 THEN 'natural_like' WHEN 2 THEN 'similar' WHEN 3 THEN 'distant' ELSE 'novel' END AS novelty FROM orders WHERE o_orderkey % 7 < 3)"
+_NOVEL = "(SELECT o_custkey AS component, CASE o_orderkey % 5 WHEN 0 THEN 'unscored' WHEN 1 THEN 'natural_like' WHEN 2 THEN 'similar' WHEN 3 THEN 'distant' ELSE 'novel' END AS novelty FROM orders)"
 
 
 @query(f"SELECT component, max(p)::INT AS priority, ['exclude', 'train', 'train', 'val', 'test'][max(p) + 1] AS split FROM (SELECT component, list_position(['unscored', 'natural_like', 'similar', 'distant', 'novel'], novelty) - 1 AS p FROM {_NOVEL}) GROUP BY component")
 def novelty_split(spark: SparkSession, d: str) -> DataFrame:
-    """G-12, J-22: of the orders that its SQL takes; novelty_split_all takes all."""
+    """G-12: the novelty by the order's number, over all orders."""
     n = F.element_at(F.array(*[F.lit(x) for x in split.NOVELTY]), (F.col("o_orderkey") % 5 + 1).cast("int"))
-    return split.novelty_split(table(spark, d, "orders").where("o_orderkey % 7 < 3").select(F.col("o_custkey").alias("component"), n.alias("novelty")))
+    return split.novelty_split(table(spark, d, "orders").select(F.col("o_custkey").alias("component"), n.alias("novelty")))
 
 
 @query("SELECT component, max(p)::INT AS priority, ['exclude', 'train', 'train', 'val', 'test'][max(p) + 1] AS split FROM (SELECT o_custkey AS component, left(o_orderpriority, 1)::INT - 1 AS p FROM orders) GROUP BY component")
 def novelty_split_all(spark: SparkSession, d: str) -> DataFrame:
-    """G-12, J-22: over all orders, the novelty by the order's priority."""
+    """G-12: over all orders, the novelty by the order's priority."""
     n = F.element_at(F.array(*[F.lit(x) for x in split.NOVELTY]), F.left("o_orderpriority", F.lit(1)).cast("int"))
     return split.novelty_split(table(spark, d, "orders").select(F.col("o_custkey").alias("component"), n.alias("novelty")))
 
@@ -333,7 +333,7 @@ def inherit_split(spark: SparkSession, d: str) -> DataFrame:
 @query("""WITH el AS (SELECT l_orderkey AS k, max(l_discount) AS el FROM lineitem WHERE l_returnflag = 'R' GROUP BY k), ba AS (SELECT l_orderkey AS k, max(l_tax) AS ba FROM lineitem WHERE l_returnflag = 'A' GROUP BY k), c AS (SELECT coalesce(el.k, ba.k) AS k, el, ba FROM el FULL JOIN ba ON el.k = ba.k)
     SELECT o_orderstatus, count(*) AS n, count(el) AS n_el, count(ba) AS n_ba, round(sum(el), 6) AS el, round(sum(ba), 6) AS ba FROM orders LEFT JOIN c ON k = o_orderkey GROUP BY o_orderstatus""")
 def channel_outer(spark: SparkSession, d: str) -> DataFrame:
-    """J-02, J-03: two channels joined one to one, then to many rows, with checks."""
+    """J-02: two channels joined one to one, then to many rows, with checks."""
     li = table(spark, d, "lineitem").withColumnRenamed("l_orderkey", "o_orderkey")
     el = li.where("l_returnflag = 'R'").groupBy("o_orderkey").agg(F.max("l_discount").alias("el"))
     ba = li.where("l_returnflag = 'A'").groupBy("o_orderkey").agg(F.max("l_tax").alias("ba"))
@@ -375,7 +375,7 @@ def identity_nearest(spark: SparkSession, d: str) -> DataFrame:
 @query("""SELECT * FROM (SELECT 'text_present' AS rule, 'error' AS severity, count(*) FILTER (WHERE text IS NULL)::BIGINT AS n_bad, count(*) AS n_rows FROM documents UNION ALL SELECT 'length_matches', 'error', count(*) FILTER (WHERE length(text) <> n_chars)::BIGINT, count(*) FROM documents
     UNION ALL SELECT 'known_language', 'error', count(*) FILTER (WHERE lang NOT IN ('en', 'de', 'fr', 'es'))::BIGINT, count(*) FROM documents UNION ALL SELECT 'long_enough', 'warning', count(*) FILTER (WHERE n_chars < 200)::BIGINT, count(*) FROM documents)""")
 def rules(spark: SparkSession, d: str) -> DataFrame:
-    """X-01, X-05, X-06."""
+    """X-01."""
     docs = table(spark, d, "documents")
     return quality.rules(docs, {
         "text_present": ("error", F.col("text").isNull()),
@@ -399,7 +399,7 @@ def content_fingerprint(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT 'value' AS name, count(value) AS present, (count(*) - count(value))::BIGINT AS missing, round(avg(value), 6) AS mean, round(stddev_samp(value), 6) AS std, min(value) AS min, max(value) AS max FROM events UNION ALL SELECT 'user_id', count(user_id), (count(*) - count(user_id))::BIGINT, round(avg(user_id), 6), round(stddev_samp(user_id), 6), min(user_id)::DOUBLE, max(user_id)::DOUBLE FROM events")
 def coverage(spark: SparkSession, d: str) -> DataFrame:
-    """A-09 to A-12."""
+    """A-09, A-10."""
     t = quality.coverage(table(spark, d, "events"), ["value", "user_id"])
     return t.withColumns({"mean": r6("mean"), "std": r6("std")})
 
@@ -433,7 +433,7 @@ def replicate_collapse(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT grp, round(avg(auc), 6) AS mean, round(stddev_pop(auc), 6) AS std_pop, round(stddev_samp(auc), 6) AS std_samp FROM (SELECT l_returnflag AS grp, l_linenumber AS fold, avg(l_discount) AS auc FROM lineitem GROUP BY ALL) GROUP BY grp")
 def fold_summary(spark: SparkSession, d: str) -> DataFrame:
-    """A-18, A-19, M-10, M-12."""
+    """A-18, A-19."""
     f = table(spark, d, "lineitem").groupBy(F.col("l_returnflag").alias("grp"), F.col("l_linenumber").alias("fold")).agg(F.avg("l_discount").alias("auc"))
     return f.groupBy("grp").agg(r6(F.avg("auc")).alias("mean"), r6(F.stddev_pop("auc")).alias("std_pop"), r6(F.stddev_samp("auc")).alias("std_samp"))
 
