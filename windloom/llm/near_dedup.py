@@ -27,6 +27,7 @@ Empty tables give no rows. Extra columns are not read.
 
 from __future__ import annotations
 
+from functools import reduce
 from math import comb
 
 import numpy as np
@@ -63,8 +64,8 @@ def shingle_set(tokens: list[bytes], cache: WordHash, shingle: int = SHINGLE) ->
     return np.unique(g.view(np.int64))
 
 
-def signatures(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
-    """(doc_id, key, n, sketch): key is a 128-bit hash of the word sequence."""
+def signatures(docs: DataFrame, id_col: str, text_col: str, shingles: list[int]) -> DataFrame:
+    """(doc_id, key, n0, sketch0, n1, sketch1, ..): key is a 128-bit hash of the word sequence; set size and sketch for each shingle length, in one pass."""
 
     def run(batches):
         import pyarrow as pa
@@ -73,18 +74,22 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> Dat
         cache = WordHash()
         for whole in batches:
             for b in pieces(whole):
-                keys, sizes, sketches = [], [], []
+                keys, sets = [], [([], []) for _ in shingles]
                 for text in raw(b.column(1)):
                     w = text.translate(LOWER).split() if text else []
-                    s = shingle_set(w, cache, shingle)
                     keys.append(xxhash.xxh3_128_digest(b" ".join(w)))
-                    sizes.append(len(s))
-                    sketches.append(s[:K])
-                ends = np.cumsum([0, *map(len, sketches)]).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sketches) if sketches else np.empty(0, np.int64)))
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()), lists], names=["doc_id", "key", "n", "sketch"])
+                    for (sizes, sketches), k in zip(sets, shingles, strict=True):
+                        s = shingle_set(w, cache, k)
+                        sizes.append(len(s))
+                        sketches.append(s[:K])
+                columns = [b.column(0), pa.array(keys, pa.binary())]
+                for sizes, sketches in sets:
+                    ends = np.cumsum([0, *map(len, sketches)]).astype(np.int32)
+                    columns += [pa.array(sizes, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sketches) if sketches else np.empty(0, np.int64)))]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "key", *(c for i in range(len(shingles)) for c in (f"n{i}", f"sketch{i}"))])
 
-    return docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(run, "doc_id long, key binary, n long, sketch array<long>")
+    schema = "doc_id long, key binary" + "".join(f", n{i} long, sketch{i} array<long>" for i in range(len(shingles)))
+    return docs.select(F.col(f"`{id_col}`").cast("long"), F.col(f"`{text_col}`")).mapInArrow(run, schema)
 
 
 def rarest(sets: DataFrame, least, members: str) -> DataFrame:
@@ -180,20 +185,32 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.mapInArrow(run, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) for every row."""
-    sig = landed(signatures(docs, id_col, text_col, shingle), "signatures")
-    usable = sig.where("n > 0 and doc_id is not null")
-    firsts = usable.groupBy("key").agg(F.min("doc_id").alias("node"))
-    classes = usable.join(firsts.hint("merge"), "key").where("doc_id = node").select("node", "key", "n", "sketch").dropDuplicates(["node", "key"])
-    sets = landed(shingle_sets(docs, candidates(classes, percent), id_col, text_col, shingle), "sets")
-    lists = landed(rarest(sets, F.ceil(F.col("n") * F.lit(percent) / 100), "members"), "lists")
-
-    tried = landed(hub_pairs(lists, percent), "pairs")
-    links = landed(confirmed(tried, sets, percent), "links")
-    rest = landed(cross_pairs(lists, connected_components(links), tried, percent), "pairs")
-    labels = connected_components(links.unionByName(landed(confirmed(rest, sets, percent), "links")))
-    out = sig.select("doc_id", "key", "n").join(firsts.hint("merge"), "key", "left")
+def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = PERCENT, rules: list[tuple[int, int]] | None = None) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept) for every row.
+
+    With `rules`, (shingle, percent) each, documents are linked that are alike by any of them, and
+    n_shingles is by the first. All rules share the classes of equal texts and the components: hubs
+    of all rules link first, then what is left between components.
+    """
+    rules = rules or [(shingle, percent)]
+    sig = landed(signatures(docs, id_col, text_col, [k for k, _ in rules]), "signatures")
+    usable = sig.where("n0 > 0 and doc_id is not null")
+    firsts = landed(usable.groupBy("key").agg(F.min("doc_id").alias("node")), "firsts")
+    classes = landed(usable.join(firsts.hint("merge"), "key").where("doc_id = node").dropDuplicates(["node", "key"]), "classes")
+    parts = []
+    for i, (k, p) in enumerate(rules):
+        own = classes.select("node", "key", F.col(f"n{i}").alias("n"), F.col(f"sketch{i}").alias("sketch"))
+        sets = landed(shingle_sets(docs, candidates(own, p), id_col, text_col, k), "sets")
+        lists = landed(rarest(sets, F.ceil(F.col("n") * F.lit(p) / 100), "members"), "lists")
+        tried = landed(hub_pairs(lists, p), "pairs")
+        parts.append((p, sets, lists, tried, landed(confirmed(tried, sets, p), "links")))
+    links = reduce(DataFrame.unionByName, [x[-1] for x in parts])
+    labels = landed(connected_components(links), "labels")
+    for p, sets, lists, tried, _ in parts:
+        rest = landed(cross_pairs(lists, labels, tried, p), "pairs")
+        links = links.unionByName(landed(confirmed(rest, sets, p), "links"))
+    labels = connected_components(links)
+    out = sig.select("doc_id", "key", F.col("n0").alias("n")).join(firsts.hint("merge"), "key", "left")
     out = out.join(labels.hint("merge"), out["node"] == labels["id"], "left")
     component = F.when(F.col("doc_id").isNull(), None).when(F.col("n") == 0, F.col("doc_id")).otherwise(F.coalesce("component", "node"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id")).withColumn("kept", F.col("doc_id") == F.col("component_id"))
