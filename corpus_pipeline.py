@@ -8,14 +8,11 @@ whatever their names.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from windloom.llm import decontaminate, labelled, line_dedup, near_dedup, packing, toxicity
 from windloom.llm.common import unused
-from windloom.operators.graph import connected_components
 from windloom.session import landed
 
 TOXIC_AT = 0.3
@@ -50,9 +47,7 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Two documents are alike by either of NEAR_RULES: short copies with changed words by the first, copies with an added or cut block of up to a fifth by the second.
     """
-    found = [near_dedup.near_duplicates(docs, shingle=n, percent=p).where("doc_id <> component_id").select(F.col("component_id").alias("a"), F.col("doc_id").alias("b")).distinct() for n, p in NEAR_RULES]
-    groups = connected_components(landed(reduce(DataFrame.unionByName, found), "near-links"))
-    gone = groups.where("id <> component").select(F.col("id").alias("doc_id"))
+    gone = near_dedup.near_duplicates(docs, rules=NEAR_RULES).where("not kept").select("doc_id").distinct()
     return docs.join(gone.hint("merge"), "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
