@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from windloom.operators import learn, structure
+from windloom.operators import isotonic, learn, neighbours, structure
 from windloom.sources import tables
 from windloom.streaming import growing
 
@@ -38,7 +38,7 @@ def test_knn_and_pca(spark):
     d = 1 - u @ u.T
     np.fill_diagonal(d, np.inf)
     want = np.sort(d, axis=1)[:, :3].mean(1)
-    got = {r["id"]: r["distance"] for r in learn.knn_distance(df, df, "id", "v", k=3).collect()}
+    got = {r["id"]: r["distance"] for r in neighbours.knn_distance(df, df, "id", "v", k=3).collect()}
     assert np.allclose([got[i] for i in range(40)], want)
     p = {r["id"]: np.array(r["projected"]) for r in learn.pca(df, "v", 2).collect()}
     c = v - v.mean(0)
@@ -49,7 +49,8 @@ def test_knn_and_pca(spark):
 
 def test_isotonic(spark):
     df = spark.createDataFrame([(1.0, 1.0), (2.0, 3.0), (3.0, 2.0), (4.0, 4.0)], "x double, y double")
-    assert [r["calibrated"] for r in learn.isotonic(df, "x", "y").orderBy("x").collect()] == [1.0, 2.5, 2.5, 4.0]
+    df = df.withColumn("g", F.lit(1))
+    assert [r["v"] for r in isotonic.interpolate(df, isotonic.knots(df, "g", "x", "y"), "g", "x", "y", "v").orderBy("x").collect()] == [1.0, 2.5, 2.5, 4.0]
 
 
 def test_pooled_vectors(spark):

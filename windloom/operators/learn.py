@@ -1,16 +1,19 @@
-"""Distributed model operators: ridge, PCA, isotonic, neighbours, rows not landed yet (L-01, L-03, L-05, L-06, L-08, L-09, F-19)."""
+"""Distributed model operators: ridge, PCA, calibrated heads, rows not landed yet (L-01 to L-04, L-08, L-09, F-19)."""
 
 from __future__ import annotations
 
 import numpy as np
 from pyspark.ml.feature import PCA, Normalizer
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.regression import IsotonicRegression, LinearRegression
+from pyspark.ml.regression import LinearRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from windloom.functions.scores import cosine
 from windloom.functions.sequence import RESIDUES, add_tag
+from windloom.operators.isotonic import interpolate, knots
+from windloom.operators.resample import CDF
+from windloom.session import landed
 
 
 def one_hot(peptide: Column, k: int = 9) -> Column:
@@ -45,39 +48,6 @@ def pca(df: DataFrame, vector: str, k: int) -> DataFrame:
     return Normalizer(inputCol="__c", outputCol="__n").transform(out).withColumn("projected", vector_to_array("__n")).drop("__v", "__p", "__c", "__n")
 
 
-def isotonic(df: DataFrame, x: str, y: str, out: str = "calibrated") -> DataFrame:
-    """L-06: y smoothed to rise with x."""
-    model = IsotonicRegression(featuresCol=x, labelCol=y, predictionCol=out).fit(df.select(F.col(x).cast("double").alias(x), F.col(y).cast("double").alias(y)))
-    return model.transform(df.withColumn(x, F.col(x).cast("double")))
-
-
-def knn_distance(df: DataFrame, reference: DataFrame, key: str, vector: str, k: int = 10, most: int = 20_000) -> DataFrame:
-    """L-05: mean cosine distance to the k nearest of a reference set, itself left out.
-
-    The reference is at most `most` rows by hash order (a documented bound), so it is broadcast and
-    multiplied block by block.
-    """
-    few = reference.select(F.col(key).cast("long"), F.col(vector).cast("array<double>")).orderBy(F.xxhash64(key), key).limit(most).collect()
-    if not few:
-        return df.select(key).withColumn("distance", F.lit(None).cast("double"))
-    ids, matrix = np.array([r[0] for r in few]), np.array([r[1] for r in few])
-    matrix = matrix / np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-12)
-    shared = df.sparkSession.sparkContext.broadcast((ids, matrix.astype(np.float64)))
-
-    def run(batches):
-        for b in batches:
-            ref_ids, ref = shared.value
-            x = np.stack(b[vector].to_numpy()).astype(np.float64) if len(b) else np.empty((0, ref.shape[1]))
-            x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
-            d = 1 - x @ ref.T
-            d[b[key].to_numpy()[:, None] == ref_ids[None, :]] = np.inf
-            n = min(k, d.shape[1])
-            nearest = np.sort(np.partition(d, n - 1, axis=1)[:, :n], axis=1)
-            yield b[[key]].assign(distance=np.where(np.isfinite(nearest), nearest, np.nan).mean(axis=1) if n else np.nan)
-
-    return df.select(F.col(key).cast("long").alias(key), F.col(vector).cast("array<double>").alias(vector)).mapInPandas(run, f"{key} long, distance double")
-
-
 def pooled(vectors: Column, first: Column, last: Column) -> Column:
     """F-19: mean of the vectors at positions first..last-1 of an array of vectors, clipped to it."""
     lo = F.greatest(first, F.lit(0))
@@ -137,8 +107,7 @@ def poisson(ids: np.ndarray, replicate: int, seed: int) -> np.ndarray:
         h = (ids + np.uint64(replicate) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(seed)) * np.uint64(0xFF51AFD7ED558CCD)
         h = (h ^ (h >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
         u = ((h ^ (h >> np.uint64(33))) >> np.uint64(11)) / float(1 << 53)
-    p = np.exp(-1.0) / np.array([1, 1, 2, 6, 24, 120, 720, 5040])
-    return np.searchsorted(np.cumsum(p), u).astype(float)
+    return np.searchsorted(CDF, u, side="right").astype(float)
 
 
 def ensemble_scores(df: DataFrame, key: str, vector: Column, coefficients: np.ndarray, intercepts: np.ndarray) -> DataFrame:
@@ -158,7 +127,7 @@ def ensemble_scores(df: DataFrame, key: str, vector: Column, coefficients: np.nd
 def allele_head(df: DataFrame, allele: str, vector: str, percentile: str, most: float = 2.0) -> DataFrame:
     """L-04: (df.., cosine, propensity): cosine to the allele's centroid of strong binders (of all its rows where it has none), calibrated by an isotonic fit for each allele.
 
-    Centroids are sums by allele, one row each; the isotonic fits run allele by allele.
+    Centroids are sums by allele, one row each; the isotonic fits of all alleles are one plan.
     """
     from pyspark.ml.stat import Summarizer
 
@@ -168,10 +137,7 @@ def allele_head(df: DataFrame, allele: str, vector: str, percentile: str, most:
     few = v.where(strong).groupBy(allele).agg(Summarizer.mean(F.col("__v")).alias("__few"))
     centroids = sums.join(few.hint("merge"), allele, "left").select(allele, F.when(F.col("__any"), vector_to_array("__few")).otherwise(vector_to_array("__all")).alias("__centroid"))
     met = v.drop("__v").join(centroids.hint("merge"), allele).withColumn("cosine", cosine(F.col(vector).cast("array<double>"), F.col("__centroid"))).drop("__centroid")
-    met = met.withColumn("__target", F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - F.col(percentile) / 100)))
-    names = [r[0] for r in met.select(allele).distinct().orderBy(allele).collect()]  # one a fit
-    out = None
-    for name in names:
-        one = isotonic(met.where(F.col(allele) == name), "cosine", "__target", out="propensity")
-        out = one if out is None else out.unionByName(one)
-    return (met.withColumn("propensity", F.lit(None).cast("double")) if out is None else out).drop("__target")
+    met = landed(met, "cosines")
+    target = F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - F.col(percentile) / 100))
+    curves = knots(met.select(allele, "cosine", target.alias("target")), allele, "cosine", "target")
+    return interpolate(met, curves, allele, "cosine", "target", "propensity")

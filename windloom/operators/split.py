@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from windloom.operators.rank import global_row_number
+from windloom.operators.rank import global_row_number, running_sum
 
 
 def order_hash(seed: int | str, key: Column) -> Column:
@@ -45,38 +47,61 @@ def rotations(df: DataFrame, fold: str = "fold", n: int = 5) -> DataFrame:
     return out.withColumn("split", F.when(F.col(fold).isNull(), "challenge").when(F.col(fold) == F.col("rotation"), "test").when(F.col(fold) == (F.col("rotation") + 1) % n, "val").otherwise("train"))
 
 
-def pack_folds(weights: DataFrame, n_folds: int = 5, seed: int = 0) -> DataFrame:
-    """G-05: (component, fold): components by falling weight, each to the lightest fold.
+def fold_ties(n_folds: int, seed: int | str) -> list[int]:
+    """The rank of each fold where loads are equal: the order of a hash."""
+    order = sorted(range(n_folds), key=lambda f: hashlib.sha256(f"{seed}:fold:{f}".encode()).hexdigest())
+    return [order.index(f) for f in range(n_folds)]
+
 
-    Only components that are heavy against a fold's share need the serial greedy step. They are at
-    most n_folds * HEAVY by definition, so that step is bounded; the rest are dealt by hash.
+def pour(load: list[int], ties: list[int], weight: int, count: int) -> tuple[list[tuple[int, list[int]]], list[int]]:
+    """Greedy placement of `count` equal components: (spans, loads after).
+
+    A span (first, folds) says that component number i from `first` on goes to folds[(i - first) % len(folds)].
+    While the loads lie between two of the loads before, the same folds take turns, in the order of what
+    they have beyond the lower one; so there is a span for each fold at most, whatever the count.
+    """
+    if weight <= 0:  # the lightest fold stays the lightest
+        return [(0, [min(range(len(load)), key=lambda f: (load[f], ties[f]))])], list(load)
+    levels = sorted(set(load))
+    spans, now, done = [], list(load), 0
+    for i, level in enumerate(levels):
+        if done == count:
+            break
+        turn = sorted((f for f in range(len(load)) if load[f] <= level), key=lambda f: ((load[f] - level) % weight, ties[f]))
+        room = count - done
+        if i + 1 < len(levels):
+            room = min(room, sum(max(0, -(-(levels[i + 1] - now[f]) // weight)) for f in turn))
+        if room:
+            spans.append((done, turn))
+            for j, f in enumerate(turn):
+                now[f] += weight * ((room - j + len(turn) - 1) // len(turn))
+            done += room
+    return spans, now
+
+
+def pack_folds(weights: DataFrame, n_folds: int = 5, seed: int | str = 0) -> DataFrame:
+    """G-05: (component, fold): components by falling weight, equal ones by hash, each to the lightest fold, of equal folds that with the least hash.
+
+    Components of one weight are placed at once in closed form, so the serial state has one row for each
+    distinct weight, of which there are at most the square root of twice the total. Within a weight,
+    components are numbered by ranges of their hash with prefix sums between them. Weights are whole
+    numbers, not negative; null components are left out.
     """
-    total = weights.agg(F.coalesce(F.sum("weight"), F.lit(0))).first()[0]
-    heavy_from = max(1.0, total / (n_folds * HEAVY))
-    heavy = weights.where(F.col("weight") >= heavy_from).withColumn("h", order_hash(seed, F.col("component"))).orderBy(F.desc("weight"), "h").collect()
-    load, placed = [0] * n_folds, []
-    for r in heavy:
-        f = min(range(n_folds), key=lambda i: (load[i], i))
-        load[f] += r["weight"]
-        placed.append((r["component"], f))
-    kind = weights.schema["component"].dataType.simpleString()
-    fixed = weights.sparkSession.createDataFrame(placed, f"component {kind}, fold int")
-    # The light ones in proportion to what each fold lacks of an even share.
-    lacks = [max(0.0, total / n_folds - x) for x in load]
-    whole = sum(lacks) or 1.0
-    edges, at = [], 0.0
-    for x in lacks[:-1]:
-        at += x / whole
-        edges.append(at)
-    u = F.pmod(F.xxhash64("component", F.lit(seed)), F.lit(1_000_000)) / 1_000_000
-    dealt = F.lit(n_folds - 1)
-    for i in reversed(range(len(edges))):
-        dealt = F.when(u < edges[i], i).otherwise(dealt)
-    light = weights.where(F.col("weight") < heavy_from).select("component", dealt.cast("int").alias("fold"))
-    return fixed.unionByName(light)
-
-
-HEAVY = 2000
+    if n_folds < 2:
+        raise ValueError(f"n_folds must be at least 2, not {n_folds}")
+    rows = weights.where("component is not null").select("component", F.col("weight").cast("long").alias("weight"), order_hash(seed, F.col("component")).alias("__h"))
+    runs = rows.groupBy("weight").agg(F.count(F.lit(1)).alias("m")).orderBy(F.desc("weight")).collect()
+    load, ties, plan = [0] * n_folds, fold_ties(n_folds, seed), []
+    for r in runs:
+        spans, load = pour(load, ties, r["weight"], r["m"])
+        plan.append((r["weight"], [s for s, _ in spans], [t for _, t in spans]))
+    spans = weights.sparkSession.createDataFrame(plan, "weight long, firsts array<long>, turns array<array<int>>")
+    rows = rows.withColumn("__p", F.conv(F.substring("__h", 1, 8), 16, 10).cast("long")).withColumn("__one", F.lit(1))
+    ranked = running_sum(rows, ["__p", "__h", "component"], "__one", "__i", group=["weight"])
+    met = ranked.join(spans.hint("merge"), "weight").withColumn("__i", F.col("__i") - 1)
+    at = F.size(F.filter("firsts", lambda x: x <= F.col("__i")))
+    turn, first = F.element_at("turns", at), F.element_at("firsts", at)
+    return met.select("component", F.element_at(turn, ((F.col("__i") - first) % F.size(turn) + 1).cast("int")).alias("fold"))
 
 
 def quantile_sample(df: DataFrame, target: int, col: str, key: str, bins: int = 10, seed: int = 0) -> DataFrame:

@@ -1,6 +1,6 @@
 """All registered queries of the library itself, with the SQL that gives the same rows."""
 
-from windloom.plans import evaluation, models, scoring, windows
+from windloom.plans import evaluation, models, scoring, selection, windows
 
-QUERIES: dict = windows.QUERIES | scoring.QUERIES | models.QUERIES | evaluation.QUERIES
-ORACLES: dict = windows.ORACLES | scoring.ORACLES | models.ORACLES | evaluation.ORACLES
+QUERIES: dict = windows.QUERIES | scoring.QUERIES | models.QUERIES | evaluation.QUERIES | selection.QUERIES
+ORACLES: dict = windows.ORACLES | scoring.ORACLES | models.ORACLES | evaluation.ORACLES | selection.ORACLES

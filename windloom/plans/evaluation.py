@@ -292,11 +292,20 @@ def ridge_spread(spark: SparkSession, d: str) -> DataFrame:
     return learn.ensemble_scores(e, "vec_id", F.col("embedding"), w, c)
 
 
-@query()
+_HEADED = "(SELECT vec_id, label AS allele, vec_id * 37 % 1000 / 10.0::DOUBLE AS percentile, embedding::DOUBLE[] AS v FROM embeddings)"
+_COSINES = f"""(WITH h AS {_HEADED}, x AS (SELECT vec_id, allele, percentile, unnest(v) AS e, generate_subscripts(v, 1) AS i FROM h),
+    c AS (SELECT allele, i, coalesce(avg(e) FILTER (WHERE percentile <= 2), avg(e)) AS m FROM x GROUP BY allele, i)
+    SELECT vec_id, x.allele, percentile, sum(e * m) / sqrt(sum(e * e) * sum(m * m)) AS cosine FROM x JOIN c ON c.allele = x.allele AND c.i = x.i GROUP BY vec_id, x.allele, percentile)"""
+
+
+@query(f"""WITH t AS MATERIALIZED (SELECT vec_id, allele, cosine, least(1, greatest(0, 1 - percentile / 100)) AS y FROM {_COSINES}),
+    p AS MATERIALIZED (SELECT *, row_number() OVER o AS i, sum(y) OVER o AS s FROM t WINDOW o AS (PARTITION BY allele ORDER BY cosine)),
+    m AS (SELECT a.allele, b.vec_id, min((b.s - a.s + a.y) / (b.i - a.i + 1)) OVER (PARTITION BY a.allele, a.i ORDER BY b.i DESC) AS m FROM p a JOIN p b ON a.allele = b.allele AND a.i <= b.i)
+    SELECT vec_id, allele, round(cosine, 5) AS cosine, round(propensity, 5) AS propensity FROM t JOIN (SELECT vec_id, max(m) AS propensity FROM m GROUP BY vec_id) USING (vec_id)""")
 def allele_heads(spark: SparkSession, d: str) -> DataFrame:
-    """L-04: vectors calibrated against the centroid of their label's best percentiles; no SQL, tests hold centroids and monotony."""
+    """L-04: vectors calibrated against the centroid of their label's best percentiles; the SQL takes largest least means."""
     e = table(spark, d, "embeddings").select("vec_id", "embedding", F.col("label").alias("allele"), (F.col("vec_id") * 37 % 1000 / 10.0).alias("percentile"))
-    return learn.allele_head(e, "allele", "embedding", "percentile").select("vec_id", "allele", "cosine", "propensity")
+    return learn.allele_head(e, "allele", "embedding", "percentile").select("vec_id", "allele", F.round("cosine", 5).alias("cosine"), F.round("propensity", 5).alias("propensity"))
 
 
 @query("SELECT o_orderkey, round(c_acctbal, 2) AS balance, md.kd AS kd FROM orders JOIN customer ON c_custkey = o_custkey LEFT JOIN (SELECT l_orderkey, list_sort(list(l_extendedprice))[count(*) // 2 + 1] AS kd FROM lineitem GROUP BY l_orderkey) md ON md.l_orderkey = o_orderkey")

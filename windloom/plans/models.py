@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from windloom.functions import scores as C
-from windloom.operators import learn, quality, structure, tile
+from windloom.operators import learn, neighbours, quality, structure, tile
 from windloom.plans.views import TURNS, table, turns
 from windloom.streaming import growing
 
@@ -31,9 +31,9 @@ r6 = lambda c: F.round(c, 6)
     d AS (SELECT a.vec_id, 1 - list_dot_product(a.v, b.v) AS d FROM n a JOIN n b ON a.vec_id <> b.vec_id), r AS (SELECT vec_id, d, row_number() OVER (PARTITION BY vec_id ORDER BY d) AS k FROM d)
     SELECT vec_id, round(avg(d), 5) AS distance FROM r WHERE k <= 10 GROUP BY vec_id""")
 def knn_ood(spark: SparkSession, d: str) -> DataFrame:
-    """L-05, M-14: distance of each vector to a bounded reference sample, itself left out."""
+    """L-05: distance of each vector to its ten nearest others, in blocks against the whole reference."""
     e = table(spark, d, "embeddings")
-    return learn.knn_distance(e, e, "vec_id", "embedding").withColumn("distance", F.round("distance", 5))
+    return neighbours.knn_distance(e, e, "vec_id", "embedding").withColumn("distance", F.round("distance", 5))
 
 
 @query()
