@@ -17,7 +17,7 @@ from windloom.session import landed
 
 TOXIC_AT = 0.3
 #: Words of a shingle, and the least Jaccard likeness in a hundred.
-NEAR_RULES = [(near_dedup.SHINGLE, near_dedup.PERCENT), (5, 80)]
+NEAR_SHINGLE, NEAR_PERCENT = 5, 80
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,11 +43,8 @@ def with_length(found: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates, that with the smallest doc_id; rows without a doc_id stay.
-
-    Two documents are alike by either of NEAR_RULES: short copies with changed words by the first, copies with an added or cut block of up to a fifth by the second.
-    """
-    gone = near_dedup.near_duplicates(docs, rules=NEAR_RULES).where("not kept").select("doc_id").distinct()
+    """One document of each group of near duplicates, that with the smallest doc_id; rows without a doc_id stay."""
+    gone = near_dedup.near_duplicates(docs, shingle=NEAR_SHINGLE, percent=NEAR_PERCENT).where("not kept").select("doc_id").distinct()
     return docs.join(gone.hint("merge"), "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
