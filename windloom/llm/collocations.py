@@ -8,8 +8,8 @@ equal ones that with the smallest k. Candidates inside a longer one that is as f
 
 Counting goes level by level: a phrase of k words is counted only where both its phrases of k-1 words may
 be frequent. A fixed-size bit table of their hashes says so; a false yes costs a count, never a result. In
-a task, occurrences are numbered exactly by sorting and counted before they are shuffled, and Spark adds the
-counts, so no table of all phrases is ever in memory.
+a task, words and then phrases are numbered, exactly, and counted before they are shuffled, and Spark adds
+the counts, so no table of all phrases is ever in memory.
 
 Estimation: the counts of frequent phrases are a stream. In prefix order (words from the left) a phrase
 follows its beginnings, in suffix order (words from the right) its endings. One pass over each stream,
@@ -25,6 +25,8 @@ Other columns are not read, whatever their names.
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -36,37 +38,34 @@ LONGEST, LEAST, TOP = 5, 100, 2000
 #: A candidate goes if a longer one has this share of its count, in a hundred.
 COVER = 100
 NO_GROUP = "und"
-#: Words that a task counts before it emits, and bits of the table of frequent phrases (16 MB).
-FLUSH, BITS = 2_000_000, 27
-#: Codes of word ids that are no words: the end of a piece.
-END = 0
+#: Bytes of text that a task counts before it emits, and bits of the table of frequent phrases (16 MB).
+FLUSH, BITS = 16 << 20, 27
 
 BREAKS = b".,;:!?\n\x0b\x0c\r"
-SPLIT = bytes(32 if b == 9 else 10 if b in BREAKS else LOWER[b] for b in range(256))
-
-
-class Codes(dict):
-    """word -> number from 1, made on first use; `words` is the way back."""
-
-    def __init__(self):
-        super().__init__()
-        self.words: list[bytes] = [b""]
-        self[b"\n"] = END
-
-    def __missing__(self, word: bytes) -> int:
-        self[word] = n = len(self.words)
-        self.words.append(word)
-        return n
-
-
-def encode(text: bytes | None, codes: Codes) -> np.ndarray:
-    """Word numbers of a text; END between its pieces and at the end."""
-    if not text:
-        return np.empty(0, np.int64)
-    tokens = text.translate(SPLIT).replace(b"\n", b" \n ").split(b" ")
-    tokens = [t for t in tokens if t]
-    tokens.append(b"\n")
-    return np.fromiter(map(codes.__getitem__, tokens), np.int64, len(tokens))
+#: What a byte is: part of a word, a blank or the end of a piece; and A-Z lower-cased.
+WORD, BLANK, BREAK = 0, 1, 2
+KIND = np.array([BREAK if b in BREAKS else BLANK if b in b" \t" else WORD for b in range(256)], np.uint8)
+LOWERED = np.frombuffer(LOWER, np.uint8)
+
+
+def tokens(texts: pa.Array) -> tuple[np.ndarray, pa.Array, np.ndarray]:
+    """(numbers, words, pieces) of all words of a string column in order: words[number] is the word, and words with the same piece follow each other without a break."""
+    texts = texts.fill_null("").cast(pa.large_string())
+    at = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, np.int64)
+    data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[at[0] : at[-1]]
+    text_starts = at[:-1] - at[0]
+    kind = KIND[data]
+    inside = kind == WORD
+    begins = inside.copy()
+    begins[1:] &= ~inside[:-1]
+    heads = text_starts[text_starts < len(data)]
+    begins[heads] |= inside[heads]
+    begins = np.flatnonzero(begins)
+    ends = np.append((np.cumsum(inside) - 1)[begins], inside.sum()).astype(np.int64)
+    found = pa.Array.from_buffers(pa.large_binary(), len(begins), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(LOWERED[data[inside]].tobytes())])
+    coded = found.dictionary_encode()
+    piece = np.cumsum(kind == BREAK)[begins] + np.searchsorted(text_starts, begins, side="right")
+    return coded.indices.to_numpy(), coded.dictionary, piece
 
 
 def phrase_hash(h: np.ndarray, k: int, group: int) -> np.ndarray:
@@ -80,30 +79,24 @@ def group_hash(group: str) -> int:
     return xxhash.xxh3_64_intdigest(group.encode("utf-8", "surrogatepass"))
 
 
-def counted(x: np.ndarray, words: list[bytes], k: int, may: np.ndarray | None = None) -> tuple[list[bytes], np.ndarray]:
-    """(phrases, counts) of the k-grams in a stream of word numbers; `may` says for each (k-1)-gram whether it may be frequent."""
-    n = len(x) - k + 1
+def counted(numbers: np.ndarray, words: pa.Array, piece: np.ndarray, k: int, may: np.ndarray | None = None) -> tuple[pa.Array, np.ndarray]:
+    """(phrases, counts) of the k-grams within pieces; `may` says for each (k-1)-gram whether it may be frequent."""
+    n = len(numbers) - k + 1
     if n <= 0:
-        return [], np.empty(0, np.int64)
+        return words.slice(0, 0), np.empty(0, np.int64)
     if k == 1:
-        n_each = np.bincount(x, minlength=len(words))
-        n_each[END] = 0
-        at = np.flatnonzero(n_each)
-        return [words[i] for i in at.tolist()], n_each[at]
-    word = x != END
-    ok = word[:n].copy()
-    for j in range(1, k):
-        ok &= word[j : j + n]
+        return words, np.bincount(numbers, minlength=len(words))
+    ok = piece[:n] == piece[k - 1 :]
     if may is not None:
         ok &= may[:n] & may[1 : n + 1]
     at = np.flatnonzero(ok)
-    if not len(at):
-        return [], np.empty(0, np.int64)
-    g = x[at]
-    for j in range(1, k - 1):  # numbers of the phrase so far and of its next word, side by side
-        _, g = np.unique(g << 32 | x[at + j], return_inverse=True)
-    _, first, n_each = np.unique(g << 32 | x[at + k - 1], return_index=True, return_counts=True)
-    return [b" ".join([words[i] for i in x[p : p + k].tolist()]) for p in at[first].tolist()], n_each
+    g = numbers[at].astype(np.int64)
+    for j in range(1, k):  # numbers of the phrase so far and of its next word, side by side, are numbered again
+        g = pa.array(g << 32 | numbers[at + j]).dictionary_encode().indices.to_numpy().astype(np.int64)
+    n_each = np.bincount(g)
+    first = np.empty(len(n_each), np.int64)
+    first[g[::-1]] = at[::-1]
+    return pc.binary_join_element_wise(*[words.take(pa.array(numbers[first + j])) for j in range(k)], pa.scalar(b" ", pa.large_binary())), n_each
 
 
 COUNTS = "grp string, phrase string, f long"
@@ -118,35 +111,34 @@ def counts(docs: DataFrame, k: int, allowed: bytes | None) -> DataFrame:
     shared = spark.sparkContext.broadcast(allowed) if allowed is not None else None
 
     def run(batches):
-        import pyarrow as pa
-
         table = np.frombuffer(shared.value, np.uint8) if shared is not None else None
-        codes, held, size = Codes(), {}, 0
-
-        def flush():
-            if table is not None:
-                cache = WordHash()
-                hashes = np.fromiter((cache[w] for w in codes.words), np.uint64, len(codes.words))
-            for group, parts in held.items():
-                x, may = np.concatenate(parts), None
+
+        def emitted(held):
+            rows = pa.Table.from_batches(held)
+            for group in pc.unique(rows.column(0)).to_pylist():
+                texts = rows.column(1).filter(pc.equal(rows.column(0), group)).combine_chunks()
+                numbers, words, piece = tokens(texts)
+                may = None
                 if table is not None:
-                    bit = phrase_hash(hashes[x], k - 1, group_hash(group))
+                    cache = WordHash()
+                    hashes = np.fromiter(map(cache.__getitem__, words.to_pylist()), np.uint64, len(words))
+                    bit = phrase_hash(hashes[numbers], k - 1, group_hash(group))
                     may = (table[bit >> 3] >> (bit & 7).astype(np.uint8) & 1).astype(bool)
-                phrases, n = counted(x, codes.words, k, may)
+                phrases, n = counted(numbers, words, piece, k, may)
                 for at in range(0, len(phrases), 100_000):
-                    some = phrases[at : at + 100_000]
-                    yield pa.RecordBatch.from_arrays([pa.array([group] * len(some), pa.string()), pa.array(some, pa.binary()).cast(pa.string()), pa.array(n[at : at + 100_000], pa.int64())], names=["grp", "phrase", "f"])
+                    some = phrases.slice(at, 100_000).cast(pa.binary()).cast(pa.string())
+                    yield pa.RecordBatch.from_arrays([pa.array([group] * len(some), pa.string()), some, pa.array(n[at : at + 100_000], pa.int64())], names=["grp", "phrase", "f"])
 
+        held, size = [], 0
         for whole in batches:
             for b in pieces(whole):
-                for group, text in zip(b.column(0).to_pylist(), raw(b.column(1)), strict=True):
-                    x = encode(text, codes)
-                    held.setdefault(group, []).append(x)
-                    size += len(x)
-                    if size >= FLUSH:
-                        yield from flush()
-                        codes, held, size = Codes(), {}, 0
-        yield from flush()
+                held.append(b)
+                size += b.nbytes
+                if size >= FLUSH:
+                    yield from emitted(held)
+                    held, size = [], 0
+        if held:
+            yield from emitted(held)
 
     return docs.mapInArrow(run, COUNTS).groupBy("grp", "phrase").agg(F.sum("f").alias("f"))
 
@@ -155,8 +147,6 @@ def bit_table(frequent: DataFrame, k: int) -> bytes:
     """The bit table of phrases: tasks set bits, Spark joins them in maps of 32,768 bits. Its size, 16 MB, does not depend on the number of phrases."""
 
     def run(batches):
-        import pyarrow as pa
-
         cache = WordHash()
         for b in batches:
             bits = np.empty(b.num_rows, np.int64)
@@ -186,8 +176,6 @@ def streams(frequent: DataFrame, suffix: bool) -> DataFrame:
     ordered = keyed.repartitionByRange(n, "grp", F.col("w")[0]).sortWithinPartitions("grp", "w").select("grp", "phrase", "f", "w")
 
     def run(batches):
-        import pyarrow as pa
-
         open_: list[list] = []  # group, words, phrase, count, highest longer count; each is a beginning of the next
         done: list[tuple] = []
 
