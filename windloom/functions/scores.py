@@ -56,12 +56,24 @@ def close(a: Column, b: float) -> Column:
     return F.abs(a - b) <= 1e-8 + 1e-5 * abs(b)
 
 
-def profile(propensity: Column) -> Column:
-    """F-06: rank, class with tolerant boundaries, band and screening flag of a propensity."""
-    rank = propensity_to_rank(propensity)
+def unit_value(x: Column, name: str) -> Column:
+    """A finite value from 0 to 1; anything else, null too, is an error."""
+    x = x.cast("double")
+    ok = x.isNotNull() & ~F.isnan(x) & x.between(0.0, 1.0)
+    return F.when(ok, x).otherwise(F.raise_error(F.concat(F.lit(f"{name} must be finite and between 0 and 1: "), F.coalesce(x.cast("string"), F.lit("null")))).cast("double"))
+
+
+def profile(el: Column, ba: Column, affinity: Column | None = None, screen: float = SCREEN_PROPENSITY) -> Column:
+    """F-06: predicted ranks of both channels, class by the first with tolerant boundaries, risk band, screening flag, and the IC50 where an affinity is given.
+
+    Values outside 0 to 1, not finite or null are an error; a null affinity has no IC50.
+    """
+    el, ba = unit_value(el, "EL propensity"), unit_value(ba, "BA propensity")
+    rank = propensity_to_rank(el)
     kind = F.when((rank <= STRONG_RANK) | close(rank, STRONG_RANK), "strong").when((rank <= WEAK_RANK) | close(rank, WEAK_RANK), "weak").otherwise("nonbinder")
-    band = F.when(kind == "strong", "high").when(kind == "weak", "medium").otherwise("low")
-    return F.struct(rank.alias("rank"), kind.alias("binder_class"), band.alias("risk_band"), (propensity >= SCREEN_PROPENSITY).alias("flagged"))
+    band = F.when(kind == "strong", "high").when(kind == "weak", "moderate").otherwise("low")
+    ic50 = F.lit(None).cast("double") if affinity is None else F.when(affinity.isNotNull(), affinity_to_ic50(unit_value(affinity, "BA affinity")))
+    return F.struct(rank.alias("el_rank"), propensity_to_rank(ba).alias("ba_rank"), kind.alias("binder_class"), band.alias("risk_band"), (el >= screen).alias("flagged"), el.alias("risk"), ic50.alias("ic50"))
 
 
 def geometric_mean(*parts: Column) -> Column:
@@ -93,6 +105,19 @@ def decisiveness(p: Column) -> Column:
     return F.abs(p - 0.5) * 2
 
 
+def window_confidence(spread: Column, presentation: Column, n_cut: Column, c_cut: Column, n_flank: Column, c_flank: Column, flank: int = 4, scale: float = 1.0) -> Column:
+    """F-10: (tap, mhc, context, agreement, confidence): certainty of the transport fit, distance from an even chance, share of the flanks that is there, how close the three heads are, and the geometric mean of the four, each at least 1e-6."""
+    tap = 1 / (1 + F.greatest(spread, F.lit(0.0)) / scale)
+    mhc = clip(2 * F.abs(presentation - 0.5), 0.0, 1.0)
+    there = lambda c: F.least(F.char_length(F.coalesce(c, F.lit(""))), F.lit(flank)) / flank
+    context = 0.5 * (there(n_flank) + there(c_flank))
+    a, b, c = (clip(x, 0.0, 1.0) for x in (n_cut, c_cut, presentation))
+    mean = (a + b + c) / 3
+    spread_of_heads = F.sqrt(((a - mean) * (a - mean) + (b - mean) * (b - mean) + (c - mean) * (c - mean)) / 3)
+    together = clip(1 - spread_of_heads / (math.sqrt(2) / 3), 0.0, 1.0)
+    return F.struct(tap.alias("tap"), mhc.alias("mhc"), context.alias("context"), together.alias("agreement"), geometric_mean(tap, mhc, context, together).alias("confidence"))
+
+
 def rank_support(rank: Column) -> Column:
     """F-11."""
     return 1 - clip(rank, 0.0, 100.0) / 100
@@ -103,9 +128,13 @@ def tolerance(enrichment: Column) -> Column:
     return F.when(enrichment.isNull() | F.isnan(enrichment) | (F.abs(enrichment) == float("inf")), 0.0).otherwise(1 / (1 + F.exp(-enrichment)))
 
 
-def hla_gate(supplied: Column, query: Column, own: Column) -> Column:
-    """F-13."""
-    return F.when(supplied, "shared").when(F.size(F.coalesce(query, F.array())) > 0, "query_only").otherwise("not_available")
+def hla_gate(supplied: bool, query: Column, shared: Column | None = None) -> Column:
+    """F-13: (gate, shared): `shared` with the sorted common alleles wherever a shared map is supplied, even if none are common; else `query_only` or `not_available` and none."""
+    asked = F.coalesce(query, F.array().cast("array<string>"))
+    if supplied:
+        own = F.coalesce(shared, F.array().cast("array<string>")) if shared is not None else F.array().cast("array<string>")
+        return F.struct(F.lit("shared").alias("gate"), F.array_sort(F.array_intersect(asked, own)).alias("shared"))
+    return F.struct(F.when(F.size(asked) > 0, "query_only").otherwise("not_available").alias("gate"), F.array().cast("array<string>").alias("shared"))
 
 
 def log2_enrichment(observed: Column, expected: Column) -> Column:
@@ -158,6 +187,26 @@ def ablations(parts: dict[str, Column], weights: dict[str, float], required: lis
     return F.create_map(*[x for k in weights for x in (F.lit(k), fuse(parts, *left(k)))])
 
 
+def fuse_detail(parts: dict[str, Column], weights: dict[str, float], required: list[str], steps: dict[str, list[str]]) -> Column:
+    """F-22 whole: (score, missing, available_weight, contributions, ablations).
+
+    contributions has (value, normalized_weight, contribution) of each available part with a weight;
+    both maps are empty where no score is given. `steps` names subsets that are scored by their own
+    weights, null where one of their parts is missing.
+    """
+    found = {k: parts[k] for k in weights if k in parts}
+    weight = sum((F.when(c.isNotNull(), F.lit(float(weights[k]))).otherwise(0.0) for k, c in found.items()), F.lit(0.0))
+    missing = F.array_compact(F.array(*[F.when(parts[k].isNull() if k in parts else F.lit(True), k) for k in sorted(required)])) if required else F.array().cast("array<string>")
+    ok = (F.size(missing) == 0) & (weight > 0)
+    share = lambda k: F.try_divide(F.lit(float(weights[k])), weight)
+    score = F.when(ok, sum(F.coalesce(c * share(k), F.lit(0.0)) for k, c in found.items()))
+    each = F.array(*[F.struct(F.lit(k).alias("key"), F.struct(c.cast("double").alias("value"), share(k).alias("normalized_weight"), (c * share(k)).alias("contribution")).alias("value")) for k, c in found.items()])
+    contributions = F.map_from_entries(F.filter(each, lambda e: ok & e["value"]["value"].isNotNull()))
+    subset = lambda keys: sum(parts[k] * (weights[k] / sum(weights[j] for j in keys)) for k in keys)
+    ablations = F.when(ok, F.create_map(*[x for name, keys in steps.items() for x in (F.lit(name), subset(keys))], F.lit("all_available"), score))
+    return F.struct(score.alias("score"), missing.alias("missing"), weight.alias("available_weight"), contributions.alias("contributions"), ablations.alias("ablations"))
+
+
 def fold_error(predicted: Column, actual: Column) -> Column:
     """F-27."""
     return F.exp(F.abs(F.log(predicted) - F.log(actual)))

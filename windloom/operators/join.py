@@ -88,3 +88,21 @@ def cells_around(cutoff: float) -> Column:
 def upper_median(values: Column) -> Column:
     """J-20: of an even number of values the upper one of the middle two."""
     return F.element_at(F.array_sort(values), F.floor(F.size(values) / 2).cast("int") + 1)
+
+
+def overlap_audit(samples: DataFrame, corpus: DataFrame, parent: str = "parent", sequence: str = "sequence", k: int = 9) -> DataFrame:
+    """J-21: (parent, parent_rows, sample_windows, overlapping): corpus rows with the sample's sequence hash, the sample's distinct k-windows, and how many of those the corpus has.
+
+    The corpus gives only windows that some sample asks for; where the samples are few these are found beside its windows.
+    """
+    from windloom.functions.sequence import digest
+    from windloom.operators.tile import with_flanks
+
+    one = samples.select(F.col(parent).alias("parent"), F.col(sequence).alias("sequence"))
+    other = corpus.select(F.col(parent).alias("parent"), F.col(sequence).alias("sequence"))
+    mine = with_flanks(one, k=k, flank=0).select("parent", "peptide").distinct()
+    there = with_flanks(other, k=k, flank=0).select("peptide").join(bounded(mine.select("peptide").distinct()), "peptide", "left_semi").distinct()
+    counts = mine.join(there.withColumn("__hit", F.lit(1)).hint("merge"), "peptide", "left").groupBy("parent").agg(F.count(F.lit(1)).alias("sample_windows"), F.count("__hit").alias("overlapping"))
+    hashes = other.groupBy(digest(16, F.col("sequence")).alias("__h")).agg(F.count(F.lit(1)).alias("__n"))
+    met = one.withColumn("__h", digest(16, F.col("sequence"))).join(hashes.hint("merge"), "__h", "left").join(counts.hint("merge"), "parent", "left")
+    return met.select("parent", *[F.coalesce(x, F.lit(0)).alias(name) for x, name in (("__n", "parent_rows"), ("sample_windows", "sample_windows"), ("overlapping", "overlapping"))])

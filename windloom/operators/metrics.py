@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from windloom.functions.scores import affinity_to_ic50, fold_error, propensity_to_rank
 from windloom.operators.rank import exact_quantile, running_sum
 
 
@@ -77,14 +78,16 @@ def teacher_agreement(df: DataFrame, scores: list[str], rank: str, strong: float
     return out
 
 
-def channel_block(df: DataFrame, predicted: str, target: str, rank: str, group: list[str], cutoff: float = 2.0) -> DataFrame:
-    """M-10: by split and channel rows, rank correlation, errors, binder prevalence and average precision (null with one class alone)."""
+def channel_block(df: DataFrame, predicted: str, target: str, rank: str, group: list[str], cutoff: float = 2.0, raw: str | None = None) -> DataFrame:
+    """M-10: by split and channel rows, rank correlation with the rank and, where `raw` is named, with the raw score, errors, binder prevalence and average precision (null with one class alone)."""
     marked = df.withColumn("__binder", F.col(rank) <= cutoff).withColumn("__support", -F.col(rank))
     d = F.col(predicted) - F.col(target)
     base = marked.groupBy(*group).agg(F.count(F.lit(1)).alias("n_rows"), F.avg(F.abs(d)).alias("mae"), F.sqrt(F.avg(d * d)).alias("rmse"), F.avg(F.col("__binder").cast("double")).alias("prevalence"))
     rho = grouped_spearman(marked, predicted, "__support", group)
     ap = average_precision(marked, predicted, "__binder", group).drop("n_pos")
     met = base.join(rho.hint("merge"), group, "left").join(ap.hint("merge"), group, "left")
+    if raw:
+        met = met.join(grouped_spearman(df, predicted, raw, group).withColumnRenamed("spearman", "spearman_raw").hint("merge"), group, "left")
     return met.withColumn("auprc", F.when((F.col("prevalence") > 0) & (F.col("prevalence") < 1), F.col("average_precision"))).drop("average_precision")
 
 
@@ -166,11 +169,59 @@ def recall_points(df: DataFrame, score: str, label: str, targets: tuple[float, .
     return wanted.groupBy("target").agg(F.max(score).alias("threshold"), F.max_by("recall", score).alias("recall"), F.max_by("precision", score).alias("precision"), F.max_by("flagged", score).alias("flagged"))
 
 
+def operating_points(df: DataFrame, key: str, propensity: str, rank: str, binder: float = 0.5, targets: tuple[float, ...] = (0.80, 0.90, 0.95, 0.99)) -> DataFrame:
+    """M-09: (target, threshold, implied_rank, recall, precision, n_flagged, default_flagged, default_recall, default_precision).
+
+    Rows are flagged one by one, highest propensity first and equal ones by the (numeric) key; a point
+    is the first row at which the recall of the teacher's binders reaches the target. The default rule
+    flags rows whose predicted rank is at most `binder`. A target that is not reached has no row.
+    """
+    positive = F.col(rank) <= binder
+    require_inputs(df, [propensity], positive)
+    rows = df.select(F.col(propensity).cast("double").alias("p"), (-F.col(key)).alias("k"), positive.cast("long").alias("pos"), F.lit(1).cast("long").alias("one"))
+    flagged = propensity_to_rank(F.col("p")) <= binder
+    total, n_default, tp_default = rows.agg(F.sum("pos"), F.count_if(flagged), F.count_if(flagged & (F.col("pos") == 1))).first()
+    steps = running_sum(rows, ["p", "k"], ["pos", "one"], ["tp", "flagged"], descending=True)
+    recall = F.col("tp") / F.lit(float(total))
+    wanted = steps.select("p", "tp", "flagged", recall.alias("recall"), F.explode(F.filter(F.array(*[F.lit(t) for t in targets]), lambda t: recall >= t)).alias("target"))
+    first = wanted.groupBy("target").agg(F.min_by(F.struct("p", "tp", "flagged", "recall"), "flagged").alias("x"))
+    point = first.select("target", F.col("x.p").alias("threshold"), propensity_to_rank(F.col("x.p")).alias("implied_rank"), "x.recall", (F.col("x.tp") / F.col("x.flagged")).alias("precision"), F.col("x.flagged").alias("n_flagged"))
+    return point.withColumns({"default_flagged": F.lit(n_default).cast("long"), "default_recall": F.lit(tp_default / total), "default_precision": F.lit(tp_default / max(1, n_default))})
+
+
+def grouped_median(df: DataFrame, value: str, group: list[str], out: str) -> DataFrame:
+    """(group.., out): the exact median of each group, from counts by distinct value that are summed over ranges."""
+    counts = df.where(F.col(value).isNotNull()).groupBy(*group, F.col(value).alias("__v")).agg(F.count(F.lit(1)).alias("__n"))
+    upto = running_sum(counts, ["__v"], "__n", "__upto", group=group)
+    total = counts.groupBy(*group).agg(F.sum("__n").alias("__total"))
+    met = upto.join(total.hint("merge"), group)
+    lower, upper = F.floor((F.col("__total") - 1) / 2), F.floor(F.col("__total") / 2)
+    at = lambda i: F.min(F.when(F.col("__upto") > i, F.col("__v")))
+    return met.groupBy(*group).agg(((at(lower) + at(upper)) / 2).alias(out))
+
+
+def affinity_block(df: DataFrame, predicted: str, actual: str, group: list[str], binder: float = 500.0) -> DataFrame:
+    """M-10, M-13: by group the score error, rank correlation with the IC50, median and 2x and 5x shares of the fold error, binder prevalence, the binders' median fold error and average precision (null without binders, or with binders alone)."""
+    p, a = affinity_to_ic50(F.col(predicted)), affinity_to_ic50(F.col(actual))
+    rows = df.select(*group, F.col(predicted).alias("p"), F.col(actual).alias("a"), (-a).alias("support"), fold_error(p, a).alias("fold"), (a <= binder).alias("binder"))
+    share = lambda c: F.avg(c.cast("double"))
+    base = rows.groupBy(*group).agg(F.count(F.lit(1)).alias("n_rows"), F.avg(F.abs(F.col("p") - F.col("a"))).alias("score_mae"), share(F.col("binder")).alias("prevalence"), share(F.col("fold") <= 2).alias("within_2x"), share(F.col("fold") <= 5).alias("within_5x"))
+    parts = [
+        grouped_spearman(rows, "p", "support", group),
+        grouped_median(rows, "fold", group, "median_fold"),
+        grouped_median(rows.where("binder"), "fold", group, "median_fold_binders"),
+        average_precision(rows, "p", "binder", group).drop("n_pos"),
+    ]
+    for part in parts:
+        base = base.join(part.hint("merge"), group, "left")
+    return base.withColumn("auprc", F.when((F.col("prevalence") > 0) & (F.col("prevalence") < 1), F.col("average_precision"))).drop("average_precision")
+
+
 def bootstrap(df: DataFrame, key: str, value: str, replicates: int = 100, seed: int = 0) -> DataFrame:
-    """M-08: mean with a 95% interval by Poisson(1) weights from a hash of row and replicate; each task pre-aggregates its rows by replicate."""
+    """M-08 for a mean: its average and 95% interval by Poisson(1) weights from a hash of row and replicate; each task pre-aggregates its rows by replicate. `resample.intervals` has the other metrics."""
     u = (F.pmod(F.xxhash64(F.col(key), "replicate", F.lit(seed)), F.lit(1 << 30)) + 0.5) / (1 << 30)
     cdf, p, weight = 0.0, 0.36787944117144233, F.lit(0)
-    for k in range(8):
+    for k in range(14):  # beyond what 30 bits tell from 1
         cdf += p
         weight = weight + F.when(u > cdf, 1).otherwise(0)
         p /= k + 1

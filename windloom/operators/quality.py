@@ -95,3 +95,53 @@ def valid_folds(df: DataFrame, fold: str, outside: Column, n: int = 5) -> DataFr
     ok = number.isNotNull() & (number.cast("string") == F.col(fold).cast("string")) & number.between(0, n - 1)
     found = df.agg(F.count(F.lit(1)).alias("n_rows"), F.count_if(F.col(fold).isNotNull() & ~F.coalesce(ok, F.lit(False))).alias("n_not_integer"), F.count_if(F.col(fold).isNull() & ~outside).alias("n_null"), *[F.count_if(ok & (number == i)).alias(f"__f{i}") for i in range(n)])
     return found.select("n_rows", "n_not_integer", "n_null", sum(F.when(F.col(f"__f{i}") == 0, 1).otherwise(0) for i in range(n)).alias("n_missing"))
+
+
+def review_assessments(assessments: DataFrame, providers: DataFrame, responses: DataFrame, tracks: DataFrame, primary: str, panel: int = 18, key: str = "id") -> DataFrame:
+    """X-06: (key, check, passed) of each assessment: the primary provider answered, its panel is complete, an unavailable response leaves no combined rank, and every track is as long as the sequence (only where there are tracks).
+
+    assessments: (key, sequence, combined_rank); providers: (key, provider, status, n_alleles); responses:
+    (key, status); tracks: (key, n_values).
+    """
+    own = providers.where(F.col("provider") == primary).groupBy(key).agg(F.max(F.col("status") == "ok").alias("__ok"), F.max(F.col("n_alleles") == panel).alias("__panel"))
+    gone = responses.groupBy(key).agg(F.max(F.col("status") == "unavailable").alias("__gone"))
+    spans = tracks.groupBy(key).agg(F.min("n_values").alias("__lo"), F.max("n_values").alias("__hi"))
+    met = assessments.join(own.hint("merge"), key, "left").join(gone.hint("merge"), key, "left").join(spans.hint("merge"), key, "left")
+    no = lambda c: F.coalesce(c, F.lit(False))
+    length = F.char_length(F.coalesce("sequence", F.lit("")))
+    checks = {
+        "primary_ok": no(F.col("__ok")),
+        "panel_complete": no(F.col("__panel")),
+        "unavailable_has_no_rank": ~no(F.col("__gone")) | F.col("combined_rank").isNull(),
+        "tracks_aligned": F.when(F.col("__lo").isNotNull(), (F.col("__lo") == length) & (F.col("__hi") == length)),
+    }
+    each = F.array(*[F.struct(F.lit(name).alias("check"), ok.alias("passed")) for name, ok in checks.items()])
+    return met.select(key, F.explode(each).alias("x")).select(key, "x.*").where("passed is not null")
+
+
+def review_campaigns(campaigns: DataFrame, candidates: DataFrame, assessed: DataFrame, key: str = "campaign") -> DataFrame:
+    """X-06: (key, check, passed) of each campaign: only candidates that passed every gate were screened, screened counts agree with the assessments, and every candidate keeps its checks.
+
+    campaigns: (key, n_screened, null if not recorded); candidates: (key, screening, validation, n_checks); assessed: (key).
+    """
+    screened = F.col("screening") == "screened"
+    of = candidates.groupBy(key).agg(F.count_if(screened).alias("__n"), F.count_if(screened & (F.coalesce("validation", F.lit("")) != "pass")).alias("__wrong"), F.count_if(F.coalesce("n_checks", F.lit(0)) == 0).alias("__bare"), F.count(F.lit(1)).alias("__all"))
+    done = assessed.groupBy(key).agg(F.count(F.lit(1)).alias("__done"))
+    met = campaigns.join(of.hint("merge"), key, "left").join(done.hint("merge"), key, "left")
+    n = lambda c: F.coalesce(c, F.lit(0))
+    checks = {
+        "structural_gate_enforced": n("__wrong") == 0,
+        "counts_reconcile": F.coalesce("n_screened", n("__n")) == n("__done"),
+        "checks_recorded": F.when(n("__all") > 0, n("__bare") == 0),
+    }
+    each = F.array(*[F.struct(F.lit(name).alias("check"), ok.alias("passed")) for name, ok in checks.items()])
+    return met.select(key, F.explode(each).alias("x")).select(key, "x.*").where("passed is not null")
+
+
+def file_integrity(actual: DataFrame, manifest: DataFrame) -> DataFrame:
+    """S-17: (path, recorded, found, status) of every path: ok, mismatch, missing or unlisted; a listed path without a recorded hash is a mismatch."""
+    a = actual.select("path", F.col("sha256").alias("found"), F.lit(True).alias("__a"))
+    m = manifest.select("path", F.col("sha256").alias("recorded"), F.lit(True).alias("__m"))
+    met = m.join(a.hint("merge"), "path", "full")
+    status = F.when(F.col("__a").isNull(), "missing").when(F.col("__m").isNull(), "unlisted").when(F.col("recorded").eqNullSafe(F.col("found")) & F.col("found").isNotNull(), "ok").otherwise("mismatch")
+    return met.select("path", "recorded", "found", status.alias("status"))

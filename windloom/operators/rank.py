@@ -50,6 +50,19 @@ def islands(df: DataFrame, group: list[str], pos: str) -> DataFrame:
     return df.withColumn("__run", F.col(pos) - F.row_number().over(w)).groupBy(*group, "__run").agg(F.min(pos).alias("lo"), F.max(pos).alias("hi"), F.count(F.lit(1)).alias("length")).drop("__run")
 
 
+def covering_segment(positions: DataFrame, hotspots: DataFrame, group: str, pos: str) -> DataFrame:
+    """O-07: (group, lo, hi, covered): of each group's runs of consecutive positions that which holds most distinct hotspots, then the longest, then the first.
+
+    A position knows its run by itself, so hotspots meet their run on (group, position).
+    """
+    w = Window.partitionBy(group).orderBy(pos)
+    placed = positions.select(group, pos).distinct().withColumn("__run", F.col(pos) - F.row_number().over(w))
+    marked = placed.join(hotspots.select(group, pos).distinct().withColumn("__hot", F.lit(1)).hint("merge"), [group, pos], "left")
+    runs = marked.groupBy(group, "__run").agg(F.min(pos).alias("lo"), F.max(pos).alias("hi"), F.count("__hot").alias("covered"))
+    best = runs.groupBy(group).agg(F.max_by(F.struct("lo", "hi", "covered"), F.struct("covered", F.col("hi") - F.col("lo"), -F.col("lo"))).alias("x"))
+    return best.select(group, "x.*")
+
+
 def moving_mean(df: DataFrame, group: list[str], pos: str, value: str, width: int) -> DataFrame:
     """O-06: mean and count over the `width` positions from each on."""
     w = Window.partitionBy(*group).orderBy(pos).rowsBetween(0, width - 1)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from windloom.functions.scores import rank_support
+from windloom.functions.scores import rank_support, risk_band
 from windloom.operators.rank import top_k
 
 
@@ -25,25 +25,89 @@ def protein_risk(windows: DataFrame, parent: str = "parent", risk: str = "risk",
     )
 
 
-def residue_track(windows: DataFrame, lengths: DataFrame, parent: str = "parent", value: str = "risk") -> DataFrame:
-    """A-25, A-26: max, mean and count of the windows over each residue; residues without one get 0. Spans are clipped to the sequence.
+def residue_track(windows: DataFrame, lengths: DataFrame, parent: str = "parent", value: str = "risk", confidence: str | None = None) -> DataFrame:
+    """A-25, A-26: max, mean (rounded half-even to 6 places) and count of the windows over each residue, and the confidence of the first highest one; residues without a window get 0. Spans are clipped to the sequence.
 
     A window contributes to as many residues as it is long, and the position spine comes from the
     length alone, so rows grow with residues times window width and never with pairs of windows.
     """
-    spine = lengths.select(parent, F.explode(F.sequence(F.lit(0), F.col("length") - 1)).alias("pos"), "length").where("length > 0")
-    over = windows.select(parent, F.col(value).alias("__v"), F.explode(F.sequence(F.greatest(F.col("start"), F.lit(0)), F.col("end") - 1)).alias("pos"))
-    each = over.groupBy(parent, "pos").agg(F.max("__v").alias("max_value"), F.avg("__v").alias("mean_value"), F.count("__v").alias("n"))
-    out = spine.join(each.hint("merge"), [parent, "pos"], "left")
-    return out.select(parent, "pos", *[F.coalesce(c, F.lit(0.0)).alias(c) for c in ("max_value", "mean_value")], F.coalesce("n", F.lit(0)).alias("n"))
+    more = [F.col(confidence).alias("__c")] if confidence else []
+    each = spread(windows.select(parent, "start", "end", F.col(value).alias("__v"), *more), parent).groupBy(parent, "pos").agg(
+        F.max("__v").alias("max_value"),
+        F.avg("__v").alias("mean_value"),
+        F.count("__v").alias("n"),
+        *([F.max_by("__c", F.struct("__v", -F.col("start"))).alias("confidence")] if confidence else []),
+    )
+    out = on_spine(each, lengths, parent)
+    return out.select(parent, "pos", F.coalesce("max_value", F.lit(0.0)).alias("max_value"), F.bround(F.coalesce("mean_value", F.lit(0.0)), 6).alias("mean_value"), F.coalesce("n", F.lit(0)).alias("n"), *([F.coalesce("confidence", F.lit(0.0)).alias("confidence")] if confidence else []))
+
+
+def spread(windows: DataFrame, parent: str) -> DataFrame:
+    """A row of each window for each residue `pos` from 0 on."""
+    return windows.withColumn("pos", F.explode(F.sequence(F.greatest(F.col("start"), F.lit(0)), F.col("end") - 1)))
+
+
+def on_spine(each: DataFrame, lengths: DataFrame, parent: str) -> DataFrame:
+    """A row for each residue of the sequences, with what `each` has of it."""
+    spine = lengths.where("length > 0").select(parent, F.explode(F.sequence(F.lit(0), F.col("length") - 1)).alias("pos"))
+    return spine.join(each.hint("merge"), [parent, "pos"], "left")
+
+
+def surrogate_tracks(windows: DataFrame, lengths: DataFrame, parent: str, risk: str, presentation: str, binding: str) -> DataFrame:
+    """A-28: by residue the highest risk, mean presentation and mean binding of the windows over it, 0 where none has a value."""
+    each = spread(windows.select(parent, "start", "end", risk, presentation, binding), parent).groupBy(parent, "pos").agg(F.max(risk).alias("risk_max"), F.avg(presentation).alias("presentation_mean"), F.avg(binding).alias("binding_mean"))
+    return on_spine(each, lengths, parent).select(parent, "pos", *[F.coalesce(c, F.lit(0.0)).alias(c) for c in ("risk_max", "presentation_mean", "binding_mean")])
+
+
+def profile_track(windows: DataFrame, lengths: DataFrame, parent: str, start: str, profile: str, weight: Column | None = None, absolute: bool = False) -> DataFrame:
+    """A-27: (parent, pos, heat): the mean over windows of their profiles' values, one for each offset, times the window's weight; divided by the parent's largest (absolute) value if that is positive.
+
+    Offsets beyond the sequence are left out; residues without a window get 0.
+    """
+    w = F.lit(1.0) if weight is None else weight
+    cells = windows.select(parent, F.col(start).alias("__s"), w.alias("__w"), F.posexplode(profile).alias("__i", "__x"))
+    each = cells.select(parent, (F.col("__s") + F.col("__i")).alias("pos"), (F.col("__x") * F.col("__w")).alias("__x")).groupBy(parent, "pos").agg(F.avg("__x").alias("heat"))
+    track = on_spine(each, lengths, parent).select(parent, "pos", F.coalesce("heat", F.lit(0.0)).alias("heat"))
+    tops = track.groupBy(parent).agg(F.max(F.abs("heat") if absolute else F.col("heat")).alias("__top"))
+    met = track.join(tops.hint("merge"), parent)
+    return met.select(parent, "pos", F.when(F.col("__top") > 0, F.col("heat") / F.col("__top")).otherwise(F.col("heat")).alias("heat"))
 
 
 def normalised(df: DataFrame, group: str, value: str, absolute: bool = False) -> DataFrame:
-    """A-27: divided by the group's largest (absolute) value where that is positive."""
+    """Values divided by the group's largest (absolute) one where that is positive."""
     top = F.max(F.abs(F.col(value)) if absolute else F.col(value)).over(Window.partitionBy(group))
     return df.withColumn("normalised", F.when(top > 0, F.col(value) / top).otherwise(F.col(value)))
 
 
+def factor_risk(features: DataFrame, hits: DataFrame, tolerance: DataFrame, key: str = "sequence_id", most: int = 40) -> DataFrame:
+    """F-26 whole: (key, binders, foreign, hyperstable, disorder, score, band, flagged).
+
+    features: (key, mean_rsa, unfolding, disordered); hits: (key, peptide, binder, pos); tolerance: (key,
+    peptide, status, pos). Binders count 8 points up to 40, foreign-like peptides 3 up to 30, a low
+    accessibility with high stability 15, disorder 10. Flagged are at most `most` distinct peptides:
+    binders that are foreign-like by their position, then the other foreign-like ones.
+    """
+    foreign = tolerance.where(F.col("status") == "foreign_like").select(key, "peptide", "pos")
+    strong = hits.where("binder").select(key, "peptide", "pos")
+    counts = strong.groupBy(key).agg(F.count(F.lit(1)).alias("n_strong")), foreign.groupBy(key).agg(F.count(F.lit(1)).alias("n_foreign"))
+    first = foreign.groupBy(key, "peptide").agg(F.min("pos").alias("own"))
+    bound = strong.groupBy(key, "peptide").agg(F.min("pos").alias("hit"))
+    order = first.join(bound.hint("merge"), [key, "peptide"], "left").select(key, "peptide", F.struct(F.col("hit").isNull().alias("late"), F.coalesce("hit", "own").alias("at"), F.col("peptide").alias("p")).alias("__o"))
+    flagged = top_k(order, [key], [F.col("__o")], most).groupBy(key).agg(F.transform(F.array_sort(F.collect_list("__o")), lambda x: x["p"]).alias("flagged"))
+    met = features
+    for other in (*counts, flagged):
+        met = met.join(other.hint("merge"), key, "left")
+    n = lambda c: F.coalesce(c, F.lit(0))
+    met = met.withColumns({
+        "binders": F.least(F.lit(40), n("n_strong") * 8),
+        "foreign": F.least(F.lit(30), n("n_foreign") * 3),
+        "hyperstable": F.when((F.col("mean_rsa") < 0.35) & (F.col("unfolding") > 6), 15).otherwise(0),
+        "disorder": F.when(F.col("disordered") > 0.5, 10).otherwise(0),
+    })
+    score = F.least(F.lit(100), F.col("binders") + F.col("foreign") + F.col("hyperstable") + F.col("disorder"))
+    return met.select(key, "binders", "foreign", "hyperstable", "disorder", score.alias("score"), risk_band(score).alias("band"), F.coalesce("flagged", F.array().cast("array<string>")).alias("flagged"))
+
+
 def noisy_or(p: Column) -> Column:
     """A-30: aggregate; an empty group gives 0."""
     return F.coalesce(1 - F.product(1 - F.least(F.greatest(p, F.lit(0.0)), F.lit(1 - 1e-9))), F.lit(0.0))

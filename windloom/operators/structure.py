@@ -21,7 +21,7 @@ def chain_offset(chain: Column, design: Column) -> Column:
 
 def best_chains(chains: DataFrame, designs: DataFrame, on: str = "pdb") -> DataFrame:
     """J-16: for each design the longest observed chain that matches, the first of equal ones."""
-    met = designs.join(chains, on).withColumn("offset", chain_offset(F.col("chain_sequence"), F.col("sequence"))).where("offset is not null")
+    met = designs.join(chains.hint("merge"), on).withColumn("offset", chain_offset(F.col("chain_sequence"), F.col("sequence"))).where("offset is not null")
     return top_k(met, ["parent"], [F.char_length("chain_sequence").desc(), F.col("chain")], 1).drop("rank")
 
 
@@ -36,7 +36,7 @@ def window_accessibility(windows: DataFrame, residues: DataFrame, parent: str =
 def project(residues: DataFrame, offsets: DataFrame, lengths: DataFrame, parent: str = "parent") -> DataFrame:
     """F-16: chain residues (parent, chain_pos, rsa) in design coordinates, null where nothing was observed."""
     spine = lengths.where("length > 0").select(parent, F.explode(F.sequence(F.lit(0), F.col("length") - 1)).alias("pos"))
-    moved = residues.join(offsets.select(parent, "offset"), parent).select(parent, (F.col("chain_pos") + F.col("offset")).alias("pos"), "rsa")
+    moved = residues.join(offsets.select(parent, "offset").hint("merge"), parent).select(parent, (F.col("chain_pos") + F.col("offset")).alias("pos"), "rsa")
     return spine.join(moved.hint("merge"), [parent, "pos"], "left")
 
 
@@ -87,3 +87,20 @@ def gates(candidates: DataFrame) -> DataFrame:
     )).drop("__copies")
     passed = F.forall("checks", lambda x: x["passed"])
     return df.withColumn("status", F.when(passed, "pass").otherwise("fail")).withColumn("selection", F.when(passed, "eligible").otherwise("blocked"))
+
+
+def gyration(atoms: DataFrame, keys: list[str], least: int = 3) -> DataFrame:
+    """A-32: (keys.., n, radius): root mean square distance of a file's points from their centroid, null under `least`. Sums of one pass: E[v*v] - E[v]^2 around the file's first point."""
+    first = atoms.groupBy(*keys).agg(*[F.min(c).alias(f"__{c}") for c in "xyz"])
+    met = atoms.join(first.hint("merge"), keys)
+    d = {c: F.col(c) - F.col(f"__{c}") for c in "xyz"}
+    sums = met.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), *[F.avg(d[c]).alias(f"__m{c}") for c in "xyz"], F.avg(sum(d[c] * d[c] for c in "xyz")).alias("__q"))
+    spread = F.col("__q") - sum(F.col(f"__m{c}") * F.col(f"__m{c}") for c in "xyz")
+    return sums.select(*keys, "n", F.when(F.col("n") >= least, F.sqrt(F.greatest(F.lit(0.0), spread))).alias("radius"))
+
+
+def gyration_by_target(atoms: DataFrame, target: str, file: str, most: int = 100) -> DataFrame:
+    """A-32: (target, n_files, mean, deviation): mean and population deviation of the radii of each target's first `most` files by name; no deviation of one file."""
+    files = top_k(atoms.select(target, file).distinct(), [target], [F.col(file)], most).select(target, file)
+    found = gyration(atoms.join(files.hint("merge"), [target, file], "left_semi"), [target, file]).where("radius is not null")
+    return found.groupBy(target).agg(F.count(F.lit(1)).alias("n_files"), F.avg("radius").alias("mean"), F.when(F.count(F.lit(1)) > 1, F.stddev_pop("radius")).alias("deviation"))

@@ -52,10 +52,11 @@ def binder_class(spark: SparkSession, d: str) -> DataFrame:
     return g.withColumn("share", r6(F.col("n").cast("double") / F.sum("n").over(Window.partitionBy())))
 
 
-@query(f"SELECT CASE WHEN rank <= 0.5 + 5.01e-6 THEN 'high' WHEN rank <= 2.00002001 THEN 'medium' ELSE 'low' END AS risk_band, count(*) AS n, count(*) FILTER (WHERE 1 - ln(1 + rank) / ln(101) >= 0.7892)::BIGINT AS flagged FROM (SELECT {_RANK} AS rank FROM lineitem) GROUP BY 1")
+@query(f"SELECT CASE WHEN rank <= 0.5 + 5.01e-6 THEN 'high' WHEN rank <= 2.00002001 THEN 'moderate' ELSE 'low' END AS risk_band, count(*) AS n, count(*) FILTER (WHERE 1 - ln(1 + rank) / ln(101) >= 0.7892)::BIGINT AS flagged FROM (SELECT {_RANK} AS rank FROM lineitem) GROUP BY 1")
 def profile_bands(spark: SparkSession, d: str) -> DataFrame:
-    """F-06."""
-    t = _ranked(spark, d).withColumn("x", C.profile(C.rank_to_propensity(F.col("rank"))))
+    """F-06: how many profiles each risk band has, and how many of them are flagged for screening."""
+    p = C.rank_to_propensity(F.col("rank"))
+    t = _ranked(spark, d).withColumn("x", C.profile(p, p))
     return t.groupBy("x.risk_band").agg(F.count(F.lit(1)).alias("n"), F.count_if("x.flagged").alias("flagged"))
 
 
@@ -136,12 +137,12 @@ def protein_topk(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""WITH w AS {SCORED_WINDOWS}, l AS (SELECT parent, max("end") + 2 AS length FROM w GROUP BY parent), spine AS (SELECT parent, p::INT AS pos FROM l, unnest(range(0, length)) t(p))
-    SELECT s.parent, s.pos, round(coalesce(max(risk), 0), 6) AS max_value, round(coalesce(avg(risk), 0), 6) AS mean_value, count(risk) AS n FROM spine s LEFT JOIN w ON w.parent = s.parent AND s.pos >= w.start AND s.pos < w."end" GROUP BY s.parent, s.pos""")
+    SELECT s.parent, s.pos, round(coalesce(max(risk), 0), 6) AS max_value, round_even(coalesce(avg(risk), 0), 6) AS mean_value, count(risk) AS n FROM spine s LEFT JOIN w ON w.parent = s.parent AND s.pos >= w.start AND s.pos < w."end" GROUP BY s.parent, s.pos""")
 def residue_heat(spark: SparkSession, d: str) -> DataFrame:
     """A-25, A-26, A-28."""
     w = scored_windows(spark, d)
     t = rollup.residue_track(w, w.groupBy("parent").agg((F.max("end") + 2).alias("length")))
-    return t.select("parent", "pos", r6("max_value").alias("max_value"), r6("mean_value").alias("mean_value"), "n")
+    return t.select("parent", "pos", r6("max_value").alias("max_value"), "mean_value", "n")
 
 
 @query(f"SELECT parent, round(1 - product(1 - least(greatest(risk, 0), 1 - 1e-9)), 6) AS any_risk, round(CASE WHEN sum(risk) > 1e-12 THEN sum(confidence * risk) / sum(risk) ELSE avg(confidence) END + 1e-9, 4) AS confidence FROM {SCORED_WINDOWS} GROUP BY parent")
