@@ -12,15 +12,15 @@ BITMAP = 1 << 15
 
 
 def numbered(items: DataFrame, item: str) -> DataFrame:
-    """(item, n): every distinct name with a number from 0, in the order of names."""
-    names = items.select(F.col(item).cast("string").alias(item)).where(F.col(item).isNotNull()).distinct()
-    return global_row_number(names, [item], "n").withColumn("n", F.col("n") - 1)
+    """(__item, __n): every distinct name with a number from 0, in the order of names."""
+    names = items.select(F.col(item).cast("string").alias("__item")).where("__item is not null").distinct()
+    return global_row_number(names, ["__item"], "__n").withColumn("__n", F.col("__n") - 1)
 
 
 def bitmaps(rows: DataFrame, key: str, item: str, numbers: DataFrame) -> DataFrame:
     """(key, block, bits): the set of each key as bitmaps of BITMAP numbers; repeats count once."""
-    met = rows.select(key, F.col(item).cast("string").alias(item)).join(numbers.hint("merge"), item)
-    return met.groupBy(key, F.shiftright("n", 15).alias("block")).agg(F.bitmap_construct_agg(F.col("n").bitwiseAND(BITMAP - 1)).alias("bits"))
+    met = rows.select(key, F.col(item).cast("string").alias("__item")).join(numbers.hint("merge"), "__item")
+    return met.groupBy(key, F.shiftright("__n", 15).alias("block")).agg(F.bitmap_construct_agg(F.col("__n").bitwiseAND(BITMAP - 1)).alias("bits"))
 
 
 def intersection(sets: list[DataFrame], key: str) -> DataFrame:
@@ -42,15 +42,15 @@ def names_of(found: DataFrame, key: str, item: str, numbers: DataFrame) -> DataF
     text = F.hex("bits")
     cells = F.filter(F.transform(F.sequence(F.lit(0), F.octet_length("bits") - 1), lambda i: F.struct(i.alias("i"), F.conv(F.substr(text, i * 2 + 1, F.lit(2)), 16, 10).cast("int").alias("b"))), lambda x: x["b"] > 0)
     each = found.select(key, "block", F.explode(cells).alias("x")).select(key, "block", "x.i", "x.b", F.explode(F.array(*[F.lit(i) for i in range(8)])).alias("bit"))
-    on = each.where(F.col("b").bitwiseAND(F.expr("shiftleft(1, bit)")) > 0).select(key, (F.col("block") * BITMAP + F.col("i") * 8 + F.col("bit")).alias("n"))
-    return on.join(numbers.hint("merge"), "n").select(key, item)
+    on = each.where(F.col("b").bitwiseAND(F.expr("shiftleft(1, bit)")) > 0).select(key, (F.col("block") * BITMAP + F.col("i") * 8 + F.col("bit")).alias("__n"))
+    return on.join(numbers.hint("merge"), "__n").select(key, F.col("__item").alias(item))
 
 
 def shared_names(left: DataFrame, right: DataFrame, key: str, item: str) -> DataFrame:
     """U-03: (key, shared): the sorted names that both tables have for a key, empty where there are none."""
     numbers = numbered(left.select(item).unionByName(right.select(item)), item)
     both = intersection([bitmaps(left, key, item, numbers), bitmaps(right, key, item, numbers)], key)
-    lists = names_of(both, key, item, numbers).groupBy(key).agg(F.array_sort(F.collect_list(item)).alias("shared"))
+    lists = names_of(both, key, "name", numbers).groupBy(key).agg(F.array_sort(F.collect_list("name")).alias("shared"))
     keys = left.select(key).unionByName(right.select(key)).distinct()
     return keys.join(lists.hint("merge"), key, "left").withColumn("shared", F.coalesce("shared", F.array().cast("array<string>")))
 

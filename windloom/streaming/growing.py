@@ -15,20 +15,28 @@ def expand(candidates: DataFrame, existing: DataFrame, key: str, parent: str, n:
     return existing.unionByName(chosen, allowMissingColumns=True)
 
 
-def stream_new(source: DataFrame, path: str, checkpoint: str, key: str):
-    """Append each key of a streaming source once to a Parquet table, batch by batch; a batch that is tried again adds nothing twice."""
-
-    def add(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        fresh = batch.dropDuplicates([key]).withColumn("batch", F.lit(batch_id))
-        try:
-            known = spark.read.parquet(path)
-        except Exception as e:
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            known = None
-        if known is not None:
-            fresh = fresh.join(known.where(F.col("batch") < batch_id).select(key), key, "left_anti")
-        fresh.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(path)
-
-    return source.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+#: Keeps the seen keys on disk beside each task, with changes and snapshots in the checkpoint.
+STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def stream_new(source: DataFrame, path: str, checkpoint: str, key: str, existing: DataFrame | None = None):
+    """Append each key of a streaming source once to a Parquet table.
+
+    The keys seen so far are keyed state, dealt by hash, so a batch asks for its own keys alone and
+    what was landed is never read again: its cost does not grow with the history. State and file sink
+    commit by the checkpoint, so a batch that is tried again adds nothing twice. `existing` is a fixed
+    table whose keys never come in. Of repeated keys in a batch one row stays, any of them. The state
+    store holds a key for each distinct one, for good; rows without a key count as one key.
+    """
+    spark = source.sparkSession
+    fresh = source if existing is None else source.join(existing.select(key).distinct().hint("merge"), key, "left_anti")
+    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass", None)
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
+    try:
+        writer = fresh.dropDuplicates([key]).writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint)
+        return writer.outputMode("append").trigger(availableNow=True).start()
+    finally:
+        if before is None:
+            spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+        else:
+            spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
