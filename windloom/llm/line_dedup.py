@@ -9,9 +9,9 @@ above or below the threshold is decided by it; lines near it get exact distinct
 line stays in the document with the smallest doc_id that has it and goes from all others.
 
 Everything is DataFrame functions. A null or empty text has no lines and stays as it is. Null sites
-are not counted. Rows with a null doc_id lose boilerplate but never count as the first; they are told
-apart by their texts. Rows that share a doc_id are treated alike: in the first document's rows the
-line stays, as often as it is there. A text from which nothing goes is returned unchanged. Empty
+are not counted. Rows with a null doc_id lose boilerplate but never count as the first. Rows that share
+a doc_id, or have none, are told apart by their texts; in all rows of the first document the line
+stays, as often as it is there. A text from which nothing goes is returned unchanged. Empty
 tables give no rows; other columns are carried along, whatever their names.
 """
 
@@ -45,17 +45,16 @@ def line_key(line: Column) -> Column:
 
 
 def document_key(doc: Column, text: Column) -> Column:
-    """doc_id, and for rows without one a hash of their text, so that they are not all one group."""
-    return F.struct(doc.alias("doc"), F.when(doc.isNull(), F.xxhash64(text)).alias("text"))
+    """doc_id and a hash of the text, so that rows that share an id, or have none, are told apart."""
+    return F.struct(doc.alias("doc"), F.xxhash64(text).alias("text"))
 
 
 def boilerplate_places(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source", min_sites: int = MIN_SITES, min_chars: int = MIN_CHARS) -> DataFrame:
-    """(doc, h, g, first_doc): each document with each of its lines that min_sites or more distinct sites show, and the first document with it."""
+    """(doc, pos, h, g, first_doc): each document with the place of each of its lines that min_sites or more distinct sites show, and the first document with it."""
     doc, text = F.col(f"`{id_col}`"), F.col(f"`{text_col}`")
-    lines = F.array_distinct(F.filter(F.transform(lines_of(text), trimmed), lambda x: F.char_length(x) >= min_chars))
-    shown = docs.select(document_key(doc, text).alias("doc"), F.col(f"`{site_col}`").cast("string").alias("site"), F.explode(lines).alias("line"))
-    shown = shown.select("doc", "site", line_key(F.col("line")).alias("k")).select("doc", "site", "k.h", "k.g")
-    # Only what more than one site and enough rows show can be spread; a row shows a line once here.
+    shown = docs.select(document_key(doc, text).alias("doc"), F.col(f"`{site_col}`").cast("string").alias("site"), F.posexplode(F.transform(lines_of(text), trimmed)).alias("pos", "line")).where(F.char_length("line") >= min_chars)
+    shown = shown.select("doc", "site", "pos", line_key(F.col("line")).alias("k")).select("doc", "site", "pos", "k.h", "k.g")
+    # Only what more than one site and enough places show can be spread.
     often = shown.groupBy("h", "g").agg(F.count(F.lit(1)).alias("n"), F.min("doc.doc").alias("first_doc"), F.min("site").alias("lo"), F.max("site").alias("hi"))
     often = often.where((F.col("n") >= min_sites) & ((F.col("lo") < F.col("hi")) | F.lit(min_sites < 2))).select("h", "g", "first_doc")
     places = landed(shown.join(often.hint("merge"), ["h", "g"]), "line-places")
@@ -65,28 +64,33 @@ def boilerplate_places(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     near = sketches.where(F.col("sites") < NEAR_ABOVE * min_sites).select("h", "g")
     exact = places.where("site is not null").join(near.hint("merge"), ["h", "g"], "left_semi").select("h", "g", "site").distinct().groupBy("h", "g").agg(F.count(F.lit(1)).alias("exact"))
     spread = sketches.where(F.col("sites") >= NEAR_ABOVE * min_sites).select("h", "g").unionByName(exact.where(F.col("exact") >= min_sites).select("h", "g"))
-    return places.join(spread.hint("merge"), ["h", "g"], "left_semi").select("doc", "h", "g", "first_doc")
+    return places.join(spread.hint("merge"), ["h", "g"], "left_semi").select("doc", "pos", "h", "g", "first_doc")
 
 
 def remove_boilerplate(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source", min_sites: int = MIN_SITES, min_chars: int = MIN_CHARS, out_text: str | None = None, n_removed: str | None = None) -> DataFrame:
     """The documents without the boilerplate lines of later documents.
 
     The text is replaced, or goes to `out_text`; `n_removed` names a column for the lines that went.
-    The lines to remove come back to their documents as hashes, not as text.
+    The lines to remove come back to their documents as places, not as text; what stays is the runs
+    between them, so the work in a document grows with its lines.
     """
     found = boilerplate_places(docs, id_col=id_col, text_col=text_col, site_col=site_col, min_sites=min_sites, min_chars=min_chars)
     key, gone = unused("line_doc", docs), unused("line_gone", docs)
-    later = found.where(~F.col("doc.doc").eqNullSafe(F.col("first_doc"))).groupBy(F.col("doc").alias(key)).agg(F.collect_set(F.struct("h", "g")).alias(gone))
+    later = found.where(~F.col("doc.doc").eqNullSafe(F.col("first_doc"))).groupBy(F.col("doc").alias(key)).agg(F.array_sort(F.collect_set("pos")).alias(gone))
     text = F.col(f"`{text_col}`")
     mine = document_key(F.col(f"`{id_col}`"), text)
     both = docs.join(later.hint("merge"), F.col(f"{key}.doc").eqNullSafe(mine["doc"]) & F.col(f"{key}.text").eqNullSafe(mine["text"]), "left")
-    stays = lambda x: ~((F.char_length(trimmed(x)) >= min_chars) & F.array_contains(F.col(gone), line_key(trimmed(x))))
-    left = F.when(F.col(gone).isNull() | text.isNull(), text).otherwise(F.array_join(F.filter(lines_of(text), stays), "\n"))
+    # Removed places with one before the first line and one behind the last. The array binds lines and
+    # places once for all runs; a text without any removed place is not split.
+    once = F.array(F.struct(lines_of(text).alias("lines"), F.concat(F.array(F.lit(-1)), F.col(gone), F.array(F.size(lines_of(text)))).alias("at")))
+    run = lambda x, i: F.slice(x["lines"], F.element_at(x["at"], i) + 2, F.element_at(x["at"], i + 1) - F.element_at(x["at"], i) - 1)
+    joined = F.transform(once, lambda x: F.array_join(F.flatten(F.transform(F.sequence(F.lit(1), F.size(x["at"]) - 1), lambda i: run(x, i))), "\n"))
+    left = F.when(F.col(gone).isNull() | text.isNull(), text).otherwise(joined[0])
     target = out_text or text_col
     columns = [left.alias(target) if c == target else F.col(f"`{c}`") for c in docs.columns]
     if target not in docs.columns:
         columns.append(left.alias(target))
     if n_removed:
         columns = [c for c, name in zip(columns, [*docs.columns, target], strict=False) if name != n_removed]
-        columns.append(F.when(F.col(gone).isNull() | text.isNull(), F.lit(0)).otherwise(F.size(F.filter(lines_of(text), lambda x: ~stays(x)))).cast("long").alias(n_removed))
+        columns.append(F.when(F.col(gone).isNull() | text.isNull(), F.lit(0)).otherwise(F.size(gone)).cast("long").alias(n_removed))
     return both.select(*columns)
