@@ -4,7 +4,8 @@ Documents are cut into pieces of at most `capacity` words; full pieces fill a bi
 rest are packed, largest first. A bin knows its residual, a bitmap of the duplicate clusters in it
 and two bitmaps of sources (seen once, seen SOURCE_LIMIT times). The successor search starts at the
 tightest bin that has room and goes on to the next larger residual until a bin without conflict is
-found; else a new bin is opened. No bin holds two pieces of a duplicate cluster, nor more than
+found; else a new bin is opened. Clusters and sources that many pieces of a group share keep an order
+of the bins open to them, so that the search does not walk over all the bins they fill. No bin holds two pieces of a duplicate cluster, nor more than
 SOURCE_LIMIT pieces of a source.
 
 Every input row gets a number, `row`, when its size is written out. Pieces are dealt to packing
@@ -21,6 +22,7 @@ input is split into tasks. Empty tables give no rows. Extra columns are not read
 from __future__ import annotations
 
 from bisect import bisect_left, insort
+from collections import Counter
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -39,23 +41,37 @@ PLACED = "doc_id long, row long, piece long, word_start long, n_words long, bin_
 
 
 class Bins:
-    """Open bins ordered by residual."""
+    """Open bins ordered by residual; `watched` clusters, sources and pairs have an order of their own bins.
 
-    def __init__(self, capacity: int, source_limit: int = SOURCE_LIMIT):
+    A watched kind is in conflict with most bins, so its order holds only the bins that are open to it
+    and its successor search meets no other. All orders give the same tightest bin.
+    """
+
+    def __init__(self, capacity: int, source_limit: int = SOURCE_LIMIT, watched: list[tuple[int, int]] = ()):
         self.capacity, self.limit = capacity, source_limit
-        self.order: list[tuple[int, int]] = []  # (residual, bin), ascending
+        #: (cluster, source), 0 for any -> (residual, bin) of the bins open to it, ascending.
+        self.orders: dict[tuple[int, int], list[tuple[int, int]]] = {kind: [] for kind in [(0, 0), *watched]}
         self.clusters: list[int] = []
         self.sources: list[list[int]] = []  # for each bin, bitmaps of the sources seen once, twice, ..
 
+    def open_to(self, b: int, cluster: int, source: int) -> bool:
+        return not (self.clusters[b] & cluster or self.sources[b][-1] & source)
+
+    def order_for(self, cluster: int, source: int) -> list[tuple[int, int]]:
+        """The narrowest order that holds every bin open to a piece."""
+        return next(self.orders[k] for k in ((cluster, source), (0, source), (cluster, 0), (0, 0)) if k in self.orders)
+
     def place(self, size: int, cluster: int, source: int) -> tuple[int, int]:
-        """The bin for a piece and its offset there; cluster and source are single bits."""
-        at = bisect_left(self.order, (size, -1))
-        while at < len(self.order):
-            residual, b = self.order[at]
-            if not (self.clusters[b] & cluster or self.sources[b][-1] & source):
-                del self.order[at]
-                break
+        """The bin for a piece and its offset there; cluster and source are single bits, or 0."""
+        order = self.order_for(cluster, source)
+        at = bisect_left(order, (size, -1))
+        while at < len(order) and not self.open_to(order[at][1], cluster, source):
             at += 1
+        if at < len(order):
+            residual, b = order[at]
+            for kind, own in self.orders.items():
+                if self.open_to(b, *kind):
+                    del own[bisect_left(own, (residual, b))]
         else:
             residual, b = self.capacity, len(self.clusters)
             self.clusters.append(0)
@@ -64,18 +80,25 @@ class Bins:
         seen = self.sources[b]
         seen[next(i for i, bits in enumerate(seen) if not bits & source)] |= source
         if residual > size:
-            insort(self.order, (residual - size, b))
+            for kind, own in self.orders.items():
+                if self.open_to(b, *kind):
+                    insort(own, (residual - size, b))
         return b, self.capacity - residual
 
 
+#: A cluster, a source or a pair of both with one in so many pieces of a group is watched, so there are three times as many at most.
+WATCHED = 16
+
+
 def pack_group(pieces: list[tuple], capacity: int, source_limit: int = SOURCE_LIMIT) -> list[tuple[int, int]]:
     """(bin, offset) for each (size, cluster, source), given largest first."""
-    bins, bits = Bins(capacity, source_limit), ({}, {})
+    repeated = Counter(cluster for _, cluster, _ in pieces)
+    bits: tuple[dict, dict] = ({}, {})
     number = lambda which, key: 1 << bits[which].setdefault(key, len(bits[which]))
-    repeated: dict = {}
-    for _, cluster, _ in pieces:
-        repeated[cluster] = repeated.get(cluster, 0) + 1
-    return [bins.place(size, number(0, cluster) if repeated[cluster] > 1 else 0, number(1, source)) for size, cluster, source in pieces]
+    coded = [(size, number(0, cluster) if repeated[cluster] > 1 else 0, number(1, source)) for size, cluster, source in pieces]
+    kinds = Counter(k for _, c, s in coded for k in ({(c, 0), (0, s), (c, s)} if c else {(0, s)}))
+    bins = Bins(capacity, source_limit, [k for k, n in kinds.items() if n * WATCHED >= len(coded) and n > WATCHED])
+    return [bins.place(*piece) for piece in coded]
 
 
 def sized(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
