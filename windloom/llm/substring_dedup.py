@@ -17,7 +17,8 @@ repeated if the same words start earlier (smaller doc_id, or same document and e
 
 Null or empty texts have no words. Rows with a null doc_id are neither sources nor judged: nothing
 is removed. Repeated rows (same doc_id and text) are one document at the same positions, so none of
-them is earlier than the other. Texts under 20 words have no windows. Empty tables give no rows.
+them is earlier than the other. Different texts under one doc_id are documents of their own, in the
+order of a 31-bit tag of their text; all other rows have tag 0. Texts under 20 words have no windows. Empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -31,6 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from windloom.llm.common import WordHash, annotate, grams, hash_words, mixed, parts_for, pieces, raw, size_of, sliding_min, unused, words
+from windloom.session import landed
 
 WINDOW, MINIMISER = 20, 4
 #: Bytes of text for a bucket's share, buckets in a partition, windows in one packed string at most,
@@ -136,31 +138,35 @@ def grouped(codes: np.ndarray, h: np.ndarray, start: np.ndarray, length: np.ndar
     return order, np.flatnonzero(np.concatenate([[True], ~same])) if len(order) else order
 
 
-def packed(docs: DataFrame, id_col: str, text_col: str, n_buckets: int, window: int, common: np.ndarray) -> DataFrame:
-    """(bucket, later, blob): a task's super-k-mers of a bucket, words as codes into the blob's own word list; or, as `later`, runs that it knows to be repeats."""
+def packed(docs: DataFrame, id_col: str, text_col: str, n_buckets: int, window: int, common: np.ndarray, tag_col: str | None = None) -> DataFrame:
+    """(bucket, later, blob): a task's super-k-mers of a bucket, words as codes into the blob's own word list; or, as `later`, runs that it knows to be repeats.
+
+    A position is the document's tag in the high half and the word's number in the low half.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(common)
 
     def run(batches):
-        ids, texts, n = [], [], 0
+        ids, tags, texts, n = [], [], [], 0
         codes = Codes()
         for whole in batches:
             for b in pieces(whole):
-                for doc, text in zip(b.column(0).to_pylist(), raw(b.column(1)), strict=True):
+                for doc, text, tag in zip(b.column(0).to_pylist(), raw(b.column(1)), b.column(2).to_pylist(), strict=True):
                     w = words(text)
                     if len(w) >= window:
                         ids.append(doc)
+                        tags.append(tag)
                         texts.append(np.fromiter(map(codes.__getitem__, w), np.int32, len(w)))
                         n += len(w)
                     if n > HELD_WORDS:
-                        yield from packed_chunk(ids, texts, codes, n_buckets, window, shared.value)
-                        ids, texts, n, codes = [], [], 0, Codes()
-        yield from packed_chunk(ids, texts, codes, n_buckets, window, shared.value)
+                        yield from packed_chunk(ids, tags, texts, codes, n_buckets, window, shared.value)
+                        ids, tags, texts, n, codes = [], [], [], 0, Codes()
+        yield from packed_chunk(ids, tags, texts, codes, n_buckets, window, shared.value)
 
-    kept = docs.select(F.col(f"`{id_col}`").cast("long").alias("d"), F.col(f"`{text_col}`").alias("t")).where("d is not null and t is not null")
+    kept = docs.select(F.col(f"`{id_col}`").cast("long").alias("d"), F.col(f"`{text_col}`").alias("t"), (F.lit(0) if tag_col is None else F.col(f"`{tag_col}`")).cast("long").alias("g")).where("d is not null and t is not null")
     return kept.mapInArrow(run, "bucket int, later boolean, blob binary")
 
 
-def packed_chunk(ids: list[int], texts: list[np.ndarray], codes: Codes, n_buckets: int, window: int, common: np.ndarray):
+def packed_chunk(ids: list[int], tags: list[int], texts: list[np.ndarray], codes: Codes, n_buckets: int, window: int, common: np.ndarray):
     import pyarrow as pa
     import xxhash
 
@@ -180,7 +186,7 @@ def packed_chunk(ids: list[int], texts: list[np.ndarray], codes: Codes, n_bucket
     del h
     # By group, then position: the first of each group travels, the others are repeats of it.
     group = np.repeat(np.arange(len(lead)), np.diff(np.append(lead, len(order))))
-    where_doc, where_start = np.array(ids, np.int64)[doc[order]], (start - begin[doc])[order]
+    where_doc, where_start = np.array(ids, np.int64)[doc[order]], (start - begin[doc] + (np.array(tags, np.int64) << 32)[doc])[order]
     by = np.lexsort((where_start, where_doc, group))
     order, where_doc, where_start = order[by], where_doc[by], where_start[by]
     head, first_doc, first_start = order[lead], where_doc[lead], where_start[lead]
@@ -215,7 +221,7 @@ def pack(vocabulary: list[bytes], codes: np.ndarray, n_words: np.ndarray, n_at:
     """One binary for many super-k-mers: word list, codes, word counts, position counts and positions."""
     import zstandard
 
-    parts = [b" ".join(vocabulary), planes(codes, 4), planes(n_words, 4), planes(n_at, 4), planes(doc.view(np.uint64), 8), planes(start, 4)]
+    parts = [b" ".join(vocabulary), planes(codes, 4), planes(n_words, 4), planes(n_at, 4), planes(doc.view(np.uint64), 8), planes(start, 8)]
     head = np.array([len(vocabulary), *map(len, parts)], np.int64).tobytes()
     return zstandard.ZstdCompressor(level=3).compress(head + b"".join(parts))
 
@@ -244,7 +250,7 @@ def unpack(blob: bytes, codes: Codes):
     cut = list(accumulate(sizes, initial=56))
     part = [data[a:b] for a, b in zip(cut, cut[1:], strict=False)]
     own = np.fromiter(map(codes.__getitem__, part[0].split(b" ")), np.int64, n_words)
-    return own[unplaned(part[1], 4)], unplaned(part[2], 4), unplaned(part[3], 4), unplaned(part[4], 8), unplaned(part[5], 4)
+    return own[unplaned(part[1], 4)], unplaned(part[2], 4), unplaned(part[3], 4), unplaned(part[4], 8), unplaned(part[5], 8)
 
 
 def window_hashes(h: np.ndarray, window: int) -> np.ndarray:
@@ -316,12 +322,26 @@ def repeats(blobs: list[bytes], window: int = WINDOW) -> tuple[np.ndarray, np.nd
     return tuple(np.concatenate([o[i] for o in out]) for i in range(3))
 
 
-def repeated_ranges(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
-    """(doc_id, lo, hi): word ranges covered by repeated windows."""
+def tagged(docs: DataFrame, id_col: str, text_col: str, tag: str) -> DataFrame:
+    """The rows with column `tag`: of the text where its doc_id has another text too, else 0.
+
+    Ids and hashes of texts are aggregated first; only if some id has several texts do the rows meet those ids.
+    """
+    doc, text = F.col(f"`{id_col}`").cast("long"), F.col(f"`{text_col}`")
+    each = docs.select(doc.alias("d"), F.xxhash64(text).alias("h")).where("d is not null").groupBy("d").agg(F.min("h").alias("lo"), F.max("h").alias("hi"))
+    several = landed(each.where("lo <> hi").select(F.col("d").alias(f"{tag}_id")), "several-texts")
+    if several.isEmpty():
+        return docs.withColumn(tag, F.lit(0).cast("long"))
+    met = docs.join(several.hint("merge"), doc == F.col(f"{tag}_id"), "left")
+    return met.withColumn(tag, F.when(F.col(f"{tag}_id").isNotNull(), F.xxhash64(text).bitwiseAND((1 << 31) - 1)).otherwise(0)).drop(f"{tag}_id")
+
+
+def repeated_ranges(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, tag_col: str | None = None) -> DataFrame:
+    """(doc_id, tag, lo, hi): word ranges covered by repeated windows."""
     n_rows, n_bytes = size_of(docs, text_col)
     n_parts = parts_for(docs, n_bytes, BUCKET_BYTES * BUCKETS_EACH)
     n_buckets = max(n_parts * BUCKETS_EACH, -(-n_bytes // BUCKET_BYTES))
-    sent = packed(docs, id_col, text_col, n_buckets, window, common_grams(docs, n_rows, text_col))
+    sent = packed(docs, id_col, text_col, n_buckets, window, common_grams(docs, n_rows, text_col), tag_col)
     dealt = sent.repartitionById(n_parts, (F.col("bucket").cast("long") * n_parts / n_buckets).cast("int")).sortWithinPartitions("bucket", "later")
 
     def run(batches):
@@ -330,7 +350,8 @@ def repeated_ranges(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         held, now = [], None
 
         def rows(doc, start, n):
-            return pa.RecordBatch.from_arrays([pa.array(doc), pa.array(start.astype(np.int32)), pa.array((start + n + window - 1).astype(np.int32))], names=["doc_id", "lo", "hi"])
+            at = start & ((1 << 32) - 1)
+            return pa.RecordBatch.from_arrays([pa.array(doc), pa.array(start >> 32), pa.array(at.astype(np.int32)), pa.array((at + n + window - 1).astype(np.int32))], names=["doc_id", "tag", "lo", "hi"])
 
         for b in batches:
             for bucket, later, blob in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
@@ -345,7 +366,7 @@ def repeated_ranges(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         if held:
             yield rows(*repeats(held, window))
 
-    return dealt.mapInArrow(run, "doc_id long, lo int, hi int")
+    return dealt.mapInArrow(run, "doc_id long, tag long, lo int, hi int")
 
 
 FIELDS = T.StructType([
@@ -359,11 +380,13 @@ FIELDS = T.StructType([
 def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, out: str = "dedup", keep: list[str] | None = None, with_text: bool = True) -> DataFrame:
     """Append struct `out`: n_words, n_removed, kept_sha256 and (with_text) the kept words joined by spaces."""
     kept = [c for c in (docs.columns if keep is None else keep) if c != out]
-    found = repeated_ranges(docs, id_col=id_col, text_col=text_col, window=window)
-    doc, ranges = unused("range_doc", docs), unused("ranges", docs)
-    found = found.groupBy(F.col("doc_id").alias(doc)).agg(F.collect_list(F.struct("lo", "hi")).alias(ranges))
-    carried = docs.select(*[F.col(f"`{c}`") for c in dict.fromkeys([*kept, id_col, text_col])])
-    both = carried.join(found.hint("merge"), F.col(f"`{id_col}`").cast("long") == F.col(doc), "left")
+    tag = unused("range_tag", docs)
+    docs = tagged(docs, id_col, text_col, tag)
+    found = repeated_ranges(docs, id_col=id_col, text_col=text_col, window=window, tag_col=tag)
+    doc, own, ranges = unused("range_doc", docs), unused("range_own", docs), unused("ranges", docs)
+    found = found.groupBy(F.col("doc_id").alias(doc), F.col("tag").alias(own)).agg(F.collect_list(F.struct("lo", "hi")).alias(ranges))
+    carried = docs.select(*[F.col(f"`{c}`") for c in dict.fromkeys([*kept, id_col, text_col, tag])])
+    both = carried.join(found.hint("merge"), (F.col(f"`{id_col}`").cast("long") == F.col(doc)) & (F.col(f"`{tag}`") == F.col(own)), "left")
 
     def make():
         def work(texts, ranges):
