@@ -16,7 +16,7 @@ def small(spark, tmp_path_factory):
 
 def test_first_windows_count(spark, small):
     rows = lambda name: sorted(tuple(r) for r in QUERIES[name](spark, small).collect())
-    assert rows("corpus_collapse_all") == [(1, 4, 4), (2, 1, 2)]  # 1 + 2 + 3 windows
-    assert rows("anti_new_all") == [(8, 1)]
-    assert rows("exact_membership_all") == [(1, 1, 1), (2, 1, 2), (3, 1, 3)]
-    assert [r[:5] for r in rows("masked_key_counts_all")] == [(7, 1, 2, 2, 1), (8, 2, 2, 1, 2)]
+    assert rows("corpus_collapse") == [(1, 4, 4), (2, 1, 2)]  # 1 + 2 + 3 windows
+    assert rows("anti_new") == [(8, 1)]
+    assert rows("exact_membership") == [(1, 1, 1), (2, 1, 2), (3, 1, 3)]
+    assert [r[:5] for r in rows("masked_key_counts")] == [(7, 1, 2, 2, 1), (8, 2, 2, 1, 2)]

@@ -84,15 +84,19 @@ def clean_reject(spark: SparkSession, d: str) -> DataFrame:
     return docs.select("doc_id", F.char_length(S.clean_or_reject(F.regexp_replace("text", "[^A-Za-z]", ""))).alias("kept"))
 
 
-@query("SELECT doc_id, sha256(regexp_replace(upper(regexp_replace(text, '(?m)^>.*$', '', 'g')), '[^ACDEFGHIKLMNPQRSTVWY]', '', 'g')) AS digest FROM (SELECT doc_id, regexp_replace(text, '[^\\x00-\\x7F]', '', 'g') AS text FROM documents)")
-def clean_delete(spark: SparkSession, d: str) -> DataFrame:
-    """P-03: of the ASCII part of all documents, header lines and other characters deleted."""
-    return table(spark, d, "documents").select("doc_id", F.sha2(S.clean_delete(F.regexp_replace("text", r"[^\x00-\x7F]", "")), 256).alias("digest"))
+#: Small letters whose capitals are several letters, of which these are residues.
+_FOLDED = {"ß": "SS", "ŉ": "N", "ẖ": "H", "ẗ": "T", "ẘ": "W", "ẙ": "Y", "ẚ": "A", "ﬀ": "FF", "ﬁ": "FI", "ﬂ": "FL", "ﬃ": "FFI", "ﬄ": "FFL", "ﬅ": "ST", "ﬆ": "ST"}
+
 
+def _unfolded(column: str) -> str:
+    for small, capitals in _FOLDED.items():
+        column = f"replace({column}, '{small}', '{capitals}')"
+    return column
 
-@query()
-def clean_delete_all(spark: SparkSession, d: str) -> DataFrame:
-    """P-03: all documents as they are, headers and odd characters too; no SQL, as case folds differently between engines."""
+
+@query(f"SELECT doc_id, sha256(regexp_replace(upper({_unfolded("regexp_replace(text, '(?m)^>.*$', '', 'g')")}), '[^ACDEFGHIKLMNPQRSTVWY]', '', 'g')) AS digest FROM documents")
+def clean_delete(spark: SparkSession, d: str) -> DataFrame:
+    """P-03: of all documents as they are, header lines and every character that is no residue deleted."""
     return table(spark, d, "documents").select("doc_id", F.sha2(S.clean_delete(F.col("text")), 256).alias("digest"))
 
 
@@ -135,10 +139,10 @@ def mutate(spark: SparkSession, d: str) -> DataFrame:
     return s.select("parent", (F.char_length("sequence") - 2).alias("n"), F.sha2(S.mutate(F.col("sequence"), edits), 256).alias("digest"))
 
 
-@query(f"SELECT parent_count, count(*) AS n_peptides, sum(occurrence_count)::BIGINT AS occurrences FROM (SELECT peptide, count(*) AS occurrence_count, count(DISTINCT parent) AS parent_count FROM ({NINE}) GROUP BY peptide) GROUP BY parent_count")
-def corpus_collapse(spark: SparkSession, d: str, first: int = 1) -> DataFrame:
-    """A-02, A-03: how many peptides so many parents share, from the second window of each on."""
-    tiles = tile.with_flanks(sequences(spark, d), first=first)
+@query(f"SELECT parent_count, count(*) AS n_peptides, sum(occurrence_count)::BIGINT AS occurrences FROM (SELECT peptide, count(*) AS occurrence_count, count(DISTINCT parent) AS parent_count FROM ({ALL_NINE}) GROUP BY peptide) GROUP BY parent_count")
+def corpus_collapse(spark: SparkSession, d: str) -> DataFrame:
+    """A-03: how many peptides so many parents share."""
+    tiles = tile.with_flanks(sequences(spark, d))
     counts = collapse.occurrence_counts(tiles)
     return counts.groupBy("parent_count").agg(F.count(F.lit(1)).alias("n_peptides"), F.sum("occurrence_count").alias("occurrences"))
 
@@ -183,19 +187,19 @@ def components(spark: SparkSession, d: str) -> DataFrame:
 _ITEM_NINE = f"SELECT DISTINCT substr(sequence, i + 1, 9) AS peptide, parent AS item FROM {ITEMS}, unnest(range(0, length(sequence) - 8)) t(i)"
 
 
-@query(f"SELECT item, count(*) AS n_new FROM ({_ITEM_NINE}) WHERE peptide NOT IN (SELECT peptide FROM ({NINE})) GROUP BY item")
-def anti_new(spark: SparkSession, d: str, first: int = 1) -> DataFrame:
-    """J-07: reference peptides that no document has from its second window on."""
+@query(f"SELECT item, count(*) AS n_new FROM ({_ITEM_NINE}) WHERE peptide NOT IN (SELECT peptide FROM ({ALL_NINE})) GROUP BY item")
+def anti_new(spark: SparkSession, d: str) -> DataFrame:
+    """J-07: reference peptides that no document has."""
     mine = tile.with_flanks(items(spark, d), flank=0).select("peptide", F.col("parent").alias("item")).distinct()
     # The reference peptides that documents have: found beside the windows, where the reference is small.
-    used = tile.with_flanks(sequences(spark, d), first=first, flank=0).select("peptide").join(join.bounded(mine.select("peptide").distinct()), "peptide", "left_semi").distinct()
+    used = tile.with_flanks(sequences(spark, d), flank=0).select("peptide").join(join.bounded(mine.select("peptide").distinct()), "peptide", "left_semi").distinct()
     return mine.join(used.hint("merge"), "peptide", "left_anti").groupBy("item").agg(F.count(F.lit(1)).alias("n_new"))
 
 
-@query(f"SELECT parent, count(*) FILTER (WHERE peptide IN (SELECT peptide FROM ({_ITEM_NINE})))::BIGINT AS n_exact, count(*) AS n FROM ({NINE}) GROUP BY parent")
-def exact_membership(spark: SparkSession, d: str, first: int = 1) -> DataFrame:
-    """J-08, J-14, J-21: windows of each document, from the second on, that the reference set has."""
-    t = tile.with_flanks(sequences(spark, d), first=first, flank=0).select("parent", "peptide")
+@query(f"SELECT parent, count(*) FILTER (WHERE peptide IN (SELECT peptide FROM ({_ITEM_NINE})))::BIGINT AS n_exact, count(*) AS n FROM ({ALL_NINE}) GROUP BY parent")
+def exact_membership(spark: SparkSession, d: str) -> DataFrame:
+    """J-08, J-14: windows of each document that the reference set has."""
+    t = tile.with_flanks(sequences(spark, d), flank=0).select("parent", "peptide")
     known = tile.with_flanks(items(spark, d), flank=0).select("peptide").distinct().withColumn("hit", F.lit(1))
     return t.join(join.bounded(known), "peptide", "left").groupBy("parent").agg(F.count("hit").alias("n_exact"), F.count(F.lit(1)).alias("n"))
 
@@ -207,46 +211,21 @@ def _masked(p: str) -> F.Column:
 _MASK = "substr(peptide, 2, 2) || substr(peptide, 5, 1) || substr(peptide, 7, 2)"
 
 
-@query(f"""WITH c AS (SELECT {_MASK} AS k, count(*) AS n FROM ({NINE}) GROUP BY k), t AS (SELECT count(*)::DOUBLE AS total FROM ({NINE}))
+@query(f"""WITH c AS (SELECT {_MASK} AS k, count(*) AS n FROM ({ALL_NINE}) GROUP BY k), t AS (SELECT count(*)::DOUBLE AS total FROM ({ALL_NINE}))
     SELECT item, count(*) AS n_windows, sum(coalesce(n, 0))::BIGINT AS matches, max(coalesce(n, 0))::BIGINT AS max_matches, count(n)::BIGINT AS frames, round(log2((sum(coalesce(n, 0)) + 1) / (count(*) * total / 3200000.0 + 1)), 6) AS enrichment
     FROM (SELECT item, {_MASK} AS k FROM ({_ITEM_NINE})) LEFT JOIN c USING (k), t GROUP BY item, total""")
-def masked_key_counts(spark: SparkSession, d: str, first: int = 1) -> DataFrame:
-    """J-12, J-13, A-21, F-14: windows of the reference set matched on five positions against all documents from their second window on, with enrichment over chance."""
+def masked_key_counts(spark: SparkSession, d: str) -> DataFrame:
+    """J-12, J-13, F-14: windows of the reference set matched on five positions against all documents, with enrichment over even chances."""
     mine = tile.with_flanks(items(spark, d), flank=0).select(F.col("parent").alias("item"), "peptide").distinct().withColumn("k", _masked("peptide"))
     # Only the keys that the reference set asks for are counted; how many windows there are is arithmetic.
     s = sequences(spark, d)
-    asked = tile.with_flanks(s, first=first, flank=0).select(_masked("peptide").alias("k")).join(join.bounded(mine.select("k").distinct()), "k", "left_semi")
+    asked = tile.with_flanks(s, flank=0).select(_masked("peptide").alias("k")).join(join.bounded(mine.select("k").distinct()), "k", "left_semi")
     corpus = asked.groupBy("k").agg(F.count(F.lit(1)).alias("c"))
-    total = tile.expected_windows(s, first=first).select(F.col("expected").cast("double").alias("total"))
+    total = tile.expected_windows(s).select(F.col("expected").cast("double").alias("total"))
     each = mine.join(corpus.hint("merge"), "k", "left").groupBy("item").agg(F.count(F.lit(1)).alias("n_windows"), F.sum(F.coalesce("c", F.lit(0))).alias("matches"), F.max(F.coalesce("c", F.lit(0))).alias("max_matches"), F.count("c").alias("frames"))
     return each.crossJoin(F.broadcast(total)).select("item", "n_windows", "matches", "max_matches", "frames", F.round(F.log2((F.col("matches") + 1) / (F.col("n_windows") * F.col("total") / 3200000.0 + 1)), 6).alias("enrichment"))
 
 
-# The same four over every window: the first of a document counts too.
-@query(ORACLES["corpus_collapse"].replace(NINE, ALL_NINE))
-def corpus_collapse_all(spark: SparkSession, d: str) -> DataFrame:
-    """A-02, A-03: how many peptides so many parents share."""
-    return corpus_collapse(spark, d, first=0)
-
-
-@query(ORACLES["anti_new"].replace(NINE, ALL_NINE))
-def anti_new_all(spark: SparkSession, d: str) -> DataFrame:
-    """J-07: reference peptides that no document has."""
-    return anti_new(spark, d, first=0)
-
-
-@query(ORACLES["exact_membership"].replace(NINE, ALL_NINE))
-def exact_membership_all(spark: SparkSession, d: str) -> DataFrame:
-    """J-08, J-14, J-21: windows of each document that the reference set has."""
-    return exact_membership(spark, d, first=0)
-
-
-@query(ORACLES["masked_key_counts"].replace(NINE, ALL_NINE))
-def masked_key_counts_all(spark: SparkSession, d: str) -> DataFrame:
-    """J-12, J-13, A-21, F-14: windows of the reference set matched on five positions against all documents, with enrichment over chance."""
-    return masked_key_counts(spark, d, first=0)
-
-
 _RULES = [("acid", "DE", ""), ("basic", "KR", "P"), ("aromatic", "FWY", "P"), ("leucine", "L", "DE")]
 _RULE_SQL = ", ".join(f"('{n}', '{a}', '{b}')" for n, a, b in _RULES)
 
@@ -310,13 +289,13 @@ def window_alleles(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""WITH c AS (SELECT parent, i + 1 AS position, ((ascii(substr(sequence, i + 1, 1)) * 13 + i) % 100) / 100.0 AS prob FROM {TURNS}, unnest(range(0, length(sequence))) t(i))
-    SELECT w.parent, count(*) AS n, round(sum(a.prob), 6) AS n_term, round(sum(b.prob), 6) AS c_term FROM (SELECT parent, i AS start, i + 9 AS "end" FROM {TURNS}, unnest(range(1, length(sequence) - 8)) t(i)) w
+    SELECT w.parent, count(*) AS n, round(sum(a.prob), 6) AS n_term, round(sum(b.prob), 6) AS c_term FROM (SELECT parent, i AS start, i + 9 AS "end" FROM {TURNS}, unnest(range(0, length(sequence) - 8)) t(i)) w
     LEFT JOIN c a ON a.parent = w.parent AND a.position = w.start LEFT JOIN c b ON b.parent = w.parent AND b.position = w."end" GROUP BY w.parent""")
 def position_labels(spark: SparkSession, d: str) -> DataFrame:
     """J-01: a label of the position on both ends of each window."""
     it = turns(spark, d)
     c = it.where("sequence <> ''").select("parent", F.posexplode(F.split("sequence", "")).alias("i", "r")).select("parent", (F.col("i") + 1).alias("position"), (((F.ascii("r") * 13 + F.col("i")) % 100) / 100.0).alias("prob"))
-    w = tile.with_flanks(it, first=1).select("parent", "start", "end")
+    w = tile.with_flanks(it).select("parent", "start", "end")
     n_end = c.select("parent", F.col("position").alias("start"), F.col("prob").alias("n_prob"))
     c_end = c.select("parent", F.col("position").alias("end"), F.col("prob").alias("c_prob"))
     out = join.validated_join(join.validated_join(w, n_end, ["parent", "start"]), c_end, ["parent", "end"])
