@@ -343,7 +343,7 @@ def component_novelty(spark: SparkSession, d: str) -> DataFrame:
 @query("""SELECT rule, n_bad FROM (SELECT count(*) FILTER (WHERE l_returnflag = 'R' AND l_discount > 0.05) AS a, count(*) FILTER (WHERE l_linestatus = 'F' AND l_tax > 0) AS b, count(*) FILTER (WHERE l_linenumber > 7) AS c FROM lineitem),
     LATERAL (VALUES ('provider_ok', a), ('unavailable_has_no_rank', b), ('alleles', c)) t(rule, n_bad)""")
 def review_gates(spark: SparkSession, d: str) -> DataFrame:
-    """X-06: review rules of assessments: screened without an ok provider, a rank where the response is unavailable, more alleles than there are."""
+    """X-01: three row rules counted in one pass; `assessment_review` and `campaign_review` hold the review itself."""
     c = F.col
     checks = {
         "provider_ok": ("error", (c("l_returnflag") == "R") & (c("l_discount") > 0.05)),

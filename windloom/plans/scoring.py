@@ -48,7 +48,8 @@ def rank_transforms(spark: SparkSession, d: str) -> DataFrame:
 def binder_class(spark: SparkSession, d: str) -> DataFrame:
     """F-05, A-16."""
     t = _ranked(spark, d).withColumn("binder_class", C.binder_class(F.col("rank")))
-    g = t.groupBy("binder_class").agg(F.count(F.lit(1)).alias("n"), r6(F.avg("rank")).alias("mean_rank"), r6(F.percentile("rank", 0.5)).alias("median_rank"))
+    g = t.groupBy("binder_class").agg(F.count(F.lit(1)).alias("n"), r6(F.avg("rank")).alias("mean_rank"))
+    g = g.join(metrics.grouped_median(t, "rank", ["binder_class"], "m").withColumn("median_rank", r6("m")).drop("m").hint("merge"), "binder_class")
     return g.withColumn("share", r6(F.col("n").cast("double") / F.sum("n").over(Window.partitionBy())))
 
 
@@ -103,9 +104,9 @@ def fusion(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT grp, count(*) AS n, round(median(e), 6) AS median_error, round(avg((e <= 2)::INT), 6) AS within_2x, round(avg((e <= 5)::INT), 6) AS within_5x FROM (SELECT l_linenumber AS grp, exp(abs(ln(l_extendedprice) - ln(l_quantity * 1500))) AS e FROM lineitem) GROUP BY grp")
 def fold_error(spark: SparkSession, d: str) -> DataFrame:
-    """F-27, M-13."""
+    """F-27: median fold errors and shares by group."""
     li = table(spark, d, "lineitem").select(F.col("l_linenumber").alias("grp"), C.fold_error(F.col("l_extendedprice"), F.col("l_quantity") * 1500).alias("e"))
-    return li.groupBy("grp").agg(F.count(F.lit(1)).alias("n"), r6(F.percentile("e", 0.5)).alias("median_error"), r6(F.avg((F.col("e") <= 2).cast("int"))).alias("within_2x"), r6(F.avg((F.col("e") <= 5).cast("int"))).alias("within_5x"))
+    return metrics.grouped_median(li, "e", ["grp"], "m").select("grp", r6("m").alias("median_error")).join(li.groupBy("grp").agg(F.count(F.lit(1)).alias("n"), r6(F.avg((F.col("e") <= 2).cast("int"))).alias("within_2x"), r6(F.avg((F.col("e") <= 5).cast("int"))).alias("within_5x")).hint("merge"), "grp")
 
 
 @query("""SELECT o_custkey, round(least(100, least(40, n * 8) + least(30, u * 3)), 6) AS risk, CASE WHEN least(100, least(40, n * 8) + least(30, u * 3)) >= 55 THEN 'high' WHEN least(100, least(40, n * 8) + least(30, u * 3)) >= 30 THEN 'moderate' ELSE 'low' END AS band
@@ -139,7 +140,7 @@ def protein_topk(spark: SparkSession, d: str) -> DataFrame:
 @query(f"""WITH w AS {SCORED_WINDOWS}, l AS (SELECT parent, max("end") + 2 AS length FROM w GROUP BY parent), spine AS (SELECT parent, p::INT AS pos FROM l, unnest(range(0, length)) t(p))
     SELECT s.parent, s.pos, round(coalesce(max(risk), 0), 6) AS max_value, round_even(coalesce(avg(risk), 0), 6) AS mean_value, count(risk) AS n FROM spine s LEFT JOIN w ON w.parent = s.parent AND s.pos >= w.start AND s.pos < w."end" GROUP BY s.parent, s.pos""")
 def residue_heat(spark: SparkSession, d: str) -> DataFrame:
-    """A-25, A-26, A-28."""
+    """A-25, A-26: highest and mean window over each residue, and how many."""
     w = scored_windows(spark, d)
     t = rollup.residue_track(w, w.groupBy("parent").agg((F.max("end") + 2).alias("length")))
     return t.select("parent", "pos", r6("max_value").alias("max_value"), "mean_value", "n")
@@ -170,13 +171,13 @@ def moving_mean(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"SELECT parent, start, round(CASE WHEN m > 0 THEN risk / m ELSE risk END, 6) AS normalised FROM (SELECT *, max(risk) OVER (PARTITION BY parent) AS m FROM {SCORED_WINDOWS})")
 def normalised_track(spark: SparkSession, d: str) -> DataFrame:
-    """A-27."""
+    """Risks divided by their parent's largest; `profile_heat` has A-27."""
     return rollup.normalised(scored_windows(spark, d), "parent", "risk").select("parent", "start", r6("normalised").alias("normalised"))
 
 
 @query("WITH r AS (SELECT l_extendedprice AS v FROM lineitem), n AS (SELECT count(*)::DOUBLE AS n FROM r), q AS (SELECT DISTINCT o_totalprice / 4 AS v FROM orders), u AS (SELECT v, count(*) FILTER (WHERE k = 1) AS c FROM (SELECT v, 1 AS k FROM r UNION ALL SELECT v, 0 FROM q) GROUP BY v), s AS (SELECT v, sum(c) OVER (ORDER BY v) - c AS below FROM u) SELECT o_orderkey, round(100.0 * below / n, 6) AS percentile FROM orders JOIN s ON s.v = o_totalprice / 4, n")
 def percentile_vs_ref(spark: SparkSession, d: str) -> DataFrame:
-    """O-10, O-11."""
+    """O-10: the percentage of reference values below each; `familiarity` has O-11."""
     q = table(spark, d, "orders").select("o_orderkey", (F.col("o_totalprice") / 4).alias("v"))
     t = rank.percentile_against(q, table(spark, d, "lineitem").select(F.col("l_extendedprice").alias("v")), "v")
     return t.select("o_orderkey", r6("percentile").alias("percentile"))
@@ -450,7 +451,7 @@ def sample_ids(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT c_nationkey, count(*) FILTER (WHERE o)::BIGINT AS both, count(*) FILTER (WHERE NOT o)::BIGINT AS only_customers FROM (SELECT c_nationkey, c_custkey IN (SELECT o_custkey FROM orders) AS o FROM customer) GROUP BY c_nationkey")
 def set_operations(spark: SparkSession, d: str) -> DataFrame:
-    """U-02 to U-04, J-23: keys of one side in the other, and not."""
+    """U-04: keys of one side in the other, and not."""
     c, o = table(spark, d, "customer").select("c_custkey", "c_nationkey"), table(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey"))
     inside, outside = c.join(o, "c_custkey", "left_semi").withColumn("o", F.lit(True)), c.join(o, "c_custkey", "left_anti").withColumn("o", F.lit(False))
     return inside.unionByName(outside).groupBy("c_nationkey").agg(F.count_if("o").alias("both"), F.count_if(~F.col("o")).alias("only_customers"))
