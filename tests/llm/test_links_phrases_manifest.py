@@ -95,7 +95,7 @@ def test_simhash_links_equal_brute_force(docs, rows):
     assert len({c for *_, c in want}) < len(want) - 10
 
 
-@pytest.mark.parametrize("near", [1, 3, 4, 7])
+@pytest.mark.parametrize("near", [1, 4, 7])
 def test_no_link_is_lost_where_buckets_are_dealt_anew(spark, monkeypatch, near):
     monkeypatch.setattr(simhash, "BUCKET", 2)
     rng = random.Random(near)
@@ -254,14 +254,14 @@ def digest(df, fanout=2, block=4096):
     return sorted((tuple(r) for r in found.select("id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified").collect()), key=str)
 
 
-@pytest.mark.parametrize(("fanout", "block"), [(2, 1), (2, 4), (2, 4096), (3, 3), (4, 1), (5, 30)])
+@pytest.mark.parametrize(("fanout", "block"), [(2, 1), (2, 4096), (3, 3), (5, 30)])
 def test_manifest_equals_brute_force(docs, rows, fanout, block):
     want = brute_manifest(rows, fanout)
     assert digest(docs, fanout, block) == want
     assert any(not w[-1] for w in want) and any(w[-1] for w in want)
 
 
-@pytest.mark.parametrize("n", [1, 2, 3, 9, 17])
+@pytest.mark.parametrize("n", [1, 3, 17])
 def test_manifest_of_short_groups(spark, rows, n):
     some = [r for r in rows if r[0] is not None][:n]
     assert digest(spark.createDataFrame(some, SCHEMA), block=2) == brute_manifest(some)
