@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from windloom.functions.sequence import RESIDUES
+from windloom.functions.sequence import RESIDUES, clean_or_reject, length_between
 
 
 def keep_first(df: DataFrame, keys: list[str], order: Column) -> DataFrame:
@@ -43,10 +43,21 @@ def occurrence_counts(df: DataFrame, key: str = "peptide", parent: str = "parent
     return each.groupBy(key).agg(F.sum("n").alias("occurrence_count"), F.count(F.lit(1)).alias("parent_count"))
 
 
-def assay(df: DataFrame, key: str, positive: Column, order: Column, carried: list[str]) -> DataFrame:
-    """A-04: positives, negatives and a label of each key, with the first known value of other columns."""
+def assay(df: DataFrame, key: str, positive: Column, order: Column, carried: list[str], unknown: str | None = None) -> DataFrame:
+    """A-04: positives, negatives and a label of each key, with the first known value of other columns, or `unknown`."""
     pos = F.sum(positive.cast("long"))
-    return df.groupBy(key).agg(pos.alias("n_pos"), (F.count(F.lit(1)) - pos).alias("n_neg"), F.max(positive).alias("label"), *[first_known(c, order) for c in carried])
+    first = [F.coalesce(first_known(c, order), F.lit(unknown)).alias(c) for c in carried]
+    return df.groupBy(key).agg(pos.alias("n_pos"), (F.count(F.lit(1)) - pos).alias("n_neg"), F.max(positive).alias("label"), *first)
+
+
+#: The lengths of class-II assay peptides.
+ASSAY_LENGTHS = (13, 21)
+
+
+def assay_peptides(assays: DataFrame) -> DataFrame:
+    """A-04: assay rows (peptide, source_molecule, source_organism, qualitative, ord) as one row of each cleaned peptide of ASSAY_LENGTHS: a single positive makes it positive; molecule and organism are the first known in file order, or empty."""
+    rows = assays.withColumn("peptide", clean_or_reject(F.col("peptide"))).where(length_between(F.col("peptide"), *ASSAY_LENGTHS))
+    return assay(rows, "peptide", F.startswith("qualitative", F.lit("Positive")), F.col("ord"), ["source_molecule", "source_organism"], "")
 
 
 def sample_ids(df: DataFrame, group: str, key: str, n: int = 3) -> DataFrame:

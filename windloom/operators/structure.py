@@ -58,11 +58,15 @@ def contacts(atoms: DataFrame, cutoff: float = 4.5, structure: str = "file") ->
     return both.groupBy(structure, "r.chain", "r.number", "r.residue").agg(F.count(F.lit(1)).alias("contacts"), F.min("distance").alias("distance")).orderBy(structure, F.desc("contacts"), "distance", "number")
 
 
-def hotspots(requested: DataFrame, residues: DataFrame) -> DataFrame:
-    """J-27: requests like A45 with their residue; `found` is false where that chain has none."""
-    parts = requested.select("hotspot", F.regexp_extract("hotspot", r"^([A-Za-z])", 1).alias("chain"), F.regexp_extract("hotspot", r"(-?[0-9]+)$", 1).try_cast("int").alias("number"))
-    known = residues.select("chain", "number", "residue").distinct()
-    return parts.join(known, ["chain", "number"], "left").withColumn("found", F.col("residue").isNotNull())
+def hotspots(requested: DataFrame, residues: DataFrame, target: str | None = None) -> DataFrame:
+    """J-27: (hotspot, chain, number, residue, status) of requests like A45 or B-3: ok, invalid, absent, or other chain where it is not the target's. residues: (chain, number, residue), the least name of equal places."""
+    parts = F.regexp_extract_all(F.trim("hotspot"), F.lit(r"^([A-Za-z0-9])(-?[0-9]+)$"), F.lit(0))
+    asked = requested.select("hotspot", F.get(parts, F.lit(0)).alias("__at")).select("hotspot", F.left("__at", F.lit(1)).alias("chain"), F.substr("__at", F.lit(2)).try_cast("int").alias("number"))
+    known = residues.groupBy("chain", "number").agg(F.min("residue").alias("residue"))
+    met = asked.join(known.hint("merge"), ["chain", "number"], "left")
+    other = F.lit(False) if target is None else F.col("chain") != target
+    status = F.when(F.col("chain").isNull() | F.col("number").isNull(), "invalid").when(F.col("residue").isNull(), "absent").when(other, "other chain").otherwise("ok")
+    return met.select("hotspot", "chain", "number", "residue", status.alias("status"))
 
 
 def interface_pae(matrices: DataFrame, split: str = "n_first") -> DataFrame:

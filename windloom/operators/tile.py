@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from windloom.functions.sequence import canonical
+from windloom.operators.collapse import keep_first
 
 
 #: Starts in one slice of a sequence. Finding a position in a string takes time in proportion to it,
@@ -89,3 +90,16 @@ def pool(df: DataFrame, cuts: Column, seq: str = "sequence", lengths: tuple[int,
     n = F.char_length("piece")
     whole = fragments(df.where(F.col(seq) != "").select(seq), cuts, seq).where(n.between(*pieces)).select(n.alias("length"), F.col("piece").alias("peptide"))
     return windows.unionByName(whole).distinct()
+
+
+def pool_sources(sources: dict[str, DataFrame], order: str = "parent") -> DataFrame:
+    """T-07: T-01's windows of several sources (name: (parent, sequence, and `order` if it is another column)), the first row of each peptide by source, then parent, then start.
+
+    The first place of a peptide is found by partial minima; sources are never collected or numbered.
+    """
+    parts = [df.select(F.col("parent").cast("string").alias("parent"), F.col(order).alias("__order"), "sequence", F.lit(name).alias("domain"), F.lit(i).alias("__source")) for i, (name, df) in enumerate(sources.items())]
+    whole = parts[0]
+    for part in parts[1:]:
+        whole = whole.unionByName(part)
+    windows = with_flanks(whole, first=1, only_canonical=True).drop("sequence")
+    return keep_first(windows, ["peptide"], F.struct("__source", "__order", "start")).drop("__source", "__order")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from windloom.functions import scores as C
 from windloom.functions import sequence as S
 from windloom.operators import collapse, join, learn, metrics, quality, rank, rollup, split, structure, tile
-from windloom.plans.views import OUTCOMES, SEQUENCES, outcomes, sequences, table, turns
+from windloom.plans.views import OUTCOMES, SEQUENCES, TURNS, outcomes, sequences, table, turns
 from windloom.sources import tables
 
 QUERIES: dict = {}
@@ -259,16 +259,20 @@ def accession_map(spark: SparkSession, d: str) -> DataFrame:
     return tables.sequence_map(objects)
 
 
-@query()
+_RATIO = "CASE WHEN rn <= floor(n * 0.8::DOUBLE) THEN 'train' WHEN rn <= floor(n * 0.8::DOUBLE) + floor(n * 0.1::DOUBLE) THEN 'val' ELSE 'test' END"
+
+
+@query(f"WITH r AS (SELECT doc_id, 'row:' || doc_id AS cluster FROM documents), g AS (SELECT cluster, row_number() OVER (ORDER BY sha256('0:' || cluster), cluster) AS rn, count(*) OVER () AS n FROM (SELECT DISTINCT cluster FROM r)) SELECT cluster, doc_id, {_RATIO} AS split FROM r JOIN g USING (cluster)")
 def row_split(spark: SparkSession, d: str) -> DataFrame:
-    """G-04: measured rows are clusters of their own, split row by row; no SQL, as the order is that of a hash."""
+    """G-04: measured rows are clusters of their own, split row by row."""
     rows = table(spark, d, "documents").select("doc_id", F.concat(F.lit("row:"), F.col("doc_id").cast("string")).alias("cluster"))
     return rows.join(split.group_split(rows, "cluster").hint("merge"), "cluster")
 
 
-@query()
+@query(f"""WITH s AS (SELECT DISTINCT sequence FROM {TURNS}), p AS (SELECT sequence[i + 1:i + k] AS piece FROM s, unnest(range(8, 19)) l(k), unnest(range(0, length(sequence) - k + 1)) t(i) UNION SELECT * FROM (SELECT unnest(regexp_extract_all(sequence, '[^KR]*[KR]|[^KR]+')) AS piece FROM s) WHERE length(piece) BETWEEN 8 AND 25)
+    SELECT length(piece)::INT AS length, count(*) AS n FROM p GROUP BY 1""")
 def peptide_pool(spark: SparkSession, d: str) -> DataFrame:
-    """T-05: distinct windows of 8 to 18 of the turns and of their fragments, and whole fragments of 8 to 25, counted by length; held against brute force."""
+    """T-05, U-02: distinct windows of 8 to 18 of the turns and of their fragments, and whole fragments of 8 to 25, counted by length."""
     return tile.pool(turns(spark, d), *tile.cut_behind("sequence", "KR")).groupBy("length").agg(F.count(F.lit(1)).alias("n"))
 
 

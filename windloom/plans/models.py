@@ -90,9 +90,11 @@ def chain_alignment(spark: SparkSession, d: str) -> DataFrame:
     return it.select("parent", F.coalesce(structure.chain_offset(F.col("c"), s), F.lit(9999)).alias("offset"), structure.map_sequence(s, F.col("c"))["status"].alias("status"))
 
 
-@query()
+@query("""WITH o AS (SELECT o_orderkey, o_custkey FROM orders), old AS (SELECT *, CASE WHEN o_custkey % 10 = 0 THEN 'test' ELSE 'train' END AS split FROM o WHERE o_orderkey % 3 = 0), new AS (SELECT * FROM o WHERE o_orderkey NOT IN (SELECT o_orderkey FROM old) ORDER BY sha256('1:' || o_orderkey), o_orderkey LIMIT 200),
+    g AS (SELECT o_custkey, row_number() OVER (ORDER BY sha256('0:' || o_custkey), o_custkey) AS rn, count(*) OVER () AS n FROM (SELECT DISTINCT o_custkey FROM new WHERE o_custkey NOT IN (SELECT o_custkey FROM old))), s AS (SELECT o_custkey, CASE WHEN rn <= floor(n * 0.8::DOUBLE) THEN 'train' WHEN rn <= floor(n * 0.8::DOUBLE) + floor(n * 0.1::DOUBLE) THEN 'val' ELSE 'test' END AS fresh FROM g), k AS (SELECT o_custkey, min(split) AS kept FROM old GROUP BY 1)
+    SELECT * FROM old UNION ALL SELECT o_orderkey, o_custkey, coalesce(kept, fresh) FROM new LEFT JOIN k USING (o_custkey) LEFT JOIN s USING (o_custkey)""")
 def incremental_expand(spark: SparkSession, d: str) -> DataFrame:
-    """G-17, J-09, U-01: a dataset grown by rows that it does not have; its properties are in the tests."""
+    """G-17, J-09, U-01: a dataset grown by at most 200 rows that it does not have, in the split of their parent."""
     o = table(spark, d, "orders").select("o_orderkey", "o_custkey")
     old = o.where("o_orderkey % 3 = 0").withColumn("split", F.when(F.col("o_custkey") % 10 == 0, "test").otherwise("train"))
     return growing.expand(o, old, "o_orderkey", "o_custkey", 200)

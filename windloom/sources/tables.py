@@ -24,12 +24,12 @@ def require(df: DataFrame, columns: list[str]) -> DataFrame:
 
 def read_cohort(spark: SparkSession, path: str, required: list[str], sequence: str = "sequence") -> DataFrame:
     """S-08: a CSV cohort with its required columns, control rows (no sequence) left out."""
-    return require(spark.read.csv(path, header=True), required).where(F.col(sequence).isNotNull())
+    return require(spark.read.csv(path, header=True, escape='"'), required).where(F.col(sequence).isNotNull())
 
 
 def read_responses(spark: SparkSession, path: str) -> DataFrame:
     """S-09: landed provider responses (TSV): 1-based inclusive spans become 0-based half-open, the score comes from the score or the IC50."""
-    raw = spark.read.csv(path, sep="\t", header=True)
+    raw = spark.read.csv(path, sep="\t", header=True, escape='"')
     for c in ("score", "ic50"):
         if c not in raw.columns:
             raw = raw.withColumn(c, F.lit(None).cast("string"))
