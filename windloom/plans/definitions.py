@@ -163,13 +163,13 @@ def surrogate_tracks(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"""WITH {_SPINE}, cells AS (SELECT parent, start + i AS pos, ((start * 7 + i * 3) % 10 - 4) / 10.0::DOUBLE * risk AS x FROM w, unnest(range(0, 9)) t(i)),
     track AS (SELECT s.parent, s.pos, coalesce(avg(x), 0) AS heat FROM spine s LEFT JOIN cells k ON k.parent = s.parent AND k.pos = s.pos GROUP BY s.parent, s.pos)
-    SELECT parent, pos, round(CASE WHEN max(heat) OVER p > 0 THEN heat / max(heat) OVER p ELSE heat END, 6) + 0.0 AS heat, round(CASE WHEN max(abs(heat)) OVER p > 0 THEN heat / max(abs(heat)) OVER p ELSE heat END, 6) + 0.0 AS saliency FROM track WINDOW p AS (PARTITION BY parent)""")
+    SELECT parent, pos, round(CASE WHEN max(heat) OVER p > 0 THEN heat / max(heat) OVER p ELSE heat END, 9) + 0.0 AS heat, round(CASE WHEN max(abs(heat)) OVER p > 0 THEN heat / max(abs(heat)) OVER p ELSE heat END, 9) + 0.0 AS saliency FROM track WINDOW p AS (PARTITION BY parent)""")
 def profile_heat(spark: SparkSession, d: str) -> DataFrame:
     """A-27: windows' profiles, weighted by risk, averaged by residue and divided by the largest value, and by the largest absolute one."""
     w = scored_windows(spark, d).withColumn("profile", F.transform(F.sequence(F.lit(0), F.lit(8)), lambda i: ((c("start") * 7 + i * 3) % 10 - 4) / 10.0))
     heat = rollup.profile_track(w, _lengths(w), "parent", "start", "profile", c("risk"))
     other = rollup.profile_track(w, _lengths(w), "parent", "start", "profile", c("risk"), absolute=True).withColumnRenamed("heat", "saliency")
-    return heat.join(other.hint("merge"), ["parent", "pos"]).select("parent", "pos", (r6("heat") + 0.0).alias("heat"), (r6("saliency") + 0.0).alias("saliency"))
+    return heat.join(other.hint("merge"), ["parent", "pos"]).select("parent", "pos", (F.round("heat", 9) + 0.0).alias("heat"), (F.round("saliency", 9) + 0.0).alias("saliency"))
 
 
 # ---- structures, segments, sets --------------------------------------------------------------
