@@ -50,6 +50,14 @@ def test_sums_by_group_and_exact_quantiles(spark):
     assert rank.exact_quantile(x.where("false"), "v", 0.5) is None
 
 
+def test_several_quantiles_in_one_pass(spark):
+    values, qs = [float(i * 37 % 101) for i in range(200)], [0.0, 0.1, 0.25, 0.5, 0.9, 1.0]
+    x = spark.createDataFrame([(v,) for v in [*values, None]], "v double")
+    assert np.allclose(rank.exact_quantiles(x, "v", qs), np.percentile(values, [100 * q for q in qs]), atol=1e-9)
+    assert rank.exact_quantiles(x.where("v is null"), "v", qs) == [None] * 6
+    assert rank.exact_quantiles(x.where("v = 37"), "v", [0.3, 1.0]) == [37.0, 37.0]
+
+
 def test_core_residues_equal_a_count_of_windows(spark):
     rng = random.Random(3)
     seqs = ["".join(rng.choice("ACDEFGHIKLMNPQRSTVWY") for _ in range(n)) for n in [0, 5, 8, *range(9, 30), 200, 1000]]

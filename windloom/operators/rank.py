@@ -93,7 +93,8 @@ def running_sum(df: DataFrame, order: list[str], value: str | list[str], out: st
     values, outs = ([value], [out]) if isinstance(value, str) else (value, out)
     n, by = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), [*group, "__b"]
     cuts = sorted(set(df.agg(F.percentile_approx(F.col(order[0]).cast("double"), [i / n for i in range(1, n)], 10 * n)).first()[0] or [])) if n > 1 else []
-    bucket = F.size(F.filter(F.array(*[F.lit(float(c)) for c in cuts]), lambda c: c < F.col(order[0]))) if cuts else F.lit(0)
+    # The optimizer does not see a column that only a lambda names, and moves filters on it to where it is missing: the NaN case names it outside.
+    bucket = F.when(F.isnan(F.col(order[0]).cast("double")), len(cuts)).otherwise(F.size(F.filter(F.array(*[F.lit(float(c)) for c in cuts]), lambda c: c < F.col(order[0])))) if cuts else F.lit(0)
     placed = df.withColumn("__b", (-bucket if descending else bucket).cast("int"))
     sizes = placed.groupBy(*by).agg(*[F.sum(v).alias(f"__s{i}") for i, v in enumerate(values)])
     upto = Window.partitionBy(*group).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
@@ -110,13 +111,19 @@ def preferred(df: DataFrame, group: list[str], is_preferred: Column, order: list
     return top_k(df.withColumn("__second", ~F.coalesce(is_preferred, F.lit(False))), group, [F.col("__second"), *order], k).drop("__second")
 
 
-def exact_quantile(df: DataFrame, value: str, q: float) -> float | None:
-    """The interpolated quantile of all rows: counts by distinct value, summed over ranges; two values come to the driver."""
+def exact_quantiles(df: DataFrame, value: str, qs: list[float]) -> list[float | None]:
+    """The interpolated quantiles of all rows: counts by distinct value, summed over ranges; two values for each quantile come to the driver. None where there is no value."""
     counts = df.where(F.col(value).isNotNull()).groupBy(F.col(value).cast("double").alias("__v")).agg(F.count(F.lit(1)).alias("__n"))
     total = counts.agg(F.sum("__n")).first()[0]
     if not total:
-        return None
-    at = q * (total - 1)
+        return [None] * len(qs)
+    at = [q * (total - 1) for q in qs]
+    ranks = sorted({r for x in at for r in (int(x), min(total - 1, int(x) + 1))})
     upto = running_sum(counts, ["__v"], "__n", "__upto")
-    lo, hi = (upto.where(F.col("__upto") > int(i)).agg(F.min("__v")).first()[0] for i in (at, min(total - 1, int(at) + 1)))
-    return lo + (hi - lo) * (at - int(at))
+    found = dict(zip(ranks, upto.agg(*[F.min(F.when(F.col("__upto") > r, F.col("__v"))) for r in ranks]).first()))
+    return [found[int(x)] + (found[min(total - 1, int(x) + 1)] - found[int(x)]) * (x - int(x)) for x in at]
+
+
+def exact_quantile(df: DataFrame, value: str, q: float) -> float | None:
+    """One of `exact_quantiles`."""
+    return exact_quantiles(df, value, [q])[0]

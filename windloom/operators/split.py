@@ -7,7 +7,7 @@ import hashlib
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from windloom.operators.rank import global_row_number, running_sum
+from windloom.operators.rank import exact_quantiles, global_row_number, running_sum
 
 
 def order_hash(seed: int | str, key: Column) -> Column:
@@ -108,8 +108,7 @@ def quantile_sample(df: DataFrame, target: int, col: str, key: str, bins: int =
     """G-09: `target` rows spread over quantile bins (right-closed, equal edges dropped), topped up from the rest."""
     if df.count() <= target:
         return df
-    edges = df.agg(F.percentile(col, [i / bins for i in range(bins + 1)])).first()[0]
-    edges = sorted(set(edges))
+    edges = sorted({x for x in exact_quantiles(df, col, [i / bins for i in range(bins + 1)]) if x is not None})
     inner = edges[1:-1]
     b = sum((F.when(F.col(col) > e, 1).otherwise(0) for e in inner), F.lit(0))
     each = target // max(1, len(edges) - 1)
