@@ -29,3 +29,9 @@ def test_equal_objectives_go_by_line_and_risk(spark, tmp_path):
     lines = [item(1, 7, l_quantity=19.0, l_discount=0.02, l_tax=0.06), item(1, 7, l_quantity=16.0, l_discount=0.06, l_tax=0.02), item(2, 3, l_quantity=27.0, l_discount=0.01, l_tax=0.0), item(2, 3, l_quantity=27.0, l_discount=0.0, l_tax=0.04)]
     got = check(spark, tmp_path, "candidate_acceptance", lineitem=lines)
     assert dict(zip(got.l_orderkey, got.risk)) == {1: 0.02, 2: 0.0}
+
+
+def test_means_on_a_cutoff(spark, tmp_path):
+    lines = [item(o, i, l_tax=t) for o, taxes in enumerate([(0.04, 0.07, 0.05, 0.0), (0.06, 0.02, 0.07, 0.01), (0.0, 0.05, 0.07, 0.04), (0.01, 0.07, 0.02, 0.06)]) for i, t in enumerate(taxes)]
+    got = check(spark, tmp_path, "factor_risk", lineitem=lines)
+    assert set(got.disorder_points) == {0}

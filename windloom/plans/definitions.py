@@ -87,19 +87,19 @@ def fusion_detail(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""WITH m AS (SELECT l_orderkey, 'p' || (l_partkey % 60) AS peptide, l_tax * 100 <= 2 AS binder, l_linenumber AS pos FROM lineitem), t AS (SELECT l_orderkey, 'p' || (l_partkey % 60) AS peptide, CASE WHEN l_returnflag = 'R' THEN 'foreign_like' ELSE 'self' END AS status, l_linenumber AS pos FROM lineitem),
-    f AS (SELECT l_orderkey, avg(l_discount) * 8 AS rsa, avg(l_quantity) / 4 AS dg, avg(l_tax) * 12.5 AS disorder FROM lineitem GROUP BY 1),
+    f AS (SELECT l_orderkey, round(avg(l_discount) * 8, 9) AS rsa, round(avg(l_quantity) / 4, 9) AS dg, round(avg(l_tax) * 12.5, 9) AS disorder FROM lineitem GROUP BY 1),
     s AS (SELECT l_orderkey, least(40, 8 * count(*)) AS binders FROM m WHERE binder GROUP BY 1), n AS (SELECT l_orderkey, least(30, 3 * count(*)) AS foreign_points FROM t WHERE status = 'foreign_like' GROUP BY 1),
     own AS (SELECT l_orderkey, peptide, min(pos) AS own FROM t WHERE status = 'foreign_like' GROUP BY ALL), hit AS (SELECT l_orderkey, peptide, min(pos) AS hit FROM m WHERE binder GROUP BY ALL),
     g AS (SELECT l_orderkey, string_agg(peptide, ',' ORDER BY hit IS NULL, coalesce(hit, own), peptide) AS flagged FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY hit IS NULL, coalesce(hit, own), peptide) AS k FROM own LEFT JOIN hit USING (l_orderkey, peptide)) WHERE k <= 3 GROUP BY 1)
     SELECT l_orderkey, binders, foreign_points, hyperstable, disorder_points, score, CASE WHEN score >= 55 THEN 'high' WHEN score >= 30 THEN 'moderate' ELSE 'low' END AS band, flagged
     FROM (SELECT *, least(100, binders + foreign_points + hyperstable + disorder_points) AS score FROM (SELECT l_orderkey, coalesce(binders, 0)::INT AS binders, coalesce(foreign_points, 0)::INT AS foreign_points, CASE WHEN rsa < 0.35 AND dg > 6 THEN 15 ELSE 0 END AS hyperstable, CASE WHEN disorder > 0.5 THEN 10 ELSE 0 END AS disorder_points, coalesce(flagged, '') AS flagged FROM f LEFT JOIN s USING (l_orderkey) LEFT JOIN n USING (l_orderkey) LEFT JOIN g USING (l_orderkey)))""")
 def factor_risk(spark: SparkSession, d: str) -> DataFrame:
-    """F-26: all factors, the band and the flagged peptides (the first three here)."""
+    """F-26: all factors, the band and the flagged peptides (the first three here); means are taken to nine digits, as many of them lie on a cutoff."""
     li = table(spark, d, "lineitem")
     peptide = F.concat(F.lit("p"), (c("l_partkey") % 60).cast("string"))
     hits = li.select("l_orderkey", peptide.alias("peptide"), (c("l_tax") * 100 <= 2).alias("binder"), c("l_linenumber").alias("pos"))
     tolerance = li.select("l_orderkey", peptide.alias("peptide"), F.when(c("l_returnflag") == "R", "foreign_like").otherwise("self").alias("status"), c("l_linenumber").alias("pos"))
-    features = li.groupBy("l_orderkey").agg((F.avg("l_discount") * 8).alias("mean_rsa"), (F.avg("l_quantity") / 4).alias("unfolding"), (F.avg("l_tax") * 12.5).alias("disordered"))
+    features = li.groupBy("l_orderkey").agg(F.round(F.avg("l_discount") * 8, 9).alias("mean_rsa"), F.round(F.avg("l_quantity") / 4, 9).alias("unfolding"), F.round(F.avg("l_tax") * 12.5, 9).alias("disordered"))
     t = rollup.factor_risk(features, hits, tolerance, "l_orderkey", 3)
     return t.select("l_orderkey", c("binders").cast("int").alias("binders"), c("foreign").cast("int").alias("foreign_points"), "hyperstable", c("disorder").alias("disorder_points"), c("score").cast("int").alias("score"), "band", F.array_join("flagged", ",").alias("flagged"))
 
