@@ -35,3 +35,8 @@ def test_means_on_a_cutoff(spark, tmp_path):
     lines = [item(o, i, l_tax=t) for o, taxes in enumerate([(0.04, 0.07, 0.05, 0.0), (0.06, 0.02, 0.07, 0.01), (0.0, 0.05, 0.07, 0.04), (0.01, 0.07, 0.02, 0.06)]) for i, t in enumerate(taxes)]
     got = check(spark, tmp_path, "factor_risk", lineitem=lines)
     assert set(got.disorder_points) == {0}
+
+
+def test_a_turn_without_hits_has_no_support(spark, tmp_path):
+    got = check(spark, tmp_path, "interval_overlap", conversations=[{"conv_id": 1, "turn": 0, "role": "user", "text": "ACDEFGHI"}, {"conv_id": 2, "turn": 0, "role": "user", "text": "ACDEFGHIKLMNPQRSTVWY"}])
+    assert got[got.parent == 1000].support.isna().all() and got[got.parent == 2000].support.notna().all()
