@@ -40,3 +40,8 @@ def test_means_on_a_cutoff(spark, tmp_path):
 def test_a_turn_without_hits_has_no_support(spark, tmp_path):
     got = check(spark, tmp_path, "interval_overlap", conversations=[{"conv_id": 1, "turn": 0, "role": "user", "text": "ACDEFGHI"}, {"conv_id": 2, "turn": 0, "role": "user", "text": "ACDEFGHIKLMNPQRSTVWY"}])
     assert got[got.parent == 1000].support.isna().all() and got[got.parent == 2000].support.notna().all()
+
+
+def test_scores_between_two_thousandths_round_up(spark, tmp_path):
+    got = check(spark, tmp_path, "selective_curve", lineitem=[item(1, 1, l_extendedprice=55165.0), item(2, 1, l_extendedprice=55164.99, l_returnflag="N"), item(3, 1, l_extendedprice=110000.0)])
+    assert sorted(got.threshold) == [0.501, 0.502, 1.0]
