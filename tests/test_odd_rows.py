@@ -45,3 +45,11 @@ def test_a_turn_without_hits_has_no_support(spark, tmp_path):
 def test_scores_between_two_thousandths_round_up(spark, tmp_path):
     got = check(spark, tmp_path, "selective_curve", lineitem=[item(1, 1, l_extendedprice=55165.0), item(2, 1, l_extendedprice=55164.99, l_returnflag="N"), item(3, 1, l_extendedprice=110000.0)])
     assert sorted(got.threshold) == [0.501, 0.502, 1.0]
+
+
+def test_customers_whose_orders_have_no_lines(spark, tmp_path):
+    customers = [{"c_custkey": k} for k in (1, 2, 3)]
+    orders = [{"o_orderkey": 10 * k, "o_custkey": k} for k in (1, 2, 9)]
+    lines = [item(10, 1), item(10, 2, l_returnflag="N"), item(90, 1)]
+    got = check(spark, tmp_path, "shared_sets", customer=customers, orders=orders, lineitem=lines)
+    assert dict(zip(got.c_custkey, got.shared)) == {1: "part-1", 2: ""}

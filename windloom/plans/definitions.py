@@ -200,10 +200,12 @@ def chosen_segment(spark: SparkSession, d: str) -> DataFrame:
 @query("""SELECT c_custkey, list_sort(list_distinct(list(p) FILTER (WHERE p IS NOT NULL)))::VARCHAR AS shared, count(DISTINCT p) AS n FROM customer LEFT JOIN (SELECT DISTINCT a.k, a.p FROM (SELECT o_custkey AS k, 'part-' || l_partkey AS p FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE l_returnflag = 'R') a JOIN (SELECT o_custkey AS k, 'part-' || l_partkey AS p FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE l_returnflag <> 'R') b USING (k, p)) ON k = c_custkey
     WHERE c_custkey IN (SELECT o_custkey FROM orders) GROUP BY c_custkey""".replace("list_sort(list_distinct(list(p) FILTER (WHERE p IS NOT NULL)))::VARCHAR", "coalesce(array_to_string(list_sort(list_distinct(list(p) FILTER (WHERE p IS NOT NULL))), ','), '')"))
 def shared_sets(spark: SparkSession, d: str) -> DataFrame:
-    """U-03, J-11: parts that each customer returned and also kept, by bitmaps of numbered parts."""
+    """U-03, J-11: parts that each customer with an order returned and also kept, by bitmaps of numbered parts."""
     bought = table(spark, d, "orders").join(table(spark, d, "lineitem").hint("merge"), c("o_orderkey") == c("l_orderkey")).select(c("o_custkey").alias("c_custkey"), F.concat(F.lit("part-"), c("l_partkey").cast("string")).alias("p"), "l_returnflag")
     t = sets.shared_names(bought.where("l_returnflag = 'R'"), bought.where("l_returnflag <> 'R'"), "c_custkey", "p")
-    return t.select("c_custkey", F.array_join("shared", ",").alias("shared"), F.size("shared").cast("long").alias("n"))
+    buyers = table(spark, d, "customer").select("c_custkey").join(table(spark, d, "orders").select(c("o_custkey").alias("c_custkey")).hint("merge"), "c_custkey", "left_semi").distinct()
+    shared = F.coalesce("shared", F.array().cast("array<string>"))
+    return buyers.join(t.hint("merge"), "c_custkey", "left").select("c_custkey", F.array_join(shared, ",").alias("shared"), F.size(shared).cast("long").alias("n"))
 
 
 @query("SELECT l_suppkey FROM lineitem GROUP BY l_suppkey HAVING count(DISTINCT year(l_shipdate)) = (SELECT count(DISTINCT year(l_shipdate)) FROM lineitem)")
