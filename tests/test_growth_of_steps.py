@@ -19,3 +19,21 @@ def test_a_point_goes_to_few_cells_and_no_pair_is_lost(spark):
     assert got == {(a[2], b[2]) for a in points for b in points if a[1] < b[1] and near(a, b)}
     cells = df.select(*[F.size(join.cells_within(F.col(c), 4.0, 4.0 * join.CELL_WIDTH)).alias(c) for c in "xyz"])
     assert cells.agg(F.avg(F.col("x") * F.col("y") * F.col("z"))).first()[0] < 5
+
+
+def test_neighbours_take_memory_of_a_stripe(monkeypatch):
+    from windloom.operators import neighbours
+
+    monkeypatch.setattr(neighbours, "STRIPE", 64)
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(2000, 8))
+    batches = [pa.RecordBatch.from_arrays([pa.array(np.arange(i, i + 500)), pa.array(list(x[i : i + 500]))], names=["id", "v"]) for i in range(0, 2000, 500)]
+    q, ids = neighbours.unit(x), np.arange(2000)
+    tracemalloc.start()
+    found_ids, found = neighbours.best_of(iter(batches), ids, q, 5)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    d = 1 - q @ q.T
+    np.fill_diagonal(d, np.inf)
+    assert np.allclose(found, np.sort(d, axis=1)[:, :5]) and (found_ids == np.argsort(d, axis=1)[:, :5]).all()
+    assert peak < 2_000_000  # 2,000 queries against a stripe of 64 alone are a matrix of 1 MB, of which there were six

@@ -1,8 +1,8 @@
 """Exact nearest neighbours by cosine, in blocks (L-05, M-14, O-11).
 
 The reference stays where it is, in any number of rows. Queries are numbered and taken in blocks of
-QUERY_BLOCK vectors; a block is sent to all tasks, each of which multiplies it with its reference rows,
-STRIPE rows at a time, and keeps the k best of each query. Only those leave the task, and merging them
+QUERY_BLOCK vectors; a block is sent to all tasks, each of which multiplies STRIPE of its queries with
+STRIPE of the task's reference rows at a time, and keeps the k best of each query. Only those leave the task, and merging them
 keeps k again. So memory is bounded by block and stripe, and each block is one pass over the reference.
 """
 
@@ -31,6 +31,24 @@ def best(ids: np.ndarray, distance: np.ndarray, k: int) -> tuple[np.ndarray, np.
     return np.take_along_axis(ids, order, 1), np.take_along_axis(distance, order, 1)
 
 
+def best_of(batches, asked: np.ndarray, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, distances) of the k nearest rows of Arrow batches (id, vector) for each query: STRIPE queries against STRIPE rows at a time, infinite where there are fewer."""
+    found_ids, found = np.full((len(asked), k), -1, np.int64), np.full((len(asked), k), np.inf)
+    for b in batches:
+        all_ids = b.column(0).to_numpy()
+        flat = b.column(1).flatten().to_numpy(zero_copy_only=False)
+        for at in range(0, len(all_ids), STRIPE):
+            own = all_ids[at : at + STRIPE]
+            x = unit(flat[at * q.shape[1] : (at + len(own)) * q.shape[1]].reshape(len(own), -1)).T
+            for low in range(0, len(asked), STRIPE):
+                some = slice(low, low + STRIPE)
+                d = 1 - q[some] @ x
+                d[asked[some, None] == own[None, :]] = np.inf
+                ids, least = best(np.broadcast_to(own, d.shape), d, k)
+                found_ids[some], found[some] = best(np.concatenate([found_ids[some], ids], axis=1), np.concatenate([found[some], least], axis=1), k)
+    return found_ids, found
+
+
 def partial_best(reference: DataFrame, block: list, k: int) -> DataFrame:
     """(q, ref, distance): for each query of a block and each task its k nearest reference rows, the query's own id left out."""
     ids = np.array([r["id"] for r in block], np.int64)
@@ -40,17 +58,7 @@ def partial_best(reference: DataFrame, block: list, k: int) -> DataFrame:
         import pyarrow as pa
 
         asked, q = shared.value
-        found_ids, found = np.full((len(asked), 0), -1, np.int64), np.empty((len(asked), 0))
-        for b in batches:
-            all_ids = b.column(0).to_numpy()
-            flat = b.column(1).flatten().to_numpy(zero_copy_only=False)
-            for at in range(0, len(all_ids), STRIPE):
-                own = all_ids[at : at + STRIPE]
-                x = unit(flat[at * q.shape[1] : (at + len(own)) * q.shape[1]].reshape(len(own), -1))
-                d = 1 - q @ x.T
-                d[asked[:, None] == own[None, :]] = np.inf
-                both = np.concatenate([found_ids, np.broadcast_to(own, d.shape)], axis=1), np.concatenate([found, d], axis=1)
-                found_ids, found = best(*both, k)
+        found_ids, found = best_of(batches, asked, q, k)
         row, col = np.nonzero(np.isfinite(found))
         yield pa.RecordBatch.from_arrays([pa.array(asked[row]), pa.array(found_ids[row, col]), pa.array(found[row, col])], names=["q", "ref", "distance"])
 
