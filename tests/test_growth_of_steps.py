@@ -37,3 +37,10 @@ def test_neighbours_take_memory_of_a_stripe(monkeypatch):
     np.fill_diagonal(d, np.inf)
     assert np.allclose(found, np.sort(d, axis=1)[:, :5]) and (found_ids == np.argsort(d, axis=1)[:, :5]).all()
     assert peak < 2_000_000  # 2,000 queries against a stripe of 64 alone are a matrix of 1 MB, of which there were six
+
+
+def test_tracks_are_made_without_joins(spark, data):
+    from windloom.plans.catalogue import QUERIES
+
+    for name in ("profile_heat", "residue_heat", "surrogate_tracks", "residue_confidence"):
+        assert "Join" not in QUERIES[name](spark, data)._jdf.queryExecution().executedPlan().toString(), name

@@ -167,9 +167,8 @@ def surrogate_tracks(spark: SparkSession, d: str) -> DataFrame:
 def profile_heat(spark: SparkSession, d: str) -> DataFrame:
     """A-27: windows' profiles, weighted by risk, averaged by residue and divided by the largest value, and by the largest absolute one."""
     w = scored_windows(spark, d).withColumn("profile", F.transform(F.sequence(F.lit(0), F.lit(8)), lambda i: ((c("start") * 7 + i * 3) % 10 - 4) / 10.0))
-    heat = rollup.profile_track(w, _lengths(w), "parent", "start", "profile", c("risk"))
-    other = rollup.profile_track(w, _lengths(w), "parent", "start", "profile", c("risk"), absolute=True).withColumnRenamed("heat", "saliency")
-    return heat.join(other.hint("merge"), ["parent", "pos"]).select("parent", "pos", (F.round("heat", 9) + 0.0).alias("heat"), (F.round("saliency", 9) + 0.0).alias("saliency"))
+    heat = rollup.profile_tracks(w, _lengths(w), "parent", "start", "profile", c("risk"))
+    return heat.select("parent", "pos", (F.round("heat", 9) + 0.0).alias("heat"), (F.round("saliency", 9) + 0.0).alias("saliency"))
 
 
 # ---- structures, segments, sets --------------------------------------------------------------
