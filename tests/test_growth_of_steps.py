@@ -44,3 +44,13 @@ def test_tracks_are_made_without_joins(spark, data):
 
     for name in ("profile_heat", "residue_heat", "surrogate_tracks", "residue_confidence"):
         assert "Join" not in QUERIES[name](spark, data)._jdf.queryExecution().executedPlan().toString(), name
+
+
+def shuffles(df):
+    return df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+
+
+def test_windows_of_a_parent_are_not_dealt(spark, data):
+    from windloom.plans.catalogue import QUERIES
+
+    assert shuffles(QUERIES["tile_stride"](spark, data)) == 1

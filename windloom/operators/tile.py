@@ -69,6 +69,11 @@ def fragments(df: DataFrame, cuts: Column, seq: str = "sequence") -> DataFrame:
     return df.withColumn("piece", F.substr(F.col(seq), F.col("start") + 1, F.col("end") - F.col("start"))).drop("__edges")
 
 
+def by_parent(df: DataFrame, parent: str = "parent") -> DataFrame:
+    """Sequences dealt by their parent before they are cut: windows are many times larger, and aggregations by parent and window then need no shuffle. As many parts as the shuffle has, which small sequences must not lessen."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), parent)
+
+
 def expected_windows(df: DataFrame, seq: str = "sequence", k: int = 9, first: int = 0) -> DataFrame:
     """T-09: how many windows there must be."""
     return df.agg(F.coalesce(F.sum(F.greatest(F.lit(0), F.char_length(seq) - k + 1 - first)), F.lit(0)).cast("long").alias("expected"))
