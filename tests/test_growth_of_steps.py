@@ -54,3 +54,18 @@ def test_windows_of_a_parent_are_not_dealt(spark, data):
     from windloom.plans.catalogue import QUERIES
 
     assert shuffles(QUERIES["tile_stride"](spark, data)) == 1
+
+
+def test_numbers_of_windows_keep_their_order(spark):
+    from windloom.functions import sequence as S
+
+    rng = random.Random(3)
+    words = [("".join(rng.choice(S.RESIDUES) for _ in range(9)),) for _ in range(300)] + [("AAAAAAAAA",), ("YYYYYYYYY",)]
+    got = spark.createDataFrame(words, "p string").select("p", S.kmer_code(F.col("p"), 9).alias("c")).withColumn("back", S.kmer_text(F.col("c"), 9)).orderBy("c").collect()
+    assert [r["p"] for r in got] == sorted(w for w, in words) and all(r["p"] == r["back"] for r in got)
+
+
+def test_tile_no_skip_sorts_no_windows(spark, data):
+    from windloom.plans.catalogue import QUERIES
+
+    assert "SortAggregate" not in QUERIES["tile_no_skip"](spark, data)._jdf.queryExecution().executedPlan().toString()
