@@ -69,3 +69,20 @@ def test_tile_no_skip_sorts_no_windows(spark, data):
     from windloom.plans.catalogue import QUERIES
 
     assert "SortAggregate" not in QUERIES["tile_no_skip"](spark, data)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_windows_meet_residues_in_lists(spark):
+    from windloom.operators import structure
+
+    rng = random.Random(5)
+    res = [(p, i, rng.choice([0.0, 0.1, 0.25, 0.7, None])) for p in (1, 2) for i in range(0, 90) if rng.random() < 0.6] + [(1, 7, 0.2)]
+    win = [(p, s, s + n) for p in (1, 2, 3) for s in range(0, 90, 3) for n in (1, 9, 40)]
+    w, r = spark.createDataFrame(win, "parent int, start int, end int"), spark.createDataFrame(res, "parent int, pos int, rsa double")
+    made = structure.window_accessibility(w, r)
+    got = {(x["parent"], x["start"], x["end"]): (x["observed"], x["mean_rsa"] and round(x["mean_rsa"], 9), x["buried"] and round(x["buried"], 9)) for x in made.collect()}
+    for p, s, e in win:
+        v = [x for q, i, x in res if q == p and s <= i < e and x is not None]
+        full = len(v) >= structure.LEAST_OBSERVED
+        assert got[p, s, e] == (len(v), round(sum(v) / len(v), 9) if full else None, round(sum(x < 0.25 for x in v) / len(v), 9) if full else None)
+    assert len(got) == len(win) and "hashpartitioning(parent#0, start" not in (plan := made._jdf.queryExecution().executedPlan().toString())
+    assert not [x for x in plan.splitlines() if "Exchange hashpartitioning" in x and "start#" in x.split("ENSURE")[0]]

@@ -25,12 +25,27 @@ def best_chains(chains: DataFrame, designs: DataFrame, on: str = "pdb") -> DataF
     return top_k(met, ["parent"], [F.char_length("chain_sequence").desc(), F.col("chain")], 1).drop("rank")
 
 
+#: Residues of one block: what windows meet as a list.
+BLOCK = 16
+
+
 def window_accessibility(windows: DataFrame, residues: DataFrame, parent: str = "parent") -> DataFrame:
-    """J-15: mean relative accessibility and buried share of each window; null under LEAST_OBSERVED residues. residues: (parent, pos, rsa) in design coordinates."""
-    each = windows.select(parent, "start", "end", F.explode(F.sequence(F.col("start"), F.col("end") - 1)).alias("pos"))
-    met = each.join(residues.where("rsa is not null").hint("merge"), [parent, "pos"], "left")
-    seen = F.count("rsa") >= LEAST_OBSERVED
-    return met.groupBy(parent, "start", "end").agg(F.count("rsa").alias("observed"), F.when(seen, F.avg("rsa")).alias("mean_rsa"), F.when(seen, F.count_if(F.col("rsa") < BURIED) / F.count("rsa")).alias("buried"))
+    """J-15: mean relative accessibility and buried share of each window; null under LEAST_OBSERVED residues. residues: (parent, pos, rsa) in design coordinates.
+
+    Windows and residues are listed by blocks of BLOCK positions, and lists are joined: no row is made of a window and a residue.
+    """
+    block = lambda at: F.floor(at / BLOCK)
+    seen = residues.where("rsa is not null").groupBy(parent, block(F.col("pos")).alias("__near")).agg(F.array_sort(F.collect_list(F.struct("pos", "rsa"))).alias("__r"))
+    listed = windows.where(F.col("end") > F.col("start")).groupBy(parent, block(F.col("start")).alias("__block")).agg(F.collect_set(F.struct("start", "end")).alias("__w"), block(F.max("end") - 1).alias("__last"))
+    asked = listed.select(parent, "__block", F.explode(F.sequence("__block", "__last")).alias("__near"))
+    around = asked.join(seen.hint("merge"), [parent, "__near"]).groupBy(parent, "__block").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("__near", "__r"))), lambda x: x["__r"])).alias("__r"))
+    met = listed.join(around.hint("merge"), [parent, "__block"], "left").select(parent, F.explode("__w").alias("w"), "__r").select(parent, "w.start", "w.end", "__r")
+    of = F.filter(F.coalesce("__r", F.array().cast("array<struct<pos:bigint,rsa:double>>")), lambda x: (x["pos"] >= F.col("start")) & (x["pos"] < F.col("end")))
+    zero = F.struct(F.lit(0).alias("n"), F.lit(0.0).alias("sum"), F.lit(0).alias("low"))
+    sums = F.aggregate(of, zero, lambda t, x: F.struct((t["n"] + 1).alias("n"), (t["sum"] + x["rsa"]).alias("sum"), (t["low"] + F.when(x["rsa"] < BURIED, 1).otherwise(0)).alias("low")))
+    each = met.withColumn("__t", sums)
+    n, enough = F.col("__t.n").cast("long"), F.col("__t.n") >= LEAST_OBSERVED
+    return each.select(parent, "start", "end", n.alias("observed"), F.when(enough, F.col("__t.sum") / n).alias("mean_rsa"), F.when(enough, F.col("__t.low") / n).alias("buried"))
 
 
 def project(residues: DataFrame, offsets: DataFrame, lengths: DataFrame, parent: str = "parent") -> DataFrame:
