@@ -86,3 +86,11 @@ def test_windows_meet_residues_in_lists(spark):
         assert got[p, s, e] == (len(v), round(sum(v) / len(v), 9) if full else None, round(sum(x < 0.25 for x in v) / len(v), 9) if full else None)
     assert len(got) == len(win) and "hashpartitioning(parent#0, start" not in (plan := made._jdf.queryExecution().executedPlan().toString())
     assert not [x for x in plan.splitlines() if "Exchange hashpartitioning" in x and "start#" in x.split("ENSURE")[0]]
+
+
+def test_windows_are_dealt_once(spark, data):
+    from windloom.plans.catalogue import QUERIES
+
+    plan = QUERIES["corpus_collapse"](spark, data)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 3
+    assert not [x for x in plan.splitlines() if "Exchange hashpartitioning(peptide" in x and "parent" in x]
