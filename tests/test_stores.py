@@ -227,3 +227,17 @@ def test_gyration_needs_three_atoms(spark):
 def test_weights_over_two_folds_need_two_folds(spark):
     with pytest.raises(ValueError):
         split.pack_folds(spark.createDataFrame([("a", 1)], "component string, weight long"), 1)
+
+
+def test_failures_cost_few_calls_and_no_batch_for_each_row(spark):
+    def counting(t):
+        counting.calls = getattr(counting, "calls", 0) + 1
+        if t.column("i").to_pylist().count(5):
+            raise ValueError("five")
+        return pa.table({"calls": pa.array([counting.calls] * t.num_rows, pa.int32())})
+
+    df = spark.range(256).select(F.col("id").cast("int").alias("i")).coalesce(1)
+    scored = scorer.score_windows(df, counting, "calls int", ["i"], rows=64)
+    got = {r["i"]: r for r in scored.collect()}
+    assert len(got) == 256 and [i for i, r in got.items() if r["status"] != "ok"] == [5] and got[5]["calls"] is None
+    assert max(r["calls"] for i, r in got.items() if i != 5) <= 20  # one by one it took 64 calls for the first table alone

@@ -40,8 +40,9 @@ def checked(got, names: list[str], kinds: list[pa.DataType], n: int) -> list[pa.
     out = []
     for c, kind in zip(names, kinds, strict=True):
         column = got.column(c)
-        column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-        out.append(column.cast(kind))
+        if isinstance(column, pa.ChunkedArray):
+            column = column.chunk(0) if column.num_chunks == 1 else column.combine_chunks()
+        out.append(column if column.type == kind else column.cast(kind))
     return out
 
 
@@ -49,8 +50,8 @@ def score_windows(df: DataFrame, scorer: Scorer, schema: str, inputs: list[str],
     """Every row with the scorer's columns and a status, `ok` or the error; one row out for each in.
 
     The scorer gets Arrow tables of the input columns, `rows` at most, and returns one of the columns
-    that `schema` declares. If it fails on a table, or returns something else, the rows are tried one by one,
-    and only those that fail have nulls and the error's text. A scorer keeps no order between tables.
+    that `schema` declares. If it fails on a table, or returns something else, its halves are tried, and so on down to
+    single rows, and only those that fail have nulls and the error's text. A scorer keeps no order between tables.
     """
     names = T._parse_datatype_string(schema).names
     fields = T._parse_datatype_string(schema).fields
@@ -64,32 +65,40 @@ def score_windows(df: DataFrame, scorer: Scorer, schema: str, inputs: list[str],
 
         kinds = [to_arrow_type(f.dataType) for f in fields]
 
-        def scored(part):
-            asked = pa.Table.from_batches([part]).select(inputs)
+        def scored(asked):
             try:
-                return checked(scorer(asked), names, kinds, part.num_rows), pa.array(["ok"] * part.num_rows, pa.string())
+                return checked(scorer(asked), names, kinds, asked.num_rows), "ok"
             except Exception as e:  # a provider's failure is a row's status
-                if part.num_rows > 1:
+                if asked.num_rows > 1:
                     return None
-                return [pa.nulls(1, k) for k in kinds], pa.array([f"{type(e).__name__}: {e}"[:500]], pa.string())
+                return [pa.nulls(1, k) for k in kinds], f"{type(e).__name__}: {e}"[:500]
 
         for b in batches:
-            for at in range(0, b.num_rows, rows):
-                part = b.slice(at, rows)
-                whole = scored(part)
-                for small, (columns, state) in [(part, whole)] if whole else ((one := part.slice(i, 1), scored(one)) for i in range(part.num_rows)):
-                    yield pa.RecordBatch.from_arrays([*[small.column(i) for i in range(width)], *columns, state], names=out.names)
+            asked = pa.Table.from_batches([b]).select(inputs)
+            done, states, waiting = [], [], [(at, min(at + rows, b.num_rows)) for at in range(0, b.num_rows, rows)][::-1]
+            while waiting:
+                lo, hi = waiting.pop()
+                if got := scored(asked.slice(lo, hi - lo)):
+                    done.append(got[0])
+                    states += [got[1]] * (hi - lo)
+                else:
+                    half = (lo + hi) // 2
+                    waiting += [(half, hi), (lo, half)]
+            if done:  # one batch out for each in, whatever failed
+                made = [pa.concat_arrays([columns[i] for columns in done]) for i in range(len(names))]
+                yield pa.RecordBatch.from_arrays([*[b.column(i) for i in range(width)], *made, pa.array(states, pa.string())], names=out.names)
 
     return df.mapInArrow(run, out)
 
 
 def composition(table: pa.Table) -> pa.Table:
     """A stock scorer: the share of charged residues in `peptide`, and the difference of positive and negative ones. A null peptide is an error."""
+    peptides = table.column("peptide")
+    if peptides.null_count:
+        raise ValueError("peptide is null")
     shares, charges = [], []
-    for p in table.column("peptide").to_pylist():
-        if p is None:
-            raise ValueError("peptide is null")
-        plus, minus = sum(p.count(x) for x in "KR"), sum(p.count(x) for x in "DE")
+    for p in peptides.to_pylist():
+        plus, minus = p.count("K") + p.count("R"), p.count("D") + p.count("E")
         shares.append((plus + minus) / len(p) if p else 0.0)
         charges.append(plus - minus)
     return pa.table({"charged": pa.array(shares, pa.float64()), "charge": pa.array(charges, pa.int32())})
