@@ -5,7 +5,6 @@ from __future__ import annotations
 import numpy as np
 from pyspark.ml.feature import PCA, Normalizer
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.regression import LinearRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,15 +24,57 @@ def one_hot(peptide: Column, k: int = 9) -> Column:
 
 def ridge_impute(df: DataFrame, peptide: str, value: str, tag_col: str, tag: str, alpha: float = 10.0) -> DataFrame:
     """L-01: nulls of `value` filled by ridge regression on one-hot peptides, fitted on rows that were measured (not tagged before)."""
-    marked = df.withColumn("__x", one_hot(F.col(peptide)))
-    measured = marked.where(F.col(value).isNotNull() & ~F.contains(F.coalesce(tag_col, F.lit("")), F.lit(tag)))
-    n, sd = measured.agg(F.count(F.lit(1)), F.stddev_pop(value)).first()
-    if not n:
+    measured = df.where(F.col(value).isNotNull() & ~F.contains(F.coalesce(tag_col, F.lit("")), F.lit(tag)))
+    rows, total, products, sums = one_hot_moments(measured, peptide, value)
+    if not rows:
         return df
-    model = LinearRegression(featuresCol="__x", labelCol=value, predictionCol="__p", solver="normal", elasticNetParam=0.0, standardization=False, regParam=alpha / n * (sd or 1.0)).fit(measured)
-    filled = model.transform(marked)
+    share = total / rows
+    w = np.linalg.solve(products - rows * np.outer(share, share) + alpha * np.eye(len(total)), sums[:-1] - share * sums[-1])
+    filled = F.lit(float(sums[-1] / rows - share @ w))
+    for i in range(len(w) // len(RESIDUES)):
+        # The first weight of a place is that of letters which are no residue.
+        at = F.array(*[F.lit(float(x)) for x in (0.0, *w[i * len(RESIDUES) : (i + 1) * len(RESIDUES)])])
+        filled = filled + at[F.when(F.char_length(peptide) > i, F.instr(F.lit(RESIDUES), F.substring(peptide, i + 1, 1))).otherwise(0)]
     missing = F.col(value).isNull()
-    return filled.select(*[F.coalesce(value, "__p").alias(c) if c == value else F.when(missing, add_tag(F.col(c), tag)).otherwise(F.col(c)).alias(c) if c == tag_col else F.col(c) for c in df.columns])
+    return df.select(*[F.when(missing, filled).otherwise(F.col(c)).alias(c) if c == value else F.when(missing, add_tag(F.col(c), tag)).otherwise(F.col(c)).alias(c) if c == tag_col else F.col(c) for c in df.columns])
+
+
+def one_hot_moments(df: DataFrame, peptide: str, value: str, k: int = 9) -> tuple[int, np.ndarray, np.ndarray, np.ndarray]:
+    """(rows, sums, products, sums with the value and the value's own sum last) of the one-hot vectors of peptides (F-18), k * 20 wide.
+
+    Equal peptides are counted first. A task adds up pairs of cells that are one, 45 of a peptide at most
+    and not the 16,290 of its vector; only sums of a fixed size meet.
+    """
+    width = k * len(RESIDUES)
+    each = df.groupBy(F.left(peptide, F.lit(k)).alias("p")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col(value).cast("double")).alias("y"))
+
+    def run(batches):
+        import pyarrow as pa
+
+        cell = np.full(256, -1, np.int64)
+        cell[np.frombuffer(RESIDUES.encode(), np.uint8)] = np.arange(len(RESIDUES))
+        rows, by_y, products = 0, np.zeros(width + 1), np.zeros((width + 1) ** 2)
+        for b in batches:
+            letters = np.array([p.encode("ascii", "replace").ljust(k, b"-") for p in b.column(0).fill_null("").to_pylist()], f"S{k}")
+            at = cell[letters.view(np.uint8).reshape(-1, k)]
+            at = np.where(at < 0, width, at + np.arange(k) * len(RESIDUES))
+            n, y = b.column(1).to_numpy().astype(float), b.column(2).to_numpy()
+            rows += int(n.sum())
+            by_y[-1] += y.sum()
+            for i in range(k):
+                by_y[:width] += np.bincount(at[:, i], y, width + 1)[:width]
+                for j in range(i, k):
+                    products += np.bincount(at[:, i] * (width + 1) + at[:, j], n, (width + 1) ** 2)
+        if rows:
+            m = products.reshape(width + 1, width + 1)[:width, :width]
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(width * width + width + 2), pa.int32()), pa.array(np.r_[m.ravel(), by_y, rows])], names=["i", "m"])
+
+    found = each.mapInArrow(run, "i int, m double").groupBy("i").agg(F.sum("m").alias("m")).orderBy("i").toPandas()["m"].to_numpy()
+    if not len(found):
+        return 0, np.zeros(width), np.zeros((width, width)), np.zeros(width + 1)
+    m = found[: width * width].reshape(width, width)
+    m = np.triu(m) + np.triu(m, 1).T
+    return int(found[-1]), np.diag(m).copy(), m, found[width * width : -1]
 
 
 def pca(df: DataFrame, vector: str, k: int) -> DataFrame:
