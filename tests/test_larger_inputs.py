@@ -29,3 +29,13 @@ def test_ridge_counts_equal_peptides_once_and_calls_no_function_for_a_cell(spark
     for r in df.collect():
         assert r["t"] == "" or abs(r["v"] - want[r["p"]]) < 1e-9
     assert df.where("t = 'ridge'").count() == 80 and "lambda" not in plan(df)
+
+
+def test_core_residues_make_no_row_of_a_letter(spark):
+    from windloom.operators import collapse
+
+    seqs = [None, "", "ACDEFGHI", "ACDEFGHIK", "A" * 16, "ACDEFGHIKLMNPQRST", "C" * 500]
+    df = collapse.core_residues(spark.createDataFrame([(s,) for s in seqs], "sequence string"))
+    want = Counter(r for s in seqs if s for i in range(len(s) - 8) for r in s[i : i + 9])
+    assert {r["residue"]: r["n"] for r in df.collect()} == want
+    assert "Generate" not in plan(df) and "translate" not in plan(df)

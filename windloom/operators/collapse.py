@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from windloom.functions.sequence import RESIDUES, clean_or_reject, length_between
+from windloom.functions.sequence import clean_or_reject, length_between
 
 
 def keep_first(df: DataFrame, keys: list[str], order: Column) -> DataFrame:
@@ -92,18 +92,27 @@ def cohort_summary(df: DataFrame, cohort: str, value: str, enrichment: str) -> D
 def core_residues(df: DataFrame, seq: str = "sequence", k: int = 9) -> DataFrame:
     """A-22: (residue, n, share) over the residues of all k-windows, where an inner residue counts k times.
 
-    The inner part of a sequence is counted by residue inside the row; only the k-1 residues on each
-    end, whose weights grow from 1 to k-1, and sequences under 2k-1 become rows.
+    A residue lies in as many windows as its distance from the nearer end allows, k at most. A task
+    adds these weights up by letter over its sequences; a few numbers leave it.
     """
-    s, n = F.col(seq), F.char_length(seq)
-    long = df.where(n >= 2 * k - 1)
-    inner = F.substr(s, F.lit(k), n - 2 * (k - 1))
-    whole = long.select(F.explode(F.array(*[F.struct(F.lit(r).alias("residue"), (k * (F.char_length(inner) - F.char_length(F.translate(inner, r, "")))).cast("long").alias("n")) for r in RESIDUES])).alias("x")).select("x.*")
-    head = F.transform(F.slice(F.split(F.left(s, F.lit(k - 1)), ""), 1, k - 1), lambda c, i: F.struct(c.alias("residue"), (i + 1).cast("long").alias("n")))
-    tail = F.transform(F.slice(F.split(F.right(s, F.lit(k - 1)), ""), 1, k - 1), lambda c, i: F.struct(c.alias("residue"), (F.lit(k - 1) - i).cast("long").alias("n")))
-    edges = long.select(F.explode(F.concat(head, tail)).alias("x")).select("x.*")
-    weight = lambda i: F.least(i + 1, n - i, n - k + 1).cast("long")
-    short = df.where((n >= k) & (n < 2 * k - 1)).select(F.explode(F.transform(F.slice(F.split(s, ""), F.lit(1), n), lambda c, i: F.struct(c.alias("residue"), weight(i).alias("n")))).alias("x")).select("x.*")
-    counts = whole.unionByName(edges).unionByName(short).groupBy("residue").agg(F.sum("n").alias("n")).where("n > 0")
+    from windloom.operators.coded import chunks
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        sums = np.zeros(128, np.int64)
+        for _, letters, offsets in chunks(batches):
+            if len(letters) and letters.max() > 127:
+                raise ValueError("sequences are ASCII")
+            n = np.diff(offsets)
+            size = np.repeat(n, n)
+            at = np.arange(len(letters)) - np.repeat(offsets[:-1], n)
+            weight = np.maximum(0, np.minimum(np.minimum(at + 1, size - at), np.minimum(k, size - k + 1)))
+            sums += np.bincount(letters, weight, 128).astype(np.int64)
+        seen = np.flatnonzero(sums)
+        yield pa.RecordBatch.from_arrays([pa.array([chr(x) for x in seen], pa.string()), pa.array(sums[seen])], names=["residue", "n"])
+
+    counts = df.select(F.lit(0).alias("parent"), seq).mapInArrow(run, "residue string, n long").groupBy("residue").agg(F.sum("n").alias("n"))
     total = counts.agg(F.sum("n").alias("total"))
     return counts.crossJoin(F.broadcast(total)).select("residue", "n", (F.col("n") / F.col("total")).alias("share"))
