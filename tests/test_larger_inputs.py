@@ -39,3 +39,20 @@ def test_core_residues_make_no_row_of_a_letter(spark):
     want = Counter(r for s in seqs if s for i in range(len(s) - 8) for r in s[i : i + 9])
     assert {r["residue"]: r["n"] for r in df.collect()} == want
     assert "Generate" not in plan(df) and "translate" not in plan(df)
+
+
+def test_operating_points_order_only_the_rows_of_a_few_propensities(spark, monkeypatch):
+    from windloom.operators import metrics
+
+    sizes = []
+    whole = metrics.running_sum
+    monkeypatch.setattr(metrics, "running_sum", lambda df, *a, **k: sizes.append(df.count()) or whole(df, *a, **k))
+    rng = random.Random(9)
+    rows = [(i, rng.randrange(50) / 50, rng.random()) for i in range(2000)]
+    got = {r["target"]: r for r in metrics.operating_points(spark.createDataFrame(rows, "id long, p double, rank double"), "id", "p", "rank").collect()}
+    assert len(got) == 4 and sum(sizes) < 400  # all 2,000 were put in order
+    ordered = sorted(rows, key=lambda r: (-r[1], r[0]))
+    tp = np.cumsum([r[2] <= 0.5 for r in ordered])
+    for t, r in got.items():
+        at = int(np.flatnonzero(tp / tp[-1] >= t)[0])
+        assert (r["n_flagged"], r["threshold"], r["recall"]) == (at + 1, ordered[at][1], tp[at] / tp[-1])
