@@ -56,3 +56,24 @@ def test_operating_points_order_only_the_rows_of_a_few_propensities(spark, monke
     for t, r in got.items():
         at = int(np.flatnonzero(tp / tp[-1] >= t)[0])
         assert (r["n_flagged"], r["threshold"], r["recall"]) == (at + 1, ordered[at][1], tp[at] / tp[-1])
+
+
+def test_agreement_takes_one_running_sum_for_all_scores(spark, monkeypatch):
+    from windloom.operators import metrics
+
+    calls = []
+    whole = metrics.running_sum
+    monkeypatch.setattr(metrics, "running_sum", lambda *a, **k: calls.append(a[1]) or whole(*a, **k))
+    rng = random.Random(8)
+    rows = [(float(rng.randrange(40)), rng.random(), rng.randrange(60) / 10.0) for _ in range(300)] + [(1.0, 2.0, None)]
+    got = {r["name"]: r for r in metrics.teacher_agreement(spark.createDataFrame(rows, "a double, b double, rank double"), ["a", "b"], "rank").collect()}
+    assert len(calls) == 2  # one for the teacher, one for the scores; there were six
+    rank_of = lambda v: np.array([(v < x).sum() + ((v == x).sum() + 1) / 2 for x in v])
+    t = np.array([r[2] for r in rows[:-1]])
+    for i, name in enumerate("ab"):
+        v = np.array([r[i] for r in rows[:-1]])
+        assert abs(got[name]["spearman"] - np.corrcoef(rank_of(v), rank_of(-t))[0, 1]) < 1e-9
+        for label, y in (("strong", t <= 0.5), ("weak", t <= 2)):
+            p = y.sum()
+            assert abs(got[name][f"{label}_auc"] - (rank_of(v)[y].sum() - p * (p + 1) / 2) / (p * (~y).sum())) < 1e-9
+            assert abs(got[name][f"{label}_ap"] - np.mean([y[v >= x].mean() for x in v[y]])) < 1e-9
