@@ -77,3 +77,16 @@ def test_agreement_takes_one_running_sum_for_all_scores(spark, monkeypatch):
             p = y.sum()
             assert abs(got[name][f"{label}_auc"] - (rank_of(v)[y].sum() - p * (p + 1) / 2) / (p * (~y).sum())) < 1e-9
             assert abs(got[name][f"{label}_ap"] - np.mean([y[v >= x].mean() for x in v[y]])) < 1e-9
+
+
+def test_pool_deals_a_row_for_each_start_and_not_for_each_length(spark):
+    from windloom.operators import tile
+
+    rng = random.Random(6)
+    seqs = ["".join(rng.choice("ACK") for _ in range(n)) for n in (0, 7, 8, 12, 25, 300)] + ["ACCAAC" * 20, None]
+    df = spark.createDataFrame([(s,) for s in seqs], "sequence string")
+    whole = [s for s in seqs if s]
+    want = {s[i : i + k] for s in whole for k in range(8, 19) for i in range(len(s) - k + 1)} | {p for s in whole for p in re.findall("[^KR]*[KR]|[^KR]+$", s) if 8 <= len(p) <= 25}
+    got = [r["peptide"] for r in tile.pool(df, *tile.cut_behind("sequence", "KR")).collect()]
+    assert len(got) == len(want) and set(got) == want
+    assert tile._suffixes(df, "sequence", 8, 18).agg(F.sum("n")).first()[0] == sum(max(0, len(s) - 7) for s in whole)

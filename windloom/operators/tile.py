@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from windloom.functions.sequence import canonical
 from windloom.operators.collapse import keep_first
@@ -60,13 +62,49 @@ def many_lengths(df: DataFrame, seq: str = "sequence", lengths: tuple[int, ...]
     return df.select(*kept, "length", "start", F.substr("__slice", F.col("start") - F.col("__at") + 1, F.col("length")).alias("peptide"))
 
 
+def _suffixes(df: DataFrame, seq: str, lo: int, hi: int) -> DataFrame:
+    """(w, n, size, shared): the distinct texts of hi letters, or up to the sequence's end but lo at least, that start anywhere, with how often they do; shared is how many first letters each has in common with the one before it in order, lo - 1 at least.
+
+    All windows of lo to hi letters are beginnings of these, and a beginning longer than `shared` is seen for the first time.
+    """
+    df = _sliced(df.select(seq), seq, F.lit(0), F.char_length(seq) - lo, 0, F.lit(hi))
+    each = df.select(F.substr("__slice", F.col("start") - F.col("__at") + 1, F.lit(hi)).alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n"))
+    each = each.withColumn("__head", F.left("w", F.lit(lo)))
+    each = each.withColumn("__last", F.lag("w").over(Window.partitionBy("__head").orderBy("w")))
+    shared = F.when(F.col("__last").isNull(), lo - 1)
+    for k in range(lo + 1, hi + 1):
+        shared = shared.when(F.left("w", F.lit(k)) != F.left("__last", F.lit(k)), k - 1)
+    return each.select("w", "n", F.char_length("w").alias("size"), shared.otherwise(hi).alias("shared"))
+
+
+def length_counts(df: DataFrame, seq: str = "sequence", lengths: tuple[int, ...] = (*range(8, 12), *range(12, 19))) -> DataFrame:
+    """T-05: (length, n, n_distinct) of the windows of `many_lengths`; one row travels for each start, not one for each length."""
+    s = _suffixes(df, seq, min(lengths), max(lengths))
+    fits = lambda k: F.col("size") >= k
+    sums = s.agg(*[x for k in lengths for x in (F.sum(F.when(fits(k), F.col("n"))).alias(f"n{k}"), F.count_if(fits(k) & (F.col("shared") < k)).alias(f"d{k}"))])
+    each = F.array(*[F.struct(F.lit(k).alias("length"), F.col(f"n{k}").alias("n"), F.col(f"d{k}").alias("n_distinct")) for k in lengths])
+    return sums.select(F.inline(each)).where("n > 0")
+
+
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def _cut_at(seq: pd.Series, edges: pd.Series) -> pd.Series:
+    return pd.Series([[s[a:b] for a, b in zip(e[:-1], e[1:], strict=True)] for s, e in zip(seq, edges, strict=True)])
+
+
 def fragments(df: DataFrame, cuts: Column, seq: str = "sequence") -> DataFrame:
     """T-06: the pieces between sorted distinct cut positions (0 and the end included); no window function, the cuts are an array of the row."""
     n = F.char_length(seq)
     edges = F.array_sort(F.array_distinct(F.concat(F.array(F.lit(0), n), F.filter(cuts, lambda c: (c > 0) & (c < n)))))
-    df = df.withColumn("__edges", edges).select("*", F.posexplode(F.slice("__edges", F.lit(1), F.size("__edges") - 1)).alias("fragment", "start"))
-    df = df.withColumn("end", F.element_at("__edges", F.col("fragment") + 2))
-    return df.withColumn("piece", F.substr(F.col(seq), F.col("start") + 1, F.col("end") - F.col("start"))).drop("__edges")
+    kept = [F.col(f"`{c}`") for c in df.columns]
+    # A row's pieces are cut at once: finding each from the sequence's beginning on took time with the square of its length.
+    df = df.where(F.col(seq).isNotNull() & cuts.isNotNull()).withColumn("__edges", edges)
+    each = F.arrays_zip(F.slice("__edges", F.lit(1), F.size("__edges") - 1).alias("start"), F.slice("__edges", F.lit(2), F.size("__edges") - 1).alias("end"), _cut_at(F.col(seq), F.col("__edges")).alias("piece"))
+    return df.select(*kept, F.posexplode(each).alias("fragment", "__x")).select(*kept, "fragment", F.col("__x")["start"].alias("start"), F.col("__x")["end"].alias("end"), F.col("__x")["piece"].alias("piece"))
+
+
+def fragments_behind(df: DataFrame, letters: str, seq: str = "sequence") -> DataFrame:
+    """T-06 for cuts behind each of some letters: (.., piece), split in one pass over the sequence."""
+    return df.select("*", F.explode(F.filter(F.split(seq, f"(?<=[{letters}])"), lambda x: x != "")).alias("piece"))
 
 
 def by_parent(df: DataFrame, parent: str = "parent") -> DataFrame:
@@ -90,11 +128,12 @@ def pool(df: DataFrame, cuts: Column, seq: str = "sequence", lengths: tuple[int,
     A fragment lies in its sequence, so its windows are among the sequence's; only whole fragments
     that are longer than a window come from the cuts.
     """
-    sizes = tuple(range(lengths[0], lengths[1] + 1))
-    windows = many_lengths(df.select(seq), seq, sizes).select("length", "peptide")
+    s = _suffixes(df, seq, *lengths)
+    new = F.explode(F.sequence(F.col("shared") + 1, F.col("size"))).alias("length")
+    windows = s.where("shared < size").select("w", new).select("length", F.left("w", F.col("length")).alias("peptide"))
     n = F.char_length("piece")
-    whole = fragments(df.where(F.col(seq) != "").select(seq), cuts, seq).where(n.between(*pieces)).select(n.alias("length"), F.col("piece").alias("peptide"))
-    return windows.unionByName(whole).distinct()
+    whole = fragments(df.where(F.col(seq) != "").select(seq), cuts, seq).where(n.between(*pieces) & ~n.between(*lengths)).select(n.alias("length"), F.col("piece").alias("peptide"))
+    return windows.unionByName(whole.distinct())
 
 
 def pool_sources(sources: dict[str, DataFrame], order: str = "parent") -> DataFrame:
