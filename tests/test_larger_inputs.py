@@ -90,3 +90,16 @@ def test_pool_deals_a_row_for_each_start_and_not_for_each_length(spark):
     got = [r["peptide"] for r in tile.pool(df, *tile.cut_behind("sequence", "KR")).collect()]
     assert len(got) == len(want) and set(got) == want
     assert tile._suffixes(df, "sequence", 8, 18).agg(F.sum("n")).first()[0] == sum(max(0, len(s) - 7) for s in whole)
+
+
+def test_windows_of_many_lengths_are_counted_by_one_row_for_each_start(spark):
+    from windloom.operators import tile
+
+    rng = random.Random(16)
+    seqs = ["".join(rng.choice("ACD") for _ in range(n)) for n in (0, 7, 8, 12, 17, 18, 19, 300)] + ["ACCAAC" * 20, None]
+    df = spark.createDataFrame([(s,) for s in seqs], "sequence string")
+    every = {k: [s[i : i + k] for s in seqs if s for i in range(len(s) - k + 1)] for k in range(8, 19)}
+    got = tile.length_counts(df)
+    assert {r["length"]: (r["n"], r["n_distinct"]) for r in got.collect()} == {k: (len(v), len(set(v))) for k, v in every.items()}
+    assert [r["length"] for r in tile.length_counts(df.where("char_length(sequence) < 10")).collect()] == [8]
+    assert plan(tile.length_counts(df)).count("Exchange hashpartitioning") == 2
