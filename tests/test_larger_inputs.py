@@ -103,3 +103,17 @@ def test_windows_of_many_lengths_are_counted_by_one_row_for_each_start(spark):
     assert {r["length"]: (r["n"], r["n_distinct"]) for r in got.collect()} == {k: (len(v), len(set(v))) for k, v in every.items()}
     assert [r["length"] for r in tile.length_counts(df.where("char_length(sequence) < 10")).collect()] == [8]
     assert plan(tile.length_counts(df)).count("Exchange hashpartitioning") == 2
+
+
+def test_fragments_are_cut_in_one_pass(spark):
+    from windloom.operators import tile
+
+    seqs = ["AKCRD", "KK", "ACD", "RAAK", ""]
+    df = spark.createDataFrame([(i, s) for i, s in enumerate([*seqs, None])], "parent int, sequence string")
+    want = sorted((i, p) for i, s in enumerate(seqs) for p in re.findall("[^KR]*[KR]|[^KR]+$", s))
+    assert sorted((r["parent"], r["piece"]) for r in tile.fragments_behind(df, "KR").collect()) == want
+    got = tile.fragments(df.where("sequence <> ''"), tile.cut_behind("sequence", "KR")[0])
+    rows = got.orderBy("parent", "fragment").collect()
+    assert sorted((r["parent"], r["piece"]) for r in rows) == want
+    assert all(seqs[r["parent"]][r["start"] : r["end"]] == r["piece"] for r in rows)
+    assert "substr" not in plan(got)  # each piece was looked for from the sequence's beginning on
