@@ -117,3 +117,13 @@ def test_fragments_are_cut_in_one_pass(spark):
     assert sorted((r["parent"], r["piece"]) for r in rows) == want
     assert all(seqs[r["parent"]][r["start"] : r["end"]] == r["piece"] for r in rows)
     assert "substr" not in plan(got)  # each piece was looked for from the sequence's beginning on
+
+
+def test_self_match_cuts_no_text_of_a_document(spark, data, monkeypatch):
+    from windloom.operators import tile
+    from windloom.plans import stores
+
+    seen = []
+    whole = tile.with_flanks
+    monkeypatch.setattr(stores.tile, "with_flanks", lambda df, *a, **k: seen.append(df.columns) or whole(df, *a, **k))
+    assert stores.QUERIES["self_match"](spark, data).count() > 0 and seen == [["parent", "sequence"]]  # the items alone

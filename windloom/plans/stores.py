@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from windloom.functions import scores as C
 from windloom.functions import sequence as S
-from windloom.operators import cache, collapse, contract, join, learn, quality, scorer, split, structure, tile
+from windloom.operators import cache, coded, collapse, contract, join, learn, quality, scorer, split, structure, tile
 from windloom.plans.views import ITEMS, SEQUENCES, TURNS, items, sequences, table, turns
 from windloom.session import landed, workspace
 
@@ -158,17 +158,17 @@ _KEY = " || ".join(f"substr(peptide, {i}, 1)" for i in _FACING)
 def self_match(spark: SparkSession, d: str) -> DataFrame:
     """A-21, J-12, J-13: every window of the reference items against those of all documents: matches on five positions, the most in a frame, frames with any, exact ones, and what residue frequencies let expect."""
     s = sequences(spark, d)
-    key = lambda p: F.concat(*[F.substring(p, i, 1) for i in _FACING])
-    mine = tile.with_flanks(items(spark, d), flank=0).select(c("parent").alias("item"), "peptide").withColumn("k", key("peptide"))
-    corpus = tile.with_flanks(s, flank=0).select("peptide", key("peptide").alias("k"))
+    key = lambda code: c(code).bitwiseAND(sum(31 << 5 * (9 - i) for i in _FACING))
+    mine = tile.with_flanks(items(spark, d), flank=0).select(c("parent").alias("item"), "peptide", S.kmer_code(c("peptide"), 9).alias("code")).withColumn("k", key("code"))
+    corpus = coded.code_counts(s, 9).withColumn("k", key("code"))
     asked = corpus.join(join.bounded(mine.select("k").distinct()), "k", "left_semi")
-    each = landed(asked.groupBy("k", "peptide").agg(F.count(F.lit(1)).alias("n")), "asked")
-    counts, exact = each.groupBy("k").agg(F.sum("n").alias("n")), each.select("peptide").distinct().withColumn("hit", F.lit(1))
-    total = tile.expected_windows(s).first()[0] or 0
-    share = {r["residue"]: r["share"] for r in collapse.core_residues(s).collect()}  # twenty rows
+    each = landed(asked.groupBy("k", "code").agg(F.sum("n").alias("n")), "asked")
+    counts, exact = each.groupBy("k").agg(F.sum("n").alias("n")), each.select("code").distinct().withColumn("hit", F.lit(1))
+    cores = collapse.core_residues(s).collect()  # twenty rows
+    share, total = {r["residue"]: r["share"] for r in cores}, sum(r["n"] for r in cores) // 9
     p = F.create_map(*[x for r, v in share.items() for x in (F.lit(r), F.lit(float(v)))]) if share else F.create_map().cast("map<string,double>")
     chance = F.lit(float(total))
     for i in _FACING:
         chance = chance * F.try_element_at(p, F.substring("peptide", i, 1))
-    met = mine.join(counts.hint("merge"), "k", "left").join(exact.hint("merge"), "peptide", "left")
+    met = mine.join(counts.hint("merge"), "k", "left").join(exact.hint("merge"), "code", "left")
     return met.groupBy("item").agg(F.sum(F.coalesce("n", F.lit(0))).alias("matches"), F.max(F.coalesce("n", F.lit(0))).alias("max_frame"), F.count("n").alias("frames"), F.count("hit").alias("exact"), F.round(F.sum(chance), 3).alias("expected"))
