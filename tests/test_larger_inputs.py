@@ -127,3 +127,22 @@ def test_self_match_cuts_no_text_of_a_document(spark, data, monkeypatch):
     whole = tile.with_flanks
     monkeypatch.setattr(stores.tile, "with_flanks", lambda df, *a, **k: seen.append(df.columns) or whole(df, *a, **k))
     assert stores.QUERIES["self_match"](spark, data).count() > 0 and seen == [["parent", "sequence"]]  # the items alone
+
+
+def test_an_audit_takes_windows_as_numbers(spark, monkeypatch):
+    from windloom.operators import coded, join
+
+    monkeypatch.setattr(coded, "CHUNK", 64)
+    rng = random.Random(12)
+    text = lambda n: "".join(rng.choice("ACD") for _ in range(n))
+    corpus, samples = [text(rng.randrange(0, 60)) for _ in range(40)] + [None], [text(rng.randrange(0, 40)) for _ in range(30)]
+    samples[3] = corpus[5]
+    make = lambda x: spark.createDataFrame(list(enumerate(x)), "parent long, sequence string")
+    for k in (9, 13):
+        held = {s[i : i + k] for s in corpus if s for i in range(len(s) - k + 1)}
+        got = {r["parent"]: r for r in join.overlap_audit(make(samples), make(corpus), k=k).collect()}
+        for i, s in enumerate(samples):
+            own = {s[j : j + k] for j in range(len(s) - k + 1)}
+            assert (got[i]["parent_rows"], got[i]["sample_windows"], got[i]["overlapping"]) == (corpus.count(s) + (not s), len(own), len(own & held))
+    # A null sequence is an empty one.
+    assert sum(r["n"] for r in coded.code_counts(make(corpus)).collect()) == sum(max(0, len(s) - 8) for s in corpus if s)
