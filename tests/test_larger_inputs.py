@@ -146,3 +146,13 @@ def test_an_audit_takes_windows_as_numbers(spark, monkeypatch):
             assert (got[i]["parent_rows"], got[i]["sample_windows"], got[i]["overlapping"]) == (corpus.count(s) + (not s), len(own), len(own & held))
     # A null sequence is an empty one.
     assert sum(r["n"] for r in coded.code_counts(make(corpus)).collect()) == sum(max(0, len(s) - 8) for s in corpus if s)
+
+
+def test_sequences_of_texts_take_one_pass(spark):
+    from windloom.functions.sequence import from_text
+
+    texts = ["", "The Quick Brown fox, JUMPS over 12 lazy dogs!", "bjouxzBJOUXZ", "é ß ſ ı K\nabc-\tDEF", None]
+    want = [None if t is None else "".join(c for c in t.upper() if c in "ACDEFGHIKLMNPQRSTVWY") if t.isascii() else "".join(c.upper() for c in t if c.isascii() and c.upper() in "ACDEFGHIKLMNPQRSTVWY") for t in texts]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").coalesce(1).select(from_text(F.col("t")).alias("s"))
+    assert [r["s"] for r in df.collect()] == want
+    assert "translate" not in plan(df)  # a look-up in a map for each letter
