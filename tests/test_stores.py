@@ -241,3 +241,19 @@ def test_failures_cost_few_calls_and_no_batch_for_each_row(spark):
     got = {r["i"]: r for r in scored.collect()}
     assert len(got) == 256 and [i for i, r in got.items() if r["status"] != "ok"] == [5] and got[5]["calls"] is None
     assert max(r["calls"] for i, r in got.items() if i != 5) <= 20  # one by one it took 64 calls for the first table alone
+
+
+def test_a_scorer_that_names_its_failures_is_asked_once(spark):
+    def naming(t):
+        naming.calls = getattr(naming, "calls", 0) + 1
+        bad = ["five" * 200 if i % 10 == 5 else None for i in t.column("i").to_pylist()]
+        return pa.table({"calls": pa.array([naming.calls] * t.num_rows, pa.int32()), "error": pa.array(bad, pa.string())})
+
+    df = spark.range(256).select(F.col("id").cast("int").alias("i")).coalesce(1)
+    got = {r["i"]: r for r in scorer.score_windows(df, naming, "calls int", ["i"], rows=64).collect()}
+    assert len(got) == 256 and max(r["calls"] for r in got.values() if r["calls"]) == 4
+    assert all((r["calls"], r["status"]) == (None, "five" * 125) if i % 10 == 5 else r["status"] == "ok" for i, r in got.items())
+    own = scorer.score_windows(df, lambda t: pa.table({"error": t.column("i").cast(pa.string())}), "error string", ["i"]).collect()
+    assert all(r["status"] == "ok" and r["error"] == str(r["i"]) for r in own)  # a column that was declared is a result
+    table = pa.table({"peptide": ["KRDA", None, ""]})
+    assert scorer.composition(table).to_pydict() == {"charged": [0.75, None, 0.0], "charge": [1, None, 0], "error": [None, "ValueError: peptide is null", None]}

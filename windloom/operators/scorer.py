@@ -5,11 +5,15 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 Scorer = Callable[[pa.Table], pa.Table]
 
+#: A column of texts that a scorer may return beside those it declared: the errors of rows that it can't score, null for others.
+ERROR = "error"
+
 
 class Registry:
     """Scorers by name; a name is taken once."""
@@ -29,21 +33,24 @@ class Registry:
         return score_windows(df, scorer, schema, inputs, **how)
 
 
-def checked(got, names: list[str], kinds: list[pa.DataType], n: int) -> list[pa.Array]:
-    """The scorer's columns in the order and types that it declared, one value for each row, or an error."""
+def checked(got, names: list[str], kinds: list[pa.DataType], n: int) -> tuple[list[pa.Array], pa.Array | None]:
+    """The scorer's columns in the order and types that it declared, one value for each row, and its own errors of rows if it gives any; or an error."""
     if not isinstance(got, (pa.Table, pa.RecordBatch)):
         raise TypeError(f"a scorer returns an Arrow table, not {type(got).__name__}")
     if got.num_rows != n:
         raise ValueError(f"{got.num_rows} rows came back for {n}")
-    if missing := [c for c in names if c not in got.schema.names]:
+    given = got.schema.names
+    if missing := [c for c in names if c not in given]:
         raise ValueError(f"columns {missing} are missing")
-    out = []
-    for c, kind in zip(names, kinds, strict=True):
-        column = got.column(c)
-        if isinstance(column, pa.ChunkedArray):
-            column = column.chunk(0) if column.num_chunks == 1 else column.combine_chunks()
-        out.append(column if column.type == kind else column.cast(kind))
-    return out
+
+    def column(c: str, kind: pa.DataType) -> pa.Array:
+        x = got.column(c)
+        if isinstance(x, pa.ChunkedArray):
+            x = x.chunk(0) if x.num_chunks == 1 else x.combine_chunks()
+        return x if x.type == kind else x.cast(kind)
+
+    out = [column(c, kind) for c, kind in zip(names, kinds, strict=True)]
+    return out, column(ERROR, pa.string()) if ERROR in given and ERROR not in names else None
 
 
 def score_windows(df: DataFrame, scorer: Scorer, schema: str, inputs: list[str], rows: int = 4096, status: str = "status") -> DataFrame:
@@ -51,7 +58,8 @@ def score_windows(df: DataFrame, scorer: Scorer, schema: str, inputs: list[str],
 
     The scorer gets Arrow tables of the input columns, `rows` at most, and returns one of the columns
     that `schema` declares. If it fails on a table, or returns something else, its halves are tried, and so on down to
-    single rows, and only those that fail have nulls and the error's text. A scorer keeps no order between tables.
+    single rows, and only those that fail have nulls and the error's text. A scorer that knows the rows it fails on
+    returns their errors as a column `error`, and no table is tried again. A scorer keeps no order between tables.
     """
     names = T._parse_datatype_string(schema).names
     fields = T._parse_datatype_string(schema).fields
@@ -66,27 +74,32 @@ def score_windows(df: DataFrame, scorer: Scorer, schema: str, inputs: list[str],
         kinds = [to_arrow_type(f.dataType) for f in fields]
 
         def scored(asked):
+            n = asked.num_rows
             try:
-                return checked(scorer(asked), names, kinds, asked.num_rows), "ok"
+                columns, errors = checked(scorer(asked), names, kinds, n)
             except Exception as e:  # a provider's failure is a row's status
-                if asked.num_rows > 1:
+                if n > 1:
                     return None
-                return [pa.nulls(1, k) for k in kinds], f"{type(e).__name__}: {e}"[:500]
+                return [*[pa.nulls(1, k) for k in kinds], pa.array([f"{type(e).__name__}: {e}"])]
+            return [*columns, pa.nulls(n, pa.string()) if errors is None else errors]
 
         for b in batches:
             asked = pa.Table.from_batches([b]).select(inputs)
-            done, states, waiting = [], [], [(at, min(at + rows, b.num_rows)) for at in range(0, b.num_rows, rows)][::-1]
+            done, waiting = [], [(at, min(at + rows, b.num_rows)) for at in range(0, b.num_rows, rows)][::-1]
             while waiting:
                 lo, hi = waiting.pop()
                 if got := scored(asked.slice(lo, hi - lo)):
-                    done.append(got[0])
-                    states += [got[1]] * (hi - lo)
+                    done.append(got)
                 else:
                     half = (lo + hi) // 2
                     waiting += [(half, hi), (lo, half)]
             if done:  # one batch out for each in, whatever failed
-                made = [pa.concat_arrays([columns[i] for columns in done]) for i in range(len(names))]
-                yield pa.RecordBatch.from_arrays([*[b.column(i) for i in range(width)], *made, pa.array(states, pa.string())], names=out.names)
+                *made, errors = [pa.concat_arrays(parts) for parts in zip(*done, strict=True)]
+                if errors.null_count < b.num_rows:
+                    fine = errors.is_null()
+                    made = [pc.if_else(fine, x, pa.scalar(None, x.type)) for x in made]
+                    errors = pc.utf8_slice_codeunits(errors, 0, 500)
+                yield pa.RecordBatch.from_arrays([*[b.column(i) for i in range(width)], *made, pc.fill_null(errors, "ok")], names=out.names)
 
     return df.mapInArrow(run, out)
 
@@ -94,14 +107,13 @@ def score_windows(df: DataFrame, scorer: Scorer, schema: str, inputs: list[str],
 def composition(table: pa.Table) -> pa.Table:
     """A stock scorer: the share of charged residues in `peptide`, and the difference of positive and negative ones. A null peptide is an error."""
     peptides = table.column("peptide")
+    plus, minus = (pc.count_substring_regex(peptides, letters) for letters in ("[KR]", "[DE]"))
+    size = pc.utf8_length(peptides)
+    shares = pc.divide(pc.add(plus, minus).cast(pa.float64()), pc.max_element_wise(size, 1))  # 0 of an empty one
+    made = {"charged": shares, "charge": pc.subtract(plus, minus)}
     if peptides.null_count:
-        raise ValueError("peptide is null")
-    shares, charges = [], []
-    for p in peptides.to_pylist():
-        plus, minus = p.count("K") + p.count("R"), p.count("D") + p.count("E")
-        shares.append((plus + minus) / len(p) if p else 0.0)
-        charges.append(plus - minus)
-    return pa.table({"charged": pa.array(shares, pa.float64()), "charge": pa.array(charges, pa.int32())})
+        made[ERROR] = pc.if_else(peptides.is_null(), "ValueError: peptide is null", pa.scalar(None, pa.string()))
+    return pa.table(made)
 
 
 STOCK = Registry()
