@@ -94,3 +94,30 @@ def test_windows_are_dealt_once(spark, data):
     plan = QUERIES["corpus_collapse"](spark, data)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 3
     assert not [x for x in plan.splitlines() if "Exchange hashpartitioning(peptide" in x and "parent" in x]
+
+
+def test_windows_meet_hits_as_blocks_of_starts(spark):
+    from windloom.operators import join, tile
+
+    rng = random.Random(8)
+    word = lambda n: "".join(rng.choice("ACD") for _ in range(n))
+    rows = [(1, word(300)), (1, word(90)), (1, word(90)), (2, word(15)), (3, word(4)), (4, ""), (None, word(70)), (5, word(143)), (6, None)]
+    at = lambda: rng.randrange(-5, 300)
+    hits = [(p, a, a + rng.choice([-20, -1, 0, 1, 9, 9, 150]), rng.choice("XYZ")) for p in (1, 2, 3, 5, None, 7) for a in [at() for _ in range(40)] + [0, 64, 64]]
+    df = spark.createDataFrame(rows, "g int, sequence string").repartition(3)
+    h = spark.createDataFrame(hits, "g int, hit_start int, hit_end int, kind string").repartition(2)
+    windows = [(r["g"], r["start"], r["end"], r["peptide"]) for r in tile.sized(df).collect()]
+    want = sorted((str(g), s, e, p, sorted((a, b, k) for q, a, b, k in hits if q is not None and q == g and s < b and a < e)) for g, s, e, p in windows)
+    for how in ("left", "inner"):
+        made = join.windows_of_blocks(join.blocks_with_hits(df, h, "g", how=how), "g")
+        got = sorted((str(r["g"]), r["start"], r["end"], r["peptide"], sorted(map(tuple, r["hits"]))) for r in made.collect() if how == "left" or r["hits"])
+        assert got == [w for w in want if how == "left" or w[-1]], how
+
+
+def test_no_window_of_a_hit_travels(spark, data):
+    from windloom.plans.catalogue import QUERIES
+
+    for name, most in (("window_alleles", 4), ("interval_overlap", 3)):
+        plan = QUERIES[name](spark, data)._jdf.queryExecution().executedPlan().toString()
+        dealt = [x for x in plan.splitlines() if "Exchange hashpartitioning" in x]
+        assert len(dealt) <= most and not any("peptide" in x or "start" in x for x in dealt), name
